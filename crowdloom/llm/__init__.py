@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_counts")
+MODULES = ("mixing", "packing", "token_counts", "quality")
 
 
 def queries() -> dict:
