@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "packing", "token_counts", "quality")
+MODULES = ("mixing", "packing", "quality", "token_counts", "toxicity")
 
 
 def queries() -> dict:
