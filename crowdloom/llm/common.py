@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of an Arrow column of texts (null: empty), about limit at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes, limit):
+        yield [t or b"" for t in texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = x ^ (x >> np.uint64(30))

@@ -39,7 +39,7 @@ def token_pieces(
         tok = tokenizer_of(tokenizer)
         for batch in batches:
             out, ids_out = [], []
-            for row, ids in enumerate(tok.documents(batch.column(1).to_pylist())):
+            for row, ids in enumerate(tok.documents(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]

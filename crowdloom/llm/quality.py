@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mixed, read_documents, slices
+from .common import PrefixHash, mixed, read_documents, text_slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_bangs", "n_bars", "n_stutters")
 WINDOW = 8
@@ -33,7 +33,7 @@ RULES: dict[str, str] = {
     "many_capitals": "10 * n_upper_words > 6 * n_words",
     "many_bangs": "10 * n_bangs > 4 * n_words",
     "table_bars": "10 * n_bars > 2 * n_words",
-    "repeated_lines": "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_lines >= 6 and 2 * n_dup_lines > n_lines",
     "stuttered_words": "10 * n_stutters > 3 * n_words",
     "odd_words": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 30 * n_words)",
 }
@@ -107,8 +107,7 @@ def measure(texts: list[bytes]) -> np.ndarray:
 def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            parts = [measure(texts[a:b]) for a, b in slices(np.array([len(t) for t in texts]), 2 << 20)]
+            parts = [measure(texts) for texts in text_slices(batch.column(1), 1 << 20)]
             made = np.concatenate(parts, axis=1) if parts else np.zeros((len(MEASURES), 0), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made.astype(np.int64))], ["doc_id", *MEASURES])
 

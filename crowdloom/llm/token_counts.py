@@ -60,7 +60,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
 
         for batch in batches:
             blocks: list[bytes] = []
-            for ids in tok.documents(batch.column(1).to_pylist()):
+            for ids in tok.documents(batch.column(1)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u2")
                 held.append(ids)
                 n += len(ids)

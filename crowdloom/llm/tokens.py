@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from .common import PrefixHash, byte_table, mixed, slices
+from .common import PrefixHash, byte_table, mixed, text_slices
 
 #: The tokenizer file that the registered queries name; operators take any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +24,7 @@ def public_path(name: str = TOKENIZER) -> str:
 @lru_cache(2)
 def tokenizer(path: str, plain_specials: bool = False) -> WordTokenizer:
     """One for each worker process and kind, so that what it has learnt is used again."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordTokenizer(path, plain_specials)
 
 
@@ -45,7 +48,7 @@ class WordTokenizer:
     KINDS = _classes()
     MARK = "\x01"
 
-    def __init__(self, path: str, plain_specials: bool = False, max_kept: int = 1_500_000):
+    def __init__(self, path: str, plain_specials: bool = False, max_kept: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -138,11 +141,10 @@ class WordTokenizer:
         ids = self.flat[np.arange(stop[-1]) + np.repeat(begin - stop + n, n)]
         return ids, np.diff(np.append(0, stop)[chunk_ends], prepend=0)
 
-    def documents(self, texts: list[str | None], limit: int = 2 << 20) -> Iterator[np.ndarray]:
+    def documents(self, texts: pa.Array, limit: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text in turn, worked out about limit bytes at a time."""
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        for a, b in slices(np.array([len(t) for t in raw]), limit):
-            ids, sizes = self._slice(raw[a:b])
+        for raw in text_slices(texts, limit):
+            ids, sizes = self._slice(raw)
             at = 0
             for n in sizes.tolist():
                 yield ids[at : at + n]
