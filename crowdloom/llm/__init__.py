@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "neardup", "packing", "quality", "token_counts", "toxicity")
+MODULES = ("mixing", "neardup", "packing", "quality", "repeats", "token_counts", "toxicity")
 
 
 def queries() -> dict:
