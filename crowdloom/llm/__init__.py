@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "neardup", "packing", "private", "quality", "repeats", "token_counts", "toxicity")
+MODULES = ("chat", "media", "mixing", "neardup", "packing", "private", "quality", "repeats", "token_counts", "toxicity")
 
 
 def queries() -> dict:
