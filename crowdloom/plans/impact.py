@@ -1 +1,180 @@
-"""Queries, to come."""
+"""Event effects on the given tables; rides are summed to (line's region, direction, day)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import impact
+from .registry import query
+from .views import EVENTS, RIDES, events, rides, table
+
+Spark = SparkSession
+KEYS = ["station_code", "direction"]
+BASE = f"""{RIDES}, {EVENTS}, daily as (select station_code, direction, date, cast(sum(passenger_count) as bigint) as x from rides group by all),
+days as (select ev.*, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as date from ev), busy as (select distinct station_code, date from days),
+clean as (select * from daily d where not exists (select 1 from busy b where b.station_code = d.station_code and b.date = d.date)),
+lags as (select 7 * unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as lag)"""
+STATS = """samples as (select t.station_code, t.direction, t.date as target, c.x from targets t cross join lags join clean c on c.station_code = t.station_code and c.direction = t.direction and c.date = t.date + cast(lag as integer)),
+stats as (select station_code, direction, target, median(x) as base, count(*) as n_samples from samples group by all having count(*) >= {least}),
+base as (select s.station_code, s.direction, s.target as date, base, n_samples, median(abs(x - base)) as mad from samples s join stats using (station_code, direction, target) group by all)"""
+OWN = "targets as (select distinct d.station_code, d.direction, d.date from daily d join busy using (station_code, date))"
+LEAST = 2
+
+
+def daily(spark: Spark, d: str) -> DataFrame:
+    return rides(spark, d).groupBy("station_code", "direction", "date").agg(F.sum("passenger_count").alias("x"))
+
+
+def parts(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
+    own = roll.join(days.select("station_code", "date").distinct(), ["station_code", "date"], "left_semi")
+    return days, roll, impact.baselines(own, roll, days, KEYS, "x", least=LEAST)
+
+
+@query("C6_interval_explode", f"with {EVENTS} select event_id, station_code, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as date from ev")
+def _(spark: Spark, d: str) -> DataFrame:
+    return impact.event_days(events(spark, d)).select("event_id", "station_code", "date")
+
+
+C7 = f"with {BASE}, {OWN}, {STATS.format(least=1)} select station_code, direction, date, base, n_samples from base"
+
+
+@query("C7_seasonal_lags", C7)
+def _(spark: Spark, d: str) -> DataFrame:
+    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
+    own = roll.join(days.select("station_code", "date").distinct(), ["station_code", "date"], "left_semi")
+    return impact.baselines(own, roll, days, KEYS, "x", least=1).select(*KEYS, "date", "base", "n_samples")
+
+
+@query("C8_without_event_days", f"with {BASE} select station_code, direction, count(*) as days, cast(sum(x) as bigint) as x from clean group by 1, 2")
+def _(spark: Spark, d: str) -> DataFrame:
+    busy = impact.event_days(events(spark, d)).select("station_code", "date").distinct()
+    return daily(spark, d).join(busy, ["station_code", "date"], "left_anti").groupBy(*KEYS).agg(F.count("*").alias("days"), F.sum("x").alias("x"))
+
+
+@query("C9_active_events", f"with {EVENTS} select o_orderkey, event_id from orders join ev on cast(o_orderdate as date) between start_date and end_date where o_orderkey % 10 = 0")
+def _(spark: Spark, d: str) -> DataFrame:
+    asked = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    return asked.join(impact.event_days(events(spark, d)).select("event_id", "date"), "date").select("o_orderkey", "event_id")
+
+
+SPIKE = f"""with {BASE}, {OWN}, {STATS.format(least=LEAST)},
+spike as (select days.event_id, days.event_type, days.station_code, days.date, d.direction, x, base, n_samples, x / nullif(base, 0) as ratio, (x - base) / (1.4826 * nullif(mad, 0)) as robust_z from days join daily d using (station_code, date) join base b on b.station_code = d.station_code and b.direction = d.direction and b.date = d.date)"""
+
+
+def spike(spark: Spark, d: str) -> DataFrame:
+    days, roll, base = parts(spark, d)
+    return impact.spikes(days, roll, base, KEYS, "x")
+
+
+@query("D12_robust_z", f"{SPIKE} select event_id, station_code, date, direction, round(robust_z, 9) as robust_z from spike")
+def _(spark: Spark, d: str) -> DataFrame:
+    return spike(spark, d).select("event_id", "station_code", "date", "direction", F.round("robust_z", 9).alias("robust_z"))
+
+
+@query("I1_daily_spike", f"{SPIKE} select event_id, event_type, station_code, date, direction, x, base, n_samples, round(ratio, 9) as ratio from spike")
+def _(spark: Spark, d: str) -> DataFrame:
+    return spike(spark, d).select("event_id", "event_type", "station_code", "date", "direction", "x", "base", "n_samples", F.round("ratio", 9).alias("ratio"))
+
+
+I2 = f"""with {BASE}, hourly as (select station_code, direction, date, hour, cast(sum(passenger_count) as bigint) as x from rides group by all), hc as (select * from hourly h where not exists (select 1 from busy b where b.station_code = h.station_code and b.date = h.date)),
+t as (select event_id, station_code, date, h.direction, h.hour, h.x from days join hourly h using (station_code, date) where h.hour in (1, 2, 7)),
+s as (select t.event_id, t.station_code, t.date, t.direction, t.hour, median(c.x) as base, count(c.x) as n from t cross join lags left join hc c on c.station_code = t.station_code and c.direction = t.direction and c.hour = t.hour and c.date = t.date + cast(lag as integer) group by all)
+select t.event_id, t.station_code, t.date, t.direction, cast(sum(x) as bigint) as actual, round(sum(base), 9) as base, count(*) as n_hours from t join s using (event_id, station_code, date, direction, hour) group by 1, 2, 3, 4 having bool_and(n >= 1)"""
+
+
+@query("I2_peak_hour_spike", I2)
+def _(spark: Spark, d: str) -> DataFrame:
+    days = impact.event_days(events(spark, d))
+    hourly = rides(spark, d).groupBy(*KEYS, "hour", "date").agg(F.sum("passenger_count").alias("x"))
+    asked = days.withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0))).select("event_id", "station_code", "date", "hour")
+    present = asked.join(hourly, ["station_code", "date", "hour"])
+    base = impact.baselines(present, hourly, days, [*KEYS, "hour"], "x", least=1).drop("mad")
+    per = present.join(base, [*KEYS, "hour", "date"], "left").groupBy("event_id", "station_code", "date", "direction")
+    out = per.agg(F.sum("x").alias("actual"), F.round(F.sum("base"), 9).alias("base"), F.count("*").alias("n_hours"), F.bool_and(F.col("base").isNotNull()).alias("whole"))
+    return out.where("whole").drop("whole")
+
+
+I3 = f"with {BASE} select a.event_id, a.station_code, a.date, string_agg(distinct cast(b.event_id as varchar), ';' order by cast(b.event_id as varchar)) as confounders from days a left join days b on b.station_code = a.station_code and b.date = a.date and b.event_id <> a.event_id group by 1, 2, 3"
+
+
+@query("I3_confounding", I3)
+def _(spark: Spark, d: str) -> DataFrame:
+    return impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", "confounders")
+
+
+WEIGHT = {"not_significant": 0.0, "weak": 0.25, "medium": 0.5, "strong": 0.75, "very_strong": 1.0}
+CLASS = "case when r is null then null when r < 1.2 then 'not_significant' when r < 1.5 then 'weak' when r < 2.0 then 'medium' when r < 3.0 then 'strong' else 'very_strong' end"
+I4 = f"""{SPIKE}, c as (select distinct a.event_id, a.station_code, a.date from days a join days b on b.station_code = a.station_code and b.date = a.date and b.event_id <> a.event_id),
+p as (select s.event_id, coalesce(max(ratio) filter (c.event_id is null), max(ratio)) as r, count(*) as n_days from spike s left join c on c.event_id = s.event_id and c.station_code = s.station_code and c.date = s.date group by 1), q as (select *, {CLASS} as strength from p)
+select event_id, round(r, 9) as ratio, strength, case strength when 'not_significant' then 0.0 when 'weak' then 0.25 when 'medium' then 0.5 when 'strong' then 0.75 when 'very_strong' then 1.0 end as weight, n_days from q"""
+
+
+def verified(spark: Spark, d: str) -> DataFrame:
+    marked = impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", "confounders")
+    return impact.verify(spike(spark, d).join(marked, ["event_id", "station_code", "date"]), [], WEIGHT)
+
+
+@query("I4_verified_strength", I4.replace("then 0.0", "then 0.0::double").replace("then 0.25", "then 0.25::double"))
+def _(spark: Spark, d: str) -> DataFrame:
+    return verified(spark, d).withColumn("ratio", F.round("ratio", 9))
+
+
+SCALE = "scale as (select station_code, line_id, sum(passenger_count) / count(distinct date) as scale from rides group by 1, 2), treated as (select distinct station_code from ev where station_code % 2 = 0)"
+CTRL = f"""with {BASE}, {SCALE}, c as (select t.station_code, p.station_code as control, round(abs(ln(1 + t.scale) - ln(1 + p.scale)), 12) as distance from scale t join scale p on not (t.line_id = p.line_id and abs(t.station_code - p.station_code) <= 3)
+ where t.station_code in (select station_code from treated) and p.station_code not in (select station_code from treated)), ctrl as (select *, row_number() over (partition by station_code order by distance, control) as rank from c qualify rank <= 5)"""
+
+
+def matched(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    scale = rides(spark, d).groupBy("station_code", "line_id").agg((F.sum("passenger_count") / F.count_distinct("date")).alias("scale"))
+    treated = events(spark, d).select("station_code").distinct().where("station_code % 2 = 0")
+    return impact.controls(scale, treated), treated
+
+
+@query("C12_matched_controls", f"{CTRL} select station_code, control, rank, round(distance, 9) as distance from ctrl")
+def _(spark: Spark, d: str) -> DataFrame:
+    return matched(spark, d)[0].withColumn("distance", F.round("distance", 9))
+
+
+I5 = f"""{CTRL}, targets as (select distinct d.station_code, d.direction, d.date from daily d join (select distinct date from days) using (date)), {STATS.format(least=1)},
+r as (select d.station_code, d.direction, d.date, x, base, x / nullif(base, 0) as ratio from daily d join base using (station_code, direction, date)),
+o as (select days.event_id, m.station_code, m.date, m.direction, m.ratio, m.x, m.base, median(k.ratio) as cr, count(*) as n_controls from days join treated using (station_code) join r m using (station_code, date) join ctrl on ctrl.station_code = m.station_code join r k on k.station_code = ctrl.control and k.date = m.date and k.direction = m.direction group by all)
+select event_id, station_code, date, direction, round(ratio, 9) as ratio, round(cr, 9) as control_ratio, n_controls, round(ratio - cr, 9) as did, round(ratio / nullif(cr, 0), 9) as normalised, round(x - base * cr, 6) as lift from o"""
+
+
+@query("I5_difference_in_differences", I5)
+def _(spark: Spark, d: str) -> DataFrame:
+    pairs, treated = matched(spark, d)
+    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
+    targets = roll.join(F.broadcast(days.select("date").distinct()), "date", "left_semi")
+    base = impact.baselines(targets, roll, days, KEYS, "x", least=1)
+    out = impact.did(days.join(treated, "station_code", "left_semi"), roll, base, pairs, KEYS, "x")
+    r = lambda c, n=9: F.round(c, n).alias(c)
+    return out.select("event_id", "station_code", "date", "direction", r("ratio"), r("control_ratio"), "n_controls", r("did"), r("normalised"), r("lift", 6))
+
+
+I7 = f"""{SPIKE}, p as (select event_id, max(ratio) as ratio from spike group by 1), e as (select ev.event_id, ev.station_code, start_date, end_date, cast(unnest(string_split(peak_hour_bins, ';')) as integer) as hour from ev)
+select date, hour, e.station_code, round(max(1 + 0.3 * (ratio - 1)), 9) as multiplier, count(distinct e.event_id) as n_events from (select distinct date from rides where day(date) = 15) q join e on date between start_date and end_date join p using (event_id) where ratio > 1 group by 1, 2, 3"""
+
+
+@query("I7_event_multiplier", I7)
+def _(spark: Spark, d: str) -> DataFrame:
+    asked = rides(spark, d).where(F.dayofmonth("date") == 15).select("date").distinct()
+    ratios = spike(spark, d).groupBy("event_id").agg(F.max("ratio").alias("ratio")).where("ratio > 1")
+    days = impact.event_days(events(spark, d)).withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0)))
+    active = days.join(asked, "date").join(ratios, "event_id")
+    return active.groupBy("date", "hour", "station_code").agg(F.round(F.max(1 + 0.3 * (F.col("ratio") - 1)), 9).alias("multiplier"), F.count_distinct("event_id").alias("n_events"))
+
+
+@query("I8_calendar_conflicts", f"with {EVENTS} select start_date, count(*) as n, string_agg(cast(event_id as varchar), ';' order by event_id) as events from ev group by 1 having count(*) > 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    e = events(spark, d).groupBy("start_date").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ";").alias("events"))
+    return e.where("n > 1")
+
+
+@query("I9_largest_by_direction", f"{SPIKE} select event_id, round(max(ratio) filter (direction = 'boarding'), 9) as boarding, round(max(ratio) filter (direction = 'alighting'), 9) as alighting from spike group by 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    out = spike(spark, d).groupBy("event_id").pivot("direction", ["boarding", "alighting"]).agg(F.max("ratio"))
+    return out.select("event_id", F.round("boarding", 9).alias("boarding"), F.round("alighting", 9).alias("alighting"))
