@@ -8,8 +8,9 @@ set are one class, represented by its least row. Signatures are cut into bands;
 that share a band are candidates. Every link is confirmed on the full sets.
 
 No group is expanded into all its pairs: members of a band's bucket are first compared
-with the bucket's least member, links become components, and what a bucket still holds of
-other components is compared with the rest of the bucket only where components differ.
+with the bucket's least member and links become components. Only buckets that still hold
+several components are looked at again, in blocks of bounded size inside tasks, where rows
+of different components are compared and links that join two of them come out.
 After that every pair sharing a band is linked, refused, or in one component already.
 With 30 bands of 5 a pair at similarity 0.8 shares no band once in 150,000 pairs.
 
@@ -70,7 +71,7 @@ def super_min_hash(doc: np.ndarray, element: np.ndarray, n_docs: int, m: int) ->
     for j in range(m):
         if not len(doc):
             break
-        x = mixed(element + np.uint64(j + 1) * np.uint64(0xA0761D6478BD642F))
+        x = mixed(element + np.uint64((j + 1) * 0xA0761D6478BD642F % (1 << 64)))
         k = j + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
         if j == 0:
             place = k
@@ -148,6 +149,80 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+#: A block of a bucket has about so many members, and so many shingles, at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 2_000_000
+
+
+def _across_parts(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different parts of a bucket (slot, rep, part, blocks). A
+    bucket is dealt into blocks; a task gets two blocks, or one twice, counts the shared
+    shingles of all rows by a matrix product and returns a spanning forest of the links
+    between parts. No pair that isn't a link leaves the task, nor one that adds nothing."""
+    mine = F.pmod(F.xxhash64("rep", "slot"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("slot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("rep").alias("rid"), "part")
+    rows = keyed.join(texts, "rid").select("slot", "i", "j", "mine", "rid", "part", "text")
+
+    def link(group: list[tuple]) -> list[tuple[int, int]]:
+        doc, hashed = shingles([r[6].encode("utf-8", "replace") for r in group], width)
+        size = np.bincount(doc, minlength=len(group))
+        _, column, uses = np.unique(hashed, return_inverse=True, return_counts=True)
+        kept = uses[column] > 1
+        doc, column = doc[kept], np.unique(column[kept], return_inverse=True)[1]
+        side = np.array([r[3] == r[1] for r in group])
+        left = np.flatnonzero(side)
+        right = left if group[0][1] == group[0][2] else np.flatnonzero(~side)
+        if not len(left) or not len(right):
+            return []
+        place = np.zeros(len(group), np.int64)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            a, b = np.searchsorted(column, [low, low + 2048])
+            grids = []
+            for part in (left, right):
+                place[:] = -1
+                place[part] = np.arange(len(part))
+                at = place[doc[a:b]]
+                grid = np.zeros((len(part), 2048), np.float32)
+                grid[at[at >= 0], column[a:b][at >= 0] - low] = 1
+                grids.append(grid)
+            shared += grids[0] @ grids[1].T
+        parts = np.array([r[5] for r in group])
+        up = {p: p for p in parts.tolist()}
+
+        def root(p: int) -> int:
+            while up[p] != p:
+                up[p] = p = up[up[p]]
+            return p
+
+        found = []
+        for x, row in zip(left, shared, strict=True):  # full sets, whole numbers: exact
+            hits = right[((100 + percent) * row.astype(np.int64) >= percent * (size[x] + size[right])) & (parts[right] != parts[x])]
+            for y in hits[np.unique(parts[hits], return_index=True)[1]]:
+                p, q = root(int(parts[x])), root(int(parts[y]))
+                if p != q:
+                    up[p] = q
+                    found.append((group[x][4], group[y][4]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    out += link(group)
+                    group = []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = link(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("slot", "i", "j").sortWithinPartitions("slot", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
     """For each row of docs: rid, doc_id, n_shingles, component_id (the least id it is
     linked with over any number of links) and lead_rid (the row that represents these)."""
@@ -167,22 +242,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = settle(confirm(tried, texts, width, percent), "links")
     roots = connected_components(links, "a", "b")
 
-    # What a bucket holds beyond one component, against the bucket's other components.
+    # Buckets that hold several components: members of different ones are compared in blocks.
     in_part = shared.join(roots.withColumnRenamed("vertex", "rep"), "rep", "left").select("slot", "rep", "n", F.coalesce("root", "rep").alias("part"))
-    mixed_slots = in_part.groupBy("slot").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("slot")
-    left = settle(in_part.join(mixed_slots, "slot", "left_semi"), "mixed-slots")
-    main = left.groupBy("slot", "part").agg(F.count("*").alias("k")).groupBy("slot").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    strays = left.join(main, "slot").where("part <> main").select("slot", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), "main")
-    others = left.select("slot", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    crossed = (
-        strays.join(others, "slot")
-        .where("part_a <> part_b and (part_b = main or a > b)")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = settle(confirm(crossed, texts, width, percent), "more-links")
+    several = in_part.groupBy("slot").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members"), F.sum("n").alias("words"))
+    several = several.where("p <> q and members > 2").select("slot", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mixed_slots = settle(in_part.join(several, "slot"), "mixed-slots")
+    more = settle(_across_parts(mixed_slots, texts, width, percent), "more-links")
     if not more.isEmpty():
         roots = connected_components(links.union(more), "a", "b")
 
