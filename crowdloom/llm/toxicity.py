@@ -18,8 +18,7 @@ empty table gives no rows; other columns of docs are carried by reject_toxic unt
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,8 +67,7 @@ def fit(spark_docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, min_row
     toxic = np.array(rows.column("toxic").to_pylist(), bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
-    texts = [features(set(x)) for x in rows.column("words").to_pylist()]
-    return fit_words(texts, toxic, min_rows_with_word, max_words, steps)
+    return fit_words((set(x.as_py()) for x in rows.column("words")), toxic, min_rows_with_word, max_words, steps)
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,30 +75,28 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
 
 
-def fit_words(texts: list[set[str]], toxic: np.ndarray, min_rows_with_word: int = 5, max_words: int = 2_000, steps: int = 600) -> OrdinalModel:
+def fit_words(texts: Iterable[set[str]], toxic: np.ndarray, min_rows_with_word: int = 5, max_words: int = 2_000, steps: int = 600) -> OrdinalModel:
+    number: dict[str, int] = {}
+    held = [np.array(sorted(number.setdefault(f, len(number)) for f in features(t)), np.int32) for t in texts]
+    row, col = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
     n, n_toxic = len(toxic), int(toxic.sum())
-    everywhere, there = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        everywhere.update(t)
-        if y:
-            there.update(t)
+    rows_with = np.bincount(col, minlength=len(number))
+    expected = rows_with * n_toxic / n
     # The signed root of chi-square against independence, words in enough rows only.
-    lean = {}
-    for w, c in everywhere.items():
-        if c >= min_rows_with_word:
-            expected = c * n_toxic / n
-            lean[w] = (there[w] - expected) / np.sqrt(expected * (1 - n_toxic / n) * (1 - c / n) + 1e-9)
-    chosen = sorted((w for w in lean if abs(lean[w]) > 4.5), key=lambda w: (-abs(lean[w]), w))[:max_words]
-    place = {w: k for k, w in enumerate(chosen)}
-    strong = {w for w in chosen if lean[w] > 6}
-    hits = np.array([len(t & strong) for t in texts])
+    lean = (np.bincount(col[toxic[row]], minlength=len(number)) - expected) / np.sqrt(expected * (1 - n_toxic / n) * (1 - rows_with / n) + 1e-9)
+    names = sorted(number)
+    by_name = np.array([number[w] for w in names], int)
+    good = by_name[(rows_with[by_name] >= min_rows_with_word) & (np.abs(lean[by_name]) > 4.5)]
+    chosen = good[np.argsort(-np.abs(lean[good]), kind="stable")][:max_words]
+    place = np.full(len(number), -1)
+    place[chosen] = np.arange(len(chosen))
+    hits = np.bincount(row, (place[col] >= 0) & (lean[col] > 6), n)
     grade = np.zeros(n, int)
-    if n_toxic:
-        thirds = np.quantile(hits[toxic], [1 / 3, 2 / 3])
-        grade[toxic] = 1 + np.searchsorted(thirds, hits[toxic], "left")
-    row = np.concatenate([[k] * len(t & place.keys()) for k, t in enumerate(texts)]).astype(int)
-    col = np.array([place[w] for t in texts for w in sorted(t & place.keys())], int)
-    return OrdinalModel(place, *_descend(row, col, grade, len(chosen), steps))
+    thirds = np.quantile(hits[toxic], [1 / 3, 2 / 3])
+    grade[toxic] = 1 + np.searchsorted(thirds, hits[toxic], "left")
+    used = place[col] >= 0
+    vocabulary = {w: int(place[k]) for w, k in zip(names, by_name, strict=True) if place[k] >= 0}
+    return OrdinalModel(vocabulary, *_descend(row[used], place[col[used]], grade, len(chosen), steps))
 
 
 def _descend(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_words: int, steps: int, ridge: float = 5e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
