@@ -1 +1,191 @@
-"""Queries, to come."""
+"""Network and route jobs on part sequences: a brand is a line, a part name a station."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import scalars as S
+from ..operators import network as N
+from .registry import query
+from .views import SEQ, sequence
+
+Spark = SparkSession
+
+
+def node() -> F.Column:
+    return S.node_id(F.col("line_id"), F.col("station_name"))
+
+
+ALL = f"""{SEQ}, lagged as (select *, line_id || '_' || station_name as node, lag(line_id || '_' || station_name) over (partition by line_id order by seq) as before from seq), st as (select * from lagged where before is not null and before <> node),
+ride as (select line_id, f as from_node, t as to_node, min(minutes) as minutes from (select line_id, before as f, node as t, minutes from st union all select line_id, node, before, minutes from st) group by all),
+nodes as (select distinct line_id || '_' || station_name as node, line_id, station_name from seq),
+tr as (select a.station_name, a.node as from_node, b.node as to_node, 4 as minutes from nodes a join nodes b on a.station_name = b.station_name and a.line_id <> b.line_id),
+edge as (select from_node, to_node, minutes, 'ride' as kind from ride union all select from_node, to_node, minutes, 'transfer' from tr)"""
+
+
+def all_edges(spark: Spark, d: str) -> DataFrame:
+    s = sequence(spark, d)
+    ride = N.ride_edges(s, node()).select("from_node", "to_node", "minutes", F.lit("ride").alias("kind"))
+    return ride.unionByName(N.transfer_edges(s, node(), 4).select("from_node", "to_node", "minutes", F.lit("transfer").alias("kind")))
+
+
+@query("E2_ride_edges", f"with {ALL} select * from ride")
+def _(spark: Spark, d: str) -> DataFrame:
+    return N.ride_edges(sequence(spark, d), node())
+
+
+@query("R2_transfer_edges", f"with {ALL} select * from tr")
+def _(spark: Spark, d: str) -> DataFrame:
+    return N.transfer_edges(sequence(spark, d), node(), 4)
+
+
+@query("R1_edge_table", f"with {ALL} select kind, count(*) as n, sum(minutes) as minutes, count(distinct from_node) as nodes from edge group by 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    return all_edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.count_distinct("from_node").alias("nodes"))
+
+
+@query("R3_edge_direction", f"with {ALL}, f as (select node, min(seq) as s from lagged group by 1) select from_node, to_node, case when b.s = (select min(seq) from seq q where q.line_id = split_part(from_node, '_', 1)) then 'closing' when a.s < b.s then 'up' else 'down' end as direction from ride join f a on a.node = from_node join f b on b.node = to_node")
+def _(spark: Spark, d: str) -> DataFrame:
+    s = sequence(spark, d)
+    first = s.groupBy(node().alias("node")).agg(F.min("seq").alias("s"))
+    start = s.groupBy("line_id").agg(F.min("seq").alias("line_start"))
+    e = N.ride_edges(s, node()).join(first.toDF("from_node", "a"), "from_node").join(first.toDF("to_node", "b"), "to_node").join(start, "line_id")
+    return e.select("from_node", "to_node", F.when(F.col("b") == F.col("line_start"), "closing").when(F.col("a") < F.col("b"), "up").otherwise("down").alias("direction"))
+
+
+R4 = f"with recursive {ALL}, walk as (select node, node as seen from nodes union select walk.node, ride.to_node from walk join ride on ride.from_node = walk.seen) select node, min(seen) as component from walk group by 1"
+
+
+@query("R4_components", R4)
+def _(spark: Spark, d: str) -> DataFrame:
+    s = sequence(spark, d)
+    return N.reachable(s.select(node().alias("node")).distinct(), N.ride_edges(s, node()))
+
+
+HORIZON = 9
+R5 = f"""with recursive {ALL}, reach as (select node as source, node, 0 as cost from nodes where line_id = 'Brand#1' union select r.source, e.to_node, r.cost + e.minutes from reach r join edge e on e.from_node = r.node where r.cost + e.minutes <= {HORIZON})
+select source, node, cast(min(cost) as integer) as cost from reach group by 1, 2"""
+
+
+@query("R5_distances", R5)
+def _(spark: Spark, d: str) -> DataFrame:
+    seeds = sequence(spark, d).where("line_id = 'Brand#1'").select(node().alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("cost"))
+    return N.distances(seeds, all_edges(spark, d), HORIZON)
+
+
+SLACK, KEEP = 2, 3
+REQ = "req as (select seq as request_id, node as origin, d as destination from (select *, lead(line_id || '_' || station_name, 3) over (partition by line_id order by seq) as d from lagged) where seq % 20 = 0 and d is not null and d <> node)"
+PATHS = f"""{ALL}, {REQ}, walk as (select request_id, destination, origin as node, [origin] as path, 0 as minutes from req
+ union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes from walk w join edge e on e.from_node = w.node where w.node <> w.destination and not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= {HORIZON}),
+arrived as (select request_id, path, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where node = destination),
+paths as (select request_id, array_to_string(path, '>') as route, path, cast(minutes as integer) as minutes, rank from arrived where rank <= {KEEP})"""
+
+
+def requests(spark: Spark, d: str) -> DataFrame:
+    order = W.partitionBy("line_id").orderBy("seq")
+    s = sequence(spark, d).withColumn("origin", node()).withColumn("destination", F.lead("origin", 3).over(order))
+    return s.where("seq % 20 = 0 and destination is not null and destination <> origin").select(F.col("seq").alias("request_id"), "origin", "destination")
+
+
+def paths(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = N._written(all_edges(spark, d))
+    return N._written(N.k_paths(requests(spark, d), edges.select("from_node", "to_node", "minutes"), KEEP, HORIZON, SLACK)), edges
+
+
+@query("R6_k_paths", f"with recursive {PATHS} select request_id, route, minutes, rank from paths")
+def _(spark: Spark, d: str) -> DataFrame:
+    return paths(spark, d)[0].select("request_id", F.array_join("path", ">").alias("route"), "minutes", "rank")
+
+
+STEPS = f"{PATHS}, ix as (select request_id, rank, path, unnest(generate_series(1, len(path) - 1)) as pos from paths), steps as (select ix.request_id, ix.rank, pos - 1 as pos, path[pos] as from_node, path[pos + 1] as to_node from ix), full_steps as (select s.*, e.minutes, e.kind from steps s left join edge e using (from_node, to_node))"
+
+
+@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, regexp_replace(unnest(path), '^[^_]*_', '') as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2")
+def _(spark: Spark, d: str) -> DataFrame:
+    names = F.transform("path", S.node_station)
+    kept = F.filter(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when((i == 1) | (F.element_at("names", i) != F.element_at("names", F.greatest(i - 1, F.lit(1)))), F.element_at("names", i))), lambda x: x.isNotNull())
+    return paths(spark, d)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
+
+
+@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, sum(minutes) filter (kind = 'ride') as running, coalesce(sum(minutes) filter (kind = 'transfer'), 0) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2")
+def _(spark: Spark, d: str) -> DataFrame:
+    p, edges = paths(spark, d)
+    ride, walk = F.col("kind") == "ride", F.col("kind") == "transfer"
+    return N.path_edges(p, edges).groupBy("request_id", "rank").agg(
+        F.sum(F.when(ride, F.col("minutes"))).alias("running"), F.coalesce(F.sum(F.when(walk, F.col("minutes"))), F.lit(0)).alias("walking"), F.count(F.when(walk, 1)).alias("transfers"), F.count("*").alias("n_edges")
+    )
+
+
+E8 = f"""with recursive {STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else split_part(from_node, '_', 1) end as line from full_steps), n as (select *, case when lag(line) over w is null or lag(line) over w <> line then 1 else 0 end as is_new from l window w as (partition by request_id, rank order by pos)),
+g as (select *, sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as segment from n) select request_id, rank, segment, line, count(*) as n_edges, sum(minutes) as minutes, greatest(count(*) - 1, 0) as dwell_stops from g group by 1, 2, 3, 4"""
+
+
+@query("E8_segments", E8)
+def _(spark: Spark, d: str) -> DataFrame:
+    p, edges = paths(spark, d)
+    return N.segments(N.path_edges(p, edges), F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
+
+
+ATTR = f"{STEPS}, attr as (select request_id, rank, sum(minutes) as minutes, count(*) filter (kind = 'transfer') as transfers, max(ascii(substr(to_node, -1)) * 3 % 100) as worst from full_steps group by 1, 2)"
+
+
+def attributed(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    p, edges = paths(spark, d)
+    worst = (F.ascii(F.substr("to_node", F.lit(-1))) * 3) % 100
+    return p, N.path_edges(p, edges).groupBy("request_id", "rank").agg(F.sum("minutes").alias("minutes"), F.count(F.when(F.col("kind") == "transfer", 1)).alias("transfers"), F.max(worst).alias("worst"))
+
+
+@query("R14_pareto", f"with recursive {ATTR} select a.*, not exists (select 1 from attr b where b.request_id = a.request_id and b.minutes <= a.minutes and b.transfers <= a.transfers and b.worst <= a.worst and (b.minutes < a.minutes or b.transfers < a.transfers or b.worst < a.worst)) as is_pareto from attr a")
+def _(spark: Spark, d: str) -> DataFrame:
+    return N.pareto(attributed(spark, d)[1], "request_id", "rank", ["minutes", "transfers", "worst"])
+
+
+@query("E6_fastest_comparators", f"with recursive {ATTR}, f as (select request_id, arg_min(minutes, rank) as fm, arg_min(worst, rank) as fw from attr group by 1) select request_id, rank, round(minutes / fm, 9) as stretch, minutes - fm as time_loss, fw - worst as worst_drop from attr join f using (request_id)")
+def _(spark: Spark, d: str) -> DataFrame:
+    a = attributed(spark, d)[1]
+    f = a.groupBy("request_id").agg(F.min_by(F.struct("minutes", "worst"), "rank").alias("f"))
+    return a.join(f, "request_id").select("request_id", "rank", F.round(F.col("minutes") / F.col("f.minutes"), 9).alias("stretch"), (F.col("minutes") - F.col("f.minutes")).alias("time_loss"), (F.col("f.worst") - F.col("worst")).alias("worst_drop"))
+
+
+@query("E7_mode_rank", f"with recursive {ATTR}, m as (select * from (values ('fast', 1.0, 0.1), ('calm', 0.2, 1.0)) t(mode, wt, wc)) select mode, request_id, rank, row_number() over (partition by mode, request_id order by round(wt * minutes + wc * worst, 6), rank) as mode_rank from attr cross join m")
+def _(spark: Spark, d: str) -> DataFrame:
+    modes = spark.createDataFrame([("fast", 1.0, 0.1), ("calm", 0.2, 1.0)], "mode string, wt double, wc double")
+    scored = attributed(spark, d)[1].crossJoin(F.broadcast(modes)).withColumn("score", F.round(F.col("wt") * F.col("minutes") + F.col("wc") * F.col("worst"), 6))
+    return scored.withColumn("mode_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank"))).select("mode", "request_id", "rank", "mode_rank")
+
+
+KEYS = f"{PATHS}, ek as (select request_id, rank, list_transform(generate_series(1, len(path) - 1), lambda i: path[i] || '>' || path[i + 1]) as ks from paths)"
+
+
+@query("R15_overlap", f"with recursive {KEYS} select a.request_id, a.rank, round(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))), 9) as overlap from ek a join ek b on a.request_id = b.request_id and b.rank = 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    k = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
+    best = k.where("rank = 1").select("request_id", F.col("ks").alias("best"))
+    return k.join(best, "request_id").select("request_id", "rank", F.round(N.jaccard("ks", "best"), 9).alias("overlap"))
+
+
+R16 = f"""with recursive {KEYS}, j as (select a.request_id, a.rank as x, b.rank as y, len(list_intersect(a.ks, b.ks)) > 0.65 * len(list_distinct(list_concat(a.ks, b.ks))) as near from ek a join ek b on a.request_id = b.request_id and b.rank < a.rank),
+k1 as (select request_id, 1 as rank from ek where rank = 1), k2 as (select request_id, 2 as rank from ek where rank = 2 and not exists (select 1 from j where j.request_id = ek.request_id and x = 2 and y = 1 and near)),
+k3 as (select request_id, 3 as rank from ek where rank = 3 and not exists (select 1 from j where j.request_id = ek.request_id and x = 3 and near and (y = 1 or exists (select 1 from k2 where k2.request_id = ek.request_id))))
+select * from k1 union all select * from k2 union all select * from k3"""
+
+
+@query("R16_diverse", R16)
+def _(spark: Spark, d: str) -> DataFrame:
+    k = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
+    return N.diverse(k, "request_id", ["rank"], "ks", 0.65, 4).select("request_id", "rank")
+
+
+@query("R17_alternatives", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), g as (select a.*, rank > 1 and minutes - fm <= 15 and fw - worst >= 5 as ok from attr a join f using (request_id)) select request_id, rank, ok as is_alternative, bool_or(ok) over (partition by request_id) as has_alternative from g")
+def _(spark: Spark, d: str) -> DataFrame:
+    a = attributed(spark, d)[1]
+    f = a.where("rank = 1").select("request_id", F.col("minutes").alias("fm"), F.col("worst").alias("fw"))
+    g = a.join(f, "request_id").withColumn("is_alternative", (F.col("rank") > 1) & (F.col("minutes") - F.col("fm") <= 15) & (F.col("fw") - F.col("worst") >= 5))
+    return g.select("request_id", "rank", "is_alternative", F.bool_or("is_alternative").over(W.partitionBy("request_id")).alias("has_alternative"))
+
+
+@query("R19_request_summary", f"with recursive {ATTR} select request_id, count(*) as n_routes, min(minutes) as least_minutes, min(worst) as least_worst, max(transfers) as most_transfers from attr group by 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    return attributed(spark, d)[1].groupBy("request_id").agg(F.count("*").alias("n_routes"), F.min("minutes").alias("least_minutes"), F.min("worst").alias("least_worst"), F.max("transfers").alias("most_transfers"))
