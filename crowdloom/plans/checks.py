@@ -1 +1,79 @@
-"""Queries, to come."""
+"""Data-quality jobs on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from .marts import SPLIT, split_cells, wide, WIDE
+from .registry import query
+from .views import CONG, RIDES, congestion, rides, table
+
+Spark = SparkSession
+
+
+@query("D13_file_profile", f"with {CONG} select snapshot_date, count(*) as n, count(distinct station_code) as stations, round(avg(cast(coalesce(congestion_rate >= 100, false) as integer)) * 100, 9) as share_100, round(avg(cast(coalesce(congestion_rate >= 130, false) as integer)) * 100, 9) as share_130, max(congestion_rate) as max_rate, round(quantile_cont(congestion_rate, 0.99), 9) as p99 from cong group by 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    r = lambda c, n: F.round(c, 9).alias(n)
+    return congestion(spark, d).groupBy("snapshot_date").agg(
+        F.count("*").alias("n"), F.count_distinct("station_code").alias("stations"), r(Q.share_at_least("congestion_rate", 100), "share_100"), r(Q.share_at_least("congestion_rate", 130), "share_130"),
+        F.max("congestion_rate").alias("max_rate"), r(F.percentile("congestion_rate", 0.99), "p99"),
+    )
+
+
+@query("D14_alias_candidates", "with a as (select split_part(p_name, ' ', 2) as key, p_name, p_partkey from part) select key, string_agg(distinct p_name, '|' order by p_name) as names, count(distinct p_name) as n_names, min(p_partkey) as first_seen, max(p_partkey) as last_seen, count(*) as n from a group by 1 having count(distinct p_name) > 1")
+def _(spark: Spark, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("key"), "p_name", "p_partkey")
+    out = p.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("names"), F.count_distinct("p_name").alias("n_names"), F.min("p_partkey").alias("first_seen"), F.max("p_partkey").alias("last_seen"), F.count("*").alias("n"))
+    return out.where("n_names > 1")
+
+
+D18 = f"with {WIDE}, r as (select l_suppkey, " + " + ".join(f"coalesce(h{k}, 0)" for k in range(1, 8)) + " as s, " + " + ".join(f"cast(h{k} is null as integer)" for k in range(1, 8)) + " as nulls from wide), t as (select l_suppkey, sum(l_quantity) as total from lineitem group by 1) select count(*) filter (s <> total) as mismatch, cast(sum(nulls) as bigint) as null_cells, count(*) as suppliers from r join t using (l_suppkey)"
+
+
+@query("D18_row_totals", D18)
+def _(spark: Spark, d: str) -> DataFrame:
+    cells = [F.col(f"h{k}") for k in range(1, 8)]
+    total = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total"))
+    s, nulls = F.coalesce(cells[0], F.lit(0.0)), cells[0].isNull().cast("int")
+    for c in cells[1:]:
+        s, nulls = s + F.coalesce(c, F.lit(0.0)), nulls + c.isNull().cast("int")
+    return wide(spark, d).withColumn("s", s).withColumn("nulls", nulls).join(total, "l_suppkey").agg(F.count(F.when(F.col("s") != F.col("total"), 1)).alias("mismatch"), F.sum("nulls").alias("null_cells"), F.count("*").alias("suppliers"))
+
+
+@query("D18_missing_months", f"with {RIDES}, m as (select distinct date_trunc('month', date) as m, station_code from rides), c as (select cast(unnest(generate_series(min(m), max(m), interval 1 month)) as date) as ym from m), s as (select distinct station_code from m) select ym, s.station_code from c cross join s where not exists (select 1 from m where m.m = c.ym and m.station_code = s.station_code)")
+def _(spark: Spark, d: str) -> DataFrame:
+    m = rides(spark, d).select(F.trunc("date", "MM").alias("ym"), "station_code").distinct()
+    months = m.agg(F.min("ym").alias("a"), F.max("ym").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("ym"))
+    return m.select("station_code").distinct().crossJoin(F.broadcast(months)).join(m, ["ym", "station_code"], "left_anti").select("ym", "station_code")
+
+
+Q1 = " union all ".join(
+    f"select 'lineitem' as \"table\", '{c}' as \"column\", '{k}' as \"check\", count(*) filter ({w}) as failures from lineitem"
+    for c, k, w in (("l_quantity", "positive", "l_quantity <= 0"), ("l_tax", "positive", "l_tax <= 0"), ("l_linestatus", "in", "l_linestatus not in ('O')"), ("l_discount", "between", "l_discount not between 0 and 0.05"), ("l_shipdate", "not_null", "l_shipdate is null"))
+) + " union all select 'lineitem', 'l_orderkey', 'unique', cast(coalesce(sum(c), 0) as bigint) from (select count(*) as c from lineitem group by l_orderkey having count(*) > 1)"
+
+
+@query("Q1_column_rules", Q1)
+def _(spark: Spark, d: str) -> DataFrame:
+    rules = [("l_quantity", "positive", None), ("l_tax", "positive", None), ("l_linestatus", "in", ("O",)), ("l_discount", "between", (0, 0.05)), ("l_shipdate", "not_null", None), ("l_orderkey", "unique", None)]
+    return Q.validate(table(spark, d, "lineitem"), "lineitem", rules)
+
+
+@query("Q2_cross_checks", f"with {CONG}, s as (select *, {SPLIT} as split from cong) select (select count(*) from (select snapshot_date from s group by 1 having count(distinct split) > 1)) as split_not_exclusive, (select count(distinct l_orderkey) from lineitem where l_orderkey not in (select o_orderkey from orders)) as orders_missing, (select count(*) from s where congestion_rate is null and split = 'train') as null_train")
+def _(spark: Spark, d: str) -> DataFrame:
+    s = split_cells(spark, d)
+    a = s.groupBy("snapshot_date").agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count("*").alias("split_not_exclusive"))
+    lost = Q.orphans(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders"), "l_orderkey", "o_orderkey").agg(F.count_distinct("l_orderkey").alias("orders_missing"))
+    c = s.agg(F.count(F.when(F.col("congestion_rate").isNull() & (F.col("split") == "train"), 1)).alias("null_train"))
+    return a.crossJoin(lost).crossJoin(c)
+
+
+@query("Q3_reference_checks", "select 'orphan_part' as problem, count(*) as n from lineitem where l_partkey not in (select p_partkey from part) union all select 'size_range', count(*) from part where p_size not between 1 and 45 union all select 'repeated_name', cast(coalesce(sum(c), 0) as bigint) from (select count(*) as c from part group by p_brand, p_name having count(*) > 1)")
+def _(spark: Spark, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    lost = Q.orphans(table(spark, d, "lineitem").select("l_partkey"), p, "l_partkey", "p_partkey").agg(F.lit("orphan_part").alias("problem"), F.count("*").alias("n"))
+    sizes = p.where(~F.col("p_size").between(1, 45)).agg(F.lit("size_range").alias("problem"), F.count("*").alias("n"))
+    names = p.groupBy("p_brand", "p_name").count().where("count > 1").agg(F.lit("repeated_name").alias("problem"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    return lost.unionByName(sizes).unionByName(names)
