@@ -89,7 +89,7 @@ class WordTokenizer:
         return np.delete(ids, marks), sizes
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        if sum(len(x[0]) for x in self.levels) + len(keys) > self.max_kept:
+        if sum(len(x[0]) for x in self.levels) + len(keys) > self.max_kept or self._find(keys)[2].any():
             self._clear()
         ids, sizes = self._encode(chunks)
         while self.used + len(ids) > len(self.flat):
@@ -133,8 +133,8 @@ class WordTokenizer:
             new = first[~known]
             self._learn(distinct[~known], [buf[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             begin, n, known = self._find(distinct)
-            if not known.all():  # the store was started anew meanwhile
-                self._learn(distinct[~known], [buf[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[~known]])
+            if not known.all():  # the store was started anew meanwhile: all of this slice again
+                self._learn(distinct, [buf[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
                 begin, n, known = self._find(distinct)
         begin, n = begin[which], n[which]
         stop = np.cumsum(n)
