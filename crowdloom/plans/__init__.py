@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("marts", "texts", "impact", "evaluation", "network", "checks")
+MODULES = ("marts", "texts", "impact", "evaluation", "network", "checks", "journeys")
 for _m in MODULES:
     importlib.import_module(f".{_m}", __name__)
 
