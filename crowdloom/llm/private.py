@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import read_documents, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -232,9 +232,11 @@ def labelled_windows(texts: list[str], most: int = 4_000) -> tuple[list, list]:
 
 
 def fit(docs: DataFrame, max_rows: int = 3_000) -> Field | None:
-    """Trains on windows of at most max_rows documents with a digit or @ in them."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text").orderBy(F.xxhash64("text"), "text").limit(max_rows)
-    seqs, labels = labelled_windows([r[0] for r in some.collect()])
+    """Trains on windows of at most max_rows documents with a digit or @ in them: those
+    whose hash is below nine tenths of max_rows over their number, so tasks send few."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.pmod(F.xxhash64(row_key("doc_id", "text"), F.lit(6)), F.lit(1 << 40)).alias("draw"))
+    below = min(1.0, 0.9 * max_rows / max(1, some.count())) * (1 << 40)
+    seqs, labels = labelled_windows([r[0] for r in some.where(F.col("draw") < int(below)).select("text").limit(max_rows).collect()])
     return train(seqs, labels) if seqs else None
 
 

@@ -28,7 +28,7 @@ def read_groups(spark: SparkSession, groups: dict[str, str], **options: str) ->
 
 def name_version(file: Column) -> Column:
     """The date in a file name as yyyymmdd; six digits are yymmdd of this century."""
-    eight, six = F.regexp_extract(file, r"(?<!\d)(20\d{6})(?!\d)", 1), F.regexp_extract(file, r"(?<!\d)(\d{6})(?!\d)", 1)
+    eight, six = F.regexp_extract(file, r"(?<!\d)((?:19|20)\d{6})(?!\d)", 1), F.regexp_extract(file, r"(?<!\d)(\d{6})(?!\d)", 1)
     return F.when(eight != "", eight).when(six != "", F.when(six.startswith("20"), F.concat(six, F.lit("01"))).otherwise(F.concat(F.lit("20"), six)))
 
 
