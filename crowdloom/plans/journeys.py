@@ -176,7 +176,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return J.transfer_waits(parts, waits).withColumn("wait", F.round("wait", 6))
 
 
-@query("R13_structured_segments", f"{SEG} select request_id, rank, segment, line, arg_min(from_node, pos) as from_node, arg_max(to_node, pos) as to_node, count(*) as stops, sum(minutes) + 0.5 * greatest(count(*) - 1, 0) as minutes from g group by 1, 2, 3, 4")
+@query("R13_structured_segments", f"{SEG} select request_id, rank, segment, line, arg_min(from_node, pos) as from_node, arg_max(to_node, pos) as to_node, count(*) as stops, cast(sum(minutes) + 0.5 * greatest(count(*) - 1, 0) as double) as minutes from g group by 1, 2, 3, 4")
 def _(spark: Spark, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 

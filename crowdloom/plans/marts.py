@@ -63,7 +63,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("status", F.try_element_at(codes, F.col("o_orderstatus")))
 
 
-@query("B5_operating_flag", f"with {CONG} select line_id, sum(case when congestion_rate is null then 0 else 1 end) as operating, count(*) as cells from cong group by 1")
+@query("B5_operating_flag", f"with {CONG} select line_id, cast(sum(case when congestion_rate is null then 0 else 1 end) as bigint) as operating, count(*) as cells from cong group by 1")
 def _(spark: Spark, d: str) -> DataFrame:
     return congestion(spark, d).withColumn("is_operating", F.col("congestion_rate").isNotNull().cast("int")).groupBy("line_id").agg(F.sum("is_operating").alias("operating"), F.count("*").alias("cells"))
 
@@ -127,7 +127,7 @@ def _(spark: Spark, d: str) -> DataFrame:
 
 C4 = f"""with {CONG}, s as (select *, {SPLIT} as split from cong), g as (select line_id, station_code, direction, quantile_cont(congestion_rate, 0.95) as t from s where split = 'train' and congestion_rate is not null group by 1, 2, 3),
 a as (select quantile_cont(congestion_rate, 0.95) as t from s where split = 'train' and congestion_rate is not null)
-select s.line_id, s.station_code, s.direction, split, round(coalesce(g.t, a.t), 9) as threshold, count(*) as cells, sum(cast(congestion_rate is not null as integer)) as operating, sum(cast(congestion_rate > coalesce(g.t, a.t) as integer)) as high, sum(cast(congestion_rate >= 100 as integer)) as extreme,
+select s.line_id, s.station_code, s.direction, split, round(coalesce(g.t, a.t), 9) as threshold, count(*) as cells, cast(sum(cast(congestion_rate is not null as integer)) as bigint) as operating, cast(sum(cast(congestion_rate > coalesce(g.t, a.t) as integer)) as bigint) as high, cast(sum(cast(congestion_rate >= 100 as integer)) as bigint) as extreme,
  round(sum(1 + 0.5 * greatest(congestion_rate - 80, 0) / 100), 6) as perceived from s cross join a left join g on g.line_id = s.line_id and g.station_code = s.station_code and g.direction = s.direction group by all"""
 
 
@@ -265,7 +265,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return bins.withColumn("rn", rank).where("rn = 1").select(*KEYS, F.col("time_bin_index").alias("peak_bin"), "bin_mean")
 
 
-E3 = "with v as (select p_name, sum(p_size) filter (p_size > 3) as volume from part group by 1), r as (select volume, (rank() over (order by volume) + (count(*) over (partition by volume) - 1) / 2.0) / count(*) over () as pct from v where volume is not null) select v.p_name, v.volume, round(3 * coalesce((select max(pct) from r where r.volume = v.volume), 0), 9) as penalty_min from v"
+E3 = "with v as (select p_name, cast(sum(p_size) filter (p_size > 3) as bigint) as volume from part group by 1), r as (select volume, (rank() over (order by volume) + (count(*) over (partition by volume) - 1) / 2.0) / count(*) over () as pct from v where volume is not null) select v.p_name, v.volume, round(3 * coalesce((select max(pct) from r where r.volume = v.volume), 0), 9) as penalty_min from v"
 
 
 @query("E3_volume_penalty", E3)

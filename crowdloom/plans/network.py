@@ -41,7 +41,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return N.transfer_edges(sequence(spark, d), node(), 4)
 
 
-@query("R1_edge_table", f"with {ALL} select kind, count(*) as n, sum(minutes) as minutes, count(distinct from_node) as nodes from edge group by 1")
+@query("R1_edge_table", f"with {ALL} select kind, count(*) as n, cast(sum(minutes) as bigint) as minutes, count(distinct from_node) as nodes from edge group by 1")
 def _(spark: Spark, d: str) -> DataFrame:
     return all_edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.count_distinct("from_node").alias("nodes"))
 
@@ -109,7 +109,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return paths(spark, d)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
 
 
-@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, sum(minutes) filter (kind = 'ride') as running, coalesce(sum(minutes) filter (kind = 'transfer'), 0) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2")
+@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, cast(sum(minutes) filter (kind = 'ride') as bigint) as running, cast(coalesce(sum(minutes) filter (kind = 'transfer'), 0) as bigint) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2")
 def _(spark: Spark, d: str) -> DataFrame:
     p, edges = paths(spark, d)
     ride, walk = F.col("kind") == "ride", F.col("kind") == "transfer"
@@ -119,7 +119,7 @@ def _(spark: Spark, d: str) -> DataFrame:
 
 
 E8 = f"""with recursive {STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else split_part(from_node, '_', 1) end as line from full_steps), n as (select *, case when lag(line) over w is null or lag(line) over w <> line then 1 else 0 end as is_new from l window w as (partition by request_id, rank order by pos)),
-g as (select *, sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as segment from n) select request_id, rank, segment, line, count(*) as n_edges, sum(minutes) as minutes, greatest(count(*) - 1, 0) as dwell_stops from g group by 1, 2, 3, 4"""
+g as (select *, cast(sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as bigint) as segment from n) select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, greatest(count(*) - 1, 0) as dwell_stops from g group by 1, 2, 3, 4"""
 
 
 @query("E8_segments", E8)
@@ -128,7 +128,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return N.segments(N.path_edges(p, edges), F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
 
 
-ATTR = f"{STEPS}, attr as (select request_id, rank, sum(minutes) as minutes, count(*) filter (kind = 'transfer') as transfers, max(ascii(substr(to_node, -1)) * 3 % 100) as worst from full_steps group by 1, 2)"
+ATTR = f"{STEPS}, attr as (select request_id, rank, cast(sum(minutes) as bigint) as minutes, count(*) filter (kind = 'transfer') as transfers, max(ascii(substr(to_node, -1)) * 3 % 100) as worst from full_steps group by 1, 2)"
 
 
 def attributed(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
