@@ -128,7 +128,7 @@ def _(spark: Spark, d: str) -> DataFrame:
 C4 = f"""with {CONG}, s as (select *, {SPLIT} as split from cong), g as (select line_id, station_code, direction, quantile_cont(congestion_rate, 0.95) as t from s where split = 'train' and congestion_rate is not null group by 1, 2, 3),
 a as (select quantile_cont(congestion_rate, 0.95) as t from s where split = 'train' and congestion_rate is not null)
 select s.line_id, s.station_code, s.direction, split, round(coalesce(g.t, a.t), 9) as threshold, count(*) as cells, cast(sum(cast(congestion_rate is not null as integer)) as bigint) as operating, cast(sum(cast(congestion_rate > coalesce(g.t, a.t) as integer)) as bigint) as high, cast(sum(cast(congestion_rate >= 100 as integer)) as bigint) as extreme,
- round(sum(1 + 0.5 * greatest(congestion_rate - 80, 0) / 100), 6) as perceived from s cross join a left join g on g.line_id = s.line_id and g.station_code = s.station_code and g.direction = s.direction group by all"""
+ round(sum(case when congestion_rate is not null then 1 + 0.5 * greatest(congestion_rate - 80, 0) / 100 end), 6) as perceived from s cross join a left join g on g.line_id = s.line_id and g.station_code = s.station_code and g.direction = s.direction group by all"""
 
 
 @query("C4_cell_mart", C4)
