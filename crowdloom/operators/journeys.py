@@ -91,3 +91,26 @@ def tips(requests: DataFrame, rows: DataFrame) -> DataFrame:
     j = j.withColumn("a", F.coalesce(F.contains("depart_toward", "next_station"), F.lit(False)).cast("int")).withColumn("keep", F.col("a") == F.max("a").over(w)).where("keep")
     j = j.withColumn("b", (~F.coalesce(F.contains("arrive_toward", "previous_station"), F.lit(False))).cast("int")).withColumn("keep", F.col("b") == F.max("b").over(w)).where("keep")
     return j.withColumn("rn", F.row_number().over(w.orderBy("minutes", "car"))).where("rn = 1").select("request_id", "car", "minutes")
+
+
+def station_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests between stations as requests between nodes: every node of either end is
+    opened at no cost by a virtual node (O>station, D>station). Requests of unknown or equal
+    stations are left out. Returns the node requests and the edges with the virtual ones."""
+    known = nodes.select("station_name").distinct()
+    good = requests.where("origin <> destination").join(known.toDF("origin"), "origin", "left_semi").join(known.toDF("destination"), "destination", "left_semi")
+    out = nodes.select(F.concat(F.lit("O>"), "station_name").alias("from_node"), F.col("node").alias("to_node"), F.lit(0).alias("minutes"))
+    into = nodes.select(F.col("node").alias("from_node"), F.concat(F.lit("D>"), "station_name").alias("to_node"), F.lit(0).alias("minutes"))
+    asked = good.select("request_id", F.concat(F.lit("O>"), "origin").alias("origin"), F.concat(F.lit("D>"), "destination").alias("destination"))
+    return asked, edges.select("from_node", "to_node", "minutes").unionByName(out).unionByName(into)
+
+
+def coordinates(paths: DataFrame, points: DataFrame, station: Column) -> DataFrame:
+    """Each path's points in order: the node's own, else its station's least node's, else
+    none; equal neighbours collapse. points: node, station, x, y."""
+    own = points.select("node", F.struct("x", "y").alias("own"))
+    any_of = points.groupBy("station").agg(F.min_by(F.struct("x", "y"), "node").alias("fallback"))
+    long = paths.select(*ROUTE, F.posexplode("path").alias("pos", "node")).withColumn("station", station)
+    placed = long.join(own, "node", "left").join(any_of, "station", "left").withColumn("p", F.coalesce("own", "fallback")).where("p is not null")
+    order = W.partitionBy(*ROUTE).orderBy("pos")
+    return placed.withColumn("before", F.lag("p").over(order)).where("before is null or before <> p").select(*ROUTE, "pos", "p.x", "p.y")

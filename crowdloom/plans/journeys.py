@@ -12,7 +12,7 @@ from ..operators import network as N
 from ..sources import files
 from .impact import BASE, KEYS, STATS, daily
 from .marts import D8, edge_lookup
-from .network import ALL, ATTR, E8, STEPS, attributed, node, paths
+from .network import ALL, ATTR, E8, PATHS, STEPS, all_edges, attributed, node, paths
 from .registry import query
 from .views import events, sequence, stations, table
 
@@ -247,3 +247,34 @@ def _(spark: Spark, d: str) -> DataFrame:
     a = r.join(back, ["line_id", "from_node", "to_node"], "left").where("back is null or back <> minutes").agg(F.count("*").alias("asymmetric"))
     lost = s.select(node().alias("from_node")).distinct().join(r.select("from_node").distinct(), "from_node", "left_anti").agg(F.count("*").alias("isolated"))
     return a.crossJoin(lost)
+
+
+R7 = f"""with recursive {ALL}, rq as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by seq) as d from seq) where seq % 50 = 0 and d is not null and d <> station_name),
+walk as (select request_id, d, node, [node] as path, 0 as minutes from rq join nodes on nodes.station_name = rq.o
+ union all select w.request_id, w.d, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes from walk w join edge e on e.from_node = w.node where not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= 6),
+a as (select request_id, array_to_string(path, '>') as route, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where regexp_replace(node, '^[^_]*_', '') = d) select request_id, route, cast(minutes as integer) as minutes, rank from a where rank <= 2"""
+
+
+@query("R7_station_requests", R7)
+def _(spark: Spark, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    s = sequence(spark, d)
+    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("seq"))).where("seq % 50 = 0 and destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
+    nodes = s.select(node().alias("node"), "station_name").distinct()
+    inner, edges = J.station_requests(asked, nodes, all_edges(spark, d))
+    found = N.k_paths(inner, N._written(edges), 2, 6, 1)
+    return found.select("request_id", F.array_join(F.slice("path", 2, F.size("path") - 2), ">").alias("route"), "minutes", "rank")
+
+
+R24 = f"""with recursive {PATHS}, pt as (select node, station_name, seq % 100 as x, seq // 100 as y from (select line_id || '_' || station_name as node, station_name, min(seq) as seq from seq group by 1, 2) where seq % 3 <> 0),
+fb as (select station_name, arg_min(x, node) as x, arg_min(y, node) as y from pt group by 1), lg as (select request_id, rank, unnest(path) as node, unnest(generate_series(0, len(path) - 1)) as pos from paths),
+pl as (select request_id, rank, pos, coalesce(pt.x, fb.x) as x, coalesce(pt.y, fb.y) as y from lg left join pt using (node) left join fb on fb.station_name = regexp_replace(lg.node, '^[^_]*_', '') where coalesce(pt.x, fb.x) is not null),
+q as (select *, lag(x) over w as bx, lag(y) over w as b_y from pl window w as (partition by request_id, rank order by pos)) select request_id, rank, pos, x, y from q where bx is null or bx <> x or b_y <> y"""
+
+
+@query("R24_coordinates", R24)
+def _(spark: Spark, d: str) -> DataFrame:
+    points = sequence(spark, d).groupBy(node().alias("node"), F.col("station_name").alias("station")).agg(F.min("seq").alias("seq")).where("seq % 3 <> 0")
+    placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
+    return J.coordinates(paths(spark, d)[0], placed, S.node_station(F.col("node")))
