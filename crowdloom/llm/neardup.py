@@ -149,6 +149,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+#: Lists of row keys are broadcast up to so many, 8 bytes each; beyond, texts are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def key_list(keys: DataFrame) -> DataFrame:
+    keys = settle(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 #: A block of a bucket has about so many members, and so many shingles, at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 2_000_000
 
@@ -237,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     shared = settle(slots.join(buckets, "slot").select("slot", "rep", "n", "pivot"), "shared-slots")
 
     tried = settle(shared.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    wanted = shared.select(F.col("rep").alias("rid")).distinct()
+    wanted = key_list(shared.select(F.col("rep").alias("rid")).distinct())
     texts = settle(docs.withColumn("rid", row_key("doc_id", "text")).join(wanted, "rid", "left_semi").dropDuplicates(["rid"]).select("rid", "text"), "texts")
     links = settle(confirm(tried, texts, width, percent), "links")
     roots = connected_components(links, "a", "b")
@@ -260,16 +269,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def drop_near_duplicates(docs: DataFrame, **terms: int) -> DataFrame:
-    """One row of each group, and every row without words, in docs' columns. Keys that
-    several rows share are told apart by a number given within the key."""
-    groups = near_duplicates(docs, **terms)
-    keep = settle(groups.where("rid = lead_rid or n_shingles = 0").groupBy("rid").agg(F.max(F.col("n_shingles") > 0).alias("once"), F.count("*").alias("rows")), "kept-keys")
+    """One row of each group, and every row without words, in docs' columns. Of rows alike
+    in id and text one stays."""
+    groups = settle(near_duplicates(docs, **terms).where("n_shingles > 0").select("rid", "lead_rid"), "groups")
+    gone = groups.where("rid <> lead_rid").select("rid").distinct()
+    alike = groups.where("rid = lead_rid").groupBy("rid").count().where("count > 1").select("rid")
     names = [f"c{k}" for k in range(len(docs.columns))]
     key = row_key(*(names[docs.columns.index(c)] for c in ("doc_id", "text")))
-    kept = docs.toDF(*names).withColumn("rid", key).join(keep, "rid")
-    single = kept.where("not once or rows = 1")
-    several = kept.where("once and rows > 1").dropDuplicates(["rid"])
-    return single.union(several).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    kept = docs.toDF(*names).withColumn("rid", key).join(key_list(gone), "rid", "left_anti")
+    alike = key_list(alike)
+    several = kept.join(alike, "rid", "left_semi").dropDuplicates(["rid"])
+    return kept.join(alike, "rid", "left_anti").union(several).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op5_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
