@@ -215,7 +215,7 @@ def train(seqs: list[list[list[int]]], labels: list[list[int]], steps: int = 60,
     return Field(at[:n_feat].copy(), at[n_feat:].copy())
 
 
-def labelled_windows(texts: list[str], most: int = 4_000) -> tuple[list, list]:
+def labelled_windows(texts: list[str], most: int = 1_500) -> tuple[list, list]:
     seqs, labels = [], []
     for text in texts:
         spans = base_spans(text)
