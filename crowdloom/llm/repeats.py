@@ -48,9 +48,9 @@ def _least_over(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def runs_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes], length: int, gram: int, anchors_only: bool = False) -> tuple[np.ndarray, ...]:
     """For each run: text number, first window, number of windows, anchor, run hash, and
-    whether the anchor may stand at several places in the run."""
+    whether the anchor may stand at several places in the run. anchors_only: no run hash."""
     width = length - gram + 1
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -79,7 +79,7 @@ def runs_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, n = np.repeat(start, parts) + k * width, np.minimum(np.repeat(n, parts) - k * width, width)
     text = np.searchsorted(firsts + sizes, start, "right")
-    whole = mixed(PrefixHash(buf, SECOND).hash(start, start + n + length - 1) + n.astype(np.uint64))
+    whole = anchor[:0] if anchors_only else mixed(PrefixHash(buf, SECOND).hash(start, start + n + length - 1) + n.astype(np.uint64))
     return text, start - firsts[text], n, anchor[start].view(np.int64), whole.view(np.int64), np.isin(anchor[start], several)
 
 
@@ -88,7 +88,7 @@ def _runs(docs: DataFrame, length: int, gram: int, anchors_only: bool) -> DataFr
         for batch in batches:
             at = 0
             for texts in text_slices(batch.column(1), 1 << 20):
-                text, start, n, anchor, whole, again = runs_of(texts, length, gram)
+                text, start, n, anchor, whole, again = runs_of(texts, length, gram, anchors_only)
                 if anchors_only:  # an anchor with several places counts as several
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, anchor[again]]))], ["anchor"])
                 else:
@@ -102,12 +102,17 @@ def _runs(docs: DataFrame, length: int, gram: int, anchors_only: bool) -> DataFr
 
 def _extension(h: PrefixHash, p: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
     """Common extension of the suffixes at p and q, at most length: binary search on hashes."""
-    low, high = np.zeros(len(p), np.int64), np.full(len(p), length, np.int64)
+    whole = h.hash(p, p + length) == h.hash(q, q + length)
+    out = np.full(len(p), length, np.int64)
+    k = np.flatnonzero(~whole)
+    p, q = p[k], q[k]
+    low, high = np.zeros(len(k), np.int64), np.full(len(k), length - 1, np.int64)
     while (low < high).any():
         mid = (low + high + 1) // 2
         same = h.hash(p, p + mid) == h.hash(q, q + mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    out[k] = low
+    return out
 
 
 def suffix_order(buf: np.ndarray, h: PrefixHash, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
