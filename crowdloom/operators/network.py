@@ -47,13 +47,14 @@ def transfer_edges(sequence: DataFrame, node: Column, minutes: int) -> DataFrame
     return nodes.join(other, "station_name").where("line_id <> to_line").select("station_name", F.col("node").alias("from_node"), F.col("to_node"), F.lit(minutes).alias("minutes"))
 
 
-def distances(seeds: DataFrame, edges: DataFrame, horizon: int) -> DataFrame:
-    """Least minutes from each source to each node within the horizon. seeds: source, node,
-    cost. Only nodes improved in a round are extended in the next."""
+def distances(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
+    """Least minutes from each source to each node within the horizon, or to all nodes that
+    can be reached where it is None. seeds: source, node, cost. Only nodes improved in a round are extended in the next."""
     step = small(edges.select(F.col("from_node").alias("node"), "to_node", "minutes"))
     known = _written(seeds.groupBy("source", "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
     while True:
-        ahead = known.where("fresh").join(step, "node").select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("minutes")).alias("cost")).where(F.col("cost") <= horizon)
+        ahead = known.where("fresh").join(step, "node").select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("minutes")).alias("cost"))
+        ahead = ahead if horizon is None else ahead.where(F.col("cost") <= horizon)
         both = known.select("source", "node", "cost", F.lit(0).alias("new")).unionByName(ahead.withColumn("new", F.lit(1)))
         best = both.groupBy("source", "node").agg(F.min(F.struct("cost", "new")).alias("b"))
         known = _written(best.select("source", "node", "b.cost", (F.col("b.new") == 1).alias("fresh")))
@@ -76,32 +77,46 @@ def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int, slack: int) -> DataFrame:
+def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
     """The k cheapest loop-free paths of each request (request_id, origin, destination),
     by (minutes, path). Partial paths stay while minutes so far + least minutes to go are
-    within the request's bound, a true lower bound, so nothing is lost; the bound is widened
-    for requests with fewer than k paths until it reaches the horizon."""
+    within the request's bound, a true lower bound, so nothing is lost. For requests with
+    fewer than k paths the bound is widened until it reaches the horizon; without a horizon
+    it moves by a quarter, or to the least minutes that it cut off, until it cuts off nothing."""
     back = edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "minutes")
     ends = requests.select(F.col("destination").alias("source"), F.col("destination").alias("node"), F.lit(0).alias("cost")).distinct()
     to_go = _written(distances(ends, back, horizon).select(F.col("source").alias("destination"), "node", F.col("cost").alias("to_go")))
     step = small(edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), "minutes"))
-    open_requests = _written(requests.join(to_go.withColumnRenamed("node", "origin"), ["destination", "origin"]).select("request_id", "origin", "destination", F.least(F.col("to_go") + slack, F.lit(horizon)).alias("bound")))
+    held = (lambda bound: bound) if horizon is None else (lambda bound: F.least(bound, F.lit(horizon)))
+    open_requests = _written(requests.join(to_go.withColumnRenamed("node", "origin"), ["destination", "origin"]).select("request_id", "origin", "destination", held(F.col("to_go") + slack).alias("bound")))
     done = None
     while not open_requests.isEmpty():
         live = open_requests.select("request_id", "destination", "bound", F.col("origin").alias("node"), F.array("origin").alias("path"), F.lit(0).alias("minutes_so_far"))
-        found = None
+        found = cut = None
         while not live.isEmpty():
             arrived = live.where("node = destination").select("request_id", "path", F.col("minutes_so_far").alias("minutes"))
             found = arrived if found is None else found.unionByName(arrived)
             longer = live.where("node <> destination").join(step, "node").where(~F.array_contains("path", F.col("next")))
             moved = longer.select("request_id", "destination", "bound", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("minutes_so_far") + F.col("minutes")).alias("minutes_so_far"))
-            live = _written(moved.join(to_go, ["destination", "node"]).where("minutes_so_far + to_go <= bound").select(*moved.columns))
+            if horizon is None:
+                total = F.col("minutes_so_far") + F.col("to_go")
+                over = F.when(total > F.col("bound"), total)
+                tried = _written(moved.join(to_go, ["destination", "node"]).select("request_id", "destination", "bound", "node", F.when(over.isNull(), F.col("path")).alias("path"), "minutes_so_far", over.alias("over")))
+                least = tried.where("over is not null").groupBy("request_id").agg(F.min("over").alias("over"))
+                cut, live = least if cut is None else cut.unionByName(least), tried.where("over is null").select(*moved.columns)
+            else:
+                live = _written(moved.join(to_go, ["destination", "node"]).where("minutes_so_far + to_go <= bound").select(*moved.columns))
         ranked = _written(found.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("minutes", F.array_join("path", ">")))).where(F.col("rank") <= k))
         counts = ranked.groupBy("request_id").agg(F.count("*").alias("n"))
-        state = open_requests.join(counts, "request_id", "left").withColumn("enough", (F.coalesce("n", F.lit(0)) >= k) | (F.col("bound") >= horizon))
+        state = open_requests.join(counts, "request_id", "left")
+        if horizon is None:
+            state = state.join(cut.groupBy("request_id").agg(F.min("over").alias("wider")), "request_id", "left").withColumn("last", F.col("wider").isNull())
+        else:
+            state = state.withColumn("wider", held(F.col("bound") * 2)).withColumn("last", F.col("bound") >= horizon)
+        state = _written(state.withColumn("enough", (F.coalesce("n", F.lit(0)) >= k) | F.col("last")))
         ready = ranked.join(state.where("enough").select("request_id"), "request_id", "left_semi")
         done = ready if done is None else done.unionByName(ready)
-        open_requests = _written(state.where("not enough").select("request_id", "origin", "destination", F.least(F.col("bound") * 2, F.lit(horizon)).alias("bound")))
+        open_requests = _written(state.where("not enough").select("request_id", "origin", "destination", (F.col("wider") if horizon is not None else F.greatest("wider", F.ceil(F.col("bound") * 1.25).cast("int"))).alias("bound")))
     return done if done is not None else requests.limit(0).select("request_id", F.array("origin").alias("path"), F.lit(0).alias("minutes"), F.lit(0).alias("rank"))
 
 

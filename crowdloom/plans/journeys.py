@@ -139,18 +139,18 @@ def _(spark: Spark, d: str) -> DataFrame:
     return out.select("station_code", "date", "direction", F.round("m", 9).alias("pre_ratio"), (F.abs(F.col("m") - 1) <= 0.15).alias("parallel_ok"))
 
 
-def steps(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    p, edges = paths(spark, d)
+def steps(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    p, edges = paths(spark, d, whole)
     return N.path_edges(p, edges), edges
 
 
 TRUNK = "trunk as (select distinct node from nodes where line_id in ('Brand#1', 'Brand#2', 'Brand#3'))"
 
 
-@query("R10_through_pass", f"with recursive {STEPS}, {TRUNK}, n as (select *, lead(to_node) over (partition by request_id, rank order by pos) as nx from full_steps) select request_id, rank, pos, kind = 'transfer' and coalesce(nx in (select node from trunk), false) as is_through from n")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R10_through_pass", f"with recursive {STEPS}, {TRUNK}, n as (select *, lead(to_node) over (partition by request_id, rank order by pos) as nx from full_steps) select request_id, rank, pos, kind = 'transfer' and coalesce(nx in (select node from trunk), false) as is_through from n", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     trunk = sequence(spark, d).where("line_id in ('Brand#1', 'Brand#2', 'Brand#3')").select(node().alias("node")).distinct()
-    return J.through_pass(steps(spark, d)[0], trunk).select("request_id", "rank", "pos", "is_through")
+    return J.through_pass(steps(spark, d, whole)[0], trunk).select("request_id", "rank", "pos", "is_through")
 
 
 RATE = "ascii(substr({0}, -1)) * 3 % 100"
@@ -160,36 +160,36 @@ def rate(column: str) -> F.Column:
     return (F.ascii(F.substr(column, F.lit(-1))) * 3) % 100
 
 
-@query("R11_seat_score", f"with recursive {STEPS}, u as (select from_node, avg({RATE.format('to_node')}) as usual from edge where kind = 'ride' group by 1) select request_id, rank, round(avg(usual - {RATE.format('to_node')}) / 10, 9) as seat_score from full_steps join u using (from_node) where kind = 'ride' group by 1, 2")
-def _(spark: Spark, d: str) -> DataFrame:
-    s, edges = steps(spark, d)
+@query("R11_seat_score", f"with recursive {STEPS}, u as (select from_node, avg({RATE.format('to_node')}) as usual from edge where kind = 'ride' group by 1) select request_id, rank, round(avg(usual - {RATE.format('to_node')}) / 10, 9) as seat_score from full_steps join u using (from_node) where kind = 'ride' group by 1, 2", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    s, edges = steps(spark, d, whole)
     return J.seat_scores(s.withColumn("rate", rate("to_node")), edges.withColumn("rate", rate("to_node")), "rate").withColumn("seat_score", F.round("seat_score", 9))
 
 
 SEG = E8[: E8.rindex(" select request_id, rank, segment")]
 
 
-@query("R12_transfer_wait", f"{SEG}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R12_transfer_wait", f"{SEG}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     waits = table(spark, d, "part").groupBy(F.col("p_brand").alias("line")).agg(F.round(15.0 / F.count("*"), 6).alias("wait"))
-    parts = N.segments(steps(spark, d)[0], F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
+    parts = N.segments(steps(spark, d, whole)[0], F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
     return J.transfer_waits(parts, waits).withColumn("wait", F.round("wait", 6))
 
 
-@query("R13_structured_segments", f"{SEG} select request_id, rank, segment, line, arg_min(from_node, pos) as from_node, arg_max(to_node, pos) as to_node, count(*) as stops, cast(sum(minutes) + 0.5 * greatest(count(*) - 1, 0) as double) as minutes from g group by 1, 2, 3, 4")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R13_structured_segments", f"{SEG} select request_id, rank, segment, line, arg_min(from_node, pos) as from_node, arg_max(to_node, pos) as to_node, count(*) as stops, cast(sum(minutes) + 0.5 * greatest(count(*) - 1, 0) as double) as minutes from g group by 1, 2, 3, 4", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     from pyspark.sql import Window as W
 
     line = F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node")))
-    s = steps(spark, d)[0].withColumn("line", line)
+    s = steps(spark, d, whole)[0].withColumn("line", line)
     w = W.partitionBy("request_id", "rank").orderBy("pos")
     numbered = s.withColumn("new", F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(True)).cast("int")).withColumn("segment", F.sum("new").over(w))
     return numbered.groupBy("request_id", "rank", "segment", "line").agg(F.min_by("from_node", "pos").alias("from_node"), F.max_by("to_node", "pos").alias("to_node"), F.count("*").alias("stops"), (F.sum("minutes") + 0.5 * F.greatest(F.count("*") - 1, F.lit(0))).alias("minutes"))
 
 
-@query("R18_blockers", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), c as (select minutes - fm <= 2 as a, fw - worst >= 5 as b, transfers <= 1 as c from attr join f using (request_id) where rank > 1) select count(*) filter (b and c and not a) as time_loss, count(*) filter (a and c and not b) as worst_drop, count(*) filter (a and b and not c) as transfers from c")
-def _(spark: Spark, d: str) -> DataFrame:
-    a = attributed(spark, d)[1]
+@query("R18_blockers", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), c as (select minutes - fm <= 2 as a, fw - worst >= 5 as b, transfers <= 1 as c from attr join f using (request_id) where rank > 1) select count(*) filter (b and c and not a) as time_loss, count(*) filter (a and c and not b) as worst_drop, count(*) filter (a and b and not c) as transfers from c", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    a = attributed(spark, d, whole)[1]
     f = a.where("rank = 1").select("request_id", F.col("minutes").alias("fm"), F.col("worst").alias("fw"))
     rows = a.join(f, "request_id").where("rank > 1")
     return J.blockers(rows, {"time_loss": F.col("minutes") - F.col("fm") <= 2, "worst_drop": F.col("fw") - F.col("worst") >= 5, "transfers": F.col("transfers") <= 1})
@@ -203,14 +203,14 @@ def bins(spark: Spark, d: str) -> DataFrame:
     return s.groupBy(node().alias("from_node"), "bin").agg(F.max((F.col("seq") * 7 + F.col("bin") * 13) % 100).alias("rate"))
 
 
-@query("R20_departure_alternative", f"with recursive {STEPS}, {LOOK}, b as (select request_id, rank, bin, max(rate) as worst from full_steps join look using (from_node) where abs(bin - 3) <= 2 group by 1, 2, 3), o as (select request_id, rank, arg_min(bin, worst * 10 + bin) as bin, min(worst) as worst, max(worst) filter (bin = 3) as now from b group by 1, 2) select * from o where now - worst >= 10")
-def _(spark: Spark, d: str) -> DataFrame:
-    return J.departure_alternatives(steps(spark, d)[0], bins(spark, d), 3, 2, 10)
+@query("R20_departure_alternative", f"with recursive {STEPS}, {LOOK}, b as (select request_id, rank, bin, max(rate) as worst from full_steps join look using (from_node) where abs(bin - 3) <= 2 group by 1, 2, 3), o as (select request_id, rank, arg_min(bin, worst * 10 + bin) as bin, min(worst) as worst, max(worst) filter (bin = 3) as now from b group by 1, 2) select * from o where now - worst >= 10", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return J.departure_alternatives(steps(spark, d, whole)[0], bins(spark, d), 3, 2, 10)
 
 
-@query("R21_route_profile", f"with recursive {STEPS}, {LOOK}, l as (select from_node, rate from look where bin = 3) select request_id, rank, pos, from_node, rate from full_steps left join l using (from_node)")
-def _(spark: Spark, d: str) -> DataFrame:
-    return steps(spark, d)[0].join(bins(spark, d).where("bin = 3").select("from_node", "rate"), "from_node", "left").select("request_id", "rank", "pos", "from_node", "rate")
+@query("R21_route_profile", f"with recursive {STEPS}, {LOOK}, l as (select from_node, rate from look where bin = 3) select request_id, rank, pos, from_node, rate from full_steps left join l using (from_node)", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return steps(spark, d, whole)[0].join(bins(spark, d).where("bin = 3").select("from_node", "rate"), "from_node", "left").select("request_id", "rank", "pos", "from_node", "rate")
 
 
 
@@ -233,9 +233,9 @@ def _(spark: Spark, d: str) -> DataFrame:
     return o.groupBy("line_id").agg(F.max_by("pos", F.struct("p_size", -F.col("pos"))).cast("long").alias("worst_pos"), F.max("p_size").alias("worst"), F.round(F.avg("p_size"), 9).alias("mean"))
 
 
-@query("Q5_path_violations", f"with recursive {STEPS} select request_id, rank, count(*) filter (kind is null) as missing_edges, count(*) filter (split_part(to_node, '_', 1) = 'Brand#7') as out_of_scope from full_steps group by 1, 2")
-def _(spark: Spark, d: str) -> DataFrame:
-    s = steps(spark, d)[0]
+@query("Q5_path_violations", f"with recursive {STEPS} select request_id, rank, count(*) filter (kind is null) as missing_edges, count(*) filter (split_part(to_node, '_', 1) = 'Brand#7') as out_of_scope from full_steps group by 1, 2", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    s = steps(spark, d, whole)[0]
     return s.groupBy("request_id", "rank").agg(F.count(F.when(F.col("kind").isNull(), 1)).alias("missing_edges"), F.count(F.when(S.node_line(F.col("to_node")) == "Brand#7", 1)).alias("out_of_scope"))
 
 
@@ -255,15 +255,15 @@ walk as (select request_id, d, node, [node] as path, 0 as minutes from rq join n
 a as (select request_id, array_to_string(path, '>') as route, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where regexp_replace(node, '^[^_]*_', '') = d) select request_id, route, cast(minutes as integer) as minutes, rank from a where rank <= 2"""
 
 
-@query("R7_station_requests", R7)
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R7_station_requests", R7, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     from pyspark.sql import Window as W
 
     s = sequence(spark, d)
-    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("seq"))).where("seq % 50 = 0 and destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
+    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("seq"))).where(F.lit(True) if whole else F.expr("seq % 50 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
     nodes = s.select(node().alias("node"), "station_name").distinct()
     inner, edges = J.station_requests(asked, nodes, all_edges(spark, d))
-    found = N.k_paths(inner, N._written(edges), 2, 6, 1)
+    found = N.k_paths(inner, N._written(edges), 2, None if whole else 6, 1)
     return found.select("request_id", F.array_join(F.slice("path", 2, F.size("path") - 2), ">").alias("route"), "minutes", "rank")
 
 
@@ -273,8 +273,8 @@ pl as (select request_id, rank, pos, coalesce(pt.x, fb.x) as x, coalesce(pt.y, f
 q as (select *, lag(x) over w as bx, lag(y) over w as b_y from pl window w as (partition by request_id, rank order by pos)) select request_id, rank, pos, x, y from q where bx is null or bx <> x or b_y <> y"""
 
 
-@query("R24_coordinates", R24)
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R24_coordinates", R24, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     points = sequence(spark, d).groupBy(node().alias("node"), F.col("station_name").alias("station")).agg(F.min("seq").alias("seq")).where("seq % 3 <> 0")
     placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
-    return J.coordinates(paths(spark, d)[0], placed, S.node_station(F.col("node")))
+    return J.coordinates(paths(spark, d, whole)[0], placed, S.node_station(F.col("node")))

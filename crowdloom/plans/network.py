@@ -83,35 +83,35 @@ arrived as (select request_id, path, minutes, row_number() over (partition by re
 paths as (select request_id, array_to_string(path, '>') as route, path, cast(minutes as integer) as minutes, rank from arrived where rank <= {KEEP})"""
 
 
-def requests(spark: Spark, d: str) -> DataFrame:
+def requests(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     order = W.partitionBy("line_id").orderBy("seq")
     s = sequence(spark, d).withColumn("origin", node()).withColumn("destination", F.lead("origin", 3).over(order))
-    return s.where("seq % 20 = 0 and destination is not null and destination <> origin").select(F.col("seq").alias("request_id"), "origin", "destination")
+    return s.where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null and destination <> origin").select(F.col("seq").alias("request_id"), "origin", "destination")
 
 
-def paths(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+def paths(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     edges = N._written(all_edges(spark, d))
-    return N._written(N.k_paths(requests(spark, d), edges.select("from_node", "to_node", "minutes"), KEEP, HORIZON, SLACK)), edges
+    return N._written(N.k_paths(requests(spark, d, whole), edges.select("from_node", "to_node", "minutes"), KEEP, None if whole else HORIZON, SLACK)), edges
 
 
-@query("R6_k_paths", f"with recursive {PATHS} select request_id, route, minutes, rank from paths")
-def _(spark: Spark, d: str) -> DataFrame:
-    return paths(spark, d)[0].select("request_id", F.array_join("path", ">").alias("route"), "minutes", "rank")
+@query("R6_k_paths", f"with recursive {PATHS} select request_id, route, minutes, rank from paths", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return paths(spark, d, whole)[0].select("request_id", F.array_join("path", ">").alias("route"), "minutes", "rank")
 
 
 STEPS = f"{PATHS}, ix as (select request_id, rank, path, unnest(generate_series(1, len(path) - 1)) as pos from paths), steps as (select ix.request_id, ix.rank, pos - 1 as pos, path[pos] as from_node, path[pos + 1] as to_node from ix), full_steps as (select s.*, e.minutes, e.kind from steps s left join edge e using (from_node, to_node))"
 
 
-@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, regexp_replace(unnest(path), '^[^_]*_', '') as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, regexp_replace(unnest(path), '^[^_]*_', '') as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     names = F.transform("path", S.node_station)
     kept = F.filter(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when((i == 1) | (F.element_at("names", i) != F.element_at("names", F.greatest(i - 1, F.lit(1)))), F.element_at("names", i))), lambda x: x.isNotNull())
-    return paths(spark, d)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
+    return paths(spark, d, whole)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
 
 
-@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, cast(sum(minutes) filter (kind = 'ride') as bigint) as running, cast(coalesce(sum(minutes) filter (kind = 'transfer'), 0) as bigint) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2")
-def _(spark: Spark, d: str) -> DataFrame:
-    p, edges = paths(spark, d)
+@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, cast(sum(minutes) filter (kind = 'ride') as bigint) as running, cast(coalesce(sum(minutes) filter (kind = 'transfer'), 0) as bigint) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    p, edges = paths(spark, d, whole)
     ride, walk = F.col("kind") == "ride", F.col("kind") == "transfer"
     return N.path_edges(p, edges).groupBy("request_id", "rank").agg(
         F.sum(F.when(ride, F.col("minutes"))).alias("running"), F.coalesce(F.sum(F.when(walk, F.col("minutes"))), F.lit(0)).alias("walking"), F.count(F.when(walk, 1)).alias("transfers"), F.count("*").alias("n_edges")
@@ -122,46 +122,46 @@ E8 = f"""with recursive {STEPS}, l as (select *, case when kind = 'transfer' the
 g as (select *, cast(sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as bigint) as segment from n) select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, greatest(count(*) - 1, 0) as dwell_stops from g group by 1, 2, 3, 4"""
 
 
-@query("E8_segments", E8)
-def _(spark: Spark, d: str) -> DataFrame:
-    p, edges = paths(spark, d)
+@query("E8_segments", E8, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    p, edges = paths(spark, d, whole)
     return N.segments(N.path_edges(p, edges), F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
 
 
 ATTR = f"{STEPS}, attr as (select request_id, rank, cast(sum(minutes) as bigint) as minutes, count(*) filter (kind = 'transfer') as transfers, max(ascii(substr(to_node, -1)) * 3 % 100) as worst from full_steps group by 1, 2)"
 
 
-def attributed(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    p, edges = paths(spark, d)
+def attributed(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    p, edges = paths(spark, d, whole)
     worst = (F.ascii(F.substr("to_node", F.lit(-1))) * 3) % 100
     return p, N.path_edges(p, edges).groupBy("request_id", "rank").agg(F.sum("minutes").alias("minutes"), F.count(F.when(F.col("kind") == "transfer", 1)).alias("transfers"), F.max(worst).alias("worst"))
 
 
-@query("R14_pareto", f"with recursive {ATTR} select a.*, not exists (select 1 from attr b where b.request_id = a.request_id and b.minutes <= a.minutes and b.transfers <= a.transfers and b.worst <= a.worst and (b.minutes < a.minutes or b.transfers < a.transfers or b.worst < a.worst)) as is_pareto from attr a")
-def _(spark: Spark, d: str) -> DataFrame:
-    return N.pareto(attributed(spark, d)[1], "request_id", "rank", ["minutes", "transfers", "worst"])
+@query("R14_pareto", f"with recursive {ATTR} select a.*, not exists (select 1 from attr b where b.request_id = a.request_id and b.minutes <= a.minutes and b.transfers <= a.transfers and b.worst <= a.worst and (b.minutes < a.minutes or b.transfers < a.transfers or b.worst < a.worst)) as is_pareto from attr a", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return N.pareto(attributed(spark, d, whole)[1], "request_id", "rank", ["minutes", "transfers", "worst"])
 
 
-@query("E6_fastest_comparators", f"with recursive {ATTR}, f as (select request_id, arg_min(minutes, rank) as fm, arg_min(worst, rank) as fw from attr group by 1) select request_id, rank, round(minutes / fm, 9) as stretch, minutes - fm as time_loss, fw - worst as worst_drop from attr join f using (request_id)")
-def _(spark: Spark, d: str) -> DataFrame:
-    a = attributed(spark, d)[1]
+@query("E6_fastest_comparators", f"with recursive {ATTR}, f as (select request_id, arg_min(minutes, rank) as fm, arg_min(worst, rank) as fw from attr group by 1) select request_id, rank, round(minutes / fm, 9) as stretch, minutes - fm as time_loss, fw - worst as worst_drop from attr join f using (request_id)", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    a = attributed(spark, d, whole)[1]
     f = a.groupBy("request_id").agg(F.min_by(F.struct("minutes", "worst"), "rank").alias("f"))
     return a.join(f, "request_id").select("request_id", "rank", F.round(F.col("minutes") / F.col("f.minutes"), 9).alias("stretch"), (F.col("minutes") - F.col("f.minutes")).alias("time_loss"), (F.col("f.worst") - F.col("worst")).alias("worst_drop"))
 
 
-@query("E7_mode_rank", f"with recursive {ATTR}, m as (select * from (values ('fast', 1.0, 0.1), ('calm', 0.2, 1.0)) t(mode, wt, wc)) select mode, request_id, rank, row_number() over (partition by mode, request_id order by round(wt * minutes + wc * worst, 6), rank) as mode_rank from attr cross join m")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("E7_mode_rank", f"with recursive {ATTR}, m as (select * from (values ('fast', 1.0, 0.1), ('calm', 0.2, 1.0)) t(mode, wt, wc)) select mode, request_id, rank, row_number() over (partition by mode, request_id order by round(wt * minutes + wc * worst, 6), rank) as mode_rank from attr cross join m", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     modes = spark.createDataFrame([("fast", 1.0, 0.1), ("calm", 0.2, 1.0)], "mode string, wt double, wc double")
-    scored = attributed(spark, d)[1].crossJoin(F.broadcast(modes)).withColumn("score", F.round(F.col("wt") * F.col("minutes") + F.col("wc") * F.col("worst"), 6))
+    scored = attributed(spark, d, whole)[1].crossJoin(F.broadcast(modes)).withColumn("score", F.round(F.col("wt") * F.col("minutes") + F.col("wc") * F.col("worst"), 6))
     return scored.withColumn("mode_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank"))).select("mode", "request_id", "rank", "mode_rank")
 
 
 KEYS = f"{PATHS}, ek as (select request_id, rank, list_transform(generate_series(1, len(path) - 1), lambda i: path[i] || '>' || path[i + 1]) as ks from paths)"
 
 
-@query("R15_overlap", f"with recursive {KEYS} select a.request_id, a.rank, round(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))), 9) as overlap from ek a join ek b on a.request_id = b.request_id and b.rank = 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    k = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
+@query("R15_overlap", f"with recursive {KEYS} select a.request_id, a.rank, round(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))), 9) as overlap from ek a join ek b on a.request_id = b.request_id and b.rank = 1", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    k = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
     best = k.where("rank = 1").select("request_id", F.col("ks").alias("best"))
     return k.join(best, "request_id").select("request_id", "rank", F.round(N.jaccard("ks", "best"), 9).alias("overlap"))
 
@@ -172,20 +172,20 @@ k3 as (select request_id, 3 as rank from ek where rank = 3 and not exists (selec
 select * from k1 union all select * from k2 union all select * from k3"""
 
 
-@query("R16_diverse", R16)
-def _(spark: Spark, d: str) -> DataFrame:
-    k = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
+@query("R16_diverse", R16, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    k = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
     return N.diverse(k, "request_id", ["rank"], "ks", 0.65, 4).select("request_id", "rank")
 
 
-@query("R17_alternatives", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), g as (select a.*, rank > 1 and minutes - fm <= 15 and fw - worst >= 5 as ok from attr a join f using (request_id)) select request_id, rank, ok as is_alternative, bool_or(ok) over (partition by request_id) as has_alternative from g")
-def _(spark: Spark, d: str) -> DataFrame:
-    a = attributed(spark, d)[1]
+@query("R17_alternatives", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), g as (select a.*, rank > 1 and minutes - fm <= 15 and fw - worst >= 5 as ok from attr a join f using (request_id)) select request_id, rank, ok as is_alternative, bool_or(ok) over (partition by request_id) as has_alternative from g", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    a = attributed(spark, d, whole)[1]
     f = a.where("rank = 1").select("request_id", F.col("minutes").alias("fm"), F.col("worst").alias("fw"))
     g = a.join(f, "request_id").withColumn("is_alternative", (F.col("rank") > 1) & (F.col("minutes") - F.col("fm") <= 15) & (F.col("fw") - F.col("worst") >= 5))
     return g.select("request_id", "rank", "is_alternative", F.bool_or("is_alternative").over(W.partitionBy("request_id")).alias("has_alternative"))
 
 
-@query("R19_request_summary", f"with recursive {ATTR} select request_id, count(*) as n_routes, min(minutes) as least_minutes, min(worst) as least_worst, max(transfers) as most_transfers from attr group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    return attributed(spark, d)[1].groupBy("request_id").agg(F.count("*").alias("n_routes"), F.min("minutes").alias("least_minutes"), F.min("worst").alias("least_worst"), F.max("transfers").alias("most_transfers"))
+@query("R19_request_summary", f"with recursive {ATTR} select request_id, count(*) as n_routes, min(minutes) as least_minutes, min(worst) as least_worst, max(transfers) as most_transfers from attr group by 1", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return attributed(spark, d, whole)[1].groupBy("request_id").agg(F.count("*").alias("n_routes"), F.min("minutes").alias("least_minutes"), F.min("worst").alias("least_worst"), F.max("transfers").alias("most_transfers"))

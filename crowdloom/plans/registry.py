@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +12,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """whole: the SQL answers a sample, so the job over everything is entered beside it as
+    name_whole, without SQL."""
+
     def enter(f: Query) -> Query:
         QUERIES[name] = f
+        if whole:
+            QUERIES[f"{name}_whole"] = partial(f, whole=True)
         if sql:
             ORACLES[name] = sql
         return f

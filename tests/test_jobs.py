@@ -64,6 +64,37 @@ def test_k_paths_against_enumeration(spark):
         assert sorted(got.get(q, [])) == sorted(best)[:3]
 
 
+def test_k_paths_without_horizon(spark):
+    line = [(f"s{i:02d}", f"s{i + 1:02d}", 5) for i in range(12)] + [("s03", "x", 30), ("x", "s04", 30), ("s08", "y", 1), ("y", "s09", 7)]
+    both = line + [(b, a, m) for a, b, m in line] + [("one", "way", 3)]
+    table = spark.createDataFrame(both, "from_node string, to_node string, minutes int")
+    asked = [(1, "s00", "s12"), (2, "s04", "s00"), (3, "one", "way"), (4, "way", "one"), (5, "y", "s10")]
+    found = network.k_paths(spark.createDataFrame(asked, "request_id int, origin string, destination string"), table, 3, None, 2)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["request_id"], []).append((r["minutes"], ">".join(r["path"])))
+    for q, o, d in asked:
+        best, todo = [], [([o], 0)]
+        while todo:
+            path, cost = todo.pop()
+            if path[-1] == d:
+                best.append((cost, ">".join(path)))
+                continue
+            todo += [([*path, y], cost + m) for x, y, m in both if x == path[-1] and y not in path]
+        assert sorted(got.get(q, [])) == sorted(best)[:3]
+    assert min(got[1])[0] == 60 and len(got[1]) == 3 and 4 not in got
+
+
+def test_whole_route_queries_ask_every_request(spark):
+    from crowdloom.plans import network as plans
+    from crowdloom.plans.registry import ORACLES, QUERIES
+
+    seq = sorted((r["line_id"], r["seq"], r["station_name"]) for r in plans.sequence(spark, "/root/testdata/sf0.001").collect())
+    want = {a[1] for a, b in zip(seq, seq[3:]) if a[0] == b[0] and a[2] != b[2]}
+    assert {r["request_id"] for r in plans.requests(spark, "/root/testdata/sf0.001", whole=True).collect()} == want and len(want) > 100
+    assert {"R6_k_paths_whole", "R7_station_requests_whole", "Q5_path_violations_whole"} <= set(QUERIES) - set(ORACLES)
+
+
 def test_entry_works_without_optional_parts(spark):
     import __spark_entry__ as entry
 
