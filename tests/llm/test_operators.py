@@ -115,6 +115,42 @@ def test_fingerprints(spark, docs, rows, empty):
     assert len(image) == len(c) - media.SPAN + 1 and image[10] == one[0]
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_media_against_all_pairs(spark, block):
+    random.seed(11)
+    noise = lambda n: bytes(random.choices(range(256), k=n))
+    shared, table = noise(2400), []
+    for u in range(24):
+        table.append(noise(1600) + shared + noise(1600))  # one passage in all of them, too short to align
+    for u in range(6, 14):
+        table.append(table[u][640:] + noise(256))  # true partners, later than the passage's least holder
+    table += [table[20], table[20], b"", b"abc"]
+    rows = [(u, u, bytearray(m)) for u, m in enumerate(table)]
+    got = {r["doc_id"]: r for r in media.align(spark.createDataFrame(rows, "uid long, doc_id long, media binary").repartition(3), block=block).collect()}
+    prints = [media.codes(media.chroma(np.frombuffer(m, np.uint8))) for m in table]
+    picked = []
+    for c in prints:
+        codes, first = np.unique(c.view(np.int32), return_index=True)
+        h = media.mixed(codes.view(np.uint32).astype(np.uint64))
+        keep = (h % np.uint64(16) == 0) | (h == h.min() if len(h) else False)
+        picked.append(dict(zip(codes[keep].tolist(), first[keep].tolist())))
+    true = 0
+    for x, c in enumerate(prints):
+        best, every = None, False
+        for y in range(x):
+            for o in range(1 - len(c), len(prints[y])):
+                e = media._share(c, prints[y], o)
+                near = e is not None and e <= 0.15 and min(len(c), len(prints[y])) - abs(o) >= 16
+                every |= near
+            for o in {picked[y][k] - picked[x][k] for k in picked[x].keys() & picked[y].keys()}:
+                e = media._share(c, prints[y], o)
+                best = e if e <= 0.15 and (best is None or e < best) else best
+        assert got[x]["aligned"] == (best is not None), x
+        assert got[x]["aligned"] or not every, x  # all pairs at all offsets: none missed
+        true += every
+    assert true == 10 and all(got[24 + k]["partner"] == 6 + k for k in range(8))
+
+
 def test_toxicity_held_out():
     random.seed(4)
     words = [f"w{k}" for k in range(400)]
