@@ -54,9 +54,9 @@ def _(spark: Spark, d: str) -> DataFrame:
     return daily(spark, d).join(busy, ["station_code", "date"], "left_anti").groupBy(*KEYS).agg(F.count("*").alias("days"), F.sum("x").alias("x"))
 
 
-@query("C9_active_events", f"with {EVENTS} select o_orderkey, event_id from orders join ev on cast(o_orderdate as date) between start_date and end_date where o_orderkey % 10 = 0")
-def _(spark: Spark, d: str) -> DataFrame:
-    asked = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+@query("C9_active_events", f"with {EVENTS} select o_orderkey, event_id from orders join ev on cast(o_orderdate as date) between start_date and end_date where o_orderkey % 10 = 0", whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    asked = table(spark, d, "orders").where(F.lit(True) if whole else F.expr("o_orderkey % 10 = 0")).select("o_orderkey", F.to_date("o_orderdate").alias("date"))
     return asked.join(impact.event_days(events(spark, d)).select("event_id", "date"), "date").select("o_orderkey", "event_id")
 
 
@@ -159,9 +159,9 @@ I7 = f"""{SPIKE}, p as (select event_id, max(ratio) as ratio from spike group by
 select date, hour, e.station_code, round(max(1 + 0.3 * (ratio - 1)), 9) as multiplier, count(distinct e.event_id) as n_events from (select distinct date from rides where day(date) = 15) q join e on date between start_date and end_date join p using (event_id) where ratio > 1 group by 1, 2, 3"""
 
 
-@query("I7_event_multiplier", I7)
-def _(spark: Spark, d: str) -> DataFrame:
-    asked = rides(spark, d).where(F.dayofmonth("date") == 15).select("date").distinct()
+@query("I7_event_multiplier", I7, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    asked = rides(spark, d).where(F.lit(True) if whole else F.dayofmonth("date") == 15).select("date").distinct()
     ratios = spike(spark, d).groupBy("event_id").agg(F.max("ratio").alias("ratio")).where("ratio > 1")
     days = impact.event_days(events(spark, d)).withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0)))
     active = days.join(asked, "date").join(ratios, "event_id")

@@ -69,10 +69,10 @@ R5 = f"""with recursive {ALL}, reach as (select node as source, node, 0 as cost
 select source, node, cast(min(cost) as integer) as cost from reach group by 1, 2"""
 
 
-@query("R5_distances", R5)
-def _(spark: Spark, d: str) -> DataFrame:
-    seeds = sequence(spark, d).where("line_id = 'Brand#1'").select(node().alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("cost"))
-    return N.distances(seeds, all_edges(spark, d), HORIZON)
+@query("R5_distances", R5, whole=True)
+def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    seeds = sequence(spark, d).where(F.lit(True) if whole else F.expr("line_id = 'Brand#1'")).select(node().alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("cost"))
+    return N.distances(seeds, all_edges(spark, d), None if whole else HORIZON)
 
 
 SLACK, KEEP = 2, 3

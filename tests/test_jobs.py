@@ -95,6 +95,21 @@ def test_whole_route_queries_ask_every_request(spark):
     assert {"R6_k_paths_whole", "R7_station_requests_whole", "Q5_path_violations_whole"} <= set(QUERIES) - set(ORACLES)
 
 
+def test_whole_active_events_and_distances(spark):
+    from crowdloom.plans import impact as plans
+    from crowdloom.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    events = plans.events(spark, d).collect()
+    orders = plans.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")).collect()
+    want = sorted((o["o_orderkey"], e["event_id"]) for o in orders for e in events if e["start_date"] <= o["date"] <= e["end_date"])
+    assert sorted(map(tuple, QUERIES["C9_active_events_whole"](spark, d).collect())) == want and any(k % 10 for k, _ in want)
+    steps = [(f"n{i}", f"n{i + 1}", 5) for i in range(5)]
+    seeds = spark.createDataFrame([("n0", "n0", 0), ("n3", "n3", 0)], "source string, node string, cost int")
+    got = network.distances(seeds, spark.createDataFrame(steps, "from_node string, to_node string, minutes int"), None).collect()
+    assert {(r["source"], r["node"], r["cost"]) for r in got} == {("n0", f"n{i}", 5 * i) for i in range(6)} | {("n3", f"n{i}", 5 * i - 15) for i in range(3, 6)}
+
+
 def test_entry_works_without_optional_parts(spark):
     import __spark_entry__ as entry
 
