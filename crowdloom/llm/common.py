@@ -17,25 +17,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new
-    temporary one only where the session names none, as in local tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where the session
+    names none, a new temporary one in local mode, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Folders that settle has written and drop_settled has not deleted.
+_written: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends here,
     and what follows survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled() -> list[str]:
+    return list(_written)
+
+
+def drop_settled(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that settle wrote, once nothing will read them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+#: Keys with more rows than HOT are joined by broadcast, if these are at most BROADCAST_KEYS.
+HOT, BROADCAST_KEYS = 20_000, 1_000_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """left with right, which has one narrow row for each key and, in column count, the
+    key's rows in left. Hot keys' rows of right are broadcast, so that no task gets all
+    rows of such a key; the others are joined as Spark sees fit."""
+    hot = settle(right.where(F.col(count) > HOT), "hot-keys")
+    n_hot = hot.count()
+    if not n_hot or n_hot > BROADCAST_KEYS:
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= HOT), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def row_key(*columns: str) -> F.Column:
     """A 64-bit identity of a row by its content; rows that are alike share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])

@@ -15,8 +15,12 @@ gathered whole, so a source with a third of all rows costs no more than its shar
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source, the
 last; null ids are kept; rows alike in id, source and text are taken together; a source
-without words has target 0; an empty table gives no rows; extra columns are left alone.
+without words has target 0; an empty table gives no rows; extra columns of any name are
+carried untouched (a row travels as one struct, all working columns begin with __mix_).
 The document at the budget's edge is taken if that brings the sum nearer to it.
+
+The default quality weight falls smoothly with the marks and digits a word has on average,
+and is least where the mean word length is odd; any other column may be given instead.
 """
 
 from __future__ import annotations
@@ -35,46 +39,51 @@ BROADCAST_SOURCES = 50_000
 
 
 def quality_weight() -> Column:
-    """1 for a usual mean word length, the least weight else."""
-    mean = F.length("text") / F.nullif(F.col("__mix_size"), F.lit(0))
-    return F.when(mean.between(3, 12), 1.0).otherwise(LEAST_WEIGHT)
+    """MOST_WEIGHT for plain words, falling by half for every eighth of a mark or digit
+    that a word has on average; the least weight for an odd mean word length."""
+    words = F.nullif(F.col("__mix_size"), F.lit(0))
+    marks = F.regexp_count("text", F.lit(r"[0-9#*$%&|<>{}=_\\/+~^@\[\]]")) / words
+    return F.when((F.length("text") / words).between(3, 12), MOST_WEIGHT * F.pow(F.lit(0.5), 8 * marks)).otherwise(LEAST_WEIGHT)
 
 
 def with_keys(docs: DataFrame, quality: Column | None = None) -> DataFrame:
-    """docs and each row's size, source identity, selection key and its digits."""
-    weight = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(quality if quality is not None else quality_weight(), F.lit(LEAST_WEIGHT))))
+    """Each row (as one struct, __mix_row), doc_id, source, and its size, source identity,
+    selection key and that key's digits."""
+    weight = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(quality_weight() if quality is None else F.col("__mix_quality"), F.lit(LEAST_WEIGHT))))
     u = (F.shiftrightunsigned(F.xxhash64(row_key("doc_id", "source", "text"), F.lit(20)), 11) + 0.5) / float(1 << 53)
     spread = (1 - F.exp(-F.col("__mix_key") * LEAST_WEIGHT)) * float(1 << DIGIT_BITS * LEVELS)
     return (
-        docs.withColumn("__mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), "doc_id", "source", "text", (F.lit(None) if quality is None else quality).cast("double").alias("__mix_quality"))
+        .withColumn("__mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__mix_null", F.col("source").isNull())
         .withColumn("__mix_source", F.coalesce("source", F.lit("")))
         .withColumn("__mix_key", -F.log(u) / weight)
         .withColumn("__mix_code", F.least(F.floor(spread), F.lit((1 << DIGIT_BITS * LEVELS) - 1)).cast("int"))
+        .drop("text", "__mix_quality")
     )
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row for each source: its words, target, complete epochs and the words that
     the fraction beyond them may take."""
-    sources = sized.groupBy("__mix_null", "__mix_source").agg(F.sum("__mix_size").alias("source_size"))
+    sources = sized.groupBy("__mix_null", "__mix_source").agg(F.sum("__mix_size").alias("__mix_source_size"))
     everything = W.partitionBy(F.lit(0))
-    ranked = sources.withColumn("rank", F.row_number().over(everything.orderBy("__mix_null", "__mix_source"))).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)
+    ranked = sources.withColumn("__mix_rank", F.row_number().over(everything.orderBy("__mix_null", "__mix_source"))).withColumn(
+        "__mix_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("__mix_rank") - 1, F.lit(len(weights))) + 1)
     )
-    order = everything.orderBy("ratio", "rank")
-    level = F.try_divide(F.sum("source_size").over(everything) * share - F.col("capped"), F.col("open_weight"))
+    order = everything.orderBy("__mix_ratio", "__mix_rank")
+    level = F.try_divide(F.sum("__mix_source_size").over(everything) * share - F.col("__mix_capped"), F.col("__mix_open_weight"))
     return (
-        ranked.withColumn("limit", F.col("source_size") * cap)
-        .withColumn("ratio", F.col("limit") / F.col("weight"))
-        .withColumn("capped", F.coalesce(F.sum("limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        .withColumn("level", level)
-        .withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
-        .withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("water") * F.col("weight"), F.col("limit"))))
-        .withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)))
-        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .select("__mix_null", "__mix_source", "source_size", "target", "epochs", "budget")
+        ranked.withColumn("__mix_limit", F.col("__mix_source_size") * cap)
+        .withColumn("__mix_ratio", F.col("__mix_limit") / F.col("__mix_weight"))
+        .withColumn("__mix_capped", F.coalesce(F.sum("__mix_limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("__mix_open_weight", F.sum("__mix_weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+        .withColumn("__mix_level", level)
+        .withColumn("__mix_water", F.min(F.when(F.col("__mix_level") <= F.col("__mix_ratio"), F.struct("__mix_ratio", "__mix_rank", "__mix_level"))).over(everything)["__mix_level"])
+        .withColumn("__mix_target", F.least(F.col("__mix_limit"), F.coalesce(F.col("__mix_water") * F.col("__mix_weight"), F.col("__mix_limit"))))
+        .withColumn("__mix_epochs", F.coalesce(F.floor(F.try_divide(F.col("__mix_target"), F.col("__mix_source_size"))), F.lit(0)))
+        .withColumn("__mix_budget", F.col("__mix_target") - F.col("__mix_epochs") * F.col("__mix_source_size"))
+        .select("__mix_null", "__mix_source", "__mix_source_size", "__mix_target", "__mix_epochs", "__mix_budget")
     )
 
 
@@ -86,35 +95,35 @@ def draw_limits(sized: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
     """targets with the last key (and id) that each source's fraction takes."""
     keys = ["__mix_null", "__mix_source"]
     by_source = W.partitionBy(*keys)
-    at = targets.where("budget > 0").select(*keys, F.col("budget").alias("left"), F.lit(0).alias("prefix"))
+    at = targets.where("__mix_budget > 0").select(*keys, F.col("__mix_budget").alias("__mix_left"), F.lit(0).alias("__mix_prefix"))
     for level in range(LEVELS):
         shift = DIGIT_BITS * (LEVELS - level - 1)
-        within = F.shiftright("__mix_code", shift + DIGIT_BITS) == F.col("prefix")
-        counts = _with_sources(sized, at, small).where(within).groupBy(*keys, "left", F.shiftright("__mix_code", shift).alias("next")).agg(F.sum("__mix_size").alias("words"))
-        summed = counts.withColumn("upto", F.sum("words").over(by_source.orderBy("next")))
+        within = F.shiftright("__mix_code", shift + DIGIT_BITS) == F.col("__mix_prefix")
+        counts = _with_sources(sized, at, small).where(within).groupBy(*keys, "__mix_left", F.shiftright("__mix_code", shift).alias("__mix_next")).agg(F.sum("__mix_size").alias("__mix_words"))
+        summed = counts.withColumn("__mix_upto", F.sum("__mix_words").over(by_source.orderBy("__mix_next")))
         at = (
-            summed.where(F.col("upto") >= F.col("left"))
+            summed.where(F.col("__mix_upto") >= F.col("__mix_left"))
             .groupBy(*keys)
-            .agg(F.min_by(F.struct((F.col("left") - F.col("upto") + F.col("words")).alias("left"), F.col("next").alias("prefix")), "next").alias("x"))
-            .select(*keys, "x.left", "x.prefix")
+            .agg(F.min_by(F.struct((F.col("__mix_left") - F.col("__mix_upto") + F.col("__mix_words")).alias("__mix_left"), F.col("__mix_next").alias("__mix_prefix")), "__mix_next").alias("x"))
+            .select(*keys, "x.__mix_left", "x.__mix_prefix")
         )
-    edge = _with_sources(sized, at, small).where(F.col("__mix_code") == F.col("prefix"))
+    edge = _with_sources(sized, at, small).where(F.col("__mix_code") == F.col("__mix_prefix"))
     order = by_source.orderBy("__mix_key", "doc_id")
-    nearer = edge.withColumn("upto", F.sum("__mix_size").over(order)).where(F.col("upto") - F.col("left") <= F.col("left") - F.col("upto") + F.col("__mix_size"))
-    last = nearer.groupBy(*keys).agg(F.max(F.struct("__mix_key", "doc_id")).alias("last"))
-    return targets.join(at.select(*keys, "prefix"), keys, "left").join(last, keys, "left")
+    nearer = edge.withColumn("__mix_upto", F.sum("__mix_size").over(order)).where(F.col("__mix_upto") - F.col("__mix_left") <= F.col("__mix_left") - F.col("__mix_upto") + F.col("__mix_size"))
+    last = nearer.groupBy(*keys).agg(F.max(F.struct("__mix_key", "doc_id")).alias("__mix_last"))
+    return targets.join(at.select(*keys, "__mix_prefix"), keys, "left").join(last, keys, "left")
 
 
 def with_takes(keyed: DataFrame, limits: DataFrame, small: bool) -> DataFrame:
-    """Adds copies (times the mix takes the row whole) and its source's figures."""
+    """Adds __mix_copies (times the mix takes the row whole) and its source's figures."""
     here = F.struct("__mix_key", "doc_id")
-    drawn = (F.col("__mix_code") < F.col("prefix")) | ((F.col("__mix_code") == F.col("prefix")) & F.coalesce(here <= F.col("last"), F.lit(False)))
-    return _with_sources(keyed, limits, small).withColumn("copies", F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))
+    drawn = (F.col("__mix_code") < F.col("__mix_prefix")) | ((F.col("__mix_code") == F.col("__mix_prefix")) & F.coalesce(here <= F.col("__mix_last"), F.lit(False)))
+    return _with_sources(keyed, limits, small).withColumn("__mix_copies", F.col("__mix_epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))
 
 
 def plan_mix(keyed: DataFrame, **terms: object) -> tuple[DataFrame, DataFrame, bool]:
     """The rows' keys written once, each source's limits, and whether these are few."""
-    sized = settle(keyed.select("doc_id", "source", *[c for c in keyed.columns if c.startswith("__mix_")]), "mix-sizes")
+    sized = settle(keyed.select("doc_id", "source", *[c for c in keyed.columns if c.startswith("__mix_") and c != "__mix_row"]), "mix-sizes")
     targets = settle(source_targets(sized, **terms), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     return sized, settle(draw_limits(sized, targets, small), "mix-limits"), small
@@ -124,14 +133,13 @@ def mix(docs: DataFrame, quality: Column | None = None, **terms: object) -> Data
     """The mix itself: rows of docs as often as it takes them, in docs' columns."""
     keyed = with_keys(docs, quality)
     _, limits, small = plan_mix(keyed, **terms)
-    return with_takes(keyed, limits, small).where("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_takes(keyed, limits, small).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies"))).select("__mix_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, limits, small = plan_mix(with_keys(read_documents(spark, sf_dir).select("doc_id", "source", "text")))
-    return with_takes(sized, limits, small).select(
-        "doc_id", F.col("__mix_size").alias("size"), "source_size", "target", (F.col("__mix_size") * F.col("copies")).alias("taken"), "source", "epochs"
-    )
+    own = [F.col(f"__mix_{n}").alias(n) for n in ("size", "source_size", "target", "epochs")]
+    return with_takes(sized, limits, small).select("doc_id", *own[:3], (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"), "source", own[3])
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources}
