@@ -1,34 +1,41 @@
 """Personal data: exact patterns and a linear-chain conditional random field.
 
-Patterns give the base spans. The random field sees tokens of the text around digits and
-@ signs through their shapes (and the checks a shape alone can't show: card checksum,
-octet range); it is trained by gradient on a small table of labelled windows and decoded by
-Viterbi, all windows of a batch at once in numpy. Spans that it finds beside the base ones
-are added if they pass their kind's check; base spans always stay.
-
-The labelled table: windows of at most max_rows documents (by hash of the row), labelled
-by the base spans, which is what the field learns to go beyond (two cards in a row, which
-the pattern reads as one number; phones without a plus sign).
+Patterns give the base spans. The random field labels tokens around digits and @ signs
+from their shapes (kind and length of a token, how it is joined to its neighbours) and the
+words beside them; it is trained by gradient on a small labelled table, LABELLED below,
+written by hand and so independent of the patterns: half of its spans are in forms that no
+pattern takes (phones without a plus sign, two cards in a row, addresses with spaces), and
+its rows without braces are numbers that are nobody's. Decoding is Viterbi, many windows at
+once in numpy. What the field finds clear of the base spans is added if it passes its
+kind's check and no digit or letter borders it; base spans always stay.
+
+A window is cut only between tokens: WINDOW tokens at most, of which EDGE on either side
+are decoded again with the next window and count there. Batches are bounded in tokens,
+padding included, so a text of any length or kind takes memory in proportion to itself.
 
 Defined results: null and empty texts have no spans; ids may be null or repeat; offsets
-are code points, ends exclusive; an empty table gives no rows (and no field: base spans
-only); redact carries other columns untouched and null texts stay null.
+are code points, ends exclusive; an empty table gives no rows; redact carries other
+columns untouched and null texts stay null.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents, row_key
+from .common import mixed, read_documents, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -81,59 +88,202 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+# The labelled table -----------------------------------------------------------------------
+
+#: Sentences with personal data in braces, kind first. Digits stand for any.
+LABELLED = """
+call me at {phone:(555) 201-3344} after six
+her number is {phone:555-201-3344} and she is in
+tel {phone:555 201 3344} or come by
+phone: {phone:020 7946 0958}, ask for the desk
+mobile {phone:07700 900123} at night
+you can reach us on {phone:1-800-555-0199} all day
+fax {phone:(0221) 4710-9987} in the hall
+Telefon {phone:030 901820 44}, bitte nur morgens
+Tel.: {phone:0171 2345678} am Abend
+rufen Sie {phone:(089) 2180-4321} an
+appelez le {phone:01 42 68 53 00} avant midi
+son portable est le {phone:06 12 34 56 78}.
+llame al {phone:91 555 23 45 67} por la tarde
+mi teléfono es {phone:(34) 600-123-456} y no otro
+contact {phone:+1 (555) 201-3344} for help
+the line {phone:+44 20 7946 0958} is open
+Was {phone:+1 (921) 555-0144} on the door, the
+und {phone:+49 30 901820} im Büro
+ou {phone:+33 1 42 68 53 00} le soir
+con {phone:+34 600 123 456} siempre
+call {phone:(555) 201-3344} or {phone:(555) 201-9876} now
+numbers: {phone:555-201-3344}, {phone:555-201-9876}
+card {card:4111111111111111} was charged
+paid by {card:4111 1111 1111 1111} on the day
+visa {card:5500-0000-0000-0004} ends soon
+cards {card:4111111111111111} {card:5500000000000004} were lost
+both {card:4111111111111111} {card:5500000000000004} and
+use {card:4111111111111111}-{card:5500000000000004} here
+from {card:371449635398431} to {card:6011111111111117} moved
+the {card:4111111111111111} thanging the and
+eher {card:5500000000000004} erlich und
+Karte {card:4111.1111.1111.1111} ist weg
+número {card:4111.1111.1111.1111} de la tarjeta
+carte {card:4539 5787 6362 1486} perdue
+{card:4111111111111111}$$$ thlywhing
+card no. {card:4012888888881881}, name on it
+server {ip:192.168.10.24} is down
+from {ip:10.0.0.7} to {ip:10.0.0.8} in order
+the {ip:141.73.119.60} thinth
+host {ip:83.229.25.121} esat ha
+und {ip:230.40.1.146} der
+ip={ip:172.16.254.1};
+addresses {ip:10.1.2.3},{ip:10.1.2.4} seen
+ping {ip:8.8.8.8}: no answer
+que {ip:196.251.51.155} y de
+mail {email:jan.de@example.org} today
+to.{email:anna_b@mail.example.com} and
+her address {email:kim+news@uni.example.edu}, she said
+write to {email:jan @ example.org} please
+send it to {email:anna @ mail.example.com}, thanks
+an {email:kai @ beispiel.de} schreiben
+écrivez à {email:luc @ exemple.fr} vite
+escriba a {email:eva @ ejemplo.es} hoy
+mail {email:jan (at) example.org} today
+ask {email:anna (at) mail.example.com} first
+{email:kim [at] example.net} has it
+was.{email:ti@mail4.example.com} to the
+und {email:be.36@mail5.example.com} über
+in 1999 there were 24 of them
+the year 2021-03-04 at 10:15:30 it rang
+on 2021-03-04 and 2021-03-05 we met
+am 04.03.2021 um 10.15 Uhr
+le 04/03/2021 à 10 heures
+el 4 de marzo de 2021 fue
+version 3.11.4 of the tool
+released 2.0.1, then 2.0.2 and 2.1.0
+section 4.3.2.1 on page 17
+chapters 1 2 3 4 5 6 7 8 9 10 11 12
+scores 12 14 9 30 22 17 8 41 12 11
+it cost 1 299.00 or 1,299.00 in all
+about 3 000 000 people in 12 000 towns
+ISBN 978-3-16-148410-0 is out
+order 978-0-306-40615-7 arrived late
+part no. 4471-2298-0091 in stock
+the id 4881297747170635 was new
+row 1142126282388588 of the table
+key 8466396249332160 is not there
+a hash 592e2677e7e6567f917b8bfcceb4e5730d6fd3bc here
+token = "cf1d64a9a4cd9723e1f4eafc27395915e6868ffa" der
+token = "7f5790b897549d620aedfc0705a565f96e3741e8" und
+uuid 123e4567-e89b-12d3-a456-426614174000 made
+commit 9f86d081884c7d65 on the branch
+Licensed under CC BY-NC 4.0.
+GNU General Public License, version 3.
+Apache License, Version 2.0.
+follow @kim and @jan for more
+@all please read this
+rooms 101-110 and 201-210 are full
+from 1914-1918 and 1939-1945 there was war
+ratio 16:9 at 1920x1080 and 60 Hz
+grades 1.0 2.0 3.5 and 4.25
+pi is 3.14159265358979 or so
+tracking 1Z 999 AA1 01 2345 6784 shipped
+zip 90210-1234 and 10115 are codes
+lottery 4 8 15 16 23 42 again
+temperatures -12 -8 -3 0 4 9 14
+table 12 | 14 | 16 | 18 | 20
+200 000 000 000 stars
+bytes 00 1f 8b 08 00 00 00 00
+line 1024 1024 1024 1024 of the log
+""".strip().split("\n")
+MARKED = re.compile(r"\{(email|ip|card|phone):([^{}]*)\}")
+
+
+def marked_row(row: str) -> tuple[str, list[Span]]:
+    """A row's text without its braces, and the spans they mark."""
+    text, spans, at = "", [], 0
+    for m in MARKED.finditer(row):
+        text += row[at : m.start()]
+        spans.append((len(text), KINDS.index(m[1]), len(text) + len(m[2])))
+        text, at = text + m[2], m.end()
+    return text + row[at:], spans
+
+
 # Tokens and their features --------------------------------------------------------------
 
-TRIGGER = re.compile(r"[0-9@]+")
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
-REACH = 24
-N_FEATURES = 1 << 13
+TRIGGER = re.compile(r"[0-9]+|@+|[(\[]at[)\]]")
+TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|([^\w\s])\1*|_+")
+REACH, WINDOW, EDGE = 24, 256, 32
+N_FEATURES = 1 << 14
 
 
-def windows(text: str) -> list[tuple[int, int]]:
+def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Stretches around digits and @ signs, REACH code points to either side."""
-    out: list[list[int]] = []
+    a = b = -1
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1] and b - out[-1][0] < 400:
-            out[-1][1] = b
-        else:
-            out.append([max(a, out[-1][1]) if out else a, b])
-    return [(a, b) for a, b in out]
-
-
-def _shape(token: str) -> str:
+        if m.start() - REACH > b:
+            if b >= 0:
+                yield a, b
+            a = max(0, m.start() - REACH)
+        b = min(len(text), m.end() + REACH)
+    if b >= 0:
+        yield a, b
+
+
+@lru_cache(1 << 16)
+def _marks(token: str, long: int) -> tuple[int, int]:
+    """Numbers of a token's shape and of the word it is."""
     c = token[0]
     if "0" <= c <= "9":
-        if is_card(token):
-            return "card"
-        return f"d{min(len(token), 8)}{'o' if octet(token) else ''}"
-    if c.isalpha():
-        return "A" if c.isupper() else "a"
-    return c
-
-
-def tokens_of(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Places of a window's tokens and the numbers of their features."""
-    places = [m.span() for m in TOKEN.finditer(text, a, b)]
-    shapes = [_shape(text[x:y]) for x, y in places]
-    glued = [k > 0 and places[k - 1][1] == places[k][0] for k in range(len(places))] + [False]
-    feats = []
-    for k, s in enumerate(shapes):
-        before = shapes[k - 1] if k else "^"
-        after = shapes[k + 1] if k + 1 < len(shapes) else "$"
-        two = shapes[k - 2] if k > 1 else "^"
-        later = shapes[k + 2] if k + 2 < len(shapes) else "$"
-        g = f"{int(glued[k])}{int(glued[k + 1])}"
-        feats.append([crc32(f.encode()) % N_FEATURES for f in (f"0{s}", f"1{s}|{g}", f"2{before}|{s}|{g}", f"3{s}|{after}|{g}", f"4{two}|{before}|{s}", f"5{s}|{after}|{later}", f"6{before}|{after}|{g}")])
-    return places, feats
-
-
-def labels_of(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
-    out = []
-    last = None
-    for x, y in places:
+        shape = f"d{min(long, 20)}"
+    elif c.isalpha():
+        shape = ("A" if c.isupper() else "a") + str(min(long, 3))
+    else:
+        shape = c + "+" * (long > 1)
+    return crc32(shape.encode()), crc32(token.lower().encode()) if c.isalpha() else crc32(shape.encode())
+
+
+def _features(places: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """(tokens, templates): numbers of each token's features."""
+    n = len(places)
+    shape, word = (np.concatenate([[1, 1], marks[:, k], [2, 2]]).astype(np.uint64) for k in (0, 1))
+    glued = np.zeros(n + 1, np.uint64)
+    glued[1:n] = places[1:, 0] == places[:-1, 1]
+    g = glued[:-1] + np.uint64(2) * glued[1:]
+    s = lambda k: shape[2 + k : 2 + k + n]
+    w = lambda k: word[2 + k : 2 + k + n]
+    templates = ((s(0),), (s(0), g), (s(-1), s(0), g), (s(0), s(1), g), (s(-2), s(-1), s(0)), (s(0), s(1), s(2)), (s(-1), s(1), g), (w(-1), s(0)), (w(-2), s(0)), (w(1), s(0)), (s(-2), s(-1), s(0), s(1), s(2), g))
+    out = np.empty((n, len(templates)), np.int64)
+    for k, parts in enumerate(templates):
+        h = np.full(n, k + 1, np.uint64)
+        for part in parts:
+            h = mixed(h * np.uint64(0x9DDFEA08EB382D69) + part)
+        out[:, k] = (h % np.uint64(N_FEATURES)).astype(np.int64)
+    return out
+
+
+def windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+    """For each window: its tokens' places and features, which tokens count in it (from, to),
+    and whether it goes on where the one before ended."""
+
+    def window(lo: int, hi: int, goes_on: bool) -> tuple:
+        at = np.array(places)
+        return at, _features(at, np.array(marks, np.uint64)), lo, hi, goes_on
+
+    for a, b in stretches(text):
+        places, marks, goes_on = [], [], False
+        for m in TOKEN.finditer(text, a, b):
+            if len(places) == WINDOW:
+                yield window(EDGE if goes_on else 0, WINDOW - EDGE, goes_on)
+                places, marks, goes_on = places[-2 * EDGE :], marks[-2 * EDGE :], True
+            places.append(m.span())
+            marks.append(_marks(text[m.start() : min(m.end(), m.start() + 24)], m.end() - m.start()))
+        if places:
+            yield window(EDGE if goes_on else 0, len(places), goes_on)
+
+
+def labels_of(places: np.ndarray, spans: list[Span]) -> np.ndarray:
+    out, last = np.zeros(len(places), np.int64), None
+    for k, (x, y) in enumerate(places.tolist()):
         span = next((s for s in spans if s[0] <= x and y <= s[2]), None)
-        out.append(0 if span is None else 1 + 2 * span[1] + (span == last))
+        out[k] = 0 if span is None else 1 + 2 * span[1] + (span == last)
         last = span
     return out
 
@@ -145,139 +295,156 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, seqs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-        n, longest = len(seqs), max(map(len, seqs))
-        out, mask = np.zeros((n, longest, len(LABELS))), np.zeros((n, longest), bool)
-        for k, s in enumerate(seqs):
-            out[k, : len(s)] = self.emit[np.array(s)].sum(axis=1)
-            mask[k, : len(s)] = True
-        return out, mask
-
-    def viterbi(self, seqs: list[list[list[int]]]) -> list[np.ndarray]:
-        scores, mask = self.scores(seqs)
-        n, longest, _ = scores.shape
-        best, back = scores[:, 0], np.zeros(scores.shape, np.int64)
-        for t in range(1, longest):
-            path = best[:, :, None] + self.move
-            back[:, t] = path.argmax(axis=1)
-            best = np.where(mask[:, t, None], path.max(axis=1) + scores[:, t], best)
-            back[~mask[:, t], t] = np.arange(len(LABELS))
-        out = np.zeros((n, longest), np.int64)
-        out[:, -1] = best.argmax(axis=1)
-        for t in range(longest - 1, 0, -1):
-            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
-        return [o[: len(s)] for o, s in zip(out, seqs, strict=True)]
-
-
-def train(seqs: list[list[list[int]]], labels: list[list[int]], steps: int = 60, rate: float = 0.2, ridge: float = 1e-4) -> Field:
-    """Maximum likelihood by forward-backward and Adam."""
-    size, n_feat = len(LABELS), N_FEATURES
-    feats = [np.array(s) for s in seqs]
-    longest, n = max(map(len, seqs)), len(seqs)
+    def viterbi(self, feats: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest labels of each window; at most CELLS tokens, padded, at once."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(feats)
+        by_size = np.argsort([len(f) for f in feats], kind="stable")
+        while len(by_size):
+            longest = len(feats[by_size[-1]])
+            some, by_size = by_size[-max(1, CELLS // longest) :], by_size[: -max(1, CELLS // longest)]
+            scores, mask = _padded([feats[k] for k in some], self.emit)
+            n = len(some)
+            best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
+            for t in range(1, longest):
+                path = best[:, :, None] + self.move
+                back[:, t] = path.argmax(axis=1)
+                best = np.where(mask[:, t, None], path.max(axis=1) + scores[:, t], best)
+                back[~mask[:, t], t] = np.arange(len(LABELS))
+            path = np.zeros((n, longest), np.int64)
+            path[:, -1] = best.argmax(axis=1)
+            for t in range(longest - 1, 0, -1):
+                path[:, t - 1] = back[np.arange(n), t, path[:, t]]
+            for r, k in enumerate(some):
+                out[k] = path[r, : len(feats[k])]
+        return out
+
+
+CELLS = 1 << 15
+
+
+def _padded(feats: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, longest = len(feats), max(map(len, feats))
+    scores, mask = np.zeros((n, longest, len(LABELS))), np.zeros((n, longest), bool)
+    for k, f in enumerate(feats):
+        scores[k, : len(f)] = emit[f].sum(axis=1)
+        mask[k, : len(f)] = True
+    return scores, mask
+
+
+def train(feats: list[np.ndarray], labels: list[np.ndarray], steps: int = 60, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood by forward-backward and Adam, all windows in step."""
+    size, n = len(LABELS), len(feats)
+    longest = max(map(len, feats))
     gold = np.zeros((n, longest), np.int64)
-    mask = np.zeros((n, longest), bool)
-    for k, l in enumerate(labels):
-        gold[k, : len(l)], mask[k, : len(l)] = l, True
+    for k, own in enumerate(labels):
+        gold[k, : len(own)] = own
     ids = np.concatenate(feats)
-    where = np.flatnonzero(mask.reshape(-1))
-    pairs = mask[:, 1:]
-    at = np.zeros((n_feat + size, size))
+    at = np.zeros((N_FEATURES + size, size))
     first, second = np.zeros_like(at), np.zeros_like(at)
     log_sum = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
     for step in range(1, steps + 1):
-        emit, move = at[:n_feat], at[n_feat:]
-        scores = np.zeros((n * longest, size))
-        scores[where] = emit[ids].sum(axis=1)
-        scores = scores.reshape(n, longest, size)
-        ahead = np.zeros_like(scores)
+        emit, move = at[:N_FEATURES], at[N_FEATURES:]
+        scores, mask = _padded(feats, emit)
+        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
         ahead[:, 0] = scores[:, 0]
         for t in range(1, longest):
             ahead[:, t] = np.where(mask[:, t, None], log_sum(ahead[:, t - 1][:, :, None] + move, 1) + scores[:, t], ahead[:, t - 1])
-        behind = np.zeros_like(scores)
         for t in range(longest - 2, -1, -1):
             behind[:, t] = np.where(mask[:, t + 1, None], log_sum(move + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0.0)
         total = log_sum(ahead[:, -1], 1)
         here = np.exp(ahead + behind - total[:, None, None])
         here[np.arange(n)[:, None], np.arange(longest), gold] -= 1
         g = np.zeros_like(at)
-        flat = here.reshape(-1, size)[where]
-        for c in range(ids.shape[1]):
-            np.add.at(g[:n_feat], ids[:, c], flat)
+        flat = here[mask]
+        for c in range(size):
+            g[:N_FEATURES, c] = np.bincount(ids.reshape(-1), np.repeat(flat[:, c], ids.shape[1]), N_FEATURES)
         for t in range(1, longest):
-            k = pairs[:, t - 1]
-            if k.any():
-                both = np.exp(ahead[k, t - 1][:, :, None] + move + (scores[k, t] + behind[k, t])[:, None, :] - total[k][:, None, None])
-                g[n_feat:] += both.sum(axis=0)
-                np.add.at(g[n_feat:], (gold[k, t - 1], gold[k, t]), -1)
+            k = mask[:, t]
+            both = np.exp(ahead[k, t - 1][:, :, None] + move + (scores[k, t] + behind[k, t])[:, None, :] - total[k][:, None, None])
+            g[N_FEATURES:] += both.sum(axis=0)
+            np.add.at(g[N_FEATURES:], (gold[k, t - 1], gold[k, t]), -1)
         g = g / n + ridge * at
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         at = at - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Field(at[:n_feat].copy(), at[n_feat:].copy())
-
-
-def labelled_windows(texts: list[str], most: int = 1_500) -> tuple[list, list]:
-    seqs, labels = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for a, b in windows(text):
-            places, feats = tokens_of(text, a, b)
-            near = [s for s in spans if s[2] > a and s[0] < b]
-            cut = any(s[0] < a or s[2] > b for s in near)
-            # A number the patterns refuse though a card is in it teaches nothing either way.
-            unsure = any(is_card(text[x:y]) and not any(s[0] <= x and y <= s[2] for s in near) for x, y in places)
-            if 0 < len(places) <= 120 and not cut and not unsure and len(seqs) < most:
-                seqs.append(feats)
-                labels.append(labels_of(places, near))
-    return seqs, labels
-
-
-def fit(docs: DataFrame, max_rows: int = 3_000) -> Field | None:
-    """Trains on windows of at most max_rows documents with a digit or @ in them: those
-    whose hash is below nine tenths of max_rows over their number, so tasks send few."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.pmod(F.xxhash64(row_key("doc_id", "text"), F.lit(6)), F.lit(1 << 40)).alias("draw"))
-    below = min(1.0, 0.9 * max_rows / max(1, some.count())) * (1 << 40)
-    seqs, labels = labelled_windows([r[0] for r in some.where(F.col("draw") < int(below)).select("text").limit(max_rows).collect()])
-    return train(seqs, labels) if seqs else None
+    return Field(at[:N_FEATURES].copy(), at[N_FEATURES:].copy())
+
+
+def varied(rows: tuple[str, ...], table: tuple[str, ...], times: int) -> list[str]:
+    """rows, and each of them `times` more with its spans in other forms of their kind,
+    taken in turn from the table."""
+    forms = {k: sorted({m[2] for r in table for m in MARKED.finditer(r) if m[1] == k}) for k in KINDS}
+    other = lambda m, at: f"{{{m[1]}:{forms[m[1]][at % len(forms[m[1]])]}}}"
+    return [*rows, *(MARKED.sub(lambda m: other(m, 7 * t + k), r) for t in range(1, times + 1) for k, r in enumerate(rows) if MARKED.search(r))]  # noqa: B023
+
+
+def labelled_windows(rows: Iterable[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features and labels of the windows of marked rows."""
+    feats, labels = [], []
+    for row in rows:
+        text, spans = marked_row(row)
+        for places, f, *_ in windows(text):
+            feats.append(f)
+            labels.append(labels_of(places, spans))
+    return feats, labels
+
+
+@lru_cache(4)
+def fit(rows: tuple[str, ...] = tuple(LABELLED), table: tuple[str, ...] = tuple(LABELLED), times: int = 4) -> Field:
+    """A field from a small labelled table of marked rows, each also with other forms of the
+    table; the driver holds no other data."""
+    return train(*labelled_windows(varied(rows, table, times)))
 
 
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHECKS = (
-    lambda s: "@" in s and "." in s.partition("@")[2],
+    lambda s: bool(ADDRESS.fullmatch(s)),
     lambda s: len(p := s.split(".")) == 4 and all(x.isascii() and x.isdigit() and octet(x) for x in p),
-    is_card,
-    lambda s: 10 <= len(_digits(s)) <= 15 and bool(re.fullmatch(r"\+?[\x20().0-9-]+", s)),
+    lambda s: bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", s)) and is_card(s),
+    lambda s: 10 <= len(_digits(s)) <= 15 and bool(re.fullmatch(r"\+?[(0-9][\x20().0-9-]+[0-9]", s)) and any(c in " -(" for c in s),
 )
 
 
-def added_spans(texts: list[str], bases: list[list[Span]], field: Field, batch: int = 512) -> list[list[Span]]:
-    """What the field finds clear of the base spans, windows decoded batch by batch."""
-    out: list[list[Span]] = [[] for _ in texts]
-    held: list[tuple[int, list, list]] = []
+def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list[list[Span]]:
+    """What the field finds clear of the base spans, windows decoded CELLS tokens at a time."""
+    found: list[list[list[int]]] = [[] for _ in texts]  # kind, begin, end, number of the last token
+    held: list[tuple] = []
+    size = number = 0
 
     def decode() -> None:
-        for (k, places, _), path in zip(held, field.viterbi([h[2] for h in held]), strict=True):
-            text, at = texts[k], 0
-            while at < len(path):
-                kind, end = (path[at] - 1) // 2, at + 1
-                if path[at] == 0:
-                    at += 1
-                    continue
-                while end < len(path) and path[end] == 2 + 2 * kind:
-                    end += 1
-                a, b = places[at][0], places[end - 1][1]
-                if CHECKS[kind](text[a:b]) and not any(s[0] < b and a < s[2] for s in bases[k]):
-                    out[k].append((a, int(kind), b))
-                at = end
+        nonlocal number
+        for (k, places, _, lo, hi, goes_on), path in zip(held, field.viterbi([h[2] for h in held]), strict=True):
+            number += not goes_on  # a gap between windows ends a span
+            for t in np.flatnonzero(path[lo:hi]) + lo:
+                label, here = int(path[t]), number + int(t) - lo
+                kind, (x, y) = (label - 1) // 2, places[t].tolist()
+                last = found[k][-1] if found[k] else None
+                if label % 2 == 0 and last and last[0] == kind and last[3] == here - 1:
+                    last[2], last[3] = y, here
+                else:
+                    found[k].append([kind, x, y, here])
+            number += hi - lo
         held.clear()
 
     for k, text in enumerate(texts):
-        for a, b in windows(text):
-            places, feats = tokens_of(text, a, b)
-            if places:
-                held.append((k, places, feats))
-                if len(held) >= batch:
-                    decode()
+        for places, feats, lo, hi, goes_on in windows(text):
+            held.append((k, places, feats, lo, hi, goes_on))
+            size += len(places)
+            if size >= CELLS:
+                decode()
+                size = 0
     if held:
         decode()
+    out: list[list[Span]] = []
+    for text, base, spans in zip(texts, bases, found, strict=True):
+        starts = [s[0] for s in base]
+        reach = list(accumulate((s[2] for s in base), max))
+        clear = []
+        for kind, a, b, _ in spans:
+            before = bisect_left(starts, b)  # base spans that begin before the end
+            bordered = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
+            if not bordered and not (before and reach[before - 1] > a) and CHECKS[kind](text[a:b]):
+                clear.append((a, kind, b))
+        out.append(clear)
     return out
 
 
@@ -286,8 +453,10 @@ def _joined(spans: list[Span]) -> str:
 
 
 def _both(batch: pa.RecordBatch, column: int, field: Field | None) -> Iterator[tuple[str, list[Span], list[Span]]]:
-    for at in range(0, batch.num_rows, 512):
-        texts = [t or "" for t in batch.column(column).slice(at, 512).to_pylist()]
+    texts_of = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts_of.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes, 1 << 20):
+        texts = [t or "" for t in texts_of.slice(a, b - a).to_pylist()]
         bases = [base_spans(t) for t in texts]
         more = added_spans(texts, bases, field) if field is not None else [[] for _ in texts]
         yield from zip(texts, bases, more, strict=True)
@@ -338,7 +507,7 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
 
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return find_private(docs, fit(docs)).drop("base_spans")
+    return find_private(docs, fit()).drop("base_spans")
 
 
 QUERIES = {"op6_private_data": op6_private_data}
