@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .network import _written, small
+from ..sources.scratch import written
+from .network import small
 
 ROUTE = ["request_id", "rank"]
 
@@ -17,12 +18,13 @@ def along(name: str, way: str) -> Column:
 
 
 def chained(rows: DataFrame, levels: list[tuple[DataFrame, list[str]]], value: str, most: float) -> DataFrame:
-    """The first level of tables that has the row's key, held to at most."""
+    """The first level of tables that has a value for the row's key, held to at most; null
+    where no level has one."""
     out, found = rows, []
     for k, (table, keys) in enumerate(levels):
         out = out.join(table.select(*keys, F.col(value).alias(f"v{k}")), keys, "left")
         found.append(f"v{k}")
-    return out.withColumn(value, F.round(F.least(F.coalesce(*found), F.lit(most)), 1)).drop(*found)
+    return out.withColumn(value, F.when(F.coalesce(*found).isNotNull(), F.round(F.least(F.coalesce(*found), F.lit(most)), 1))).drop(*found)
 
 
 def through_pass(steps: DataFrame, trunks: DataFrame) -> DataFrame:
@@ -70,16 +72,16 @@ def running_order(starts: DataFrame, follows: DataFrame) -> DataFrame:
     """(line_id, node, pos): each line walked from its start along follows (line_id,
     from_node, to_node, one successor each), a node once; by doubling jumps, so a line of
     n stations takes log2(n) rounds."""
-    jumps = _written(follows.select("line_id", "from_node", "to_node"))
-    placed = _written(starts.select("line_id", "node", F.lit(0).alias("pos")))
+    jumps = written(follows.select("line_id", "from_node", "to_node"))
+    placed = written(starts.select("line_id", "node", F.lit(0).alias("pos")))
     hop = 1
     while True:
         ahead = placed.join(jumps.withColumnRenamed("from_node", "node"), ["line_id", "node"]).select("line_id", F.col("to_node").alias("node"), (F.col("pos") + hop).alias("pos"))
-        both = _written(placed.union(ahead).groupBy("line_id", "node").agg(F.min("pos").alias("pos")))
+        both = written(placed.union(ahead).groupBy("line_id", "node").agg(F.min("pos").alias("pos")))
         if both.count() == placed.count():
             return both
         placed, hop = both, 2 * hop
-        jumps = _written(jumps.alias("a").join(jumps.alias("b"), (F.col("a.line_id") == F.col("b.line_id")) & (F.col("a.to_node") == F.col("b.from_node"))).select("a.line_id", "a.from_node", "b.to_node"))
+        jumps = written(jumps.alias("a").join(jumps.alias("b"), (F.col("a.line_id") == F.col("b.line_id")) & (F.col("a.to_node") == F.col("b.from_node"))).select("a.line_id", "a.from_node", "b.to_node"))
 
 
 def tips(requests: DataFrame, rows: DataFrame) -> DataFrame:

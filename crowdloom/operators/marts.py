@@ -30,39 +30,71 @@ def station_master(rides: DataFrame, keys: list[str], name: str, period: str, am
     )
 
 
-def shares(master: DataFrame, group: list[str], member: str, amount: str, periods: str, dominant: float = 0.95) -> DataFrame:
-    """Share of the group's total, whether the group has several members, whether one of
-    them gets nearly all, and whether all periods are covered."""
-    groups = master.groupBy(*group).agg(F.sum(amount).alias("group_total"), F.count_distinct(member).alias("n_members"), F.max(periods).alias("most_periods"))
-    share = F.try_divide(F.col(amount), F.col("group_total"))
+def shares(master: DataFrame, name: str, member: str, amount: str, periods: str, negligible: float = 0.01) -> DataFrame:
+    """What share of its name's total a member has (four digits, 0 where the total is 0),
+    whether anything is booked to it (none, negligible, ok), whether the name has several
+    members, and whether it covers as many periods as any member of the table does."""
+    groups = master.groupBy(name).agg(F.sum(amount).alias("name_total"), F.count_distinct(member).alias("n_members"))
+    most = master.agg(F.max(periods).alias("most_periods"))
+    share = F.when(F.col("name_total") > 0, F.round(F.col(amount) / F.col("name_total"), 4)).otherwise(0.0)
     return (
-        master.join(groups, group)
-        .withColumn("share", share)
+        master.join(groups, name)
+        .join(F.broadcast(most))
+        .withColumn("share_in_name", share)
+        .withColumn("attribution_flag", F.when(F.col(amount) <= 0, "none").when(F.col("share_in_name") < negligible, "negligible").otherwise("ok"))
         .withColumn("is_transfer", (F.col("n_members") > 1).cast("int"))
-        .withColumn("attribution_flag", ((F.col("n_members") > 1) & ((share >= dominant) | (share <= 1 - dominant))).cast("int"))
         .withColumn("coverage_full", (F.col(periods) == F.col("most_periods")).cast("int"))
     )
 
 
+def alias_master(raw: DataFrame, master: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Raw names that are not their station's canonical one: parenthetical where it is the
+    latest raw name (so only its decoration is off), else renamed. master has keys,
+    latest_name and canonical_name."""
+    pairs = raw.select(*keys, name).dropDuplicates()
+    kind = F.when(F.col(name) == F.col("latest_name"), "parenthetical").otherwise("renamed")
+    return pairs.join(master.select(*keys, "latest_name", "canonical_name"), keys).where(F.col(name) != F.col("canonical_name")).select(*keys, F.col(name).alias("alias_name"), "canonical_name", kind.alias("alias_source"))
+
+
+def display_master(nodes: DataFrame, memberships: dict[str, DataFrame]) -> DataFrame:
+    """One row for each station_name of nodes (station_name, line_id, node): its lines, its
+    nodes (those of the main line, without @, first), counts, and a flag for each list."""
+    main_first = F.transform(F.array_sort(F.collect_set(F.struct(F.contains("node", F.lit("@")).alias("branch"), "node"))), lambda x: x["node"])
+    out = nodes.groupBy("station_name").agg(F.array_join(F.array_sort(F.collect_set("line_id")), ";").alias("lines"), F.array_join(main_first, ";").alias("nodes"), F.count_distinct("line_id").alias("n_lines"), F.count_distinct("node").alias("n_nodes"))
+    for flag, names in memberships.items():
+        out = out.join(names.select("station_name").distinct().withColumn(flag, F.lit(True)), "station_name", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out
+
+
+def transfer_aggregate(rows: DataFrame, volumes: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and least minutes, distinct patterns and branch mark of each transfer, with the
+    median of the station's volumes over all files. rows: station_name, minutes, pattern, is_branch."""
+    edges = rows.groupBy(*keys).agg(F.median("minutes").alias("median_min"), F.min("minutes").alias("least_min"), F.count_distinct("pattern").alias("patterns"), F.max(F.col("is_branch").cast("int")).alias("branch"))
+    return edges.join(volumes.groupBy("station_name").agg(F.median("volume").alias("volume")), "station_name", "left")
+
+
 def split_by_date(date: Column, train_to: str, valid_to: str) -> Column:
     return F.when(date <= F.lit(train_to).cast("date"), "train").when(date <= F.lit(valid_to).cast("date"), "valid").when(date.isNotNull(), "test").otherwise("train")
 
 
+def with_group_quantile(rows: DataFrame, train: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
+    """rows with the training quantile of their group, or of the whole table where the
+    group has none."""
+    known = train.where(F.col(value).isNotNull())
+    per_group = known.groupBy(*group).agg(F.percentile(value, q).alias("p_group"))
+    overall = known.agg(F.percentile(value, q).alias("p_all"))
+    return rows.join(per_group, group, "left").join(F.broadcast(overall)).withColumn(name, F.coalesce("p_group", "p_all")).drop("p_group", "p_all")
+
+
 def cell_mart(cells: DataFrame, group: list[str], rate: str = "congestion_rate", q: float = 0.95, extreme: float = 100.0) -> DataFrame:
     """Cells with their group's training quantile (the whole table's where a group has
     none), high and extreme labels, operating flag and perceived multiplier."""
-    train = cells.where((F.col("split") == "train") & F.col(rate).isNotNull())
-    per_group = train.groupBy(*group).agg(F.percentile(rate, q).alias("p_group"))
-    overall = train.agg(F.percentile(rate, q).alias("p_all"))
     return (
-        cells.join(per_group, group, "left")
-        .join(F.broadcast(overall))
-        .withColumn("threshold", F.coalesce("p_group", "p_all"))
+        with_group_quantile(cells, cells.where("split = 'train'"), group, rate, q, "threshold")
         .withColumn("is_operating", F.col(rate).isNotNull().cast("int"))
         .withColumn("label_high", F.when(F.col(rate).isNotNull(), (F.col(rate) > F.col("threshold")).cast("int")))
         .withColumn("label_extreme", F.when(F.col(rate).isNotNull(), (F.col(rate) >= extreme).cast("int")))
         .withColumn("perceived_multiplier", perceived_multiplier(F.col(rate)))
-        .drop("p_group", "p_all")
     )
 
 
@@ -125,3 +157,12 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     ranked = values.withColumn("below", F.sum("ties").over(order) - F.col("ties")).withColumn("n", F.sum("ties").over(W.partitionBy(F.lit(0))))
     rank = ranked.select(value, ((F.col("below") + 1 + (F.col("ties") - 1) / 2) / F.col("n")).alias(name))
     return df.join(rank, value, "left")
+
+
+def describe(cells: DataFrame, keys: list[str], value: str, kind: str, kinds: list[str], others: list[str]) -> DataFrame:
+    """Per group: rows of each kind, the value's null rate, count, mean, deviation, least,
+    quartiles and most, and its correlation with other columns; one pass."""
+    return cells.groupBy(*keys).agg(
+        *[F.count(F.when(F.col(kind) == k, 1)).alias(k) for k in kinds], F.avg(F.col(value).isNull().cast("int")).alias("null_rate"), F.count(value).alias("n"), F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *[F.percentile(value, q / 100).alias(f"p{q}") for q in (25, 50, 75)], F.max(value).alias("most"), *[F.corr(c, value).alias(f"corr_{c}") for c in others],
+    )

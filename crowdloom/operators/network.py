@@ -7,25 +7,13 @@ round is written out, so that plans stay short and lost executors cost one round
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SMALL_EDGES = 200_000
-
+from ..sources.scratch import written
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/network-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SMALL_EDGES = 200_000
 
 
 def small(edges: DataFrame) -> DataFrame:
@@ -51,13 +39,13 @@ def distances(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFr
     """Least minutes from each source to each node within the horizon, or to all nodes that
     can be reached where it is None. seeds: source, node, cost. Only nodes improved in a round are extended in the next."""
     step = small(edges.select(F.col("from_node").alias("node"), "to_node", "minutes"))
-    known = _written(seeds.groupBy("source", "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
+    known = written(seeds.groupBy("source", "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
     while True:
         ahead = known.where("fresh").join(step, "node").select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("minutes")).alias("cost"))
         ahead = ahead if horizon is None else ahead.where(F.col("cost") <= horizon)
         both = known.select("source", "node", "cost", F.lit(0).alias("new")).unionByName(ahead.withColumn("new", F.lit(1)))
         best = both.groupBy("source", "node").agg(F.min(F.struct("cost", "new")).alias("b"))
-        known = _written(best.select("source", "node", "b.cost", (F.col("b.new") == 1).alias("fresh")))
+        known = written(best.select("source", "node", "b.cost", (F.col("b.new") == 1).alias("fresh")))
         if known.where("fresh").isEmpty():
             return known.select("source", "node", "cost")
 
@@ -66,12 +54,12 @@ def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is connected, ignoring direction; labels
     move along edges and then jump to their label's label, so rounds are few."""
     both = edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")).distinct()
-    label = _written(nodes.select("node", F.col("node").alias("component")))
+    label = written(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(label.toDF("from_node", "near"), "from_node").groupBy(F.col("to_node").alias("node")).agg(F.min("near").alias("near"))
         moved = label.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = label.toDF("component", "jump")
-        new = _written(moved.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "was"))
+        new = written(moved.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "was"))
         label = new.select("node", "component")
         if new.where("component <> was").isEmpty():
             return label
@@ -85,10 +73,10 @@ def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None,
     it moves by a quarter, or to the least minutes that it cut off, until it cuts off nothing."""
     back = edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "minutes")
     ends = requests.select(F.col("destination").alias("source"), F.col("destination").alias("node"), F.lit(0).alias("cost")).distinct()
-    to_go = _written(distances(ends, back, horizon).select(F.col("source").alias("destination"), "node", F.col("cost").alias("to_go")))
+    to_go = written(distances(ends, back, horizon).select(F.col("source").alias("destination"), "node", F.col("cost").alias("to_go")))
     step = small(edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), "minutes"))
     held = (lambda bound: bound) if horizon is None else (lambda bound: F.least(bound, F.lit(horizon)))
-    open_requests = _written(requests.join(to_go.withColumnRenamed("node", "origin"), ["destination", "origin"]).select("request_id", "origin", "destination", held(F.col("to_go") + slack).alias("bound")))
+    open_requests = written(requests.join(to_go.withColumnRenamed("node", "origin"), ["destination", "origin"]).select("request_id", "origin", "destination", held(F.col("to_go") + slack).alias("bound")))
     done = None
     while not open_requests.isEmpty():
         live = open_requests.select("request_id", "destination", "bound", F.col("origin").alias("node"), F.array("origin").alias("path"), F.lit(0).alias("minutes_so_far"))
@@ -101,22 +89,22 @@ def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None,
             if horizon is None:
                 total = F.col("minutes_so_far") + F.col("to_go")
                 over = F.when(total > F.col("bound"), total)
-                tried = _written(moved.join(to_go, ["destination", "node"]).select("request_id", "destination", "bound", "node", F.when(over.isNull(), F.col("path")).alias("path"), "minutes_so_far", over.alias("over")))
+                tried = written(moved.join(to_go, ["destination", "node"]).select("request_id", "destination", "bound", "node", F.when(over.isNull(), F.col("path")).alias("path"), "minutes_so_far", over.alias("over")))
                 least = tried.where("over is not null").groupBy("request_id").agg(F.min("over").alias("over"))
                 cut, live = least if cut is None else cut.unionByName(least), tried.where("over is null").select(*moved.columns)
             else:
-                live = _written(moved.join(to_go, ["destination", "node"]).where("minutes_so_far + to_go <= bound").select(*moved.columns))
-        ranked = _written(found.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("minutes", F.array_join("path", ">")))).where(F.col("rank") <= k))
+                live = written(moved.join(to_go, ["destination", "node"]).where("minutes_so_far + to_go <= bound").select(*moved.columns))
+        ranked = written(found.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("minutes", F.array_join("path", ">")))).where(F.col("rank") <= k))
         counts = ranked.groupBy("request_id").agg(F.count("*").alias("n"))
         state = open_requests.join(counts, "request_id", "left")
         if horizon is None:
             state = state.join(cut.groupBy("request_id").agg(F.min("over").alias("wider")), "request_id", "left").withColumn("last", F.col("wider").isNull())
         else:
             state = state.withColumn("wider", held(F.col("bound") * 2)).withColumn("last", F.col("bound") >= horizon)
-        state = _written(state.withColumn("enough", (F.coalesce("n", F.lit(0)) >= k) | F.col("last")))
+        state = written(state.withColumn("enough", (F.coalesce("n", F.lit(0)) >= k) | F.col("last")))
         ready = ranked.join(state.where("enough").select("request_id"), "request_id", "left_semi")
         done = ready if done is None else done.unionByName(ready)
-        open_requests = _written(state.where("not enough").select("request_id", "origin", "destination", (F.col("wider") if horizon is not None else F.greatest("wider", F.ceil(F.col("bound") * 1.25).cast("int"))).alias("bound")))
+        open_requests = written(state.where("not enough").select("request_id", "origin", "destination", (F.col("wider") if horizon is not None else F.greatest("wider", F.ceil(F.col("bound") * 1.25).cast("int"))).alias("bound")))
     return done if done is not None else requests.limit(0).select("request_id", F.array("origin").alias("path"), F.lit(0).alias("minutes"), F.lit(0).alias("rank"))
 
 

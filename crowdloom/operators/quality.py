@@ -37,3 +37,45 @@ def orphans(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFra
 def share_at_least(value: str, cut: float) -> Column:
     """Share in percent; nulls count as below the cut."""
     return F.avg(F.coalesce(F.col(value) >= cut, F.lit(False)).cast("int")) * 100
+
+
+def file_profile(cells: DataFrame, keys: list[str], station: str, rate: str, outside: Column, cuts: tuple[int, ...]) -> DataFrame:
+    """Rows, stations, rows out of scope, shares and counts at or above each cut, largest
+    rate and its highest quantiles, per file or snapshot."""
+    at_least = [x for c in cuts for x in (share_at_least(rate, c).alias(f"share_{c}"), F.count(F.when(F.col(rate) >= c, 1)).alias(f"n_{c}"))]
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(station).alias("stations"), F.count(F.when(outside, 1)).alias("out_of_scope"), *at_least, F.max(rate).alias("max_rate"), F.percentile(rate, 0.99).alias("p99"), F.percentile(rate, 0.999).alias("p999"))
+
+
+def row_totals(wide: DataFrame, keys: list[str], cells: list[str], total: str, tolerance: float = 0.5) -> DataFrame:
+    """Rows whose cells do not add up to the total, missing and negative cells, and rows
+    beyond the first of their key. Keys are counted first, so the rest is one aggregate."""
+    added, nulls, negative = F.lit(0.0), F.lit(0), F.lit(0)
+    for c in cells:
+        added, nulls, negative = added + F.coalesce(c, F.lit(0.0)), nulls + F.col(c).isNull().cast("int"), negative + F.coalesce(F.col(c) < 0, F.lit(False)).cast("int")
+    per_key = wide.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.abs(added - F.col(total)) > tolerance, 1)).alias("bad"), F.sum(nulls).alias("nulls"), F.sum(negative).alias("negative"))
+    return per_key.agg(F.sum("n").alias("n_rows"), F.sum("bad").alias("mismatch"), F.sum("nulls").alias("null_cells"), F.sum("negative").alias("negative_cells"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
+
+
+def day_coverage(facts: DataFrame, date: str) -> DataFrame:
+    """Months between the first and the last whose observed days are not all of the month's."""
+    months = facts.select(date).distinct().groupBy(F.trunc(date, "MM").alias("ym")).agg(F.count("*").alias("days"))
+    calendar = months.agg(F.min("ym").alias("a"), F.max("ym").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("ym"))
+    every = F.dayofmonth(F.last_day("ym")).cast("long")
+    return calendar.join(months, "ym", "left").select("ym", F.coalesce("days", F.lit(0)).alias("days"), every.alias("days_in_month")).where("days <> days_in_month")
+
+
+def verdicts(checks: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """(check, failures, passed): each check is a frame of one row and what it counts as
+    failures there."""
+    out = None
+    for name, frame, failures in checks:
+        one = frame.select(F.lit(name).alias("check"), failures.cast("long").alias("failures"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("passed", F.col("failures") == 0)
+
+
+def coverage(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: distinct keys wanted, and of these how many are not found."""
+    w = wanted.select(*keys).distinct()
+    seen = found.select(*keys).distinct().withColumn("seen", F.lit(1))
+    return w.join(seen, keys, "left").agg(F.count("*").alias("n"), F.count(F.when(F.col("seen").isNull(), 1)).alias("missing"))

@@ -13,13 +13,15 @@ from .views import CONG, RIDES, congestion, rides, table
 Spark = SparkSession
 
 
-@query("D13_file_profile", f"with {CONG} select snapshot_date, count(*) as n, count(distinct station_code) as stations, round(avg(cast(coalesce(congestion_rate >= 100, false) as integer)) * 100, 9) as share_100, round(avg(cast(coalesce(congestion_rate >= 130, false) as integer)) * 100, 9) as share_130, max(congestion_rate) as max_rate, round(quantile_cont(congestion_rate, 0.99), 9) as p99 from cong group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    r = lambda c, n: F.round(c, 9).alias(n)
-    return congestion(spark, d).groupBy("snapshot_date").agg(
-        F.count("*").alias("n"), F.count_distinct("station_code").alias("stations"), r(Q.share_at_least("congestion_rate", 100), "share_100"), r(Q.share_at_least("congestion_rate", 130), "share_130"),
-        F.max("congestion_rate").alias("max_rate"), r(F.percentile("congestion_rate", 0.99), "p99"),
-    )
+CUTS = (80, 100, 130, 150)
+D13 = f"""with {CONG} select snapshot_date, count(*) as n, count(distinct station_code) as stations, cast(count(*) filter (station_code not between 0 and 19) as bigint) as out_of_scope, {", ".join(f"round(avg(cast(coalesce(congestion_rate >= {c}, false) as integer)) * 100, 9) as share_{c}, count(*) filter (congestion_rate >= {c}) as n_{c}" for c in CUTS)},
+ max(congestion_rate) as max_rate, round(quantile_cont(congestion_rate, 0.99), 9) as p99, round(quantile_cont(congestion_rate, 0.999), 9) as p999 from cong group by 1"""
+
+
+@query("D13_file_profile", D13)
+def file_profile(spark: Spark, d: str) -> DataFrame:
+    out = Q.file_profile(congestion(spark, d), ["snapshot_date"], "station_code", "congestion_rate", ~F.col("station_code").between(0, 19), CUTS)
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" and c != "max_rate" else c for c, t in out.dtypes])
 
 
 @query("D14_alias_candidates", "with a as (select split_part(p_name, ' ', 2) as key, p_name, p_partkey from part) select key, string_agg(distinct p_name, '|' order by p_name) as names, count(distinct p_name) as n_names, min(p_partkey) as first_seen, max(p_partkey) as last_seen, count(*) as n from a group by 1 having count(distinct p_name) > 1")
@@ -29,17 +31,25 @@ def _(spark: Spark, d: str) -> DataFrame:
     return out.where("n_names > 1")
 
 
-D18 = f"with {WIDE}, r as (select l_suppkey, " + " + ".join(f"coalesce(h{k}, 0)" for k in range(1, 8)) + " as s, " + " + ".join(f"cast(h{k} is null as integer)" for k in range(1, 8)) + " as nulls from wide), t as (select l_suppkey, sum(l_quantity) as total from lineitem group by 1) select count(*) filter (s <> total) as mismatch, cast(sum(nulls) as bigint) as null_cells, count(*) as suppliers from r join t using (l_suppkey)"
+SOME = "r as (select l_suppkey, " + ", ".join(f"case when l_suppkey % 13 = {k} then -h{k} else h{k} end as h{k}" for k in range(1, 8)) + " from wide union all select * from wide where l_suppkey % 10 = 0)"
+D18 = f"""with {WIDE}, {SOME}, t as (select l_suppkey, sum(l_quantity) as total from lineitem group by 1)
+select count(*) as n_rows, count(*) filter (abs({" + ".join(f"coalesce(h{k}, 0)" for k in range(1, 8))} - total) > 0.5) as mismatch, cast(sum({" + ".join(f"cast(h{k} is null as integer)" for k in range(1, 8))}) as bigint) as null_cells,
+ cast(sum({" + ".join(f"cast(coalesce(h{k} < 0, false) as integer)" for k in range(1, 8))}) as bigint) as negative_cells, (select cast(coalesce(sum(c - 1), 0) as bigint) from (select count(*) as c from r group by l_suppkey)) as duplicate_rows from r join t using (l_suppkey)"""
 
 
 @query("D18_row_totals", D18)
-def _(spark: Spark, d: str) -> DataFrame:
-    cells = [F.col(f"h{k}") for k in range(1, 8)]
+def row_totals(spark: Spark, d: str) -> DataFrame:
+    """The wide table with some negative cells and some rows twice, against its totals."""
+    names = [f"h{k}" for k in range(1, 8)]
+    w = wide(spark, d)
+    spoilt = w.select("l_suppkey", *[F.when(F.col("l_suppkey") % 13 == k, -F.col(c)).otherwise(F.col(c)).alias(c) for k, c in enumerate(names, 1)]).unionByName(w.where("l_suppkey % 10 = 0"))
     total = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total"))
-    s, nulls = F.coalesce(cells[0], F.lit(0.0)), cells[0].isNull().cast("int")
-    for c in cells[1:]:
-        s, nulls = s + F.coalesce(c, F.lit(0.0)), nulls + c.isNull().cast("int")
-    return wide(spark, d).withColumn("s", s).withColumn("nulls", nulls).join(total, "l_suppkey").agg(F.count(F.when(F.col("s") != F.col("total"), 1)).alias("mismatch"), F.sum("nulls").alias("null_cells"), F.count("*").alias("suppliers"))
+    return Q.row_totals(spoilt.join(total, "l_suppkey"), ["l_suppkey"], names, "total")
+
+
+@query("D18_day_coverage", f"with {RIDES}, m as (select cast(date_trunc('month', date) as date) as ym, count(distinct date) as days from rides where station_code < 15 group by 1), c as (select cast(unnest(generate_series(min(ym), max(ym), interval 1 month)) as date) as ym from m) select ym, coalesce(days, 0) as days, day(last_day(ym)) as days_in_month from c left join m using (ym) where coalesce(days, 0) <> day(last_day(ym))")
+def day_coverage(spark: Spark, d: str) -> DataFrame:
+    return Q.day_coverage(rides(spark, d).where("station_code < 15"), "date")
 
 
 @query("D18_missing_months", f"with {RIDES}, m as (select distinct date_trunc('month', date) as m, station_code from rides), c as (select cast(unnest(generate_series(min(m), max(m), interval 1 month)) as date) as ym from m), s as (select distinct station_code from m) select ym, s.station_code from c cross join s where not exists (select 1 from m where m.m = c.ym and m.station_code = s.station_code)")

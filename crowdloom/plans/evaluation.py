@@ -56,27 +56,32 @@ def _(spark: Spark, d: str) -> DataFrame:
     return rounded(out, "level").withColumn("r2", F.round("r2", 6))
 
 
-T = f"th as (select quantile_cont(congestion_rate, 0.95) * 0.75 as t from tr where congestion_rate is not null)"
+#: Each row's own threshold: its station and direction's training quantile (all stations'
+#: where there is none). Rates are flat here, so the median stands for the 95th percentile.
+GROUP, SHARE = ["line_id", "station_code", "direction"], 0.5
+T = f"""tg as (select line_id, station_code, direction, quantile_cont(congestion_rate, {SHARE}) as t from tr where congestion_rate is not null group by 1, 2, 3), ta as (select quantile_cont(congestion_rate, {SHARE}) as t from tr where congestion_rate is not null),
+pt as (select p.*, coalesce(tg.t, ta.t) as t from p cross join ta left join tg using (line_id, station_code, direction) where congestion_rate is not null and l2 is not null)"""
 PRF = "round(coalesce(count(*) filter (h and g) / nullif(count(*) filter (g), 0), 0), 9) as precision, round(coalesce(count(*) filter (h and g) / nullif(count(*) filter (h), 0), 0), 9) as recall, round(coalesce(2 * count(*) filter (h and g) / nullif(count(*) filter (h) + count(*) filter (g), 0), 0), 9) as f1"
 
 
 def with_threshold(spark: Spark, d: str) -> DataFrame:
-    cut = split_cells(spark, d).where("split = 'train'").agg((F.percentile("congestion_rate", 0.95) * 0.75).alias("t"))
-    return predicted(spark, d).where("congestion_rate is not null and l2 is not null").join(F.broadcast(cut)).withColumn("hit", F.col("congestion_rate") > F.col("t")).withColumn("said", F.col("l2") > F.col("t"))
+    rows = predicted(spark, d).where("congestion_rate is not null and l2 is not null")
+    out = marts.with_group_quantile(rows, split_cells(spark, d).where("split = 'train'"), GROUP, "congestion_rate", SHARE, "t")
+    return out.withColumn("hit", F.col("congestion_rate") > F.col("t")).withColumn("said", F.col("l2") > F.col("t"))
 
 
-@query("M4_high_cells", f"{FULL}, {T}, q as (select line_id, congestion_rate > t as h, l2 > t as g from p cross join th where congestion_rate is not null and l2 is not null) select line_id, {PRF} from q group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
+@query("M4_high_cells", f"{FULL}, {T}, q as (select line_id, congestion_rate > t as h, l2 > t as g from pt) select line_id, {PRF} from q group by 1")
+def high_cells(spark: Spark, d: str) -> DataFrame:
     return rounded(with_threshold(spark, d).groupBy("line_id").agg(*V.precision_recall(F.col("hit"), F.col("said"))), "line_id")
 
 
-M5 = f"""{FULL}, {T}, q as (select round(l2, 9) as score, congestion_rate > t as h from p cross join th where congestion_rate is not null and l2 is not null), g as (select score, count(*) filter (h) as pos, count(*) as n from q group by 1),
+M5 = f"""{FULL}, {T}, q as (select round(l2, 9) as score, congestion_rate > t as h from pt), g as (select score, count(*) filter (h) as pos, count(*) as n from q group by 1),
 c as (select *, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as said, sum(pos) over () as allp from g)
 select round(sum(pos / nullif(allp, 0) * tp / said), 9) as average_precision, round(max(tp / nullif(allp, 0)) filter (tp / said >= 0.5), 9) as recall_at_half from c"""
 
 
 @query("M5_average_precision", M5)
-def _(spark: Spark, d: str) -> DataFrame:
+def score_curve(spark: Spark, d: str) -> DataFrame:
     return rounded(V.average_precision(with_threshold(spark, d).withColumn("score", F.round("l2", 9)), "score", "hit"))
 
 

@@ -54,10 +54,12 @@ def _(spark: Spark, d: str) -> DataFrame:
     return daily(spark, d).join(busy, ["station_code", "date"], "left_anti").groupBy(*KEYS).agg(F.count("*").alias("days"), F.sum("x").alias("x"))
 
 
-@query("C9_active_events", f"with {EVENTS} select o_orderkey, event_id from orders join ev on cast(o_orderdate as date) between start_date and end_date where o_orderkey % 10 = 0", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    asked = table(spark, d, "orders").where(F.lit(True) if whole else F.expr("o_orderkey % 10 = 0")).select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    return asked.join(impact.event_days(events(spark, d)).select("event_id", "date"), "date").select("o_orderkey", "event_id")
+@query("C9_active_events", f"with {EVENTS} select o_orderkey, event_id from orders join ev on cast(o_orderdate as date) between start_date and end_date and list_contains(string_split(peak_hour_bins, ';'), cast(o_orderkey % 8 as varchar))")
+def active_events(spark: Spark, d: str) -> DataFrame:
+    """Orders as queries with a date and an hour: the events active at that hour."""
+    asked = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 8).cast("int").alias("hour"))
+    hours = impact.event_days(events(spark, d)).withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0)))
+    return asked.join(hours.select("event_id", "date", "hour"), ["date", "hour"]).select("o_orderkey", "event_id")
 
 
 SPIKE = f"""with {BASE}, {OWN}, {STATS.format(least=LEAST)},
@@ -85,16 +87,18 @@ s as (select t.event_id, t.station_code, t.date, t.direction, t.hour, median(c.x
 select t.event_id, t.station_code, t.date, t.direction, cast(sum(x) as bigint) as actual, round(sum(base), 9) as base, count(*) as n_hours from t join s using (event_id, station_code, date, direction, hour) group by 1, 2, 3, 4 having bool_and(n >= 1)"""
 
 
+def hourly(spark: Spark, d: str) -> DataFrame:
+    return rides(spark, d).groupBy(*KEYS, "hour", "date").agg(F.sum("passenger_count").alias("x"))
+
+
+def peak() -> F.Column:
+    return S.hour_list(F.col("peak_hour_bins"), before=0)
+
+
 @query("I2_peak_hour_spike", I2)
-def _(spark: Spark, d: str) -> DataFrame:
-    days = impact.event_days(events(spark, d))
-    hourly = rides(spark, d).groupBy(*KEYS, "hour", "date").agg(F.sum("passenger_count").alias("x"))
-    asked = days.withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0))).select("event_id", "station_code", "date", "hour")
-    present = asked.join(hourly, ["station_code", "date", "hour"])
-    base = impact.baselines(present, hourly, days, [*KEYS, "hour"], "x", least=1).drop("mad")
-    per = present.join(base, [*KEYS, "hour", "date"], "left").groupBy("event_id", "station_code", "date", "direction")
-    out = per.agg(F.sum("x").alias("actual"), F.round(F.sum("base"), 9).alias("base"), F.count("*").alias("n_hours"), F.bool_and(F.col("base").isNotNull()).alias("whole"))
-    return out.where("whole").drop("whole")
+def peak_hours(spark: Spark, d: str) -> DataFrame:
+    days = impact.event_days(events(spark, d)).select("event_id", "station_code", "date", "peak_hour_bins")
+    return impact.peak_sums(days, hourly(spark, d), peak(), KEYS, "x", 1).withColumn("base", F.round("base", 9)).drop("ratio")
 
 
 I3 = f"with {BASE} select a.event_id, a.station_code, a.date, string_agg(distinct cast(b.event_id as varchar), ';' order by cast(b.event_id as varchar)) as confounders from days a left join days b on b.station_code = a.station_code and b.date = a.date and b.event_id <> a.event_id group by 1, 2, 3"
@@ -105,76 +109,144 @@ def _(spark: Spark, d: str) -> DataFrame:
     return impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", "confounders")
 
 
-WEIGHT = {"not_significant": 0.0, "weak": 0.25, "medium": 0.5, "strong": 0.75, "very_strong": 1.0}
-CLASS = "case when r is null then null when r < 1.2 then 'not_significant' when r < 1.5 then 'weak' when r < 2.0 then 'medium' when r < 3.0 then 'strong' else 'very_strong' end"
-I4 = f"""{SPIKE}, c as (select distinct a.event_id, a.station_code, a.date from days a join days b on b.station_code = a.station_code and b.date = a.date and b.event_id <> a.event_id),
-p as (select s.event_id, coalesce(max(ratio) filter (c.event_id is null), max(ratio)) as r, count(*) as n_days from spike s left join c on c.event_id = s.event_id and c.station_code = s.station_code and c.date = s.date group by 1), q as (select *, {CLASS} as strength from p)
-select event_id, round(r, 9) as ratio, strength, case strength when 'not_significant' then 0.0 when 'weak' then 0.25 when 'medium' then 0.5 when 'strong' then 0.75 when 'very_strong' then 1.0 end as weight, n_days from q"""
+#: What each class of verified strength weighs.
+WEIGHT = {"not_significant": 0.0, "weak": 0.2, "medium": 0.4, "strong": 0.7, "very_strong": 1.0}
+CLASS = "case when ratio < 1.2 then 'not_significant' when ratio < 1.5 then 'weak' when ratio < 2.0 then 'medium' when ratio < 3.0 then 'strong' else 'very_strong' end"
+BASE2 = BASE.replace(", daily as", ", evr as (select *, 'anchor' as role from ev union all select * replace (cast((station_code + 1) % 25 as integer) as station_code), 'impact' as role from ev), daily as").replace("select ev.*, cast(unnest", "select evr.*, cast(unnest").replace("as date from ev)", "as date from evr)")
+PEAKS = I2[I2.index("hourly as") : I2.rindex("select t.event_id, t.station_code")].replace("select event_id, station_code, date, h.direction", "select event_id, role, station_code, date, h.direction").rstrip()
+VERIFIED = f"""with {BASE2}, {OWN}, {STATS.format(least=LEAST)}, {PEAKS.replace("select t.event_id, t.station_code", "select t.event_id, t.role, t.station_code")},
+sp as (select days.event_id, role, days.station_code, days.date, d.direction, 'daily' as scope, x / nullif(base, 0) as ratio from days join daily d using (station_code, date) join base b on b.station_code = d.station_code and b.direction = d.direction and b.date = d.date
+ union all select t.event_id, t.role, t.station_code, t.date, t.direction, 'peak_hours', sum(x) / nullif(sum(base), 0) from t join s using (event_id, role, station_code, date, direction, hour) group by 1, 2, 3, 4, 5 having bool_and(n >= {LEAST})),
+conf as (select distinct a.event_id, a.station_code, a.date from days a join days b on b.station_code = a.station_code and b.date = a.date and b.event_id <> a.event_id),
+an as (select sp.*, conf.event_id is null as clear from sp left join conf using (event_id, station_code, date) where role = 'anchor' and ratio is not null),
+ver as (select event_id, station_code, direction, scope, date, ratio, {CLASS} as strength, cast(event_id % 11 = 0 as integer) as excluded, case when event_id % 11 = 0 then 0.0::double else case {CLASS} when 'weak' then 0.2 when 'medium' then 0.4 when 'strong' then 0.7 when 'very_strong' then 1.0 else 0.0 end::double end as weight
+ from an where clear or not exists (select 1 from an where clear) qualify row_number() over (partition by event_id order by ratio desc, date, direction, scope, station_code) = 1)"""
+
+
+def all_spikes(spark: Spark, d: str) -> DataFrame:
+    """Daily and peak-hour spikes at anchors and impact stations, with confounding events."""
+    known = impact.with_roles(events(spark, d), ((F.col("station_code") + 1) % 25).cast("int"))
+    days, roll = impact.event_days(known), daily(spark, d)
+    own = roll.join(days.select("station_code", "date").distinct(), ["station_code", "date"], "left_semi")
+    whole = impact.spikes(days, roll, impact.baselines(own, roll, days, KEYS, "x", least=LEAST), KEYS, "x").withColumn("scope", F.lit("daily"))
+    in_peak = impact.peak_sums(days.select("event_id", "role", "station_code", "date", "peak_hour_bins"), hourly(spark, d), peak(), KEYS, "x", LEAST).withColumn("scope", F.lit("peak_hours"))
+    columns = ["event_id", "role", "station_code", "date", "direction", "scope", "ratio"]
+    marked = impact.confounding(days.select("event_id", "station_code", "date").distinct()).select("event_id", "station_code", "date", "confounders")
+    return whole.select(*columns).unionByName(in_peak.select(*columns)).join(marked, ["event_id", "station_code", "date"])
 
 
 def verified(spark: Spark, d: str) -> DataFrame:
-    marked = impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", "confounders")
-    return impact.verify(spike(spark, d).join(marked, ["event_id", "station_code", "date"]), [], WEIGHT)
+    return impact.verify(all_spikes(spark, d), events(spark, d).where("event_id % 11 = 0"), WEIGHT)
 
 
-@query("I4_verified_strength", I4.replace("then 0.0", "then 0.0::double").replace("then 0.25", "then 0.25::double"))
-def _(spark: Spark, d: str) -> DataFrame:
+@query("I4_verified_strength", f"{VERIFIED} select event_id, station_code, direction, date, round(ratio, 9) as ratio, strength, excluded, weight, case scope when 'peak_hours' then 'peak_hours_only' else 'daily' end as apply_scope from ver")
+def verified_strength(spark: Spark, d: str) -> DataFrame:
     return verified(spark, d).withColumn("ratio", F.round("ratio", 9))
 
 
-SCALE = "scale as (select station_code, line_id, sum(passenger_count) / count(distinct date) as scale from rides group by 1, 2), treated as (select distinct station_code from ev where station_code % 2 = 0)"
-CTRL = f"""with {BASE}, {SCALE}, c as (select t.station_code, p.station_code as control, round(abs(ln(1 + t.scale) - ln(1 + p.scale)), 12) as distance from scale t join scale p on not (t.line_id = p.line_id and abs(t.station_code - p.station_code) <= 3)
+#: Stations of exams in 1998 are treated, and those exams are what is estimated.
+CTRL = f"""with {BASE}, te as (select * from ev where event_type = 'exam' and year(start_date) = 1998), scale as (select station_code, line_id, sum(passenger_count) / count(distinct date) as scale from rides group by 1, 2), treated as (select distinct station_code from te),
+c as (select t.station_code, p.station_code as control, round(abs(ln(1 + t.scale) - ln(1 + p.scale)), 12) as distance from scale t join scale p on not (t.line_id = p.line_id and abs(t.station_code - p.station_code) <= 3)
  where t.station_code in (select station_code from treated) and p.station_code not in (select station_code from treated)), ctrl as (select *, row_number() over (partition by station_code order by distance, control) as rank from c qualify rank <= 5)"""
 
 
-def matched(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+def treated_events(spark: Spark, d: str) -> DataFrame:
+    return events(spark, d).where("event_type = 'exam' and year(start_date) = 1998")
+
+
+def matched(spark: Spark, d: str) -> DataFrame:
     scale = rides(spark, d).groupBy("station_code", "line_id").agg((F.sum("passenger_count") / F.count_distinct("date")).alias("scale"))
-    treated = events(spark, d).select("station_code").distinct().where("station_code % 2 = 0")
-    return impact.controls(scale, treated), treated
+    return impact.controls(scale, treated_events(spark, d).select("station_code").distinct())
 
 
 @query("C12_matched_controls", f"{CTRL} select station_code, control, rank, round(distance, 9) as distance from ctrl")
-def _(spark: Spark, d: str) -> DataFrame:
-    return matched(spark, d)[0].withColumn("distance", F.round("distance", 9))
+def matched_controls(spark: Spark, d: str) -> DataFrame:
+    return matched(spark, d).withColumn("distance", F.round("distance", 9))
+
+
+def stats_sql(name: str, clean: str) -> str:
+    """Baselines of `targets` from the rows of `clean`, under another name."""
+    return STATS.format(least=1).replace("samples", f"samples_{name}").replace("stats", f"stats_{name}").replace("base as", f"base_{name} as").replace("join clean c", f"join {clean} c")
 
 
-I5 = f"""{CTRL}, targets as (select distinct d.station_code, d.direction, d.date from daily d join (select distinct date from days) using (date)), {STATS.format(least=1)},
-r as (select d.station_code, d.direction, d.date, x, base, x / nullif(base, 0) as ratio from daily d join base using (station_code, direction, date)),
-o as (select days.event_id, m.station_code, m.date, m.direction, m.ratio, m.x, m.base, median(k.ratio) as cr, count(*) as n_controls from days join treated using (station_code) join r m using (station_code, date) join ctrl on ctrl.station_code = m.station_code join r k on k.station_code = ctrl.control and k.date = m.date and k.direction = m.direction group by all)
+RATIOS = f"""targets as (select * from daily), clean_all as (select * from daily d where d.date not in (select date from busy)), {stats_sql("t", "clean")}, {stats_sql("c", "clean_all")},
+rt as (select d.station_code, d.direction, d.date, x, base, x / nullif(base, 0) as ratio from daily d join base_t using (station_code, direction, date)), rc as (select d.station_code, d.direction, d.date, x / nullif(base, 0) as ratio from daily d join base_c using (station_code, direction, date)),
+tdays as (select days.* from days join te using (event_id))"""
+
+
+def both_ratios(spark: Spark, d: str, weeks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Days of the treated events; ratios at treated stations, whose own event days are no
+    baseline; ratios at all stations without any station's event days in the baseline. Only
+    dates of these events, and so many weeks before them, are worked out."""
+    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
+    own = impact.event_days(treated_events(spark, d)).select("event_id", "station_code", "date")
+    dates = own.select("date").distinct().withColumn("date", F.explode(F.transform(F.sequence(F.lit(0), F.lit(weeks)), lambda k: F.date_sub("date", 7 * k)))).distinct()
+    targets = roll.join(dates, "date", "left_semi")
+    mine = targets.join(own.select("station_code").distinct(), "station_code", "left_semi")
+    first = impact.ratios(mine, impact.baselines(mine, roll, days, KEYS, "x", least=1), KEYS, "x")
+    return own, first, impact.ratios(targets, impact.baselines(targets, roll, days, KEYS, "x", least=1, everywhere=True), KEYS, "x")
+
+
+I5 = f"""{CTRL}, {RATIOS},
+o as (select tdays.event_id, m.station_code, m.date, m.direction, m.ratio, m.x, m.base, median(k.ratio) as cr, count(*) as n_controls from tdays join rt m using (station_code, date) join ctrl on ctrl.station_code = m.station_code join rc k on k.station_code = ctrl.control and k.date = m.date and k.direction = m.direction group by all)
 select event_id, station_code, date, direction, round(ratio, 9) as ratio, round(cr, 9) as control_ratio, n_controls, round(ratio - cr, 9) as did, round(ratio / nullif(cr, 0), 9) as normalised, round(x - base * cr, 6) as lift from o"""
 
 
 @query("I5_difference_in_differences", I5)
-def _(spark: Spark, d: str) -> DataFrame:
-    pairs, treated = matched(spark, d)
-    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
-    targets = roll.join(F.broadcast(days.select("date").distinct()), "date", "left_semi")
-    base = impact.baselines(targets, roll, days, KEYS, "x", least=1)
-    out = impact.did(days.join(treated, "station_code", "left_semi"), roll, base, pairs, KEYS, "x")
+def difference_in_differences(spark: Spark, d: str) -> DataFrame:
+    days, mine, theirs = both_ratios(spark, d, 0)
+    out = impact.did(days, mine, theirs, matched(spark, d))
     r = lambda c, n=9: F.round(c, n).alias(c)
     return out.select("event_id", "station_code", "date", "direction", r("ratio"), r("control_ratio"), "n_controls", r("did"), r("normalised"), r("lift", 6))
 
 
-I7 = f"""{SPIKE}, p as (select event_id, max(ratio) as ratio from spike group by 1), e as (select ev.event_id, ev.station_code, start_date, end_date, cast(unnest(string_split(peak_hour_bins, ';')) as integer) as hour from ev)
-select date, hour, e.station_code, round(max(1 + 0.3 * (ratio - 1)), 9) as multiplier, count(distinct e.event_id) as n_events from (select distinct date from rides where day(date) = 15) q join e on date between start_date and end_date join p using (event_id) where ratio > 1 group by 1, 2, 3"""
+I6 = f"""{CTRL}, {RATIOS}, wk as (select unnest([7, 14, 21, 28]) as k), td as (select distinct station_code, date from tdays),
+tp as (select td.station_code, td.date, rt.direction, avg(ratio) as pre from td cross join wk join rt on rt.station_code = td.station_code and rt.date = td.date - cast(k as integer) group by 1, 2, 3),
+cp as (select td.station_code, ctrl.control, td.date, rc.direction, avg(ratio) as pre from td join ctrl using (station_code) cross join wk join rc on rc.station_code = ctrl.control and rc.date = td.date - cast(k as integer) group by 1, 2, 3, 4),
+cm as (select station_code, date, direction, median(pre) as pre_control from cp group by 1, 2, 3)
+select station_code, date, direction, round(pre, 9) as pre_ratio, round(pre_control, 9) as pre_control, round(abs(pre - pre_control), 9) as gap, abs(pre - pre_control) <= 0.15 as parallel_ok from tp left join cm using (station_code, date, direction)"""
 
 
-@query("I7_event_multiplier", I7, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    asked = rides(spark, d).where(F.lit(True) if whole else F.dayofmonth("date") == 15).select("date").distinct()
-    ratios = spike(spark, d).groupBy("event_id").agg(F.max("ratio").alias("ratio")).where("ratio > 1")
-    days = impact.event_days(events(spark, d)).withColumn("hour", F.explode(S.hour_list(F.col("peak_hour_bins"), before=0)))
-    active = days.join(asked, "date").join(ratios, "event_id")
-    return active.groupBy("date", "hour", "station_code").agg(F.round(F.max(1 + 0.3 * (F.col("ratio") - 1)), 9).alias("multiplier"), F.count_distinct("event_id").alias("n_events"))
+@query("I6_pre_trend", I6)
+def pre_trend(spark: Spark, d: str) -> DataFrame:
+    days, mine, theirs = both_ratios(spark, d, 4)
+    pairs = matched(spark, d)
+    control_days = pairs.select("station_code", F.col("control")).join(days, "station_code").select(F.col("control").alias("station_code"), "date")
+    out = impact.parallel(impact.pre_trends(days, mine), impact.pre_trends(control_days, theirs), pairs)
+    r = lambda c, name: F.round(c, 9).alias(name)
+    return out.select("station_code", "date", "direction", r("pre", "pre_ratio"), r("pre_control", "pre_control"), r("gap", "gap"), "parallel_ok")
 
 
-@query("I8_calendar_conflicts", f"with {EVENTS} select start_date, count(*) as n, string_agg(cast(event_id as varchar), ';' order by event_id) as events from ev group by 1 having count(*) > 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("start_date").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ";").alias("events"))
-    return e.where("n > 1")
+I7 = f"""{VERIFIED}, e as (select ev.event_id, ev.station_code, start_date, end_date, cast(unnest(string_split(peak_hour_bins, ';')) as integer) as hour from ev)
+select q.date, hour, e.station_code, round(max(1 + weight * (ratio - 1) * 0.3), 9) as multiplier, count(distinct e.event_id) as n_events from (select distinct date from rides) q join e on q.date between start_date and end_date join ver using (event_id) where weight > 0 group by 1, 2, 3"""
 
 
-@query("I9_largest_by_direction", f"{SPIKE} select event_id, round(max(ratio) filter (direction = 'boarding'), 9) as boarding, round(max(ratio) filter (direction = 'alighting'), 9) as alighting from spike group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    out = spike(spark, d).groupBy("event_id").pivot("direction", ["boarding", "alighting"]).agg(F.max("ratio"))
-    return out.select("event_id", F.round("boarding", 9).alias("boarding"), F.round("alighting", 9).alias("alighting"))
+@query("I7_event_multiplier", I7)
+def event_multiplier(spark: Spark, d: str) -> DataFrame:
+    asked = rides(spark, d).select("date").distinct()
+    weights = verified(spark, d).where("weight > 0").select("event_id", "ratio", "weight")
+    days = impact.event_days(events(spark, d)).withColumn("hour", F.explode(peak()))
+    active = days.join(asked, "date").join(weights, "event_id")
+    return active.groupBy("date", "hour", "station_code").agg(F.round(F.max(1 + F.col("weight") * (F.col("ratio") - 1) * 0.3), 9).alias("multiplier"), F.count_distinct("event_id").alias("n_events"))
+
+
+I8 = f"""with {EVENTS}, c as (select event_id, event_type, start_date, start_date + cast(event_id % 5 - 1 as integer) as end_date from ev), x as (select * from c where event_type = 'exam'), y as (select * from c where event_type <> 'exam')
+select 'ends before start' as problem, event_id, start_date, null::varchar as others from c where start_date > end_date
+union all select 'same day', y.event_id, y.start_date, string_agg(cast(x.event_id as varchar), ';' order by x.event_id) from y join x on x.start_date = y.start_date group by y.event_id, y.start_date"""
+
+
+@query("I8_calendar_problems", I8)
+def calendar(spark: Spark, d: str) -> DataFrame:
+    """Two calendars, exams and all others, with windows of which some are wrong."""
+    c = events(spark, d).select("event_id", "event_type", "start_date", F.date_add("start_date", (F.col("event_id") % 5 - 1).cast("int")).alias("end_date"))
+    both = [c.where(w).drop("event_type") for w in ("event_type <> 'exam'", "event_type = 'exam'")]
+    return impact.calendar_problems(*both)
+
+
+I9 = f"{VERIFIED} select event_id, direction, round(max(ratio) filter (scope = 'daily'), 9) as daily, round(max(ratio) filter (scope = 'peak_hours'), 9) as peak_hours from sp group by 1, 2"
+
+
+@query("I9_daily_and_peak", I9)
+def daily_and_peak(spark: Spark, d: str) -> DataFrame:
+    out = all_spikes(spark, d).groupBy("event_id", "direction").pivot("scope", ["daily", "peak_hours"]).agg(F.max("ratio"))
+    return out.select("event_id", "direction", F.round("daily", 9).alias("daily"), F.round("peak_hours", 9).alias("peak_hours"))

@@ -6,36 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import impact
+from ..operators import marts
 from ..operators import journeys as J
 from ..operators import network as N
 from ..sources import files
-from .impact import BASE, KEYS, STATS, daily
 from .marts import D8, edge_lookup
 from .network import ALL, ATTR, E8, PATHS, STEPS, all_edges, attributed, node, paths
+from ..sources.scratch import written
 from .registry import query
-from .views import events, sequence, stations, table
+from .views import sequence, stations, table
 
 Spark = SparkSession
 
 
-def _folder(spark: Spark, name: str) -> str:
-    import uuid
+A1 = "select c_custkey, c_name, cast(c_custkey % 3 as integer) as grp, '강동' as town from customer"
 
-    N._written(spark.range(1))  # makes sure that a shared folder is named
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-@query("A1_charset_groups", "select c_custkey, c_name, cast(c_custkey % 2 as integer) as grp, '강동' as town from customer")
-def _(spark: Spark, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_name", F.lit("강동").alias("town"), (F.col("c_custkey") % 2).alias("grp"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    groups = {}
-    for k, charset in enumerate(("MS949", "UTF-8")):
-        path = _folder(spark, "csv")
-        c.where(F.col("grp") == k).write.csv(path, header=True, encoding=charset)
-        groups[path] = charset
-    return files.read_groups(spark, groups).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("grp").cast("int").alias("grp"), "town")
+@query("A1_charset_fallback", A1)
+def charsets(spark: Spark, d: str) -> DataFrame:
+    """One folder of files in three encodings: cp949, UTF-8 with a byte order mark, UTF-8."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.lit("강동").alias("town"), (F.col("c_custkey") % 3).alias("grp"))
+    files.allow_java_charsets(spark)
+    path = files.new_folder(spark, "csv")
+    for k, (charset, mark) in enumerate((("MS949", ""), ("UTF-8", "\ufeff"), ("UTF-8", ""))):
+        c.where(F.col("grp") == k).withColumnRenamed("c_custkey", mark + "c_custkey").write.mode("append").csv(path, header=True, encoding=charset)
+    return files.read_folder(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("grp").cast("int").alias("grp"), "town")
 
 
 A2 = "with f as (select o_orderkey, strftime(o_orderdate, '%Y%m%d') as version, o_custkey from orders) select o_custkey, max(version) as version from f group by 1"
@@ -58,14 +53,14 @@ def _(spark: Spark, d: str) -> DataFrame:
     return frames[0].unionByName(frames[1], allowMissingColumns=True).select("code", "station", "layout", "extra")
 
 
-C3 = "with s as (select p_brand as line, p_name as station, 30.0 / count(*) / 2 as wait from part where p_size > 25 group by 1, 2), l as (select p_brand as line, 30.0 / (count(*) / 8.0) / 2 as wait from part where p_size > 10 group by 1) select p_partkey, round(least(coalesce(s.wait, l.wait), 12), 1) as wait from part left join s on s.line = p_brand and s.station = p_name left join l on l.line = p_brand"
+C3 = "with s as (select p_brand as line, p_name as station, 30.0 / count(*) / 2 as wait from part where p_size > 25 group by 1, 2), l as (select p_brand as line, 30.0 / (count(*) / 8.0) / 2 as wait from part where p_size > 10 and p_brand <> 'Brand#3' group by 1) select p_partkey, case when s.wait is not null or l.wait is not null then round(least(coalesce(s.wait, l.wait), 12), 1) end as wait from part left join s on s.line = p_brand and s.station = p_name left join l on l.line = p_brand"
 
 
 @query("C3_wait_fallback", C3)
 def _(spark: Spark, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("line"), F.col("p_name").alias("station"), "p_size")
     s = p.where("p_size > 25").groupBy("line", "station").agg((30.0 / F.count("*") / 2).alias("wait"))
-    l = p.where("p_size > 10").groupBy("line").agg((30.0 / (F.count("*") / 8.0) / 2).alias("wait"))
+    l = p.where("p_size > 10 and line <> 'Brand#3'").groupBy("line").agg((30.0 / (F.count("*") / 8.0) / 2).alias("wait"))
     return J.chained(p.drop("p_size"), [(s, ["line", "station"]), (l, ["line"])], "wait", 12.0).select("p_partkey", "wait")
 
 
@@ -110,10 +105,15 @@ def _(spark: Spark, d: str) -> DataFrame:
     return J.tips(asked, rows)
 
 
-@query("D16_transfer_aggregate", "select p_name, median(p_size) as median_min, min(p_size) as least_min, count(distinct p_type) as patterns, cast(max(cast(p_size > 45 as integer)) as integer) as branch from part group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.groupBy("p_name").agg(F.median("p_size").alias("median_min"), F.min("p_size").alias("least_min"), F.count_distinct("p_type").alias("patterns"), F.max((F.col("p_size") > 45).cast("int")).alias("branch"))
+D16 = """with v as (select p_name, median(p_retailprice) as volume from part where p_partkey % 5 = 0 group by 1)
+select p_name as station_name, p_brand as from_line, median(p_size) as median_min, min(p_size) as least_min, count(distinct p_type) as patterns, cast(max(cast(p_size > 45 as integer)) as integer) as branch, volume from part left join v using (p_name) group by p_name, p_brand, volume"""
+
+
+@query("D16_transfer_aggregate", D16)
+def transfers_with_volume(spark: Spark, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumnsRenamed({"p_name": "station_name", "p_brand": "from_line"})
+    rows = p.select("station_name", "from_line", F.col("p_size").alias("minutes"), F.col("p_type").alias("pattern"), (F.col("p_size") > 45).alias("is_branch"))
+    return marts.transfer_aggregate(rows, p.where("p_partkey % 5 = 0").select("station_name", F.col("p_retailprice").alias("volume")), ["station_name", "from_line"])
 
 
 @query("E5_first_non_null", "with o as (select p_brand, p_partkey, case when p_size % 3 = 0 then p_size end as a, case when p_size % 2 = 0 then p_name end as b from part) select p_brand, arg_min(a, p_partkey) filter (a is not null) as a, arg_min(b, p_partkey) filter (b is not null) as b from o group by 1")
@@ -123,22 +123,6 @@ def _(spark: Spark, d: str) -> DataFrame:
     return o.groupBy("p_brand").agg(first("a"), first("b"))
 
 
-I6 = f"""with {BASE}, busyday as (select distinct station_code, date from busy), pre as (select b.station_code, b.date as day, b.date - cast(7 * unnest([1, 2, 3, 4]) as integer) as date from busyday b), targets as (select distinct d.station_code, d.direction, d.date from daily d join (select distinct station_code, date from pre) using (station_code, date)), {STATS.format(least=1)},
-r as (select d.station_code, d.direction, d.date, x / nullif(base, 0) as ratio from daily d join base using (station_code, direction, date))
-select p.station_code, p.day as date, r.direction, round(avg(ratio), 9) as pre_ratio, abs(avg(ratio) - 1) <= 0.15 as parallel_ok from pre p join r on r.station_code = p.station_code and r.date = p.date group by 1, 2, 3"""
-
-
-@query("I6_pre_trend", I6)
-def _(spark: Spark, d: str) -> DataFrame:
-    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
-    pre = days.select("station_code", F.col("date").alias("day")).distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in (7, 14, 21, 28)]))).select("station_code", "day", F.date_sub("day", F.col("k")).alias("date"))
-    targets = roll.join(pre.select("station_code", "date").distinct(), ["station_code", "date"], "left_semi")
-    base = impact.baselines(targets, roll, days, KEYS, "x", least=1)
-    ratio = roll.join(base, [*KEYS, "date"]).select(*KEYS, "date", F.try_divide(F.col("x"), F.nullif("base", F.lit(0.0))).alias("ratio"))
-    out = pre.join(ratio, ["station_code", "date"]).groupBy("station_code", F.col("day").alias("date"), "direction").agg(F.avg("ratio").alias("m"))
-    return out.select("station_code", "date", "direction", F.round("m", 9).alias("pre_ratio"), (F.abs(F.col("m") - 1) <= 0.15).alias("parallel_ok"))
-
-
 def steps(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     p, edges = paths(spark, d, whole)
     return N.path_edges(p, edges), edges
@@ -242,7 +226,7 @@ def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
 @query("Q4_graph_structure", f"with {ALL} select (select count(*) from ride a left join ride b on b.line_id = a.line_id and b.from_node = a.to_node and b.to_node = a.from_node where b.from_node is null or b.minutes <> a.minutes) as asymmetric, (select count(*) from nodes where node not in (select from_node from ride)) as isolated")
 def _(spark: Spark, d: str) -> DataFrame:
     s = sequence(spark, d)
-    r = N._written(N.ride_edges(s, node()))
+    r = written(N.ride_edges(s, node()))
     back = r.select("line_id", F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("minutes").alias("back"))
     a = r.join(back, ["line_id", "from_node", "to_node"], "left").where("back is null or back <> minutes").agg(F.count("*").alias("asymmetric"))
     lost = s.select(node().alias("from_node")).distinct().join(r.select("from_node").distinct(), "from_node", "left_anti").agg(F.count("*").alias("isolated"))
@@ -263,7 +247,7 @@ def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("seq"))).where(F.lit(True) if whole else F.expr("seq % 50 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
     nodes = s.select(node().alias("node"), "station_name").distinct()
     inner, edges = J.station_requests(asked, nodes, all_edges(spark, d))
-    found = N.k_paths(inner, N._written(edges), 2, None if whole else 6, 1)
+    found = N.k_paths(inner, written(edges), 2, None if whole else 6, 1)
     return found.select("request_id", F.array_join(F.slice("path", 2, F.size("path") - 2), ">").alias("route"), "minutes", "rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import marts
+from ..sources import files
 from .registry import query
 from .views import CONG, RIDES, congestion, rides, stations, table
 
@@ -28,9 +29,13 @@ def wide(spark: Spark, d: str) -> DataFrame:
 WIDE = "wide as (select l_suppkey, " + ", ".join(f"sum(l_quantity) filter (l_linenumber = {k}) as h{k}" for k in range(1, 8)) + " from lineitem group by 1)"
 
 
-@query("A4_pruned_read", "select l_suppkey, l_linenumber, l_quantity from lineitem where l_suppkey in (3, 5, 7)")
-def _(spark: Spark, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity").where(F.col("l_suppkey").isin(3, 5, 7))
+@query("A4_mart_write_read", "select l_suppkey, l_linenumber, l_quantity from lineitem where l_linenumber in (2, 5) and l_suppkey in (3, 5, 7)")
+def written_mart(spark: Spark, d: str) -> DataFrame:
+    """The fact written as a mart by line number, then read back: two of its folders, three
+    of its columns."""
+    path = files.new_folder(spark, "mart")
+    files.write_mart(table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity", "l_tax"), path, ["l_linenumber"])
+    return files.read_mart(spark, path, ["l_suppkey", "l_linenumber", "l_quantity"], {"l_linenumber": [2, 5], "l_suppkey": [3, 5, 7]})
 
 
 @query("A5_provenance", "select count(*) as n, 'lineitem.parquet' as source_file, 'v1' as schema_version, year(l_shipdate) as period from lineitem group by year(l_shipdate)")
@@ -176,19 +181,31 @@ def _(spark: Spark, d: str) -> DataFrame:
     return master(spark, d)
 
 
-D2 = f"""with {RIDES}, m as (select line_id, station_code, cast(sum(passenger_count) as bigint) as total, count(distinct date_trunc('month', date)) as n_periods from rides group by 1, 2), g as (select line_id, sum(total) as t, count(distinct station_code) as n, max(n_periods) as mp from m group by 1)
-select m.line_id, station_code, round(total / t, 9) as share, cast(n > 1 as integer) as is_transfer, cast(n > 1 and (total / t >= 0.95 or total / t <= 0.05) as integer) as attribution_flag, cast(n_periods = mp as integer) as coverage_full from m join g using (line_id)"""
+D2 = f"""with {RIDES}, m as (select left(station_name, 1) as name, line_id, station_code, cast(sum(passenger_count) as bigint) as total, count(distinct date_trunc('month', date)) as n_periods from rides group by 1, 2, 3),
+s as (select *, case when sum(total) over w > 0 then round(total / sum(total) over w, 4) else 0 end as share_in_name, count(*) over w as members from m window w as (partition by name))
+select name, line_id, station_code, share_in_name, case when total <= 0 then 'none' when share_in_name < 0.01 then 'negligible' else 'ok' end as attribution_flag, cast(members > 1 as integer) as is_transfer, cast(n_periods = (select max(n_periods) from m) as integer) as coverage_full from s"""
 
 
-@query("D2_group_share", D2)
-def _(spark: Spark, d: str) -> DataFrame:
-    return marts.shares(master(spark, d), ["line_id"], "station_code", "total", "n_periods").select("line_id", "station_code", F.round("share", 9).alias("share"), "is_transfer", "attribution_flag", "coverage_full")
+@query("D2_name_share", D2)
+def name_share(spark: Spark, d: str) -> DataFrame:
+    """The first letter stands for a name that stations of several lines share."""
+    named = master(spark, d).withColumn("name", F.left("latest_name", F.lit(1)))
+    return marts.shares(named, "name", "station_code", "total", "n_periods").select("name", "line_id", "station_code", "share_in_name", "attribution_flag", "is_transfer", "coverage_full")
 
 
-@query("D3_alias_master", "select distinct p_name as raw, split_part(p_name, ' ', 2) as canonical, case when p_name <> split_part(p_name, ' ', 2) then 'renamed' else 'same' end as kind from part")
-def _(spark: Spark, d: str) -> DataFrame:
-    names = table(spark, d, "part").select(F.col("p_name").alias("raw")).dropDuplicates()
-    return names.withColumn("canonical", F.split_part("raw", F.lit(" "), F.lit(2))).withColumn("kind", F.when(F.col("raw") != F.col("canonical"), "renamed").otherwise("same"))
+D3 = """with raw as (select n_nationkey as station_code, case when l_shipdate < timestamp '1997-01-01' then 'OLD ' || n_name when l_shipdate >= timestamp '2000-01-01' and n_nationkey % 2 = 0 then n_name || ' (' || n_regionkey || ')' else n_name end as station_name, l_shipdate
+ from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+m as (select station_code, arg_max(station_name, struct_pack(d := l_shipdate, n := station_name)) as latest_name from raw group by 1), c as (select *, regexp_replace(regexp_replace(latest_name, '\\s+', '', 'g'), '\\([^()]*\\)$', '') as canonical_name from m)
+select distinct station_code, station_name as alias_name, canonical_name, case when station_name = latest_name then 'parenthetical' else 'renamed' end as alias_source from raw join c using (station_code) where station_name <> canonical_name"""
+
+
+@query("D3_alias_master", D3)
+def alias_names(spark: Spark, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate").join(stations(spark, d), "l_suppkey")
+    old, late = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp"), (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp")) & (F.col("station_code") % 2 == 0)
+    raw = l.select("station_code", "l_shipdate", F.when(old, F.concat(F.lit("OLD "), "station_name")).when(late, F.concat("station_name", F.lit(" ("), "line_id", F.lit(")"))).otherwise(F.col("station_name")).alias("station_name"))
+    latest = raw.groupBy("station_code").agg(F.max_by("station_name", F.struct("l_shipdate", "station_name")).alias("latest_name"))
+    return marts.alias_master(raw, latest.withColumn("canonical_name", S.canonical_name(F.col("latest_name"))), ["station_code"], "station_name")
 
 
 @query("D4_daily_hourly", f"with {RIDES} select station_code, direction, date, hour, cast(sum(passenger_count) as bigint) as passengers from rides group by grouping sets ((station_code, direction, date), (station_code, direction, date, hour))")
@@ -236,11 +253,15 @@ def _(spark: Spark, d: str) -> DataFrame:
     return g.withColumn("line_total", F.sum("total").over(line)).withColumn("line_max", F.max("total").over(line))
 
 
-@query("D11_describe", f"with {CONG} select line_id, count(*) filter (day_type = 'weekday') as weekday, count(*) filter (day_type = 'sat') as sat, count(*) filter (day_type = 'sun') as sun, round(avg(cast(congestion_rate is null as integer)), 9) as null_rate, round(corr(time_bin_index, congestion_rate), 9) as corr_bin from cong group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    c = congestion(spark, d)
-    day = lambda x: F.count(F.when(F.col("day_type") == x, 1)).alias(x)
-    return c.groupBy("line_id").agg(day("weekday"), day("sat"), day("sun"), F.round(F.avg(F.col("congestion_rate").isNull().cast("int")), 9).alias("null_rate"), F.round(F.corr("time_bin_index", "congestion_rate"), 9).alias("corr_bin"))
+D11 = f"""with {CONG} select line_id, count(*) filter (day_type = 'weekday') as weekday, count(*) filter (day_type = 'sat') as sat, count(*) filter (day_type = 'sun') as sun, round(avg(cast(congestion_rate is null as integer)), 9) as null_rate,
+ count(congestion_rate) as n, round(avg(congestion_rate), 9) as mean, round(stddev_samp(congestion_rate), 6) as std, min(congestion_rate) as least, round(quantile_cont(congestion_rate, 0.25), 9) as p25, round(quantile_cont(congestion_rate, 0.5), 9) as p50, round(quantile_cont(congestion_rate, 0.75), 9) as p75, max(congestion_rate) as most,
+ round(corr(time_bin_index, congestion_rate), 9) as corr_time_bin_index, round(corr(station_code, congestion_rate), 9) as corr_station_code, round(corr(month(snapshot_date), congestion_rate), 9) as corr_month from cong group by 1"""
+
+
+@query("D11_describe", D11)
+def described(spark: Spark, d: str) -> DataFrame:
+    out = marts.describe(congestion(spark, d).withColumn("month", F.month("snapshot_date")), ["line_id"], "congestion_rate", "day_type", ["weekday", "sat", "sun"], ["time_bin_index", "station_code", "month"])
+    return out.select(*[F.round(c, 6 if c == "std" else 9).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 @query("D15_line_summary", f"with {CONG} select line_id, day_type, count(congestion_rate) as n, round(avg(congestion_rate), 9) as mean_rate, max(congestion_rate) as max_rate, median(congestion_rate) as median_rate from cong group by 1, 2")
@@ -248,10 +269,17 @@ def _(spark: Spark, d: str) -> DataFrame:
     return congestion(spark, d).groupBy("line_id", "day_type").agg(F.count("congestion_rate").alias("n"), F.round(F.avg("congestion_rate"), 9).alias("mean_rate"), F.max("congestion_rate").alias("max_rate"), F.median("congestion_rate").alias("median_rate"))
 
 
-@query("D17_display_master", "select p_name as station_name, string_agg(distinct p_brand, ';' order by p_brand) as lines, count(distinct p_brand) as n_lines, count(*) as n_nodes, cast(count(distinct p_brand) > 1 as integer) as is_transfer from part group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.groupBy(F.col("p_name").alias("station_name")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ";").alias("lines"), F.count_distinct("p_brand").alias("n_lines"), F.count("*").alias("n_nodes")).withColumn("is_transfer", (F.col("n_lines") > 1).cast("int"))
+D17 = """with n as (select p_name as station_name, p_brand as line_id, p_brand || '_' || p_name || case when p_size % 7 = 0 then '@b' else '' end as node from part), u as (select distinct station_name, node from n)
+select station_name, string_agg(distinct line_id, ';' order by line_id) as lines, (select string_agg(node, ';' order by contains(node, '@'), node) from u where u.station_name = n.station_name) as nodes, count(distinct line_id) as n_lines, count(distinct node) as n_nodes,
+ station_name in (select p_name from part where p_size = 1) as is_transfer, station_name in (select p_name from part where p_size = 7) as is_branch, station_name in (select p_name from part where p_retailprice > 1500) as is_event from n group by station_name"""
+
+
+@query("D17_display_master", D17)
+def displayed(spark: Spark, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("station_name", F.col("p_name"))
+    branch = F.when(F.col("p_size") % 7 == 0, F.lit("@b")).otherwise("")
+    nodes = p.select("station_name", F.col("p_brand").alias("line_id"), F.concat("p_brand", F.lit("_"), "p_name", branch).alias("node"))
+    return marts.display_master(nodes, {"is_transfer": p.where("p_size = 1"), "is_branch": p.where("p_size = 7"), "is_event": p.where("p_retailprice > 1500")})
 
 
 E1 = f"""with {CONG}, b as (select {K}, time_bin_index, round(avg(congestion_rate), 9) as bin_mean from cong where congestion_rate is not null group by all)

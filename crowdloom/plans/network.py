@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import network as N
+from ..sources.scratch import written
 from .registry import query
 from .views import SEQ, sequence
 
@@ -90,8 +91,8 @@ def requests(spark: Spark, d: str, whole: bool = False) -> DataFrame:
 
 
 def paths(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges = N._written(all_edges(spark, d))
-    return N._written(N.k_paths(requests(spark, d, whole), edges.select("from_node", "to_node", "minutes"), KEEP, None if whole else HORIZON, SLACK)), edges
+    edges = written(all_edges(spark, d))
+    return written(N.k_paths(requests(spark, d, whole), edges.select("from_node", "to_node", "minutes"), KEEP, None if whole else HORIZON, SLACK)), edges
 
 
 @query("R6_k_paths", f"with recursive {PATHS} select request_id, route, minutes, rank from paths", whole=True)

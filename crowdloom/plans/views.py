@@ -18,7 +18,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as (l_suppkey, line_id, station_code, station_name): a dimension."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("station_code"), F.col("n_name").alias("station_name"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("station_code"), F.col("n_name").alias("station_name"))
 
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Charsets in the order they are tried for a group of files.
-CHARSETS = ("MS949", "UTF-8")
+from .scratch import shared_dir
+
+#: Charset of files that are not valid UTF-8, unless the caller names another.
+FALLBACK = "MS949"
+
+
+def allow_java_charsets(spark: SparkSession) -> None:
+    """Lets this session read charsets beyond Spark's short list (a legacy switch)."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def charset_groups(spark: SparkSession, path: str, fallback: str = FALLBACK) -> dict[str, list[str]]:
+    """Charset -> files under path: UTF-8 (with or without a byte order mark) where every
+    line of a file is valid, else the fallback. Lines are checked in tasks; only the names
+    of the files come to the driver, which lists them anyway."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.bool_or("bad").alias("bad")).orderBy("file").collect():
+        out.setdefault(fallback if r["bad"] else "UTF-8", []).append(r["file"])
+    return out
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", **options: str) -> DataFrame:
-    """One charset group, with each row's file name. MS949 needs legacy charsets on."""
-    if encoding not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", **options: str) -> DataFrame:
+    """One charset group, with each row's file name. Korean charsets need allow_java_charsets."""
     df = spark.read.csv(path, header=True, encoding=encoding, **options)
     return df.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
-def read_groups(spark: SparkSession, groups: dict[str, str], **options: str) -> DataFrame:
-    """Several groups (path -> charset) as one frame; columns missing in one are null."""
-    frames = [read_csv(spark, path, encoding, **options) for path, encoding in groups.items()]
+def read_folder(spark: SparkSession, path: str, fallback: str = FALLBACK, **options: str) -> DataFrame:
+    """All CSV files under path, each group in its own charset; columns missing in one
+    group are null."""
+    frames = [read_csv(spark, names, encoding, **options) for encoding, names in sorted(charset_groups(spark, path, fallback).items())]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder inside the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_mart(df: DataFrame, path: str, partitions: list[str]) -> None:
+    """Parquet by partition columns; rows of a partition are brought together first."""
+    df.repartition(*partitions).write.partitionBy(*partitions).parquet(path)
+
+
+def read_mart(spark: SparkSession, path: str, columns: list[str], allowed: dict[str, list]) -> DataFrame:
+    """Chosen columns and values: partition columns prune folders, others are pushed down."""
+    df = spark.read.parquet(path)
+    for column, values in allowed.items():
+        df = df.where(F.col(column).isin(*values))
+    return df.select(*columns)
+
+
 def name_version(file: Column) -> Column:
     """The date in a file name as yyyymmdd; six digits are yymmdd of this century."""
     eight, six = F.regexp_extract(file, r"(?<!\d)((?:19|20)\d{6})(?!\d)", 1), F.regexp_extract(file, r"(?<!\d)(\d{6})(?!\d)", 1)
