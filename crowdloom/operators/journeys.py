@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import node_station
 from ..sources.scratch import written
 from .network import small
 
@@ -27,11 +28,35 @@ def chained(rows: DataFrame, levels: list[tuple[DataFrame, list[str]]], value: s
     return out.withColumn(value, F.when(F.coalesce(*found).isNotNull(), F.round(F.least(F.coalesce(*found), F.lit(most)), 1))).drop(*found)
 
 
-def through_pass(steps: DataFrame, trunks: DataFrame) -> DataFrame:
-    """Marks transfer steps at a trunk's station whose next edge stays on the trunk."""
-    out = steps.withColumn("next_node", along("to_node", "after"))
-    marks = trunks.select(F.col("node").alias("next_node")).distinct().withColumn("on_trunk", F.lit(True))
-    return out.join(small(marks), "next_node", "left").withColumn("is_through", (F.col("kind") == "transfer") & F.coalesce("on_trunk", F.lit(False))).drop("on_trunk", "next_node")
+def through_pass(steps: DataFrame, junctions: DataFrame) -> DataFrame:
+    """Marks transfer steps between the two nodes of a registered junction (node, own, trunk)
+    whose node before or after is the trunk: the train itself goes on, nobody changes."""
+    out = steps.withColumn("before_node", along("from_node", "before")).withColumn("after_node", along("to_node", "after"))
+    both = junctions.select(F.least("node", "own").alias("x"), F.greatest("node", "own").alias("y"), "trunk")
+    marked = out.withColumn("x", F.least("from_node", "to_node")).withColumn("y", F.greatest("from_node", "to_node")).join(small(both), ["x", "y"], "left")
+    meets = F.coalesce(F.col("before_node") == F.col("trunk"), F.lit(False)) | F.coalesce(F.col("after_node") == F.col("trunk"), F.lit(False))
+    return marked.withColumn("is_through", F.coalesce(F.col("kind") == "transfer", F.lit(False)) & meets).drop("x", "y", "trunk", "before_node", "after_node")
+
+
+def evaluate(parts: DataFrame, n_edges: DataFrame, seats: DataFrame, high: DataFrame, dwell: float = 0.5) -> DataFrame:
+    """What a route costs, from its steps with segments: riding, dwelling (at stops inside a
+    ride, `dwell` minutes each), walking, actual and perceived minutes, average and worst
+    crowding, rides at or over the high mark, transfers and their penalty, event risk, seats,
+    stops. n_edges: all edges of the route; high: one row with the mark p95."""
+    ride, walk = F.col("kind") == "ride", F.col("kind") == "transfer"
+    per = parts.join(F.broadcast(high)).groupBy(*ROUTE).agg(
+        F.coalesce(F.sum(F.when(ride, F.col("minutes"))), F.lit(0)).alias("running"), F.coalesce(F.sum(F.when(walk, F.col("minutes"))), F.lit(0)).alias("walking"), F.sum("cost_m").alias("felt"),
+        (F.count(F.when(ride, 1)) - F.count_distinct(F.when(ride, F.col("segment")))).alias("dwell_stops"), F.avg(F.when(ride, F.col("cong"))).alias("avg_cong"), F.max(F.when(ride, F.col("cong"))).alias("max_cong"),
+        F.count(F.when(ride & (F.col("cong") >= F.col("p95")), 1)).alias("exposures"), F.count(F.when(walk, 1)).alias("transfers"), F.coalesce(F.sum(F.when(walk, F.col("cost_m"))), F.lit(0)).alias("penalty"),
+        F.sum(F.coalesce("event_m", F.lit(0))).alias("event"),
+    )
+    minutes = lambda x: F.round(x / 1000.0, 3)
+    out = per.join(n_edges, ROUTE).join(seats, ROUTE, "left")
+    return out.select(
+        *ROUTE, "running", (F.col("dwell_stops") * dwell).alias("dwell"), "walking", (F.col("running") + F.col("walking") + F.col("dwell_stops") * dwell).alias("actual"), (minutes(F.col("felt")) + F.col("dwell_stops") * dwell).alias("perceived"),
+        "dwell_stops", F.round("avg_cong", 6).alias("avg_cong"), F.round("max_cong", 6).alias("max_cong"), "exposures", "transfers", minutes(F.col("penalty")).alias("transfer_penalty"), minutes(F.col("event")).alias("event_risk"),
+        F.round(F.coalesce("seat_score", F.lit(0.0)), 6).alias("seat_score"), (F.col("n_edges") - F.col("transfers")).alias("n_stops"),
+    )
 
 
 def transfer_waits(parts: DataFrame, waits: DataFrame) -> DataFrame:
@@ -42,32 +67,86 @@ def transfer_waits(parts: DataFrame, waits: DataFrame) -> DataFrame:
     return parts.select(*ROUTE).distinct().join(sums, ROUTE, "left").withColumn("wait", F.coalesce("wait", F.lit(0.0)))
 
 
-def seat_scores(steps: DataFrame, edges: DataFrame, rate: str) -> DataFrame:
-    """Mean drop of a step's crowding below the mean of its node's outgoing rides, / 10."""
-    mean = edges.where("kind = 'ride'").groupBy("from_node").agg(F.avg(rate).alias("usual"))
-    return steps.where("kind = 'ride'").join(mean, "from_node").groupBy(*ROUTE).agg((F.avg(F.col("usual") - F.col(rate)) / 10).alias("seat_score"))
-
-
-def blockers(routes: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """For each condition the rows that would pass if it alone were dropped."""
+def seat_scores(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """How far crowding falls along a route: a ride's rate less the mean of the rides that
+    leave its end, averaged over the rides with both, / 10; 0 where there is none."""
+    known = "kind = 'ride' and cong is not null"
+    after = edges.where(known).groupBy(F.col("from_node").alias("to_node")).agg(F.avg("cong").alias("mean_after"))
+    drops = steps.where(known).join(small(after), "to_node").groupBy(*ROUTE).agg((F.avg(F.col("cong") - F.col("mean_after")) / 10).alias("s"))
+    return steps.select(*ROUTE).distinct().join(drops, ROUTE, "left").select(*ROUTE, F.coalesce("s", F.lit(0.0)).alias("seat_score"))
+
+
+def described(parts: DataFrame, dwell: float = 0.5) -> DataFrame:
+    """Structured segments of a route: line, ends, stops, minutes with dwell, worst crowding,
+    the direction and branch of most of its rides (the lesser of equals), the next station and
+    a label that names it unless it is the segment's end."""
+    keys = [*ROUTE, "segment", "line"]
+
+    def majority(c: str) -> DataFrame:
+        counted = parts.where("kind = 'ride'").groupBy(*keys, c).agg(F.count("*").alias("n"))
+        order = W.partitionBy(*keys).orderBy(F.desc("n"), c)
+        return counted.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(*keys, c)
+
+    base = parts.groupBy(*keys).agg(
+        F.min_by("from_node", "pos").alias("a"), F.max_by("to_node", "pos").alias("b"), F.min_by("to_node", "pos").alias("first_to"), F.count("*").alias("stops"), F.sum("minutes").alias("running"), F.max("cong").alias("max_cong"),
+    )
+    ride = F.col("line") != "walk"
+    out = base.join(majority("direction"), keys, "left").join(majority("branch"), keys, "left")
+    name = lambda c: node_station(F.col(c))
+    more = F.when(ride, (F.col("stops") - 1) * dwell).otherwise(0.0)
+    return out.select(
+        *keys, name("a").alias("from_station"), name("b").alias("to_station"), "stops", (F.col("running") + more).alias("minutes"), F.round("max_cong", 6).alias("max_cong"), "direction", "branch",
+        F.when(ride, name("first_to")).alias("next_station"), F.when(ride & (F.col("stops") > 1), F.concat(F.lit("toward "), name("first_to"))).otherwise("").alias("direction_label"),
+    )
+
+
+def policies(ranked: DataFrame, group: list[str], max_loss: float = 15.0, min_drop: float = 15.0, max_excess: float = 5.0) -> tuple[DataFrame, dict[str, Column]]:
+    """Conditions and labels for ranked routes with time_loss, cong_drop, perceived_gain,
+    is_near_duplicate and violations: primary, meaningful_alternative, near_duplicate,
+    rejected, or no_meaningful_alternative for all but the first."""
+    conditions = {"not_near_dup": ~F.col("is_near_duplicate"), "time_loss": F.col("time_loss") <= max_loss, "cong_drop": F.coalesce(F.col("cong_drop") >= min_drop, F.lit(False)), "perceived": F.col("perceived_gain") >= -max_excess}
+    ok = (F.col("route_rank") > 1) & (F.col("violations") == 0)
+    for c in conditions.values():
+        ok = ok & c
+    out = ranked.withColumn("is_alternative", ok).withColumn("has_alternative", F.bool_or("is_alternative").over(W.partitionBy(*group)))
+    label = F.when(F.col("route_rank") == 1, "primary").when(~F.col("has_alternative"), "no_meaningful_alternative").when(F.col("is_alternative"), "meaningful_alternative").when(F.col("is_near_duplicate"), "near_duplicate").otherwise("rejected")
+    return out.withColumn("policy", label), conditions
+
+
+def blockers(routes: DataFrame, conditions: dict[str, Column], group: list[str]) -> DataFrame:
+    """For each group and condition the rows that would pass if it alone were dropped."""
     sums = []
     for name in conditions:
-        others = F.lit(True)
+        others = F.col("route_rank") > 1
         for n, c in conditions.items():
             if n != name:
                 others = others & c
         sums.append(F.count(F.when(others & ~conditions[name], 1)).alias(name))
-    return routes.agg(*sums)
+    out = routes.groupBy(*group).agg(*sums)
+    return out.withColumn("blocking", F.concat_ws(";", *[F.when(F.col(n) > 0, F.concat(F.lit(f"{n}("), F.col(n).cast("string"), F.lit(")"))) for n in conditions]))
 
 
-def departure_alternatives(steps: DataFrame, lookup: DataFrame, current: int, reach: int, gain: float) -> DataFrame:
-    """The bin within reach whose worst crowding along the route is least (the earliest on
-    a tie), where it is at least gain below the current bin's."""
-    bins = steps.join(lookup.where(F.abs(F.col("bin") - current) <= reach), "from_node").groupBy(*ROUTE, "bin").agg(F.max("rate").alias("worst"))
+def departure_alternatives(rides: DataFrame, lookup: DataFrame, keys: list[str], current: int, reach: int, gain: float) -> DataFrame:
+    """The bin within reach whose worst crowding along the route's rides is least (the
+    earliest on a tie), where it is at least gain below the current bin's."""
+    near = lookup.where((F.abs(F.col("bin") - current) <= reach) & F.col("rate").isNotNull())
+    bins = rides.select(*ROUTE, *keys).join(near, keys).groupBy(*ROUTE, "bin").agg(F.max("rate").alias("worst"))
     out = bins.groupBy(*ROUTE).agg(F.min_by(F.struct("bin", "worst"), F.struct("worst", "bin")).alias("best"), F.max(F.when(F.col("bin") == current, F.col("worst"))).alias("now"))
     return out.select(*ROUTE, F.col("best.bin").alias("bin"), F.col("best.worst").alias("worst"), "now").where(F.col("now") - F.col("worst") >= gain)
 
 
+def profile_along(parts: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Crowding at each station of a route's rides: the value of the train leaving it, and at
+    a ride's last station of the train that arrived. lookup: line_id, from_station, direction,
+    rate at the bin asked for."""
+    rides = parts.where("kind = 'ride'").withColumn("from_station", node_station(F.col("from_node"))).join(small(lookup), ["line_id", "from_station", "direction"], "left")
+    order = W.partitionBy(*ROUTE, "segment").orderBy("pos")
+    ends = rides.withColumn("is_last", F.lead("pos").over(order).isNull())
+    leaving = ends.select(*ROUTE, "segment", "pos", "line_id", F.col("from_station").alias("station"), "rate")
+    arriving = ends.where("is_last").select(*ROUTE, "segment", (F.col("pos") + 1).alias("pos"), "line_id", node_station(F.col("to_node")).alias("station"), "rate")
+    return leaving.unionByName(arriving)
+
+
 def running_order(starts: DataFrame, follows: DataFrame) -> DataFrame:
     """(line_id, node, pos): each line walked from its start along follows (line_id,
     from_node, to_node, one successor each), a node once; by doubling jumps, so a line of

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import node_id, node_station
 from ..sources.scratch import written
 
 SMALL_EDGES = 200_000
@@ -21,18 +22,79 @@ def small(edges: DataFrame) -> DataFrame:
     return F.broadcast(edges) if edges.count() <= SMALL_EDGES else edges
 
 
-def ride_edges(sequence: DataFrame, node: Column) -> DataFrame:
-    """Consecutive stations of a line, both ways, self-loops out, the shortest of repeats."""
-    order = W.partitionBy("line_id").orderBy("seq")
-    steps = sequence.withColumn("node", node).withColumn("before", F.lag("node").over(order)).where("before is not null and before <> node")
-    both = F.explode(F.array(F.struct(F.col("before").alias("from_node"), F.col("node").alias("to_node")), F.struct(F.col("node").alias("from_node"), F.col("before").alias("to_node"))))
-    return steps.select("line_id", both.alias("e"), "minutes").select("line_id", "e.*", "minutes").groupBy("line_id", "from_node", "to_node").agg(F.min("minutes").alias("minutes"))
+def ride_edges(sequence: DataFrame, breaks: DataFrame, branch: Column, one_way: Column) -> DataFrame:
+    """Edges between consecutive stations of a line. sequence: line_id, pos, station_name,
+    minutes; breaks (line_id, station_name, prev) name another station before it; branch and
+    one_way are read from the later station's row. Both directions unless one-way. The
+    station at which a branch leaves the main line is a node of its own there (@branch)."""
+    order = W.partitionBy("line_id").orderBy("pos")
+    rows = sequence.withColumn("branch", branch).withColumn("one_way", one_way).withColumn("before", F.lag("station_name").over(order))
+    rows = rows.join(small(breaks), ["line_id", "station_name"], "left").withColumn("before", F.coalesce("prev", "before"))
+    steps = rows.where("before is not null and before <> station_name").dropDuplicates(["line_id", "before", "station_name"])
+    own = sequence.select("line_id", F.col("station_name").alias("before"), F.col("pos").alias("before_pos"), branch.alias("before_branch"))
+    steps = steps.join(own, ["line_id", "before"])
+    split = F.when((F.col("branch") != "main") & (F.col("before_branch") == "main"), F.col("branch"))
+    a = F.struct(node_id(F.col("line_id"), F.col("before"), split).alias("node"), F.col("before").alias("station"), F.col("before_pos").alias("pos"))
+    b = F.struct(node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), F.col("pos").alias("pos"))
+    ways = F.when(F.col("one_way"), F.array(F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b"))))
+    out = steps.select("line_id", "minutes", "branch", (~F.col("one_way")).cast("int").alias("is_bidirectional"), F.explode(ways).alias("e"))
+    return out.select("line_id", F.col("e.a.node").alias("from_node"), F.col("e.b.node").alias("to_node"), F.col("e.a.station").alias("from_station"), F.col("e.b.station").alias("to_station"), F.col("e.a.pos").alias("from_pos"), F.col("e.b.pos").alias("to_pos"), "minutes", "branch", "is_bidirectional")
 
 
-def transfer_edges(sequence: DataFrame, node: Column, minutes: int) -> DataFrame:
-    nodes = sequence.select(node.alias("node"), "line_id", "station_name").distinct()
-    other = nodes.toDF("to_node", "to_line", "station_name")
-    return nodes.join(other, "station_name").where("line_id <> to_line").select("station_name", F.col("node").alias("from_node"), F.col("to_node"), F.lit(minutes).alias("minutes"))
+def split_loop_end(edges: DataFrame, loops: DataFrame) -> DataFrame:
+    """Where a one-way loop ends at the station that it began at, a train that comes round
+    arrives at a node of its own (@loop) and leaves from there only to the loop's exit, so
+    nobody rides on into the loop again. loops: line_id, entry, last, exit (station names)."""
+    rule = loops.select("line_id", "entry", "last", "exit")
+    out = edges.join(small(rule), "line_id", "left")
+    arrives = (F.col("from_station") == F.col("last")) & (F.col("to_station") == F.col("entry"))
+    leaves = (F.col("from_station") == F.col("entry")) & (F.col("to_station") == F.col("exit"))
+    end = node_id(F.col("line_id"), F.col("entry"), F.lit("loop"))
+    out = out.withColumn("to_node", F.when(arrives, end).otherwise(F.col("to_node"))).withColumn("from_node", F.when(leaves, end).otherwise(F.col("from_node")))
+    return out.withColumn("is_bidirectional", F.when(leaves, 0).otherwise(F.col("is_bidirectional"))).select(*edges.columns)
+
+
+def transfer_edges(rides: DataFrame, volumes: DataFrame, minutes: int, again: int, most: float = 3.0, rate: float = 50_000.0) -> DataFrame:
+    """Transfers inside a station: between its nodes of different lines (main nodes that
+    rides leave from), between a line's main and branch node, and, one way, from a loop's end
+    back to its main node. The penalty is the minutes and a crowd part by the station's volume."""
+    nodes = rides.select("line_id", F.col("from_station").alias("station_name"), F.col("from_node").alias("node")).distinct()
+    kinds = nodes.withColumn("suffix", F.try_element_at(F.split("node", "@"), F.lit(2)))
+    main, other = kinds.where("suffix is null").drop("suffix"), kinds.where("suffix is not null").withColumnRenamed("node", "own")
+    lines = main.join(main.toDF("to_line", "station_name", "to_node"), "station_name").where("line_id <> to_line").select("station_name", F.col("node").alias("from_node"), "to_node", F.lit(minutes).alias("minutes"), F.lit(0).alias("is_branch_transfer"), F.lit(1).alias("is_bidirectional"))
+    same = other.join(main, ["line_id", "station_name"])
+    way = lambda a, b, both: same.where(F.lit(True) if both is None else both).select("station_name", F.col(a).alias("from_node"), F.col(b).alias("to_node"), F.lit(again).alias("minutes"), F.lit(1).alias("is_branch_transfer"), (F.col("suffix") != "loop").cast("int").alias("is_bidirectional"))
+    out = lines.unionByName(way("own", "node", None)).unionByName(way("node", "own", F.col("suffix") != "loop"))
+    crowd = F.round(F.least(F.lit(most), F.coalesce("volume", F.lit(0.0)) / rate), 3)
+    return out.join(volumes, "station_name", "left").withColumn("volume_penalty", crowd).drop("volume").withColumn("penalty", F.round(F.col("minutes") + F.col("volume_penalty"), 3))
+
+
+def edge_direction(ring: Column, fold: int = 10) -> Column:
+    """A ride's direction by rules in order: one-way edges go down; branch edges by their
+    order on the branch; on a ring the name flips where the numbering closes (a jump of more
+    than `fold`); else by ascending or descending number."""
+    up = F.col("to_pos") > F.col("from_pos")
+    closing = F.abs(F.col("to_pos") - F.col("from_pos")) > fold
+    return (
+        F.when(F.col("is_bidirectional") == 0, "down")
+        .when(F.col("branch") != "main", F.when(up, F.concat("branch", F.lit("_up"))).otherwise(F.concat("branch", F.lit("_down"))))
+        .when(F.col("from_pos").isNull() | F.col("to_pos").isNull(), None)
+        .when(ring, F.when(up != closing, "inner").otherwise("outer"))
+        .otherwise(F.when(up, "up").otherwise("down"))
+    )
+
+
+def crowded(rides: DataFrame, lookup: DataFrame, events: DataFrame, kappa: float = 0.5, floor: float = 80.0) -> DataFrame:
+    """Rides with the crowding of trains leaving from_station in their direction (their line
+    and direction's median where unknown, else all rides'), the station's event multiplier,
+    and perceived minutes in thousandths (cost_m) with the events' part of it (event_m)."""
+    out = rides.join(small(lookup), ["line_id", "from_station", "direction"], "left")
+    groups = out.groupBy("line_id", "direction").agg(F.median("rate").alias("m1"))
+    out = out.join(small(groups), ["line_id", "direction"], "left").join(F.broadcast(out.agg(F.median("rate").alias("m2")))).join(small(events.withColumnRenamed("station_name", "from_station")), "from_station", "left")
+    usual = F.coalesce("rate", "m1", "m2")
+    felt = lambda c: F.round(F.col("minutes") * (1000 + 10 * kappa * F.greatest(c - floor, F.lit(0.0)))).cast("int")
+    out = out.withColumn("usual", usual).withColumn("cong", F.col("usual") * F.coalesce("mult", F.lit(1.0)))
+    return out.withColumn("cost_m", felt(F.col("cong"))).withColumn("event_m", F.col("cost_m") - felt(F.col("usual"))).drop("m1", "m2", "mult", "usual")
 
 
 def distances(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
@@ -65,6 +127,23 @@ def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def reached(roots: DataFrame, edges: DataFrame, squarings: int = 3) -> DataFrame:
+    """The nodes that some root (column node) reaches along the edges, roots included. Edges
+    are first joined with themselves a few times, so that a round takes 2**squarings steps;
+    meant for sparse networks, where that adds few edges."""
+    jumps = edges.select(F.col("from_node").alias("node"), "to_node").distinct()
+    for _ in range(squarings):
+        onward = jumps.select(F.col("node").alias("to_node"), F.col("to_node").alias("next"))
+        jumps = written(jumps.union(jumps.join(onward, "to_node").select("node", "next")).distinct())
+    step = small(jumps.select(F.col("node"), "to_node").withColumnRenamed("to_node", "next"))
+    known = fresh = written(roots.select("node").distinct())
+    while not fresh.isEmpty():
+        ahead = fresh.join(step, "node").select(F.col("next").alias("node")).distinct()
+        fresh = written(ahead.join(known, "node", "left_anti"))
+        known = written(known.union(fresh))
+    return known
+
+
 def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
     """The k cheapest loop-free paths of each request (request_id, origin, destination),
     by (minutes, path). Partial paths stay while minutes so far + least minutes to go are
@@ -108,6 +187,35 @@ def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None,
     return done if done is not None else requests.limit(0).select("request_id", F.array("origin").alias("path"), F.lit(0).alias("minutes"), F.lit(0).alias("rank"))
 
 
+def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
+    """distances with one least path each: its nodes, stops and transfers (neighbours of one
+    station name). Of equal minutes the path of the least text counts, so results repeat."""
+    near = written(distances(seeds, edges, horizon))
+    step = small(edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), "minutes").groupBy("node", "next").agg(F.min("minutes").alias("minutes")))
+    # Edges that lie on a least path: from each source a tree is grown along them.
+    tight = near.join(step, "node").select("source", "node", F.col("next"), (F.col("cost") + F.col("minutes")).alias("reached"))
+    tight = written(tight.join(near.select("source", F.col("node").alias("next"), F.col("cost").alias("reached")), ["source", "next", "reached"]).groupBy("source", "next").agg(F.min("node").alias("node")))
+    grown = written(near.where("source = node").select("source", "node", F.array("node").alias("path")))
+    done = grown
+    while not grown.isEmpty():
+        grown = written(grown.join(tight, ["source", "node"]).where(~F.array_contains("path", F.col("next"))).select("source", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
+        done = done.unionByName(grown)
+    names = F.transform("path", node_station)
+    changes = F.size(F.filter(F.sequence(F.lit(1), F.size("path")), lambda i: (i > 1) & (F.element_at(names, i) == F.element_at(names, F.greatest(i - 1, F.lit(1))))))
+    return near.join(done, ["source", "node"]).select("source", "node", "cost", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("stops"), changes.alias("transfers"))
+
+
+def candidates(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
+    """Routes of each request: the k quickest by minutes, then those of the k least by
+    perceived cost that are not among them. request_id, path, minutes, rank (in that order)."""
+    quick = written(k_paths(requests, edges.select("from_node", "to_node", "minutes"), k, horizon, slack).withColumn("list", F.lit(0)))
+    cost = edges.select("from_node", "to_node", F.col("cost_m").alias("minutes"))
+    calm = k_paths(requests, cost, k, None if horizon is None else 1000 * horizon, 1000 * slack).withColumn("list", F.lit(1))
+    more = calm.join(quick.select("request_id", "path"), ["request_id", "path"], "left_anti")
+    both = quick.select("request_id", "path", "list", "rank").unionByName(more.select("request_id", "path", "list", "rank"))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("list", "rank"))).select("request_id", "path", "rank")
+
+
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Paths exploded to their edges in order, with the edges' attributes."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("from_node"), F.element_at("path", i + 1).alias("to_node")))
@@ -116,12 +224,16 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def segments(steps: DataFrame, line: Column) -> DataFrame:
-    """Gaps and islands: stretches of a path on one line, in order, with dwell stops."""
+    """Gaps and islands: a step's segment on its path, a stretch on one line. Through passes
+    (is_through) are no steps of their own: the ride goes on."""
     order = W.partitionBy("request_id", "rank").orderBy("pos")
-    lined = steps.withColumn("line", line)
+    lined = steps.where("not is_through").withColumn("line", line)
     new = (F.lag("line").over(order).isNull()) | (F.lag("line").over(order) != F.col("line"))
-    numbered = lined.withColumn("is_new", new.cast("int")).withColumn("segment", F.sum("is_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy("request_id", "rank", "segment", "line").agg(F.count("*").alias("n_edges"), F.sum("minutes").alias("minutes"), F.greatest(F.count("*") - 1, F.lit(0)).alias("dwell_stops"))
+    return lined.withColumn("is_new", new.cast("int")).withColumn("segment", F.sum("is_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("is_new")
+
+
+def segment_sums(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("request_id", "rank", "segment", "line").agg(F.count("*").alias("n_edges"), F.sum("minutes").alias("minutes"), F.when(F.col("line") == "walk", 0).otherwise(F.count("*") - 1).cast("long").alias("dwell_stops"))
 
 
 def pareto(routes: DataFrame, request: str, route: str, costs: list[str]) -> DataFrame:
@@ -145,11 +257,19 @@ def jaccard(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 
 
-def diverse(routes: DataFrame, request: str, order: list[str], edges: str, limit: float, keep: int) -> DataFrame:
-    """Greedy per request in the given order: a route stays if its overlap with every kept
-    one is at most limit; at most keep stay. The fold runs inside one small row."""
-    rows = routes.groupBy(request).agg(F.sort_array(F.collect_list(F.struct(*order, edges))).alias("all"))
-    near = lambda kept, x: F.exists(kept, lambda y: F.size(F.array_intersect(y[edges], x[edges])) > limit * F.size(F.array_union(y[edges], x[edges])))
-    start = F.filter("all", lambda x: F.lit(False))
-    fold = F.aggregate("all", start, lambda kept, x: F.when((F.size(kept) < keep) & ~near(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select(request, F.explode(fold).alias("x")).select(request, "x.*")
+def diverse(routes: DataFrame, request: list[str], order: list[str], keys: str, limit: float, keep: int | None = None, reach: bool = False) -> DataFrame:
+    """Greedy per request in the given order: is_near_duplicate where the overlap with a
+    route that stayed is over the limit (reach: or equal to it); with `keep`, what comes
+    after so many have stayed counts as one too. The fold runs inside one small row."""
+    rows = routes.groupBy(*request).agg(F.sort_array(F.collect_list(F.struct(*order, keys))).alias("all"))
+    over = lambda both, every: (both >= limit * every) if reach else (both > limit * every)
+    near = lambda kept, x: F.exists(kept, lambda y: over(F.size(F.array_intersect(y, x[keys])), F.size(F.array_union(y, x[keys]))))
+    full = (lambda kept: F.lit(False)) if keep is None else (lambda kept: F.size(kept) >= keep)
+    start = F.struct(F.expr(f"filter(transform(all, x -> x.{keys}), x -> false)").alias("kept"), F.expr("filter(transform(all, x -> false), x -> x)").alias("dup"))
+
+    def fold(state: Column, x: Column) -> Column:
+        again = full(state["kept"]) | near(state["kept"], x)
+        return F.struct(F.when(again, state["kept"]).otherwise(F.concat(state["kept"], F.array(x[keys]))).alias("kept"), F.concat(state["dup"], F.array(again)).alias("dup"))
+
+    marked = rows.withColumn("dup", F.aggregate("all", start, fold)["dup"]).select(*request, F.explode(F.arrays_zip("all", "dup")).alias("z"))
+    return marked.select(*request, "z.all.*", F.col("z.dup").alias("is_near_duplicate"))

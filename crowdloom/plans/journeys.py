@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import marts
@@ -11,12 +12,13 @@ from ..operators import journeys as J
 from ..operators import network as N
 from ..sources import files
 from .marts import D8, edge_lookup
-from .network import ALL, ATTR, E8, PATHS, STEPS, all_edges, attributed, node, paths
+from .network import ALL, NAMES, PATHS, SEG, STEPS, all_edges, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations
 from ..sources.scratch import written
 from .registry import query
 from .views import sequence, stations, table
 
 Spark = SparkSession
+SEG_SQL = f"with recursive {SEG}"
 
 
 A1 = "select c_custkey, c_name, cast(c_custkey % 3 as integer) as grp, '강동' as town from customer"
@@ -77,11 +79,11 @@ def _(spark: Spark, d: str) -> DataFrame:
     return e.join(look, ["station_code", "direction"], "left").select("line_id", "station_code", "to_code", "direction", "congestion_median")
 
 
-@query("C11_both_ends_known", f"with {ALL} select t.from_node, t.to_node from tr t where exists (select 1 from ride where ride.from_node = t.from_node) and exists (select 1 from ride where ride.from_node = t.to_node)")
-def _(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d)
-    known = N.ride_edges(s, node()).select("from_node").distinct()
-    return N.transfer_edges(s, node(), 4).join(known, "from_node", "left_semi").join(known.toDF("to_node"), "to_node", "left_semi").select("from_node", "to_node")
+@query("C11_both_ends_known", f"with {ALL}, known as (select from_node as node from ride where line_id <> 'Brand#3') select from_node, to_node from tr where from_node in (select node from known) and to_node in (select node from known)")
+def both_ends(spark: Spark, d: str) -> DataFrame:
+    r = written(raw_rides(spark, d))
+    known = r.where("line_id <> 'Brand#3'").select("from_node").distinct()
+    return transfers(spark, d, r).join(known, "from_node", "left_semi").join(known.toDF("to_node"), "to_node", "left_semi").select("from_node", "to_node")
 
 
 @query("C13_edition_differences", "with a as (select p_brand, p_name, max(p_size) as km from part group by 1, 2), b as (select p_brand, p_name, min(p_size) as km from part group by 1, 2) select p_brand, p_name, a.km as km_a, b.km as km_b from a join b using (p_brand, p_name) where abs(a.km - b.km) > 5")
@@ -123,86 +125,45 @@ def _(spark: Spark, d: str) -> DataFrame:
     return o.groupBy("p_brand").agg(first("a"), first("b"))
 
 
-def steps(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    p, edges = paths(spark, d, whole)
-    return N.path_edges(p, edges), edges
-
-
-TRUNK = "trunk as (select distinct node from nodes where line_id in ('Brand#1', 'Brand#2', 'Brand#3'))"
-
-
-@query("R10_through_pass", f"with recursive {STEPS}, {TRUNK}, n as (select *, lead(to_node) over (partition by request_id, rank order by pos) as nx from full_steps) select request_id, rank, pos, kind = 'transfer' and coalesce(nx in (select node from trunk), false) as is_through from n", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    trunk = sequence(spark, d).where("line_id in ('Brand#1', 'Brand#2', 'Brand#3')").select(node().alias("node")).distinct()
-    return J.through_pass(steps(spark, d, whole)[0], trunk).select("request_id", "rank", "pos", "is_through")
-
-
-RATE = "ascii(substr({0}, -1)) * 3 % 100"
-
-
-def rate(column: str) -> F.Column:
-    return (F.ascii(F.substr(column, F.lit(-1))) * 3) % 100
-
-
-@query("R11_seat_score", f"with recursive {STEPS}, u as (select from_node, avg({RATE.format('to_node')}) as usual from edge where kind = 'ride' group by 1) select request_id, rank, round(avg(usual - {RATE.format('to_node')}) / 10, 9) as seat_score from full_steps join u using (from_node) where kind = 'ride' group by 1, 2", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    s, edges = steps(spark, d, whole)
-    return J.seat_scores(s.withColumn("rate", rate("to_node")), edges.withColumn("rate", rate("to_node")), "rate").withColumn("seat_score", F.round("seat_score", 9))
-
+@query("R12_transfer_wait", f"{SEG_SQL}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2", whole=True)
+def waits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    by_line = table(spark, d, "part").groupBy(F.col("p_brand").alias("line")).agg(F.round(15.0 / F.count("*"), 6).alias("wait"))
+    return J.transfer_waits(N.segment_sums(parts(spark, d, whole)[0]), by_line).withColumn("wait", F.round("wait", 6))
 
-SEG = E8[: E8.rindex(" select request_id, rank, segment")]
 
+R13 = f"""{SEG_SQL}, mj as (select request_id, rank, segment, arg_min(direction, k) as direction from (select request_id, rank, segment, direction, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by direction) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
+mb as (select request_id, rank, segment, arg_min(branch, k) as branch from (select request_id, rank, segment, branch, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by branch) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
+b as (select request_id, rank, segment, line, arg_min(from_node, pos) as a, arg_max(to_node, pos) as z, arg_min(to_node, pos) as n1, count(*) as stops, sum(minutes) as m, max(cong) as max_cong from g group by 1, 2, 3, 4)
+select request_id, rank, segment, line, {NAMES.format('a')} as from_station, {NAMES.format('z')} as to_station, stops, cast(m + case when line <> 'walk' then 0.5 * (stops - 1) else 0 end as double) as minutes, round(max_cong, 6) as max_cong, direction, branch,
+ case when line <> 'walk' then {NAMES.format('n1')} end as next_station, case when line <> 'walk' and stops > 1 then 'toward ' || {NAMES.format('n1')} else '' end as direction_label from b left join mj using (request_id, rank, segment) left join mb using (request_id, rank, segment)"""
 
-@query("R12_transfer_wait", f"{SEG}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    waits = table(spark, d, "part").groupBy(F.col("p_brand").alias("line")).agg(F.round(15.0 / F.count("*"), 6).alias("wait"))
-    parts = N.segments(steps(spark, d, whole)[0], F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
-    return J.transfer_waits(parts, waits).withColumn("wait", F.round("wait", 6))
 
+@query("R13_structured_segments", R13, whole=True)
+def structured(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return J.described(parts(spark, d, whole)[0])
 
-@query("R13_structured_segments", f"{SEG} select request_id, rank, segment, line, arg_min(from_node, pos) as from_node, arg_max(to_node, pos) as to_node, count(*) as stops, cast(sum(minutes) + 0.5 * greatest(count(*) - 1, 0) as double) as minutes from g group by 1, 2, 3, 4", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    from pyspark.sql import Window as W
 
-    line = F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node")))
-    s = steps(spark, d, whole)[0].withColumn("line", line)
-    w = W.partitionBy("request_id", "rank").orderBy("pos")
-    numbered = s.withColumn("new", F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(True)).cast("int")).withColumn("segment", F.sum("new").over(w))
-    return numbered.groupBy("request_id", "rank", "segment", "line").agg(F.min_by("from_node", "pos").alias("from_node"), F.max_by("to_node", "pos").alias("to_node"), F.count("*").alias("stops"), (F.sum("minutes") + 0.5 * F.greatest(F.count("*") - 1, F.lit(0))).alias("minutes"))
+R20 = f"""with recursive {STEPS}, b as (select request_id, rank, bin, max(k.rate) as worst from full_steps s join lookup k on k.line_id = s.line_id and k.from_station = {NAMES.format('s.from_node')} and k.direction = s.direction where kind = 'ride' and k.rate is not null group by 1, 2, 3),
+o as (select request_id, rank, arg_min(bin, worst * 100 + bin) as bin, min(worst) as worst, max(worst) filter (bin = 0) as now from b group by 1, 2) select request_id, rank, bin, worst, now from o where now - worst >= 10"""
 
 
-@query("R18_blockers", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), c as (select minutes - fm <= 2 as a, fw - worst >= 5 as b, transfers <= 1 as c from attr join f using (request_id) where rank > 1) select count(*) filter (b and c and not a) as time_loss, count(*) filter (a and c and not b) as worst_drop, count(*) filter (a and b and not c) as transfers from c", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    a = attributed(spark, d, whole)[1]
-    f = a.where("rank = 1").select("request_id", F.col("minutes").alias("fm"), F.col("worst").alias("fw"))
-    rows = a.join(f, "request_id").where("rank > 1")
-    return J.blockers(rows, {"time_loss": F.col("minutes") - F.col("fm") <= 2, "worst_drop": F.col("fw") - F.col("worst") >= 5, "transfers": F.col("transfers") <= 1})
+@query("R20_departure_alternative", R20, whole=True)
+def departures(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    rides = steps(spark, d, whole)[0].where("kind = 'ride'").withColumn("from_station", S.node_station(F.col("from_node")))
+    return J.departure_alternatives(rides, lookup(directed(spark, d)), ["line_id", "from_station", "direction"], 0, 4, 10)
 
 
-LOOK = "look as (select line_id || '_' || station_name as from_node, bin, max((seq * 7 + bin * 13) % 100) as rate from seq cross join (select unnest([1, 2, 3, 4, 5]) as bin) group by 1, 2)"
-
-
-def bins(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d).withColumn("bin", F.explode(F.array(*[F.lit(k) for k in range(1, 6)])))
-    return s.groupBy(node().alias("from_node"), "bin").agg(F.max((F.col("seq") * 7 + F.col("bin") * 13) % 100).alias("rate"))
-
-
-@query("R20_departure_alternative", f"with recursive {STEPS}, {LOOK}, b as (select request_id, rank, bin, max(rate) as worst from full_steps join look using (from_node) where abs(bin - 3) <= 2 group by 1, 2, 3), o as (select request_id, rank, arg_min(bin, worst * 10 + bin) as bin, min(worst) as worst, max(worst) filter (bin = 3) as now from b group by 1, 2) select * from o where now - worst >= 10", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return J.departure_alternatives(steps(spark, d, whole)[0], bins(spark, d), 3, 2, 10)
-
-
-@query("R21_route_profile", f"with recursive {STEPS}, {LOOK}, l as (select from_node, rate from look where bin = 3) select request_id, rank, pos, from_node, rate from full_steps left join l using (from_node)", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return steps(spark, d, whole)[0].join(bins(spark, d).where("bin = 3").select("from_node", "rate"), "from_node", "left").select("request_id", "rank", "pos", "from_node", "rate")
+R21 = f"""{SEG_SQL}, r as (select g.*, k.rate, lead(pos) over (partition by request_id, rank, segment order by pos) is null as is_last from g left join lookup k on k.line_id = g.line_id and k.from_station = {NAMES.format('g.from_node')} and k.direction = g.direction and k.bin = 0 where kind = 'ride')
+select request_id, rank, segment, pos, line_id, {NAMES.format('from_node')} as station, rate from r union all select request_id, rank, segment, pos + 1, line_id, {NAMES.format('to_node')}, rate from r where is_last"""
 
 
+@query("R21_route_profile", R21, whole=True)
+def route_profile(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return J.profile_along(parts(spark, d, whole)[0], lookup(directed(spark, d)).where("bin = 0").drop("bin"))
 
 
 @query("R22_running_order", "select p_brand as line_id, cast(p_partkey as varchar) as node, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as integer) as pos from part")
 def order_of_lines(spark: Spark, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     s = sequence(spark, d).withColumn("n", F.col("seq").cast("string"))
     w = W.partitionBy("line_id").orderBy("seq")
     follows = s.select("line_id", F.col("n").alias("from_node"), F.lead("n").over(w).alias("to_node")).where("to_node is not null")
@@ -217,48 +178,71 @@ def _(spark: Spark, d: str) -> DataFrame:
     return o.groupBy("line_id").agg(F.max_by("pos", F.struct("p_size", -F.col("pos"))).cast("long").alias("worst_pos"), F.max("p_size").alias("worst"), F.round(F.avg("p_size"), 9).alias("mean"))
 
 
-@query("Q5_path_violations", f"with recursive {STEPS} select request_id, rank, count(*) filter (kind is null) as missing_edges, count(*) filter (split_part(to_node, '_', 1) = 'Brand#7') as out_of_scope from full_steps group by 1, 2", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    s = steps(spark, d, whole)[0]
-    return s.groupBy("request_id", "rank").agg(F.count(F.when(F.col("kind").isNull(), 1)).alias("missing_edges"), F.count(F.when(S.node_line(F.col("to_node")) == "Brand#7", 1)).alias("out_of_scope"))
+Q5 = f"""with recursive {STEPS} select request_id, rank, count(*) filter (kind is null) as missing_edges, count(*) filter (split_part(to_node, '_', 1) = 'Brand#7') as out_of_scope, count(*) filter (kind = 'transfer' and not is_through) as transfers,
+ coalesce(string_agg({NAMES.format('from_node')}, ';' order by pos) filter (kind = 'transfer' and not is_through), '') as transfer_stations from full_steps group by 1, 2"""
 
 
-@query("Q4_graph_structure", f"with {ALL} select (select count(*) from ride a left join ride b on b.line_id = a.line_id and b.from_node = a.to_node and b.to_node = a.from_node where b.from_node is null or b.minutes <> a.minutes) as asymmetric, (select count(*) from nodes where node not in (select from_node from ride)) as isolated")
-def _(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d)
-    r = written(N.ride_edges(s, node()))
-    back = r.select("line_id", F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("minutes").alias("back"))
-    a = r.join(back, ["line_id", "from_node", "to_node"], "left").where("back is null or back <> minutes").agg(F.count("*").alias("asymmetric"))
-    lost = s.select(node().alias("from_node")).distinct().join(r.select("from_node").distinct(), "from_node", "left_anti").agg(F.count("*").alias("isolated"))
-    return a.crossJoin(lost)
+@query("Q5_path_violations", Q5, whole=True)
+def route_violations(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return violations(steps(spark, d, whole)[0])
+
+
+Q4 = f"""with {ALL}, pairs as (select a.minutes as there, b.minutes as back from ride a left join ride b on b.from_node = a.to_node and b.to_node = a.from_node where a.is_bidirectional = 1), nodes as (select from_node as node from ride union select to_node from ride),
+need as (select station_name, line_id from ls where pos <= 3), has as (select station_name, split_part(from_node, '_', 1) as line_id from tr)
+select 'phantom_edges' as "check", count(*) as failures from ride join fst on fst.line_id = ride.line_id and fst.prev = ride.from_station where abs(from_pos - to_pos) > 1 and to_station not in (select station_name from ls where ls.line_id = ride.line_id and size = 13)
+union all select 'required_transfers', count(*) from need where station_name in (select station_name from need group by 1 having count(*) > 1) and not exists (select 1 from has where has.station_name = need.station_name and has.line_id = need.line_id)
+union all select 'out_of_scope_nodes', count(*) from nodes where node like 'Brand#7%' union all select 'asymmetric_times', count(*) from pairs where back is null or back <> there
+union all select 'branch_nodes', (select count(*) from (select distinct line_id || '_' || before || '@b' as n from stp where split = '@b') where n not in (select node from nodes))"""
+
+
+@query("Q4_graph_structure", Q4)
+def graph_structure(spark: Spark, d: str) -> DataFrame:
+    """Phantom edges, transfers that must be there, nodes out of scope, times that differ
+    between the two ways, and branch nodes that are missing."""
+    s, r = line_sequence(spark, d), written(raw_rides(spark, d))
+    count = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
+    broken = s.where("size = 13").select("line_id", F.col("station_name").alias("to_station"))
+    first = s.where("pos = 1").select("line_id", F.col("station_name").alias("from_station"))
+    phantom = r.join(first, ["line_id", "from_station"], "left_semi").where("abs(from_pos - to_pos) > 1").join(broken, ["line_id", "to_station"], "left_anti")
+    need = s.where("pos <= 3").select("station_name", "line_id")
+    several = need.groupBy("station_name").count().where("count > 1")
+    has = transfers(spark, d, r).select("station_name", S.node_line(F.col("from_node")).alias("line_id"))
+    lost = need.join(several, "station_name", "left_semi").join(has, ["station_name", "line_id"], "left_anti")
+    nodes = r.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    back = r.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("minutes").alias("back"))
+    uneven = r.where("is_bidirectional = 1").join(back, ["from_node", "to_node"], "left").where("back is null or back <> minutes")
+    wanted = r.where("branch <> 'main' and from_node like '%@b'").select(F.col("from_node").alias("node")).distinct().join(nodes, "node", "left_anti")
+    out = count(phantom, "phantom_edges")
+    for df, name in ((lost, "required_transfers"), (nodes.where("node like 'Brand#7%'"), "out_of_scope_nodes"), (uneven, "asymmetric_times"), (wanted, "branch_nodes")):
+        out = out.unionByName(count(df, name))
+    return out
 
 
-R7 = f"""with recursive {ALL}, rq as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by seq) as d from seq) where seq % 50 = 0 and d is not null and d <> station_name),
+R7 = f"""with recursive {ALL}, nodes as (select distinct from_station as station_name, from_node as node from ride), rq as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by pos) as d from ls) where seq % 20 = 0 and d is not null and d <> station_name),
 walk as (select request_id, d, node, [node] as path, 0 as minutes from rq join nodes on nodes.station_name = rq.o
  union all select w.request_id, w.d, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes from walk w join edge e on e.from_node = w.node where not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= 6),
-a as (select request_id, array_to_string(path, '>') as route, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where regexp_replace(node, '^[^_]*_', '') = d) select request_id, route, cast(minutes as integer) as minutes, rank from a where rank <= 2"""
+a as (select request_id, array_to_string(path, '>') as route, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where exists (select 1 from nodes where nodes.node = walk.node and nodes.station_name = walk.d)) select request_id, route, cast(minutes as integer) as minutes, rank from a where rank <= 2"""
 
 
 @query("R7_station_requests", R7, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    s = sequence(spark, d)
-    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("seq"))).where(F.lit(True) if whole else F.expr("seq % 50 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
-    nodes = s.select(node().alias("node"), "station_name").distinct()
-    inner, edges = J.station_requests(asked, nodes, all_edges(spark, d))
-    found = N.k_paths(inner, written(edges), 2, None if whole else 6, 1)
+def station_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    s = line_sequence(spark, d)
+    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("pos"))).where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
+    edges = written(all_edges(spark, d))
+    nodes = edges.where("kind = 'ride'").select(F.col("from_node").alias("node"), S.node_station(F.col("from_node")).alias("station_name")).distinct()
+    inner, more = J.station_requests(asked, nodes, edges)
+    found = N.k_paths(inner, written(more), 2, None if whole else 6, 1)
     return found.select("request_id", F.array_join(F.slice("path", 2, F.size("path") - 2), ">").alias("route"), "minutes", "rank")
 
 
-R24 = f"""with recursive {PATHS}, pt as (select node, station_name, seq % 100 as x, seq // 100 as y from (select line_id || '_' || station_name as node, station_name, min(seq) as seq from seq group by 1, 2) where seq % 3 <> 0),
+R24 = f"""with recursive {PATHS}, pt as (select line_id || '_' || station_name as node, station_name, seq % 100 as x, seq // 100 as y from ls where seq % 3 <> 0),
 fb as (select station_name, arg_min(x, node) as x, arg_min(y, node) as y from pt group by 1), lg as (select request_id, rank, unnest(path) as node, unnest(generate_series(0, len(path) - 1)) as pos from paths),
-pl as (select request_id, rank, pos, coalesce(pt.x, fb.x) as x, coalesce(pt.y, fb.y) as y from lg left join pt using (node) left join fb on fb.station_name = regexp_replace(lg.node, '^[^_]*_', '') where coalesce(pt.x, fb.x) is not null),
+pl as (select request_id, rank, pos, coalesce(pt.x, fb.x) as x, coalesce(pt.y, fb.y) as y from lg left join pt using (node) left join fb on fb.station_name = {NAMES.format('lg.node')} where coalesce(pt.x, fb.x) is not null),
 q as (select *, lag(x) over w as bx, lag(y) over w as b_y from pl window w as (partition by request_id, rank order by pos)) select request_id, rank, pos, x, y from q where bx is null or bx <> x or b_y <> y"""
 
 
 @query("R24_coordinates", R24, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    points = sequence(spark, d).groupBy(node().alias("node"), F.col("station_name").alias("station")).agg(F.min("seq").alias("seq")).where("seq % 3 <> 0")
+def route_points(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    points = line_sequence(spark, d).where("seq % 3 <> 0").select(S.node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), "seq")
     placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
     return J.coordinates(paths(spark, d, whole)[0], placed, S.node_station(F.col("node")))

@@ -1,4 +1,8 @@
-"""Network and route jobs on part sequences: a brand is a line, a part name a station."""
+"""Network and route jobs on part sequences: a brand is a line, a part name a station.
+
+Rule tables (breaks, one-way steps, branches, loops, junctions, rings) are read off the
+parts' sizes and brands, so that every rule of the network meets some edges.
+"""
 
 from __future__ import annotations
 
@@ -7,186 +11,435 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..operators import journeys as J
 from ..operators import network as N
-from ..sources.scratch import written
+from ..sources.scratch import exists, written
 from .registry import query
-from .views import SEQ, sequence
+from .views import table
 
 Spark = SparkSession
-
-
-def node() -> F.Column:
-    return S.node_id(F.col("line_id"), F.col("station_name"))
-
-
-ALL = f"""{SEQ}, lagged as (select *, line_id || '_' || station_name as node, lag(line_id || '_' || station_name) over (partition by line_id order by seq) as before from seq), st as (select * from lagged where before is not null and before <> node),
-ride as (select line_id, f as from_node, t as to_node, min(minutes) as minutes from (select line_id, before as f, node as t, minutes from st union all select line_id, node, before, minutes from st) group by all),
-nodes as (select distinct line_id || '_' || station_name as node, line_id, station_name from seq),
-tr as (select a.station_name, a.node as from_node, b.node as to_node, 4 as minutes from nodes a join nodes b on a.station_name = b.station_name and a.line_id <> b.line_id),
-edge as (select from_node, to_node, minutes, 'ride' as kind from ride union all select from_node, to_node, minutes, 'transfer' from tr)"""
+TRANSFER, AGAIN, LOOPS = 4, 3, ("Brand#11", "Brand#21", "Brand#31")
+
+
+def line_sequence(spark: Spark, d: str) -> DataFrame:
+    """Each line's stations once, in the order of their first part."""
+    first = table(spark, d, "part").groupBy(F.col("p_brand").alias("line_id"), F.col("p_name").alias("station_name")).agg(F.min(F.struct("p_partkey", "p_size")).alias("p"))
+    s = first.select("line_id", "station_name", F.col("p.p_partkey").alias("seq"), F.col("p.p_size").alias("size"), (1 + F.col("p.p_size") % 5).cast("int").alias("minutes"))
+    return s.withColumn("pos", F.row_number().over(W.partitionBy("line_id").orderBy("seq")))
+
+
+LINES = """ls as (select *, cast(row_number() over (partition by line_id order by seq) as integer) as pos from (select p_brand as line_id, p_name as station_name, min(p_partkey) as seq, arg_min(p_size, p_partkey) as size, cast(1 + arg_min(p_size, p_partkey) % 5 as integer) as minutes from part group by 1, 2)),
+fst as (select line_id, station_name as prev from ls where pos = 1),
+st as (select ls.*, case when size % 10 = 9 then 'b' else 'main' end as branch, size = 17 as one_way, coalesce(case when size = 13 and pos > 2 then fst.prev end, lag(station_name) over (partition by line_id order by pos)) as before from ls join fst using (line_id)),
+stp as (select st.*, o.pos as before_pos, case when st.branch <> 'main' and o.size % 10 <> 9 then '@b' else '' end as split from st join ls o on o.line_id = st.line_id and o.station_name = st.before where before <> st.station_name),
+both_ways as (select line_id, line_id || '_' || before || split as from_node, line_id || '_' || station_name as to_node, before as from_station, station_name as to_station, before_pos as from_pos, pos as to_pos, minutes, branch, cast(not one_way as integer) as is_bidirectional from stp
+ union all select line_id, line_id || '_' || station_name, line_id || '_' || before || split, station_name, before, pos, before_pos, minutes, branch, 1 from stp where not one_way),
+lp as (select line_id, max(station_name) filter (pos = 5) as entry, max(station_name) filter (pos = 6) as last, max(station_name) filter (pos = 4) as exit from ls where line_id in ('Brand#11', 'Brand#21', 'Brand#31') group by 1),
+ride0 as (select b.* replace (case when from_station = last and to_station = entry then b.line_id || '_' || entry || '@loop' else to_node end as to_node, case when from_station = entry and to_station = exit then b.line_id || '_' || entry || '@loop' else from_node end as from_node,
+ case when from_station = entry and to_station = exit then 0 else is_bidirectional end as is_bidirectional) from both_ways b left join lp on lp.line_id = b.line_id)"""
+DIRECTIONS = """ride1 as (select *, case when is_bidirectional = 0 then 'down' when branch <> 'main' then case when to_pos > from_pos then branch || '_up' else branch || '_down' end
+ when line_id like 'Brand#2%' then case when (to_pos > from_pos) <> (abs(to_pos - from_pos) > 10) then 'inner' else 'outer' end when to_pos > from_pos then 'up' else 'down' end as direction from ride0)"""
+VOLUME = "vol as (select p_name as station_name, sum(p_retailprice) as volume from part where p_partkey % 3 = 0 group by 1)"
+TRANSFERS = f"""{VOLUME}, nd as (select distinct line_id, from_station as station_name, from_node as node from ride0), mn as (select * from nd where not contains(node, '@')), ow as (select * from nd where contains(node, '@')),
+tr0 as (select a.station_name, a.node as from_node, b.node as to_node, {TRANSFER} as minutes, 0 as is_branch_transfer, 1 as is_bidirectional from mn a join mn b on a.station_name = b.station_name and a.line_id <> b.line_id
+ union all select ow.station_name, ow.node, mn.node, {AGAIN}, 1, cast(not contains(ow.node, '@loop') as integer) from ow join mn using (line_id, station_name)
+ union all select ow.station_name, mn.node, ow.node, {AGAIN}, 1, 1 from ow join mn using (line_id, station_name) where not contains(ow.node, '@loop')),
+tr as (select tr0.*, round(least(3.0, coalesce(volume, 0) / 50000.0), 3) as volume_penalty, round(minutes + round(least(3.0, coalesce(volume, 0) / 50000.0), 3), 3) as penalty from tr0 left join vol using (station_name))"""
+#: Crowding by line, station, direction and bin; bin 0 is the current one.
+LOOK = "lookup as (select distinct line_id, from_station, direction, bin, case when from_pos % 9 <> 4 then cast((from_pos * 37 + length(direction) * 29 + bin * 23) % 160 as double) end as rate from ride1 cross join (select unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4]) as bin))"
+ALL = f"""{LINES}, {DIRECTIONS}, {TRANSFERS}, {LOOK}, mult as (select distinct p_name as from_station, 1.25 as mult from part where p_size = 1),
+r2 as (select ride1.*, rate from ride1 left join (select * from lookup where bin = 0) k on k.line_id = ride1.line_id and k.from_station = ride1.from_station and k.direction is not distinct from ride1.direction),
+r3 as (select *, coalesce(rate, median(rate) over (partition by line_id, direction), median(rate) over ()) as usual from r2),
+r4 as (select r3.*, usual * coalesce(mult, 1.0) as cong from r3 left join mult using (from_station)),
+ride as (select *, cast(round(minutes * (1000 + 5 * greatest(cong - 80, 0.0))) as integer) as cost_m, cast(round(minutes * (1000 + 5 * greatest(cong - 80, 0.0))) as integer) - cast(round(minutes * (1000 + 5 * greatest(usual - 80, 0.0))) as integer) as event_m from r4),
+edge as materialized (select from_node, to_node, 'ride' as kind, line_id, minutes, cost_m, event_m, cong, direction, branch from ride union all select from_node, to_node, 'transfer', null, minutes, cast(round(penalty * 1000) as integer), 0, null, null, null from tr)"""
+
+
+def raw_rides(spark: Spark, d: str) -> DataFrame:
+    s = line_sequence(spark, d)
+    first = s.where("pos = 1").select("line_id", F.col("station_name").alias("prev"))
+    breaks = s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
+    edges = N.ride_edges(s, breaks, F.when(F.col("size") % 10 == 9, "b").otherwise("main"), F.col("size") == 17)
+    at = lambda k, name: F.max(F.when(F.col("pos") == k, F.col("station_name"))).alias(name)
+    return N.split_loop_end(edges, s.where(F.col("line_id").isin(*LOOPS)).groupBy("line_id").agg(at(5, "entry"), at(6, "last"), at(4, "exit")))
+
+
+def directed(spark: Spark, d: str) -> DataFrame:
+    return raw_rides(spark, d).withColumn("direction", N.edge_direction(F.col("line_id").startswith("Brand#2")))
+
+
+def transfers(spark: Spark, d: str, rides: DataFrame) -> DataFrame:
+    volumes = table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("station_name")).agg(F.sum("p_retailprice").alias("volume"))
+    return N.transfer_edges(rides, volumes, TRANSFER, AGAIN)
+
+
+def lookup(rides: DataFrame) -> DataFrame:
+    """Crowding by line, station, direction and bin (0: the current one)."""
+    bins = rides.withColumn("bin", F.explode(F.sequence(F.lit(-4), F.lit(4))))
+    rate = F.when(F.col("from_pos") % 9 != 4, ((F.col("from_pos") * 37 + F.length("direction") * 29 + F.col("bin") * 23) % 160).cast("double"))
+    return bins.select("line_id", "from_station", "direction", "bin", rate.alias("rate")).distinct()
+
+
+def crowded_rides(spark: Spark, d: str) -> DataFrame:
+    rides = written(directed(spark, d))
+    events = table(spark, d, "part").where("p_size = 1").select(F.col("p_name").alias("station_name"), F.lit(1.25).alias("mult")).distinct()
+    return N.crowded(rides, lookup(rides).where("bin = 0").drop("bin"), events)
 
 
 def all_edges(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d)
-    ride = N.ride_edges(s, node()).select("from_node", "to_node", "minutes", F.lit("ride").alias("kind"))
-    return ride.unionByName(N.transfer_edges(s, node(), 4).select("from_node", "to_node", "minutes", F.lit("transfer").alias("kind")))
+    rides = written(crowded_rides(spark, d))
+    columns = ["from_node", "to_node", "kind", "line_id", "minutes", "cost_m", "event_m", "cong", "direction", "branch"]
+    walks = transfers(spark, d, rides).withColumn("cost_m", F.round(F.col("penalty") * 1000).cast("int")).select("from_node", "to_node", F.lit("transfer").alias("kind"), "minutes", "cost_m", F.lit(0).alias("event_m"))
+    return rides.withColumn("kind", F.lit("ride")).select(*columns).unionByName(walks, allowMissingColumns=True)
 
 
-@query("E2_ride_edges", f"with {ALL} select * from ride")
-def _(spark: Spark, d: str) -> DataFrame:
-    return N.ride_edges(sequence(spark, d), node())
+@query("E2_ride_edges", f"with {LINES} select line_id, from_station, to_station, minutes, is_bidirectional from both_ways")
+def consecutive(spark: Spark, d: str) -> DataFrame:
+    """Steps of the sequences with breaks, before loops are split."""
+    s = line_sequence(spark, d)
+    first = s.where("pos = 1").select("line_id", F.col("station_name").alias("prev"))
+    breaks = s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
+    return N.ride_edges(s, breaks, F.when(F.col("size") % 10 == 9, "b").otherwise("main"), F.col("size") == 17).select("line_id", "from_station", "to_station", "minutes", "is_bidirectional")
 
 
-@query("R2_transfer_edges", f"with {ALL} select * from tr")
-def _(spark: Spark, d: str) -> DataFrame:
-    return N.transfer_edges(sequence(spark, d), node(), 4)
+@query("R1_ride_edges", f"with {LINES} select from_node, to_node, line_id, minutes, branch, is_bidirectional from ride0")
+def split_edges(spark: Spark, d: str) -> DataFrame:
+    return raw_rides(spark, d).select("from_node", "to_node", "line_id", "minutes", "branch", "is_bidirectional")
 
 
-@query("R1_edge_table", f"with {ALL} select kind, count(*) as n, cast(sum(minutes) as bigint) as minutes, count(distinct from_node) as nodes from edge group by 1")
-def _(spark: Spark, d: str) -> DataFrame:
-    return all_edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.count_distinct("from_node").alias("nodes"))
+@query("R2_transfer_edges", f"with {LINES}, {TRANSFERS} select * from tr")
+def transfer_table(spark: Spark, d: str) -> DataFrame:
+    return transfers(spark, d, written(raw_rides(spark, d)))
 
 
-@query("R3_edge_direction", f"with {ALL}, f as (select node, min(seq) as s from lagged group by 1) select from_node, to_node, case when b.s = (select min(seq) from seq q where q.line_id = split_part(from_node, '_', 1)) then 'closing' when a.s < b.s then 'up' else 'down' end as direction from ride join f a on a.node = from_node join f b on b.node = to_node")
-def _(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d)
-    first = s.groupBy(node().alias("node")).agg(F.min("seq").alias("s"))
-    start = s.groupBy("line_id").agg(F.min("seq").alias("line_start"))
-    e = N.ride_edges(s, node()).join(first.toDF("from_node", "a"), "from_node").join(first.toDF("to_node", "b"), "to_node").join(start, "line_id")
-    return e.select("from_node", "to_node", F.when(F.col("b") == F.col("line_start"), "closing").when(F.col("a") < F.col("b"), "up").otherwise("down").alias("direction"))
+@query("R3_edge_direction", f"with {LINES}, {DIRECTIONS} select from_node, to_node, branch, direction from ride1")
+def directions(spark: Spark, d: str) -> DataFrame:
+    return directed(spark, d).select("from_node", "to_node", "branch", "direction")
 
 
-R4 = f"with recursive {ALL}, walk as (select node, node as seen from nodes union select walk.node, ride.to_node from walk join ride on ride.from_node = walk.seen) select node, min(seen) as component from walk group by 1"
+R4 = f"""with recursive {ALL}, nodes as (select from_node as node from ride union select to_node from ride),
+fw as (select node as source, node from nodes where node in (select min(node) from nodes group by split_part(node, '_', 1)) union select fw.source, ride.to_node from fw join ride on ride.from_node = fw.node),
+bw as (select node as source, node from nodes where node in (select min(node) from nodes group by split_part(node, '_', 1)) union select bw.source, ride.from_node from bw join ride on ride.to_node = bw.node),
+wk as (select node, node as seen from nodes union select wk.node, e.b from wk join (select from_node as a, to_node as b from ride union select to_node, from_node from ride) e on e.a = wk.seen)
+select n.node, c.component, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, fw.node is not null as is_reached, bw.node is not null as reaches_root from nodes n join (select node, min(seen) as component from wk group by 1) c using (node)
+ left join (select from_node as node, count(*) as n from ride group by 1) o using (node) left join (select to_node as node, count(*) as n from ride group by 1) i using (node) left join fw using (node) left join bw using (node)"""
 
 
-@query("R4_components", R4)
-def _(spark: Spark, d: str) -> DataFrame:
-    s = sequence(spark, d)
-    return N.reachable(s.select(node().alias("node")).distinct(), N.ride_edges(s, node()))
+@query("R4_connectivity", R4)
+def connectivity(spark: Spark, d: str) -> DataFrame:
+    """Components, degrees, and what each line's least node reaches or is reached from
+    (both: strongly connected with it; neither way: isolated)."""
+    r = written(raw_rides(spark, d))
+    nodes = written(r.select(F.col("from_node").alias("node")).union(r.select("to_node")).distinct())
+    roots = nodes.groupBy(S.node_line(F.col("node"))).agg(F.min("node").alias("node")).select("node")
+    out = N.reachable(nodes, r)
+    degree = lambda c, name: r.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(name))
+    for frame in (degree("from_node", "out_degree"), degree("to_node", "in_degree")):
+        out = out.join(frame, "node", "left")
+    out = out.na.fill(0, ["out_degree", "in_degree"])
+    for name, a, b in (("is_reached", "from_node", "to_node"), ("reaches_root", "to_node", "from_node")):
+        found = N.reached(roots, r.select(F.col(a).alias("from_node"), F.col(b).alias("to_node")))
+        out = out.join(found.withColumn(name, F.lit(True)), "node", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
 
 
-HORIZON = 9
-R5 = f"""with recursive {ALL}, reach as (select node as source, node, 0 as cost from nodes where line_id = 'Brand#1' union select r.source, e.to_node, r.cost + e.minutes from reach r join edge e on e.from_node = r.node where r.cost + e.minutes <= {HORIZON})
+HORIZON, REACH = 13, 8
+R5 = f"""with recursive {ALL}, nodes as (select from_node as node from ride union select to_node from ride), reach as (select node as source, node, 0 as cost from nodes union select r.source, e.to_node, r.cost + e.minutes from reach r join edge e on e.from_node = r.node where r.cost + e.minutes <= {REACH})
 select source, node, cast(min(cost) as integer) as cost from reach group by 1, 2"""
 
 
-@query("R5_distances", R5, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    seeds = sequence(spark, d).where(F.lit(True) if whole else F.expr("line_id = 'Brand#1'")).select(node().alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("cost"))
-    return N.distances(seeds, all_edges(spark, d), None if whole else HORIZON)
+@query("R5_distances", R5)
+def bulk_distances(spark: Spark, d: str) -> DataFrame:
+    """Least minutes between all nodes, up to a horizon."""
+    edges = written(all_edges(spark, d))
+    nodes = edges.where("kind = 'ride'").select(F.explode(F.array("from_node", "to_node")).alias("source")).distinct()
+    return N.distances(nodes.select("source", F.col("source").alias("node"), F.lit(0).alias("cost")), edges, REACH)
+
+
+@query("R5_shortest_paths")
+def bulk_paths(spark: Spark, d: str) -> DataFrame:
+    """The same with a least path each, its stops and transfers (tested by enumeration)."""
+    edges = written(all_edges(spark, d))
+    nodes = edges.where("kind = 'ride'").select(F.explode(F.array("from_node", "to_node")).alias("source")).distinct()
+    return N.shortest_paths(nodes.select("source", F.col("source").alias("node"), F.lit(0).alias("cost")), edges, REACH)
 
 
 SLACK, KEEP = 2, 3
-REQ = "req as (select seq as request_id, node as origin, d as destination from (select *, lead(line_id || '_' || station_name, 3) over (partition by line_id order by seq) as d from lagged) where seq % 20 = 0 and d is not null and d <> node)"
-PATHS = f"""{ALL}, {REQ}, walk as (select request_id, destination, origin as node, [origin] as path, 0 as minutes from req
- union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes from walk w join edge e on e.from_node = w.node where w.node <> w.destination and not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= {HORIZON}),
-arrived as (select request_id, path, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where node = destination),
-paths as (select request_id, array_to_string(path, '>') as route, path, cast(minutes as integer) as minutes, rank from arrived where rank <= {KEEP})"""
+REQ = "req as (select seq as request_id, origin, destination from (select seq, line_id || '_' || station_name as origin, line_id || '_' || lead(station_name, 3) over (partition by line_id order by pos) as destination from ls) where seq % 20 = 0 and destination is not null)"
+PATHS = f"""{ALL}, {REQ}, walk as (select request_id, destination, origin as node, [origin] as path, 0 as minutes, 0 as cost_m from req
+ union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes, w.cost_m + e.cost_m from walk w join edge e on e.from_node = w.node where w.node <> w.destination and not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= {HORIZON}),
+quick as (select request_id, path, 0 as list, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as r from walk where node = destination qualify r <= {KEEP}),
+calm as (select request_id, path, 1 as list, row_number() over (partition by request_id order by cost_m, array_to_string(path, '>')) as r from walk where node = destination and cost_m <= {1000 * HORIZON} qualify r <= {KEEP}),
+paths as materialized (select request_id, path, cast(row_number() over (partition by request_id order by list, r) as integer) as rank from (select * from quick union all select calm.* from calm where not exists (select 1 from quick where quick.request_id = calm.request_id and quick.path = calm.path)))"""
 
 
 def requests(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    order = W.partitionBy("line_id").orderBy("seq")
-    s = sequence(spark, d).withColumn("origin", node()).withColumn("destination", F.lead("origin", 3).over(order))
-    return s.where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null and destination <> origin").select(F.col("seq").alias("request_id"), "origin", "destination")
+    s = line_sequence(spark, d).withColumn("origin", S.node_id(F.col("line_id"), F.col("station_name"))).withColumn("destination", F.lead("origin", 3).over(W.partitionBy("line_id").orderBy("pos")))
+    return s.where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), "origin", "destination")
+
+
+_searched: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def paths(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges = written(all_edges(spark, d))
-    return written(N.k_paths(requests(spark, d, whole), edges.select("from_node", "to_node", "minutes"), KEEP, None if whole else HORIZON, SLACK)), edges
+    """Candidate routes and the edges. A search is kept for the session while its files are
+    there, since every evaluation starts from it."""
+    key = (spark.sparkContext.applicationId, d, whole)
+    if key not in _searched or not all(exists(spark, f) for df in _searched[key] for f in df.inputFiles()[:1]):
+        edges = written(all_edges(spark, d))
+        _searched[key] = (written(N.candidates(requests(spark, d, whole), edges, KEEP, None if whole else HORIZON, SLACK)), edges)
+    return _searched[key]
+
+
+@query("R6_k_paths", f"with recursive {PATHS} select request_id, array_to_string(path, '>') as route, rank from paths", whole=True)
+def k_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return paths(spark, d, whole)[0].select("request_id", F.array_join("path", ">").alias("route"), "rank")
+
+
+NAMES = "regexp_replace(regexp_replace({0}, '^[^_]*_', ''), '@[^@]*$', '')"
+STEPS0 = f"""{PATHS}, ix as (select request_id, rank, path, unnest(generate_series(1, len(path) - 1)) as pos from paths), steps as (select ix.request_id, ix.rank, cast(pos - 1 as integer) as pos, path[pos] as from_node, path[pos + 1] as to_node from ix),
+fs0 as (select s.*, e.* exclude (from_node, to_node) from steps s left join edge e using (from_node, to_node))"""
+#: Junctions of some lines are passed through: the node before a junction is its trunk.
+STEPS = f"""{STEPS0}, jn as (select distinct s.line_id || '_' || s.before as node, s.line_id || '_' || s.before || '@b' as own, s.line_id || '_' || t.station_name as trunk from stp s join ls t on t.line_id = s.line_id and t.pos = s.before_pos - 1 where s.split = '@b' and s.line_id like 'Brand#_1'),
+ft as (select *, lag(from_node) over w as bn, lead(to_node) over w as an from fs0 window w as (partition by request_id, rank order by pos)),
+full_steps as (select ft.* exclude (bn, an), coalesce(kind = 'transfer', false) and exists (select 1 from jn where least(ft.from_node, ft.to_node) = least(jn.node, jn.own) and greatest(ft.from_node, ft.to_node) = greatest(jn.node, jn.own) and (ft.bn is not distinct from jn.trunk or ft.an is not distinct from jn.trunk)) as is_through from ft)"""
 
 
-@query("R6_k_paths", f"with recursive {PATHS} select request_id, route, minutes, rank from paths", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return paths(spark, d, whole)[0].select("request_id", F.array_join("path", ">").alias("route"), "minutes", "rank")
+def junctions(spark: Spark, d: str) -> DataFrame:
+    s = line_sequence(spark, d).where("line_id like 'Brand#_1'")
+    trunk = s.select("line_id", (F.col("pos") + 1).alias("from_pos"), S.node_id(F.col("line_id"), F.col("station_name")).alias("trunk"))
+    r = raw_rides(spark, d).where("from_node like '%@b'").select("line_id", "from_pos", F.col("from_node").alias("own")).distinct()
+    return r.join(trunk, ["line_id", "from_pos"]).select(F.regexp_replace("own", "@b$", "").alias("node"), "own", "trunk")
 
 
-STEPS = f"{PATHS}, ix as (select request_id, rank, path, unnest(generate_series(1, len(path) - 1)) as pos from paths), steps as (select ix.request_id, ix.rank, pos - 1 as pos, path[pos] as from_node, path[pos + 1] as to_node from ix), full_steps as (select s.*, e.minutes, e.kind from steps s left join edge e using (from_node, to_node))"
+def steps(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Steps of all candidate routes with their edges' attributes and through passes."""
+    p, edges = paths(spark, d, whole)
+    return J.through_pass(N.path_edges(p, edges), junctions(spark, d)), edges
+
+
+def line_or_walk() -> F.Column:
+    return F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node")))
+
 
+def parts(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, edges = steps(spark, d, whole)
+    s = written(s)
+    return N.segments(s, line_or_walk()), s, edges
 
-@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, regexp_replace(unnest(path), '^[^_]*_', '') as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+
+@query("R10_through_pass", f"with recursive {STEPS} select request_id, rank, pos, is_through from full_steps", whole=True)
+def through_passes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return steps(spark, d, whole)[0].select("request_id", "rank", "pos", "is_through")
+
+
+@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, {NAMES.format('unnest(path)')} as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2", whole=True)
+def revisits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     names = F.transform("path", S.node_station)
     kept = F.filter(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when((i == 1) | (F.element_at("names", i) != F.element_at("names", F.greatest(i - 1, F.lit(1)))), F.element_at("names", i))), lambda x: x.isNotNull())
     return paths(spark, d, whole)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
 
 
-@query("R9_path_evaluation", f"with recursive {STEPS} select request_id, rank, cast(sum(minutes) filter (kind = 'ride') as bigint) as running, cast(coalesce(sum(minutes) filter (kind = 'transfer'), 0) as bigint) as walking, count(*) filter (kind = 'transfer') as transfers, count(*) as n_edges from full_steps group by 1, 2", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    p, edges = paths(spark, d, whole)
-    ride, walk = F.col("kind") == "ride", F.col("kind") == "transfer"
-    return N.path_edges(p, edges).groupBy("request_id", "rank").agg(
-        F.sum(F.when(ride, F.col("minutes"))).alias("running"), F.coalesce(F.sum(F.when(walk, F.col("minutes"))), F.lit(0)).alias("walking"), F.count(F.when(walk, 1)).alias("transfers"), F.count("*").alias("n_edges")
-    )
+SEG = f"""{STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else split_part(from_node, '_', 1) end as line from full_steps where not is_through), n as (select *, case when lag(line) over w is null or lag(line) over w <> line then 1 else 0 end as is_new from l window w as (partition by request_id, rank order by pos)),
+g as (select *, cast(sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as bigint) as segment from n)"""
 
 
-E8 = f"""with recursive {STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else split_part(from_node, '_', 1) end as line from full_steps), n as (select *, case when lag(line) over w is null or lag(line) over w <> line then 1 else 0 end as is_new from l window w as (partition by request_id, rank order by pos)),
-g as (select *, cast(sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as bigint) as segment from n) select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, greatest(count(*) - 1, 0) as dwell_stops from g group by 1, 2, 3, 4"""
+@query("E8_segments", f"with recursive {SEG} select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, case when line = 'walk' then 0 else count(*) - 1 end::bigint as dwell_stops from g group by 1, 2, 3, 4", whole=True)
+def route_segments(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return N.segment_sums(parts(spark, d, whole)[0])
 
 
-@query("E8_segments", E8, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    p, edges = paths(spark, d, whole)
-    return N.segments(N.path_edges(p, edges), F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node"))))
+SEATS = "ma as (select from_node as to_node, avg(cong) as m from edge where kind = 'ride' and cong is not null group by 1), seat as (select request_id, rank, avg(cong - m) / 10 as s from full_steps join ma using (to_node) where kind = 'ride' and cong is not null group by 1, 2)"
 
 
-ATTR = f"{STEPS}, attr as (select request_id, rank, cast(sum(minutes) as bigint) as minutes, count(*) filter (kind = 'transfer') as transfers, max(ascii(substr(to_node, -1)) * 3 % 100) as worst from full_steps group by 1, 2)"
+@query("R11_seat_score", f"with recursive {STEPS}, {SEATS} select a.request_id, a.rank, round(coalesce(s, 0), 9) as seat_score from (select distinct request_id, rank from full_steps) a left join seat using (request_id, rank)", whole=True)
+def seats(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return J.seat_scores(*steps(spark, d, whole)).withColumn("seat_score", F.round("seat_score", 9))
 
 
-def attributed(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    p, edges = paths(spark, d, whole)
-    worst = (F.ascii(F.substr("to_node", F.lit(-1))) * 3) % 100
-    return p, N.path_edges(p, edges).groupBy("request_id", "rank").agg(F.sum("minutes").alias("minutes"), F.count(F.when(F.col("kind") == "transfer", 1)).alias("transfers"), F.max(worst).alias("worst"))
+EVAL = f"""{SEG}, {SEATS}, hi as (select quantile_cont(rate, 0.95) as p95 from lookup where bin = 0), ne as (select request_id, rank, count(*) as n_edges from full_steps group by 1, 2),
+ev0 as (select request_id, rank, cast(coalesce(sum(minutes) filter (kind = 'ride'), 0) as bigint) as running, cast(coalesce(sum(minutes) filter (kind = 'transfer'), 0) as bigint) as walking, sum(cost_m) as felt, count(*) filter (kind = 'ride') - count(distinct segment) filter (kind = 'ride') as dwell_stops,
+ round(avg(cong) filter (kind = 'ride'), 6) as avg_cong, round(max(cong) filter (kind = 'ride'), 6) as max_cong, count(*) filter (kind = 'ride' and cong >= (select p95 from hi)) as exposures, count(*) filter (kind = 'transfer') as transfers, coalesce(sum(cost_m) filter (kind = 'transfer'), 0) as pen, sum(coalesce(event_m, 0)) as evm from g group by 1, 2),
+ev as materialized (select request_id, rank, running, dwell_stops * 0.5::double as dwell, walking, running + walking + dwell_stops * 0.5::double as actual, round(felt / 1000.0::double, 3) + dwell_stops * 0.5::double as perceived, dwell_stops, avg_cong, max_cong, exposures, transfers, round(pen / 1000.0::double, 3) as transfer_penalty, round(evm / 1000.0::double, 3) as event_risk, round(coalesce(s, 0), 6) as seat_score, n_edges - transfers as n_stops
+ from ev0 join ne using (request_id, rank) left join seat using (request_id, rank))"""
+
+
+def evaluated(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    p, s, edges = parts(spark, d, whole)
+    rides = edges.where("kind = 'ride'")
+    high = lookup(directed(spark, d)).where("bin = 0").agg(F.percentile("rate", 0.95).alias("p95"))
+    return J.evaluate(p, s.groupBy("request_id", "rank").agg(F.count("*").alias("n_edges")), J.seat_scores(s, rides), high)
+
+
+@query("R9_path_evaluation", f"with recursive {EVAL} select * from ev", whole=True)
+def evaluation(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return evaluated(spark, d, whole)
+
+
+AXES = ["actual", "max_cong", "transfer_penalty"]
+PARETO = f"{EVAL}, pf as (select a.*, not exists (select 1 from ev b where b.request_id = a.request_id and b.actual <= a.actual and coalesce(b.max_cong, 1e300) <= coalesce(a.max_cong, 1e300) and b.transfer_penalty <= a.transfer_penalty and (b.actual < a.actual or coalesce(b.max_cong, 1e300) < coalesce(a.max_cong, 1e300) or b.transfer_penalty < a.transfer_penalty)) as is_pareto from ev a)"
+
+
+@query("R14_pareto", f"with recursive {PARETO} select request_id, rank, actual, max_cong, transfer_penalty, is_pareto from pf", whole=True)
+def pareto_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return N.pareto(evaluated(spark, d, whole), "request_id", "rank", AXES).select("request_id", "rank", *AXES, "is_pareto")
+
+
+#: What each mode weighs.
+MODES = {"fast": (1.0, 0.0, 0.0, 0.3, 0.0), "calm": (0.0, 1.0, 0.05, 0.5, 0.0), "min_transfer": (0.5, 0.5, 0.0, 3.0, 0.0), "balanced": (0.3, 0.7, 0.03, 0.8, 0.5)}
+RANKED = f"""{PARETO}, f as (select request_id, arg_min(struct_pack(t := actual, c := max_cong, a := avg_cong, p := perceived), actual * 1000 + rank) as f from ev group by 1),
+cmp as (select pf.*, round(actual / f.t, 9) as stretch, actual - f.t as time_loss, round(f.c - max_cong, 6) as cong_drop, round(f.a - avg_cong, 6) as avg_drop, round(f.p - perceived, 6) as perceived_gain from pf join f using (request_id)),
+md as (select * from (values {", ".join(f"('{m}', {', '.join(f'{x}::double' for x in w)})" for m, w in MODES.items())}) t(mode, wa, wp, wm, wt, ws)),
+rk as (select mode, cmp.*, round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 6) as score, row_number() over (partition by mode, request_id order by round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 6), rank) as route_rank from cmp cross join md)"""
+
+
+def compared(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    e = N.pareto(evaluated(spark, d, whole), "request_id", "rank", AXES)
+    fast = e.groupBy("request_id").agg(F.min_by(F.struct(F.col("actual").alias("t"), F.col("max_cong").alias("c"), F.col("avg_cong").alias("a"), F.col("perceived").alias("p")), F.struct("actual", "rank")).alias("f"))
+    return e.join(fast, "request_id").select(
+        *e.columns, F.round(F.col("actual") / F.col("f.t"), 9).alias("stretch"), (F.col("actual") - F.col("f.t")).alias("time_loss"), F.round(F.col("f.c") - F.col("max_cong"), 6).alias("cong_drop"),
+        F.round(F.col("f.a") - F.col("avg_cong"), 6).alias("avg_drop"), F.round(F.col("f.p") - F.col("perceived"), 6).alias("perceived_gain"),
+    )
+
+
+def ranked(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    """Every route in every mode with its score and rank in it."""
+    weights = F.array(*[F.struct(F.lit(m).alias("mode"), *[F.lit(x).alias(n) for n, x in zip(("wa", "wp", "wm", "wt", "ws"), w, strict=True)]) for m, w in MODES.items()])
+    each = compared(spark, d, whole).withColumn("m", F.explode(weights))
+    score = F.round(F.col("m.wa") * F.col("actual") + F.col("m.wp") * F.col("perceived") + F.col("m.wm") * F.coalesce("max_cong", F.lit(0.0)) + F.col("m.wt") * F.col("transfer_penalty") - F.col("m.ws") * F.col("seat_score"), 6)
+    return each.withColumn("mode", F.col("m.mode")).withColumn("score", score).drop("m").withColumn("route_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank")))
+
+
+@query("E6_fastest_comparators", f"with recursive {RANKED} select request_id, rank, stretch, time_loss, cong_drop, avg_drop, perceived_gain from cmp", whole=True)
+def comparators(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return compared(spark, d, whole).select("request_id", "rank", "stretch", "time_loss", "cong_drop", "avg_drop", "perceived_gain")
+
+
+@query("E7_mode_rank", f"with recursive {RANKED} select mode, request_id, rank, score, cast(route_rank as integer) as route_rank from rk", whole=True)
+def mode_ranks(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return ranked(spark, d, whole).select("mode", "request_id", "rank", "score", "route_rank")
+
+
+EK = "ek as (select request_id, rank, list_transform(generate_series(1, len(path) - 1), lambda i: path[i] || '>' || path[i + 1]) as ks, path as ns from paths)"
+
+
+def with_keys(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    keys = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"), F.col("path").alias("ns"))
+    return ranked(spark, d, whole).join(keys, ["request_id", "rank"])
+
+
+JAC = "round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))), 9)"
+
+
+@query("R15_overlap", f"""with recursive {RANKED}, {EK}, x as (select mode, request_id, rank, route_rank, ks, ns from rk join ek using (request_id, rank)),
+t3 as (select a.mode, a.request_id, round(avg(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks)))), 9) as mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and a.route_rank < b.route_rank and b.route_rank <= 3 group by 1, 2)
+select a.mode, a.request_id, a.rank, {JAC.format('a.ks', 'b.ks')} as to_first, {JAC.format('a.ns', 'b.ns')} as nodes_to_first, mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and b.route_rank = 1 left join t3 on t3.mode = a.mode and t3.request_id = a.request_id""", whole=True)
+def overlaps(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    x = with_keys(spark, d, whole).select("mode", "request_id", "rank", "route_rank", "ks", "ns")
+    first = x.where("route_rank = 1").select("mode", "request_id", F.col("ks").alias("ks1"), F.col("ns").alias("ns1"))
+    top = x.where("route_rank <= 3").select("mode", "request_id", "route_rank", "ks")
+    pairs = top.join(top.toDF("mode", "request_id", "other", "ks2"), ["mode", "request_id"]).where("route_rank < other").groupBy("mode", "request_id").agg(F.round(F.avg(N.jaccard("ks", "ks2")), 9).alias("mean_top3"))
+    return x.join(first, ["mode", "request_id"]).join(pairs, ["mode", "request_id"], "left").select("mode", "request_id", "rank", F.round(N.jaccard("ks", "ks1"), 9).alias("to_first"), F.round(N.jaccard("ns", "ns1"), 9).alias("nodes_to_first"), "mean_top3")
+
+
+def greedy(name: str, order: str, over: str, keys: str = "ks") -> str:
+    """Greedy duplicates by recursion over each request's routes in the given order."""
+    return f"""o_{name} as (select mode, request_id, rank, {keys} as k, row_number() over (partition by mode, request_id order by {order}) as i from rk join ek using (request_id, rank)),
+w_{name} as (select mode, request_id, rank, i, [k] as kept, false as dup from o_{name} where i = 1 union all select o.mode, o.request_id, o.rank, o.i, case when x.dup then w.kept else list_append(w.kept, o.k) end, x.dup
+ from w_{name} w join o_{name} o on o.mode = w.mode and o.request_id = w.request_id and o.i = w.i + 1, lateral (select {over} as dup) x)"""
+
+
+NEAR = "len(list_filter(w.kept, lambda y: len(list_intersect(y, o.k)) > 0.65 * len(list_distinct(list_concat(y, o.k))))) > 0"
+DUP = f"{RANKED}, {EK}, {greedy('p', 'not is_pareto, route_rank', NEAR)}"
+SERVICE = f"{greedy('s', 'route_rank', NEAR + ' or len(w.kept) >= 4')}"
+NODES = f"{greedy('n', 'route_rank', NEAR.replace('> 0.65', '>= 0.65'), 'ns')}"
+
+
+def marked(spark: Spark, d: str, whole: bool = False, service: str | None = None) -> DataFrame:
+    """Near duplicates, Pareto routes first; service: by score, at most four ("edges"), or by
+    shared nodes ("nodes")."""
+    rows = with_keys(spark, d, whole).withColumn("later", (~F.col("is_pareto")).cast("int"))
+    order = ["later", "route_rank", "rank"] if service is None else ["route_rank", "rank"]
+    return N.diverse(rows, ["mode", "request_id"], order, "ns" if service == "nodes" else "ks", 0.65, 4 if service == "edges" else None, service == "nodes").select("mode", "request_id", "rank", "is_near_duplicate")
+
+
+@query("R16_diverse", f"with recursive {DUP}, {SERVICE}, {NODES} select p.mode, p.request_id, p.rank, p.dup as is_near_duplicate, s.dup as left_by_service, n.dup as alike_in_nodes from w_p p join w_s s using (mode, request_id, rank) join w_n n using (mode, request_id, rank)", whole=True)
+def diverse_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    keys = ["mode", "request_id", "rank"]
+    out = marked(spark, d, whole)
+    for kind, name in (("edges", "left_by_service"), ("nodes", "alike_in_nodes")):
+        out = out.join(marked(spark, d, whole, kind).withColumnRenamed("is_near_duplicate", name), keys)
+    return out
+
+
+VIOLATIONS = "vl as (select request_id, rank, count(*) filter (kind is null) + count(*) filter (split_part(to_node, '_', 1) = 'Brand#7') as violations from full_steps group by 1, 2)"
+POLICY = f"""{DUP}, {VIOLATIONS}, q as (select rk.*, dup as is_near_duplicate, violations from rk join w_p using (mode, request_id, rank) join vl using (request_id, rank)),
+q2 as (select *, route_rank > 1 and violations = 0 and not is_near_duplicate and time_loss <= 15 and coalesce(cong_drop >= 15, false) and perceived_gain >= -5 as is_alternative from q),
+q3 as (select *, bool_or(is_alternative) over (partition by mode, request_id) as has_alternative from q2),
+q4 as (select *, case when route_rank = 1 then 'primary' when not has_alternative then 'no_meaningful_alternative' when is_alternative then 'meaningful_alternative' when is_near_duplicate then 'near_duplicate' else 'rejected' end as policy from q3)"""
+
+
+def violations(s: DataFrame) -> DataFrame:
+    """Q5's counts by route: missing edges, nodes of lines out of scope, transfers, and where."""
+    change = F.col("kind").eqNullSafe(F.lit("transfer")) & ~F.col("is_through")
+    return s.groupBy("request_id", "rank").agg(
+        F.count(F.when(F.col("kind").isNull(), 1)).alias("missing_edges"), F.count(F.when(S.node_line(F.col("to_node")) == "Brand#7", 1)).alias("out_of_scope"), F.count(F.when(change, 1)).alias("transfers"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(change, F.struct("pos", S.node_station(F.col("from_node")).alias("station"))))), lambda x: x["station"]), ";").alias("transfer_stations"),
+    )
 
 
-@query("R14_pareto", f"with recursive {ATTR} select a.*, not exists (select 1 from attr b where b.request_id = a.request_id and b.minutes <= a.minutes and b.transfers <= a.transfers and b.worst <= a.worst and (b.minutes < a.minutes or b.transfers < a.transfers or b.worst < a.worst)) as is_pareto from attr a", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return N.pareto(attributed(spark, d, whole)[1], "request_id", "rank", ["minutes", "transfers", "worst"])
+def with_policy(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, dict[str, F.Column]]:
+    broken = violations(steps(spark, d, whole)[0]).select("request_id", "rank", (F.col("missing_edges") + F.col("out_of_scope")).alias("violations"))
+    rows = ranked(spark, d, whole).join(marked(spark, d, whole), ["mode", "request_id", "rank"]).join(broken, ["request_id", "rank"])
+    return J.policies(rows, ["mode", "request_id"])
 
 
-@query("E6_fastest_comparators", f"with recursive {ATTR}, f as (select request_id, arg_min(minutes, rank) as fm, arg_min(worst, rank) as fw from attr group by 1) select request_id, rank, round(minutes / fm, 9) as stretch, minutes - fm as time_loss, fw - worst as worst_drop from attr join f using (request_id)", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    a = attributed(spark, d, whole)[1]
-    f = a.groupBy("request_id").agg(F.min_by(F.struct("minutes", "worst"), "rank").alias("f"))
-    return a.join(f, "request_id").select("request_id", "rank", F.round(F.col("minutes") / F.col("f.minutes"), 9).alias("stretch"), (F.col("minutes") - F.col("f.minutes")).alias("time_loss"), (F.col("f.worst") - F.col("worst")).alias("worst_drop"))
+@query("R17_alternatives", f"with recursive {POLICY} select mode, request_id, rank, is_alternative, has_alternative, policy from q4", whole=True)
+def alternatives(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return with_policy(spark, d, whole)[0].select("mode", "request_id", "rank", "is_alternative", "has_alternative", "policy")
 
 
-@query("E7_mode_rank", f"with recursive {ATTR}, m as (select * from (values ('fast', 1.0, 0.1), ('calm', 0.2, 1.0)) t(mode, wt, wc)) select mode, request_id, rank, row_number() over (partition by mode, request_id order by round(wt * minutes + wc * worst, 6), rank) as mode_rank from attr cross join m", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    modes = spark.createDataFrame([("fast", 1.0, 0.1), ("calm", 0.2, 1.0)], "mode string, wt double, wc double")
-    scored = attributed(spark, d, whole)[1].crossJoin(F.broadcast(modes)).withColumn("score", F.round(F.col("wt") * F.col("minutes") + F.col("wc") * F.col("worst"), 6))
-    return scored.withColumn("mode_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank"))).select("mode", "request_id", "rank", "mode_rank")
+CONDS = {"not_near_dup": "not is_near_duplicate", "time_loss": "time_loss <= 15", "cong_drop": "coalesce(cong_drop >= 15, false)", "perceived": "perceived_gain >= -5"}
+R18 = "select mode, " + ", ".join(f"count(*) filter (route_rank > 1 and {' and '.join(c for m, c in CONDS.items() if m != n)} and not ({CONDS[n]})) as {n}" for n in CONDS) + " from q4 group by 1"
+R18 = f"with recursive {POLICY}, b as ({R18}) select *, concat_ws(';', " + ", ".join(f"case when {n} > 0 then '{n}(' || {n} || ')' end" for n in CONDS) + ") as blocking from b"
 
 
-KEYS = f"{PATHS}, ek as (select request_id, rank, list_transform(generate_series(1, len(path) - 1), lambda i: path[i] || '>' || path[i + 1]) as ks from paths)"
+@query("R18_blockers", R18, whole=True)
+def blocking(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    rows, conditions = with_policy(spark, d, whole)
+    return J.blockers(rows, conditions, ["mode"])
 
 
-@query("R15_overlap", f"with recursive {KEYS} select a.request_id, a.rank, round(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))), 9) as overlap from ek a join ek b on a.request_id = b.request_id and b.rank = 1", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    k = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
-    best = k.where("rank = 1").select("request_id", F.col("ks").alias("best"))
-    return k.join(best, "request_id").select("request_id", "rank", F.round(N.jaccard("ks", "best"), 9).alias("overlap"))
+SUMMARY = f"""{POLICY}, sm as (select mode, request_id, count(*) as n_routes, count(*) filter (is_pareto) as n_pareto, min(stretch) filter (is_alternative) as best_stretch, max(cong_drop) as best_cong_drop, max(perceived_gain) as best_perceived_gain, count(*) filter (is_near_duplicate) as n_near_duplicates,
+ bool_or(is_alternative) as has_alternative, max(rank) filter (route_rank = 1) as selected, count(*) filter (violations > 0) as n_violations from q4 group by 1, 2),
+tp as (select a.mode, a.request_id, round(avg(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))), 9) as mean_top3 from (select o_p.*, route_rank from o_p join rk using (mode, request_id, rank)) a join (select o_p.*, route_rank from o_p join rk using (mode, request_id, rank)) b on a.mode = b.mode and a.request_id = b.request_id and a.route_rank < b.route_rank and b.route_rank <= 3 group by 1, 2)"""
 
 
-R16 = f"""with recursive {KEYS}, j as (select a.request_id, a.rank as x, b.rank as y, len(list_intersect(a.ks, b.ks)) > 0.65 * len(list_distinct(list_concat(a.ks, b.ks))) as near from ek a join ek b on a.request_id = b.request_id and b.rank < a.rank),
-k1 as (select request_id, 1 as rank from ek where rank = 1), k2 as (select request_id, 2 as rank from ek where rank = 2 and not exists (select 1 from j where j.request_id = ek.request_id and x = 2 and y = 1 and near)),
-k3 as (select request_id, 3 as rank from ek where rank = 3 and not exists (select 1 from j where j.request_id = ek.request_id and x = 3 and near and (y = 1 or exists (select 1 from k2 where k2.request_id = ek.request_id))))
-select * from k1 union all select * from k2 union all select * from k3"""
+def summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    q, top = with_policy(spark, d, whole)[0], overlaps(spark, d, whole).select("mode", "request_id", "mean_top3").distinct()
+    s = q.groupBy("mode", "request_id").agg(
+        F.count("*").alias("n_routes"), F.count(F.when(F.col("is_pareto"), 1)).alias("n_pareto"), F.min(F.when(F.col("is_alternative"), F.col("stretch"))).alias("best_stretch"), F.max("cong_drop").alias("best_cong_drop"), F.max("perceived_gain").alias("best_perceived_gain"),
+        F.count(F.when(F.col("is_near_duplicate"), 1)).alias("n_near_duplicates"), F.bool_or("is_alternative").alias("has_alternative"), F.max(F.when(F.col("route_rank") == 1, F.col("rank"))).alias("selected"), F.count(F.when(F.col("violations") > 0, 1)).alias("n_violations"),
+    )
+    return s.join(top, ["mode", "request_id"])
 
 
-@query("R16_diverse", R16, whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    k = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"))
-    return N.diverse(k, "request_id", ["rank"], "ks", 0.65, 4).select("request_id", "rank")
+@query("R19_request_summary", f"with recursive {SUMMARY} select sm.*, mean_top3 from sm left join tp using (mode, request_id)", whole=True)
+def request_summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    return summaries(spark, d, whole)
 
 
-@query("R17_alternatives", f"with recursive {ATTR}, f as (select request_id, minutes as fm, worst as fw from attr where rank = 1), g as (select a.*, rank > 1 and minutes - fm <= 15 and fw - worst >= 5 as ok from attr a join f using (request_id)) select request_id, rank, ok as is_alternative, bool_or(ok) over (partition by request_id) as has_alternative from g", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    a = attributed(spark, d, whole)[1]
-    f = a.where("rank = 1").select("request_id", F.col("minutes").alias("fm"), F.col("worst").alias("fw"))
-    g = a.join(f, "request_id").withColumn("is_alternative", (F.col("rank") > 1) & (F.col("minutes") - F.col("fm") <= 15) & (F.col("fw") - F.col("worst") >= 5))
-    return g.select("request_id", "rank", "is_alternative", F.bool_or("is_alternative").over(W.partitionBy("request_id")).alias("has_alternative"))
+R19 = f"""with recursive {SUMMARY}, ch as (select request_id, count(distinct selected) > 1 as differs from sm group by 1)
+select mode, count(*) as n_requests, count(*) filter (has_alternative) as n_with_alternative, round(avg(n_routes), 9) as mean_routes, round(avg(n_pareto), 9) as mean_pareto, round(avg(mean_top3), 9) as mean_top3, cast(sum(n_near_duplicates) as bigint) as n_near_duplicates, count(*) filter (differs) as n_choice_differs
+ from sm left join tp using (mode, request_id) join ch using (request_id) group by 1"""
 
 
-@query("R19_request_summary", f"with recursive {ATTR} select request_id, count(*) as n_routes, min(minutes) as least_minutes, min(worst) as least_worst, max(transfers) as most_transfers from attr group by 1", whole=True)
-def _(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return attributed(spark, d, whole)[1].groupBy("request_id").agg(F.count("*").alias("n_routes"), F.min("minutes").alias("least_minutes"), F.min("worst").alias("least_worst"), F.max("transfers").alias("most_transfers"))
+@query("R19_mode_summary", R19, whole=True)
+def mode_summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+    s = summaries(spark, d, whole)
+    choice = s.groupBy("request_id").agg((F.count_distinct("selected") > 1).alias("differs"))
+    mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    return s.join(choice, "request_id").groupBy("mode").agg(
+        F.count("*").alias("n_requests"), F.count(F.when(F.col("has_alternative"), 1)).alias("n_with_alternative"), mean("n_routes", "mean_routes"), mean("n_pareto", "mean_pareto"), mean("mean_top3", "mean_top3"),
+        F.sum("n_near_duplicates").alias("n_near_duplicates"), F.count(F.when(F.col("differs"), 1)).alias("n_choice_differs"),
+    )
