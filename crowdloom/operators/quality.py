@@ -12,7 +12,7 @@ def _broken(rule: Rule) -> Column:
     column, check, arg = rule
     c = F.col(column)
     return {
-        "not_null": lambda: c.isNull(), "positive": lambda: c <= 0, "in": lambda: ~c.isin(*arg), "between": lambda: ~c.between(*arg), "like": lambda: ~c.rlike(arg),
+        "not_null": lambda: c.isNull(), "positive": lambda: c <= 0, "at_least": lambda: c < arg, "in": lambda: ~c.isin(*arg), "between": lambda: ~c.between(*arg), "like": lambda: ~c.rlike(arg),
     }[check]()
 
 

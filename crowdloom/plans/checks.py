@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import impact, marts
 from ..operators import quality as Q
-from .marts import SPLIT, split_cells, wide, WIDE
+from ..sources.scratch import written
+from .impact import SPIKE, spike
+from .marts import SPLIT, WIDE, split_cells, wide
+from .network import LINES, TRANSFERS, raw_rides, transfers
 from .registry import query
-from .views import CONG, RIDES, congestion, rides, table
+from .views import CONG, RIDES, congestion, events, rides, table
 
 Spark = SparkSession
 
@@ -59,31 +63,136 @@ def _(spark: Spark, d: str) -> DataFrame:
     return m.select("station_code").distinct().crossJoin(F.broadcast(months)).join(m, ["ym", "station_code"], "left_anti").select("ym", "station_code")
 
 
-Q1 = " union all ".join(
-    f"select 'lineitem' as \"table\", '{c}' as \"column\", '{k}' as \"check\", count(*) filter ({w}) as failures from lineitem"
-    for c, k, w in (("l_quantity", "positive", "l_quantity <= 0"), ("l_tax", "positive", "l_tax <= 0"), ("l_linestatus", "in", "l_linestatus not in ('O')"), ("l_discount", "between", "l_discount not between 0 and 0.05"), ("l_shipdate", "not_null", "l_shipdate is null"))
-) + " union all select 'lineitem', 'l_orderkey', 'unique', cast(coalesce(sum(c), 0) as bigint) from (select count(*) as c from lineitem group by l_orderkey having count(*) > 1)"
+#: Seven tables and their column rules: (column, check, argument), as SQL for the oracle.
+RULES: dict[str, list[tuple]] = {
+    "station_master": [("station_uid", "unique", None), ("line_id", "in", (0, 1, 2, 3, 4)), ("station_code", "positive", None), ("station_name", "not_null", None), ("in_project_scope", "in", (0, 1))],
+    "stg_congestion": [("snapshot_date", "not_null", None), ("day_type", "in", ("weekday", "sat", "sun")), ("line_id", "in", (0, 1, 2, 3)), ("direction", "in", ("up", "down")), ("time_bin_index", "between", (0, 6)), ("congestion_rate", "between", (0, 140))],
+    "congestion_mart": [("split", "in", ("train", "valid", "test")), ("is_operating", "in", (0, 1)), ("label_high", "in", (0, 1)), ("label_extreme", "in", (0, 1)), ("perceived_multiplier", "between", (1.0, 1.3))],
+    "training_mart": [("is_station_holdout", "in", (0, 1)), ("label_high", "in", (0, 1)), ("boarding_ratio", "between", (0, 1)), ("net_alighting_ratio", "between", (-1, 1)), ("line_share", "between", (0, 0.3)), ("has_ridership", "in", (0, 1))],
+    "route_edge": [("from_node", "not_null", None), ("to_node", "not_null", None), ("minutes", "between", (2, 15)), ("is_bidirectional", "in", (0, 1)), ("branch", "in", ("main",))],
+    "transfer_edge": [("from_node", "not_null", None), ("minutes", "between", (0.1, 20)), ("penalty", "between", (0.1, 4.2))],
+    "event_spike": [("event_id", "not_null", None), ("ratio", "positive", None), ("base", "at_least", 1), ("actual", "at_least", 5), ("is_confounded", "in", (0,))],
+}
+HOLD = "station_code % 5 = 0"
+
+
+def _broken_sql(column: str, check: str, arg: object) -> str:
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return {
+        "not_null": f"{column} is null", "positive": f"{column} <= 0", "at_least": f"{column} < {arg}", "in": f"{column} not in ({', '.join(map(text, arg)) if check == 'in' else ''})",
+        "between": f"{column} not between {arg[0]} and {arg[1]}" if check == "between" else "",
+    }[check]
+
+
+def _rules_sql(name: str) -> str:
+    one = lambda c, k, a: f"select '{name}' as \"table\", '{c}' as \"column\", '{k}' as \"check\", " + (f"cast(coalesce(sum(n), 0) as bigint) as failures from (select count(*) as n from {name} where {c} is not null group by {c} having count(*) > 1)" if k == "unique" else f"count(*) filter ({_broken_sql(c, k, a)}) as failures from {name}")
+    return " union all ".join(one(*r) for r in RULES[name])
+
+
+def _after_with(sql: str) -> str:
+    return sql[sql.index("with ") + 5 :]
+
+
+TABLES = f"""{CONG}, {_after_with(SPIKE)}, {LINES}, {TRANSFERS}, sc as (select *, {SPLIT} as split from cong),
+th as (select line_id, station_code, direction, quantile_cont(congestion_rate, 0.95) as t from sc where split = 'train' and congestion_rate is not null group by 1, 2, 3), tall as (select quantile_cont(congestion_rate, 0.95) as t from sc where split = 'train' and congestion_rate is not null),
+station_master as (select line_id || '_' || station_code as station_uid, line_id, station_code, station_name, cast(station_code < 20 as integer) as in_project_scope from rides group by all),
+stg_congestion as (select * from cong),
+congestion_mart as (select sc.*, cast(congestion_rate is not null as integer) as is_operating, cast(congestion_rate > coalesce(th.t, tall.t) as integer) as label_high, cast(congestion_rate >= 100 as integer) as label_extreme, case when congestion_rate is not null then 1 + 0.5 * greatest(congestion_rate - 80, 0) / 100 end as perceived_multiplier from sc cross join tall left join th using (line_id, station_code, direction)),
+flow as (select line_id, station_code, sum(passenger_count) filter (direction = 'boarding') as b, sum(passenger_count) filter (direction = 'alighting') as a, sum(passenger_count) as n from rides where station_code % 7 <> 0 group by 1, 2), lt as (select line_id, sum(n) as n from flow group by 1),
+training_mart as (select m.split, m.snapshot_date, m.station_code, m.label_high, cast({HOLD} as integer) as is_station_holdout, coalesce(b, 0) / nullif(flow.n, 0) as boarding_ratio, (coalesce(a, 0) - coalesce(b, 0)) / nullif(flow.n, 0) as net_alighting_ratio, flow.n / lt.n as line_share, cast(flow.n is not null as integer) as has_ridership
+ from congestion_mart m left join flow using (line_id, station_code) left join lt using (line_id) where is_operating = 1),
+route_edge as (select * from ride0), transfer_edge as (select * from tr),
+event_spike as (select event_id, ratio, base, x as actual, cast(exists (select 1 from days o where o.station_code = spike.station_code and o.date = spike.date and o.event_id <> spike.event_id) as integer) as is_confounded from spike)"""
+Q1 = f"with {TABLES} " + " union all ".join(_rules_sql(n) for n in RULES)
+
+
+def ruled_tables(spark: Spark, d: str) -> dict[str, DataFrame]:
+    """The seven tables that rules and cross-checks are about."""
+    r, cells = rides(spark, d), written(marts.cell_mart(split_cells(spark, d), ["line_id", "station_code", "direction"]))
+    master = r.select("line_id", "station_code", "station_name").distinct().withColumn("station_uid", F.concat_ws("_", "line_id", "station_code")).withColumn("in_project_scope", (F.col("station_code") < 20).cast("int"))
+    side = lambda x: F.sum(F.when(F.col("direction") == x, F.col("passenger_count")))
+    flow = r.where("station_code % 7 <> 0").groupBy("line_id", "station_code").agg(side("boarding").alias("b"), side("alighting").alias("a"), F.sum("passenger_count").alias("n"))
+    lines = flow.groupBy("line_id").agg(F.sum("n").alias("line_n"))
+    share = lambda x: F.try_divide(x, F.nullif("n", F.lit(0)))
+    b, a = F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))
+    training = cells.where("is_operating = 1").join(flow, ["line_id", "station_code"], "left").join(lines, "line_id", "left").select(
+        "split", "snapshot_date", "station_code", "label_high", F.expr(HOLD).cast("int").alias("is_station_holdout"), share(b).alias("boarding_ratio"), share(a - b).alias("net_alighting_ratio"),
+        F.try_divide("n", "line_n").alias("line_share"), F.col("n").isNotNull().cast("int").alias("has_ridership"),
+    )
+    edges = written(raw_rides(spark, d))
+    marked = impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", F.col("confounders").isNotNull().cast("int").alias("is_confounded"))
+    spikes = spike(spark, d).join(marked, ["event_id", "station_code", "date"]).select("event_id", "ratio", "base", F.col("x").alias("actual"), "is_confounded")
+    return {"station_master": master, "stg_congestion": congestion(spark, d), "congestion_mart": cells, "training_mart": training, "route_edge": edges, "transfer_edge": transfers(spark, d, edges), "event_spike": spikes}
 
 
 @query("Q1_column_rules", Q1)
-def _(spark: Spark, d: str) -> DataFrame:
-    rules = [("l_quantity", "positive", None), ("l_tax", "positive", None), ("l_linestatus", "in", ("O",)), ("l_discount", "between", (0, 0.05)), ("l_shipdate", "not_null", None), ("l_orderkey", "unique", None)]
-    return Q.validate(table(spark, d, "lineitem"), "lineitem", rules)
-
-
-@query("Q2_cross_checks", f"with {CONG}, s as (select *, {SPLIT} as split from cong) select (select count(*) from (select snapshot_date from s group by 1 having count(distinct split) > 1)) as split_not_exclusive, (select count(distinct l_orderkey) from lineitem where l_orderkey not in (select o_orderkey from orders)) as orders_missing, (select count(*) from s where congestion_rate is null and split = 'train') as null_train")
-def _(spark: Spark, d: str) -> DataFrame:
-    s = split_cells(spark, d)
-    a = s.groupBy("snapshot_date").agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count("*").alias("split_not_exclusive"))
-    lost = Q.orphans(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders"), "l_orderkey", "o_orderkey").agg(F.count_distinct("l_orderkey").alias("orders_missing"))
-    c = s.agg(F.count(F.when(F.col("congestion_rate").isNull() & (F.col("split") == "train"), 1)).alias("null_train"))
-    return a.crossJoin(lost).crossJoin(c)
-
-
-@query("Q3_reference_checks", "select 'orphan_part' as problem, count(*) as n from lineitem where l_partkey not in (select p_partkey from part) union all select 'size_range', count(*) from part where p_size not between 1 and 45 union all select 'repeated_name', cast(coalesce(sum(c), 0) as bigint) from (select count(*) as c from part group by p_brand, p_name having count(*) > 1)")
-def _(spark: Spark, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    lost = Q.orphans(table(spark, d, "lineitem").select("l_partkey"), p, "l_partkey", "p_partkey").agg(F.lit("orphan_part").alias("problem"), F.count("*").alias("n"))
-    sizes = p.where(~F.col("p_size").between(1, 45)).agg(F.lit("size_range").alias("problem"), F.count("*").alias("n"))
-    names = p.groupBy("p_brand", "p_name").count().where("count > 1").agg(F.lit("repeated_name").alias("problem"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
-    return lost.unionByName(sizes).unionByName(names)
+def column_rules(spark: Spark, d: str) -> DataFrame:
+    out = None
+    for name, df in ruled_tables(spark, d).items():
+        one = Q.validate(df, name, RULES[name])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+Q2 = f"""with {TABLES}, km as (select distinct line_id, station_code from station_master where in_project_scope = 1), kc as (select distinct line_id, station_code from congestion_mart where is_operating = 1), names as (select distinct p_name as n from part where p_size = 1), nn as (select from_node as n from route_edge union select to_node from route_edge),
+lo as (select line_id || '_' || entry as e, line_id || '_' || entry || '@loop' as e2, line_id || '_' || last as l from lp where entry is not null and last is not null), hr as (select avg(label_high) as r from congestion_mart where is_operating = 1)
+select * from (select 'stations without crowding' as "check", (select count(*) from km where (line_id, station_code) not in (select (line_id, station_code) from kc)) as failures
+ union all select 'crowding without station', (select count(*) from kc where (line_id, station_code) not in (select (line_id, station_code) from km))
+ union all select 'snapshot in several splits', (select count(*) from (select snapshot_date from training_mart group by 1 having count(distinct split) > 1))
+ union all select 'holdout rows in train', (select count(*) from training_mart where split = 'train' and is_station_holdout = 1)
+ union all select 'transfer stations not covered', (select count(*) from names where n not in (select station_name from transfer_edge))
+ union all select 'branch nodes missing', (select count(*) from (select distinct line_id || '_' || before || '@b' as n from stp where split = '@b') b where n not in (select n from nn))
+ union all select 'loop not one way', (select count(*) from lo where not exists (select 1 from route_edge r where r.from_node = l and r.to_node = e2) or exists (select 1 from route_edge r where r.from_node = e2 and r.to_node = l))
+ union all select 'operating without values', (select count(*) from congestion_mart where is_operating = 1 and (perceived_multiplier is null or congestion_rate is null))
+ union all select 'closed with values', (select count(*) from congestion_mart where is_operating = 0 and congestion_rate is not null)
+ union all select 'high share outside 4 to 7 percent', (select cast(not (r between 0.04 and 0.07) as bigint) from hr))"""
+Q2 = Q2.replace("select * from (select 'stations", "select *, failures = 0 as passed from (select 'stations")
+
+
+@query("Q2_cross_checks", Q2)
+def cross_checks(spark: Spark, d: str) -> DataFrame:
+    t = ruled_tables(spark, d)
+    known, cells = t["station_master"].where("in_project_scope = 1"), t["congestion_mart"]
+    keys = ["line_id", "station_code"]
+    seen = cells.where("is_operating = 1").select(*keys).distinct()
+    edges = t["route_edge"]
+    nodes = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    names = table(spark, d, "part").where("p_size = 1").select(F.col("p_name").alias("station_name"))
+    branches = edges.where("from_node like '%@b' or to_node like '%@b'").select(F.when(F.contains("from_node", F.lit("@b")), F.col("from_node")).otherwise(F.col("to_node")).alias("node"))
+    ends = nodes.where("node like '%@loop'").select(F.col("node").alias("e"))
+    arrive = edges.join(ends, F.col("to_node") == F.col("e"), "left_semi").select(F.col("to_node").alias("e"), F.col("from_node").alias("l"))
+    leave = edges.join(ends, F.col("from_node") == F.col("e"), "left_semi").select(F.col("from_node").alias("e"), F.col("to_node").alias("l"))
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    closed = count(arrive.join(leave, ["e", "l"], "left_semi").unionByName(ends.join(arrive, "e", "left_anti").withColumn("l", F.lit(None).cast("string"))))
+    n, missing = F.col("n"), F.col("missing")
+    high = cells.where("is_operating = 1").agg((~F.avg("label_high").between(0.04, 0.07)).cast("long").alias("n"))
+    return Q.verdicts([
+        ("stations without crowding", Q.coverage(known, seen, keys), missing), ("crowding without station", Q.coverage(seen, known, keys), missing),
+        ("snapshot in several splits", count(t["training_mart"].groupBy("snapshot_date").agg(F.count_distinct("split").alias("s")).where("s > 1")), n),
+        ("holdout rows in train", count(t["training_mart"].where("split = 'train' and is_station_holdout = 1")), n), ("transfer stations not covered", Q.coverage(names, t["transfer_edge"], ["station_name"]), missing),
+        ("branch nodes missing", Q.coverage(branches, nodes, ["node"]), missing), ("loop not one way", closed, n),
+        ("operating without values", count(cells.where("is_operating = 1 and (perceived_multiplier is null or congestion_rate is null)")), n), ("closed with values", count(cells.where("is_operating = 0 and congestion_rate is not null")), n),
+        ("high share outside 4 to 7 percent", high, n),
+    ])
+
+
+Q3 = """with pts as (select p_partkey as id, p_brand as line, p_name as name, p_size % 20 as x, (p_partkey * 7) % 300 as y, p_size as v from part),
+hw as (select l_partkey as id, l_linenumber % 7 as departures from lineitem)
+select *, failures = 0 as passed from (select 'headway without station' as "check", count(*) as failures from hw where id not in (select id from pts) union all select 'stations without headway', count(*) from pts where id not in (select id from hw)
+ union all select 'departures out of range', count(*) from hw where departures <> 0 and 30.0 / departures not between 4.5 and 60 union all select 'value out of range', count(*) from pts where v not between 1 and 45 union all select 'repeated name on a line', cast(coalesce(sum(n), 0) as bigint) from (select count(*) as n from pts group by line, name having count(*) > 1)
+ union all select 'overlapping points', cast(coalesce(sum(n), 0) as bigint) from (select count(*) as n from pts group by line, x, y having count(*) > 1))"""
+
+
+@query("Q3_reference_checks", Q3)
+def reference_checks(spark: Spark, d: str) -> DataFrame:
+    """Headways and map points: mappings complete both ways, ranges, repeats, overlaps."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("line"), F.col("p_name").alias("name"), (F.col("p_size") % 20).alias("x"), (F.col("p_partkey") * 7 % 300).alias("y"), F.col("p_size").alias("v"))
+    h = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_linenumber") % 7).alias("departures"))
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    repeats = lambda *keys: p.groupBy(*keys).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    n = F.col("n")
+    return Q.verdicts([
+        ("headway without station", count(Q.orphans(h, p, "id", "id")), n), ("stations without headway", Q.coverage(p, h, ["id"]), F.col("missing")),
+        ("departures out of range", count(h.where("departures <> 0 and 30.0 / departures not between 4.5 and 60")), n), ("value out of range", count(p.where("v not between 1 and 45")), n),
+        ("repeated name on a line", repeats("line", "name"), n), ("overlapping points", repeats("line", "x", "y"), n),
+    ])

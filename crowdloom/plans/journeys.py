@@ -125,7 +125,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     return o.groupBy("p_brand").agg(first("a"), first("b"))
 
 
-@query("R12_transfer_wait", f"{SEG_SQL}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2", whole=True)
+@query("R12_transfer_wait", f"{SEG_SQL}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2")
 def waits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     by_line = table(spark, d, "part").groupBy(F.col("p_brand").alias("line")).agg(F.round(15.0 / F.count("*"), 6).alias("wait"))
     return J.transfer_waits(N.segment_sums(parts(spark, d, whole)[0]), by_line).withColumn("wait", F.round("wait", 6))
@@ -138,7 +138,7 @@ select request_id, rank, segment, line, {NAMES.format('a')} as from_station, {NA
  case when line <> 'walk' then {NAMES.format('n1')} end as next_station, case when line <> 'walk' and stops > 1 then 'toward ' || {NAMES.format('n1')} else '' end as direction_label from b left join mj using (request_id, rank, segment) left join mb using (request_id, rank, segment)"""
 
 
-@query("R13_structured_segments", R13, whole=True)
+@query("R13_structured_segments", R13)
 def structured(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return J.described(parts(spark, d, whole)[0])
 
@@ -147,7 +147,7 @@ R20 = f"""with recursive {STEPS}, b as (select request_id, rank, bin, max(k.rate
 o as (select request_id, rank, arg_min(bin, worst * 100 + bin) as bin, min(worst) as worst, max(worst) filter (bin = 0) as now from b group by 1, 2) select request_id, rank, bin, worst, now from o where now - worst >= 10"""
 
 
-@query("R20_departure_alternative", R20, whole=True)
+@query("R20_departure_alternative", R20)
 def departures(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     rides = steps(spark, d, whole)[0].where("kind = 'ride'").withColumn("from_station", S.node_station(F.col("from_node")))
     return J.departure_alternatives(rides, lookup(directed(spark, d)), ["line_id", "from_station", "direction"], 0, 4, 10)
@@ -157,7 +157,7 @@ R21 = f"""{SEG_SQL}, r as (select g.*, k.rate, lead(pos) over (partition by requ
 select request_id, rank, segment, pos, line_id, {NAMES.format('from_node')} as station, rate from r union all select request_id, rank, segment, pos + 1, line_id, {NAMES.format('to_node')}, rate from r where is_last"""
 
 
-@query("R21_route_profile", R21, whole=True)
+@query("R21_route_profile", R21)
 def route_profile(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return J.profile_along(parts(spark, d, whole)[0], lookup(directed(spark, d)).where("bin = 0").drop("bin"))
 
@@ -182,7 +182,7 @@ Q5 = f"""with recursive {STEPS} select request_id, rank, count(*) filter (kind i
  coalesce(string_agg({NAMES.format('from_node')}, ';' order by pos) filter (kind = 'transfer' and not is_through), '') as transfer_stations from full_steps group by 1, 2"""
 
 
-@query("Q5_path_violations", Q5, whole=True)
+@query("Q5_path_violations", Q5)
 def route_violations(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return violations(steps(spark, d, whole)[0])
 
@@ -241,7 +241,7 @@ pl as (select request_id, rank, pos, coalesce(pt.x, fb.x) as x, coalesce(pt.y, f
 q as (select *, lag(x) over w as bx, lag(y) over w as b_y from pl window w as (partition by request_id, rank order by pos)) select request_id, rank, pos, x, y from q where bx is null or bx <> x or b_y <> y"""
 
 
-@query("R24_coordinates", R24, whole=True)
+@query("R24_coordinates", R24)
 def route_points(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     points = line_sequence(spark, d).where("seq % 3 <> 0").select(S.node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), "seq")
     placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))

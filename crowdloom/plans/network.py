@@ -228,12 +228,12 @@ def parts(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFra
     return N.segments(s, line_or_walk()), s, edges
 
 
-@query("R10_through_pass", f"with recursive {STEPS} select request_id, rank, pos, is_through from full_steps", whole=True)
+@query("R10_through_pass", f"with recursive {STEPS} select request_id, rank, pos, is_through from full_steps")
 def through_passes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return steps(spark, d, whole)[0].select("request_id", "rank", "pos", "is_through")
 
 
-@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, {NAMES.format('unnest(path)')} as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2", whole=True)
+@query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, {NAMES.format('unnest(path)')} as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2")
 def revisits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     names = F.transform("path", S.node_station)
     kept = F.filter(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when((i == 1) | (F.element_at("names", i) != F.element_at("names", F.greatest(i - 1, F.lit(1)))), F.element_at("names", i))), lambda x: x.isNotNull())
@@ -244,7 +244,7 @@ SEG = f"""{STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else
 g as (select *, cast(sum(is_new) over (partition by request_id, rank order by pos rows unbounded preceding) as bigint) as segment from n)"""
 
 
-@query("E8_segments", f"with recursive {SEG} select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, case when line = 'walk' then 0 else count(*) - 1 end::bigint as dwell_stops from g group by 1, 2, 3, 4", whole=True)
+@query("E8_segments", f"with recursive {SEG} select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, case when line = 'walk' then 0 else count(*) - 1 end::bigint as dwell_stops from g group by 1, 2, 3, 4")
 def route_segments(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return N.segment_sums(parts(spark, d, whole)[0])
 
@@ -252,7 +252,7 @@ def route_segments(spark: Spark, d: str, whole: bool = False) -> DataFrame:
 SEATS = "ma as (select from_node as to_node, avg(cong) as m from edge where kind = 'ride' and cong is not null group by 1), seat as (select request_id, rank, avg(cong - m) / 10 as s from full_steps join ma using (to_node) where kind = 'ride' and cong is not null group by 1, 2)"
 
 
-@query("R11_seat_score", f"with recursive {STEPS}, {SEATS} select a.request_id, a.rank, round(coalesce(s, 0), 9) as seat_score from (select distinct request_id, rank from full_steps) a left join seat using (request_id, rank)", whole=True)
+@query("R11_seat_score", f"with recursive {STEPS}, {SEATS} select a.request_id, a.rank, round(coalesce(s, 0), 9) as seat_score from (select distinct request_id, rank from full_steps) a left join seat using (request_id, rank)")
 def seats(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return J.seat_scores(*steps(spark, d, whole)).withColumn("seat_score", F.round("seat_score", 9))
 
@@ -280,7 +280,7 @@ AXES = ["actual", "max_cong", "transfer_penalty"]
 PARETO = f"{EVAL}, pf as (select a.*, not exists (select 1 from ev b where b.request_id = a.request_id and b.actual <= a.actual and coalesce(b.max_cong, 1e300) <= coalesce(a.max_cong, 1e300) and b.transfer_penalty <= a.transfer_penalty and (b.actual < a.actual or coalesce(b.max_cong, 1e300) < coalesce(a.max_cong, 1e300) or b.transfer_penalty < a.transfer_penalty)) as is_pareto from ev a)"
 
 
-@query("R14_pareto", f"with recursive {PARETO} select request_id, rank, actual, max_cong, transfer_penalty, is_pareto from pf", whole=True)
+@query("R14_pareto", f"with recursive {PARETO} select request_id, rank, actual, max_cong, transfer_penalty, is_pareto from pf")
 def pareto_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return N.pareto(evaluated(spark, d, whole), "request_id", "rank", AXES).select("request_id", "rank", *AXES, "is_pareto")
 
@@ -310,12 +310,12 @@ def ranked(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return each.withColumn("mode", F.col("m.mode")).withColumn("score", score).drop("m").withColumn("route_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank")))
 
 
-@query("E6_fastest_comparators", f"with recursive {RANKED} select request_id, rank, stretch, time_loss, cong_drop, avg_drop, perceived_gain from cmp", whole=True)
+@query("E6_fastest_comparators", f"with recursive {RANKED} select request_id, rank, stretch, time_loss, cong_drop, avg_drop, perceived_gain from cmp")
 def comparators(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return compared(spark, d, whole).select("request_id", "rank", "stretch", "time_loss", "cong_drop", "avg_drop", "perceived_gain")
 
 
-@query("E7_mode_rank", f"with recursive {RANKED} select mode, request_id, rank, score, cast(route_rank as integer) as route_rank from rk", whole=True)
+@query("E7_mode_rank", f"with recursive {RANKED} select mode, request_id, rank, score, cast(route_rank as integer) as route_rank from rk")
 def mode_ranks(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return ranked(spark, d, whole).select("mode", "request_id", "rank", "score", "route_rank")
 
@@ -333,7 +333,7 @@ JAC = "round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0},
 
 @query("R15_overlap", f"""with recursive {RANKED}, {EK}, x as (select mode, request_id, rank, route_rank, ks, ns from rk join ek using (request_id, rank)),
 t3 as (select a.mode, a.request_id, round(avg(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks)))), 9) as mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and a.route_rank < b.route_rank and b.route_rank <= 3 group by 1, 2)
-select a.mode, a.request_id, a.rank, {JAC.format('a.ks', 'b.ks')} as to_first, {JAC.format('a.ns', 'b.ns')} as nodes_to_first, mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and b.route_rank = 1 left join t3 on t3.mode = a.mode and t3.request_id = a.request_id""", whole=True)
+select a.mode, a.request_id, a.rank, {JAC.format('a.ks', 'b.ks')} as to_first, {JAC.format('a.ns', 'b.ns')} as nodes_to_first, mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and b.route_rank = 1 left join t3 on t3.mode = a.mode and t3.request_id = a.request_id""")
 def overlaps(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     x = with_keys(spark, d, whole).select("mode", "request_id", "rank", "route_rank", "ks", "ns")
     first = x.where("route_rank = 1").select("mode", "request_id", F.col("ks").alias("ks1"), F.col("ns").alias("ns1"))
@@ -363,7 +363,7 @@ def marked(spark: Spark, d: str, whole: bool = False, service: str | None = None
     return N.diverse(rows, ["mode", "request_id"], order, "ns" if service == "nodes" else "ks", 0.65, 4 if service == "edges" else None, service == "nodes").select("mode", "request_id", "rank", "is_near_duplicate")
 
 
-@query("R16_diverse", f"with recursive {DUP}, {SERVICE}, {NODES} select p.mode, p.request_id, p.rank, p.dup as is_near_duplicate, s.dup as left_by_service, n.dup as alike_in_nodes from w_p p join w_s s using (mode, request_id, rank) join w_n n using (mode, request_id, rank)", whole=True)
+@query("R16_diverse", f"with recursive {DUP}, {SERVICE}, {NODES} select p.mode, p.request_id, p.rank, p.dup as is_near_duplicate, s.dup as left_by_service, n.dup as alike_in_nodes from w_p p join w_s s using (mode, request_id, rank) join w_n n using (mode, request_id, rank)")
 def diverse_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     keys = ["mode", "request_id", "rank"]
     out = marked(spark, d, whole)
@@ -404,7 +404,7 @@ R18 = "select mode, " + ", ".join(f"count(*) filter (route_rank > 1 and {' and '
 R18 = f"with recursive {POLICY}, b as ({R18}) select *, concat_ws(';', " + ", ".join(f"case when {n} > 0 then '{n}(' || {n} || ')' end" for n in CONDS) + ") as blocking from b"
 
 
-@query("R18_blockers", R18, whole=True)
+@query("R18_blockers", R18)
 def blocking(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     rows, conditions = with_policy(spark, d, whole)
     return J.blockers(rows, conditions, ["mode"])
@@ -424,7 +424,7 @@ def summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return s.join(top, ["mode", "request_id"])
 
 
-@query("R19_request_summary", f"with recursive {SUMMARY} select sm.*, mean_top3 from sm left join tp using (mode, request_id)", whole=True)
+@query("R19_request_summary", f"with recursive {SUMMARY} select sm.*, mean_top3 from sm left join tp using (mode, request_id)")
 def request_summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     return summaries(spark, d, whole)
 
