@@ -96,6 +96,7 @@ def text_slices(texts: pa.Array, limit: int) -> Iterator[list[bytes]]:
     sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, limit):
         yield [t or b"" for t in texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()]
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

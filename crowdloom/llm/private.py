@@ -227,7 +227,7 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _marks(token: str, long: int) -> tuple[int, int]:
     """Numbers of a token's shape and of the word it is."""
     c = token[0]

@@ -78,7 +78,8 @@ class WordTokenizer:
         """All ids, and how many each chunk has: chunks are encoded many at a time, a mark after each."""
         odd = [self.MARK in c for c in chunks]
         joined = [f" {self.MARK} ".join("" if o else c for c, o in zip(chunks[k : k + 128], odd[k : k + 128], strict=True)) + f" {self.MARK}" for k in range(0, len(chunks), 128)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+        # A few at a time: the library's own results are many times the size of the ids.
+        ids = np.concatenate([np.array(e.ids, np.uint32) for k in range(0, len(joined), 8) for e in self.model.encode_batch_fast(joined[k : k + 8], add_special_tokens=False)])
         marks = np.flatnonzero(ids == self.mark_id[0])
         sizes = np.diff(marks, prepend=-1) - 1
         if any(odd):
