@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import read_documents
 
-GRADES = 3
 SCORES = "expected_severity double, p_toxic double, grade int, rejected boolean"
 WORDS = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -54,7 +53,7 @@ class OrdinalModel:
     def exceed(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) for each text (rows) and threshold k (columns)."""
         if not len(self.thresholds):
-            return np.zeros((len(texts), GRADES))
+            return np.zeros((len(texts), 1))
         known = self.vocabulary.keys()
         score = np.array([self.weights[[self.vocabulary[w] for w in features(words(t)) & known]].sum() for t in texts])
         return 1 / (1 + np.exp(np.clip(self.thresholds - score.reshape(-1, 1), -30, 30)))
@@ -71,8 +70,10 @@ def fit(spark_docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, min_row
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
 
 
 def fit_words(texts: Iterable[set[str]], toxic: np.ndarray, min_rows_with_word: int = 5, max_words: int = 2_000, steps: int = 600) -> OrdinalModel:
@@ -136,7 +137,7 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exceed = model.exceed(batch.column(text).to_pylist())
+            exceed = np.concatenate([np.zeros((0, max(1, len(model.thresholds)))), *(model.exceed(batch.column(text).slice(at, 256).to_pylist()) for at in range(0, batch.num_rows, 256))])
             at_least_one = exceed[:, 0] if len(exceed) else np.zeros(0)
             made = [pa.array(exceed.sum(axis=1)), pa.array(at_least_one), pa.array((exceed >= 0.5).sum(axis=1).astype(np.int32)), pa.array(at_least_one >= threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*(f"c{k}" for k in range(len(names))), "expected_severity", "p_toxic", "grade", "rejected"])
