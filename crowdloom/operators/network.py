@@ -202,7 +202,8 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> D
         done = done.unionByName(grown)
     names = F.transform("path", node_station)
     changes = F.size(F.filter(F.sequence(F.lit(1), F.size("path")), lambda i: (i > 1) & (F.element_at(names, i) == F.element_at(names, F.greatest(i - 1, F.lit(1))))))
-    return near.join(done, ["source", "node"]).select("source", "node", "cost", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("stops"), changes.alias("transfers"))
+    out = near.join(done, ["source", "node"]).withColumn("transfers", changes).withColumn("stops", F.size("path") - 1)
+    return out.withColumn("path", F.array_join("path", ">")).select("source", "node", "cost", "path", "stops", "transfers")
 
 
 def candidates(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
