@@ -29,11 +29,12 @@ from .tokens import tokenizer as tokenizer_of
 
 def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
     """Blocks (file, block, payload) of binary token files at any path Spark reads; a
-    file is at most the 2 GB of a binary value, larger corpora have more files."""
+    file is at most the 2 GB of a binary value, larger corpora have more files. A file is
+    cut up as a whole, so its content is copied once and no block carries it along."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    return files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block_bytes}"))).alias("block")).select(
-        "file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("payload")
-    )
+    begins = F.sequence(F.lit(0), F.expr(f"cast((length - 1) div {block_bytes} as int)"))
+    cut = F.transform(begins, lambda k: F.substring("content", k * block_bytes + 1, F.lit(block_bytes)))
+    return files.select(F.col("path").alias("file"), F.posexplode(cut).alias("block", "payload"))
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
