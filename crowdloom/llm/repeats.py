@@ -7,8 +7,8 @@ so equal windows have equal anchors wherever they stand. Consecutive windows wit
 anchor form a run, a string of its own.
 
 1. Runs whose anchor occurs at one place hold no repeat and are dropped: counts by anchor.
-2. Runs that are equal as a whole (two independent 64-bit hashes) repeat with all their
-   windows: counts by run. One of each is kept as its context.
+2. Runs that are equal as a whole (two independent 64-bit hashes of all their bytes, with
+   the anchor) repeat with all their windows: counts by run. One of each is its context.
 3. Anchors with several contexts, or several places in one, are decided by suffix sort: suffixes start at
    every window of the contexts; a mergesort compares two suffixes by the length of their
    common extension, found by binary search over prefix polynomial hashes; neighbours that
@@ -17,7 +17,8 @@ anchor form a run, a string of its own.
    task: their windows are counted by a 128-bit hash, which spreads them.
 4. The windows found are joined to the texts and their bytes removed.
 
-No step gathers an anchor's occurrences; counts are pre-aggregated before each shuffle.
+No step gathers an anchor's occurrences; counts are pre-aggregated before each shuffle, and
+frequent anchors are dealt over several tasks. A text is told by two 64-bit hashes.
 
 Defined results: null and empty texts have 0 bytes and nothing removed; ids may be null
 or repeat; rows with equal text repeat each other, and all their bytes go if there are
@@ -36,7 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, byte_table, mixed, read_documents, settle, text_slices
 
-SECOND = mixed(byte_table() + np.uint64(77))
+SECOND, THIRD = mixed(byte_table() + np.uint64(77)), mixed(byte_table() + np.uint64(177))
+
+#: What tells a run from others, and its type; a text's identity.
+RUN, RUN_TYPES, UID = ["anchor", "whole", "second"], "anchor long, whole long, second long", "uid struct<a:long,b:long>"
 
 
 def _least_over(h: np.ndarray, width: int) -> np.ndarray:
@@ -49,14 +53,14 @@ def _least_over(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], length: int, gram: int, anchors_only: bool = False) -> tuple[np.ndarray, ...]:
-    """For each run: text number, first window, number of windows, anchor, run hash, and
-    whether the anchor may stand at several places in the run. anchors_only: no run hash."""
+    """For each run: text number, first window, number of windows, anchor, two run hashes,
+    and whether the anchor may stand at several places in it. anchors_only: no run hashes."""
     width = length - gram + 1
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none, none, none, none, none.astype(bool)
+        return none, none, none, none, none, none, none.astype(bool)
     grams = np.arange(len(buf) - gram + 1)
     hashes = mixed(PrefixHash(buf).hash(grams, grams + gram))
     anchor = _least_over(hashes, width)
@@ -79,8 +83,8 @@ def runs_of(texts: list[bytes], length: int, gram: int, anchors_only: bool = Fal
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, n = np.repeat(start, parts) + k * width, np.minimum(np.repeat(n, parts) - k * width, width)
     text = np.searchsorted(firsts + sizes, start, "right")
-    whole = anchor[:0] if anchors_only else mixed(PrefixHash(buf, SECOND).hash(start, start + n + length - 1) + n.astype(np.uint64))
-    return text, start - firsts[text], n, anchor[start].view(np.int64), whole.view(np.int64), np.isin(anchor[start], several)
+    wholes = [anchor[:0] if anchors_only else mixed(PrefixHash(buf, table).hash(start, start + n + length - 1) + n.astype(np.uint64)) for table in (SECOND, THIRD)]
+    return text, start - firsts[text], n, anchor[start].view(np.int64), *(x.view(np.int64) for x in wholes), np.isin(anchor[start], several)
 
 
 def _runs(docs: DataFrame, length: int, gram: int, anchors_only: bool) -> DataFrame:
@@ -88,16 +92,16 @@ def _runs(docs: DataFrame, length: int, gram: int, anchors_only: bool) -> DataFr
         for batch in batches:
             at = 0
             for texts in text_slices(batch.column(1), 1 << 20):
-                text, start, n, anchor, whole, again = runs_of(texts, length, gram, anchors_only)
+                text, start, n, anchor, whole, second, again = runs_of(texts, length, gram, anchors_only)
                 if anchors_only:  # an anchor with several places counts as several
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, anchor[again]]))], ["anchor"])
                 else:
                     uid = batch.column(0).take(pa.array(text + at))
-                    yield pa.RecordBatch.from_arrays([uid, pa.array(anchor), pa.array(whole), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["uid", "anchor", "whole", "start", "n", "again"])
+                    yield pa.RecordBatch.from_arrays([uid, pa.array(anchor), pa.array(whole), pa.array(second), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["uid", *RUN, "start", "n", "again"])
                 at += len(texts)
 
     long_enough = docs.where(F.octet_length("text") >= length)
-    return long_enough.mapInArrow(find, "anchor long" if anchors_only else "uid long, anchor long, whole long, start int, n int, again boolean")
+    return long_enough.mapInArrow(find, "anchor long" if anchors_only else f"{UID}, {RUN_TYPES}, start int, n int, again boolean")
 
 
 def _extension(h: PrefixHash, p: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
@@ -178,11 +182,8 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, group: np.ndarr
     return [np.flatnonzero(x) for x in np.split(found, stops[:-1])]
 
 
-FOUND = "anchor long, whole long, windows array<int>"
-
-
 def _sort_groups(contexts: DataFrame, length: int, block: int = 1 << 19) -> DataFrame:
-    """Suffix-sorts contexts (anchor, whole, n, context) anchor by anchor, block bytes at a time."""
+    """Suffix-sorts contexts (RUN, n, context) anchor by anchor, block bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -190,9 +191,10 @@ def _sort_groups(contexts: DataFrame, length: int, block: int = 1 << 19) -> Data
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
             anchors = np.array([r[0] for r in rows])
-            hits = repeated_windows([r[3] for r in rows], np.array([r[2] for r in rows]), anchors, length)
-            out = [(r[0], r[1], x.astype(np.int32)) for r, x in zip(rows, hits, strict=True) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["anchor", "whole", "windows"])
+            hits = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]), anchors, length)
+            out = [(*r[:3], x.astype(np.int32)) for r, x in zip(rows, hits, strict=True) if len(x)]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [*RUN, "windows"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -200,12 +202,12 @@ def _sort_groups(contexts: DataFrame, length: int, block: int = 1 << 19) -> Data
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield done(held)
 
-    grouped = contexts.select("anchor", "whole", "n", "context").repartition("anchor").sortWithinPartitions("anchor")
-    return grouped.mapInArrow(run, FOUND)
+    grouped = contexts.select(*RUN, "n", "context").repartition("anchor").sortWithinPartitions("anchor")
+    return grouped.mapInArrow(run, f"{RUN_TYPES}, windows array<int>")
 
 
 def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -213,50 +215,66 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, whole, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf, at = np.frombuffer(context, np.uint8), np.arange(n)
                 keys = [pa.array(mixed(PrefixHash(buf, t).hash(at, at + length)).view(np.int64)) for t in (None, SECOND)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([whole] * n, pa.int64()), pa.array(at.astype(np.int32)), *keys], ["anchor", "whole", "window", "x", "y"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * n, pa.int64()) for k in key), pa.array(at.astype(np.int32)), *keys], [*RUN, "window", "x", "y"])
 
-    windows = contexts.select("anchor", "whole", "n", "context").mapInArrow(run, "anchor long, whole long, window int, x long, y long")
+    windows = contexts.select(*RUN, "n", "context").mapInArrow(run, f"{RUN_TYPES}, window int, x long, y long")
     twice = windows.groupBy("x", "y").count().where("count > 1").drop("count")
-    return windows.join(twice, ["x", "y"]).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list("window")).alias("windows"))
+    return windows.join(twice, ["x", "y"]).groupBy(*RUN).agg(F.sort_array(F.collect_list("window")).alias("windows"))
+
+
+#: Rows of one anchor that a task may get, unless a millionth of all rows is more.
+ANCHOR_ROWS = 2048
+
+
+def _with_anchors(runs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The runs whose anchor is in anchors (anchor, count). Those of frequent anchors are
+    dealt over several tasks; such anchors are a million at most, so they are broadcast."""
+    total = anchors.agg(F.sum("count")).first()[0] or 0
+    most = max(ANCHOR_ROWS, -(-total // 1_000_000))
+    dealt = anchors.select("anchor", F.ceil(F.col("count") / most).cast("int").alias("deals"))
+    frequent = F.broadcast(dealt.where("deals > 1"))
+    numbered = runs.join(frequent, "anchor", "left").withColumn("deal", F.coalesce(F.pmod(F.monotonically_increasing_id(), "deals").cast("int"), F.lit(0))).drop("deals")
+    return numbered.join(dealt.select("anchor", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")), ["anchor", "deal"]).drop("deal")
 
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 64, group_limit: int = 2048) -> DataFrame:
     """(uid, spans) for the texts with repeats: the windows found as start and stop bytes
     of what they cover, in no order. uid is with_uid's key of the text."""
     docs = with_uid(docs).select("uid", "text")
-    anchors = _runs(docs, length, gram, True).groupBy("anchor").count().where("count > 1").select("anchor")
-    runs = settle(_runs(docs, length, gram, False).join(anchors, "anchor"), "runs")
-    kinds = settle(runs.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("uid", "start", "n")).alias("one"), F.max("again").alias("again")), "run-kinds")
+    anchors = settle(_runs(docs, length, gram, True).groupBy("anchor").count().where("count > 1"), "anchors")
+    runs = settle(_with_anchors(_runs(docs, length, gram, False), anchors), "runs")
+    kinds = settle(runs.groupBy(*RUN).agg(F.count("*").alias("times"), F.min(F.struct("uid", "start", "n")).alias("one"), F.max("again").alias("again")), "run-kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.expr("again and times = 1")).alias("inside")).where("kinds > 1 or inside")
-    asked = kinds.join(several, "anchor").select("one.uid", F.struct("anchor", "whole", "times", "kinds", "one.start", "one.n").alias("ask"))
+    asked = kinds.join(several, "anchor").select("one.uid", F.struct(*RUN, "times", "kinds", "one.start", "one.n").alias("ask"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, asks in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                out += [(a["anchor"], a["whole"], a["times"], a["kinds"], a["n"], raw[a["start"] : a["start"] + a["n"] + length - 1]) for a in asks.as_py()]
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["anchor", "whole", "times", "kinds", "n", "context"])
+                out += [(*(a[k] for k in RUN), a["times"], a["kinds"], a["n"], raw[a["start"] : a["start"] + a["n"] + length - 1]) for a in asks.as_py()]
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [*RUN, "times", "kinds", "n", "context"])
 
     asks = asked.groupBy("uid").agg(F.collect_list("ask").alias("asks"))
-    found_in = docs.join(asks, "uid").select("text", "asks").mapInArrow(cut, "anchor long, whole long, times long, kinds long, n int, context binary")
-    contexts = settle(found_in.dropDuplicates(["anchor", "whole"]), "contexts")
+    found_in = docs.join(asks, "uid").select("text", "asks").mapInArrow(cut, f"{RUN_TYPES}, times long, kinds long, n int, context binary")
+    contexts = settle(found_in.dropDuplicates(RUN), "contexts")
     found = _sort_groups(contexts.where(F.col("kinds") <= group_limit), length).union(_count_windows(contexts.where(F.col("kinds") > group_limit), length))
-    alone = settle(found.join(kinds.where("times = 1"), ["anchor", "whole"]).select(F.col("one.uid").alias("uid"), F.col("one.start").alias("start"), "windows"), "found-windows")
+    alone = settle(found.join(kinds.where("times = 1"), RUN).select(F.col("one.uid").alias("uid"), F.col("one.start").alias("start"), "windows"), "found-windows")
     # Neighbouring windows become one span before they are shuffled.
     edges = F.expr("filter(windows, w -> not array_contains(windows, w - 1))")
     stops = F.expr("filter(windows, w -> not array_contains(windows, w + 1))")
     some = alone.select("uid", F.explode(F.arrays_zip(edges.alias("a"), stops.alias("b"))).alias("w"), "start").select("uid", (F.col("start") + F.col("w.a")).alias("begin"), (F.col("start") + F.col("w.b") + length).alias("end"))
-    whole = runs.join(kinds.where("times > 1").select("anchor", "whole"), ["anchor", "whole"]).select("uid", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end"))
+    whole = runs.join(kinds.where("times > 1").select(*RUN), RUN).select("uid", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end"))
     return whole.union(some).groupBy("uid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("uid", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
 
 
 def _covered(spans: list[dict]) -> list[tuple[int, int]]:

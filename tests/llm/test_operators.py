@@ -259,8 +259,9 @@ def brute_repeats(texts, length):
         yield np.cumsum(gone)[:-1] > 0
 
 
-@pytest.mark.parametrize("limit", [1, 2048])
-def test_repeats(docs, rows, empty, limit):
+@pytest.mark.parametrize(("limit", "anchor_rows"), [(1, 2048), (2048, 2)])
+def test_repeats(docs, rows, empty, limit, anchor_rows, monkeypatch):
+    monkeypatch.setattr(repeats, "ANCHOR_ROWS", anchor_rows)
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs, group_limit=limit).collect())
     texts = [(r[1] or "").encode() for r in rows]
     want = collections.Counter()
@@ -501,6 +502,21 @@ def test_separator_scan(spark, docs, rows, empty):
     assert token_counts.separator_scan(token_counts.write_blocks(empty, tokens.public_path(), 49407)[0], 9).count() == 0
 
 
+def test_flat_files(spark, tmp_path):
+    random.seed(11)
+    sizes = {"a.bin": [3, 0, 700, 41], "b.bin": [1], "c.bin": []}
+    for name, lengths in sizes.items():
+        (tmp_path / name).write_bytes(b"".join(np.array([*(random.randrange(1, 999) for _ in range(n)), 0], "<u2").tobytes() for n in lengths))
+    blocks = token_counts.flat_file_blocks(spark, str(tmp_path), block_bytes=64)
+    assert blocks.groupBy("file").count().count() == 2 and max(len(r["payload"]) for r in blocks.collect()) == 64
+    for r in blocks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "payload"))).alias("all")).collect():
+        assert b"".join(bytes(b["payload"]) for b in r["all"]) == (tmp_path / r["file"].rsplit("/", 1)[1]).read_bytes()
+    got = collections.defaultdict(list)
+    for r in token_counts.separator_scan(blocks, 0).orderBy("file", "ordinal").collect():
+        got[r["file"].rsplit("/", 1)[1]].append(r["n_tokens"])
+    assert dict(got) == {name: lengths for name, lengths in sizes.items() if lengths}
+
+
 def test_ledger(docs, rows, empty):
     got = collections.Counter(tuple(r) for r in quality.ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
     want = collections.Counter()
