@@ -130,10 +130,15 @@ def exact_then_name(facts: DataFrame, dim: DataFrame, exact: list[str], by_name:
 
 
 def hold_out(units: DataFrame, unit: str, share: float, seed: str) -> DataFrame:
-    """Marks the first share of the distinct units in the order of a seeded hash."""
-    ranked = units.select(unit).distinct().withColumn("h", F.md5(F.concat(F.col(unit).cast("string"), F.lit(seed))))
-    n = ranked.count()
-    cut = ranked.orderBy("h", unit).limit(int(n * share)).select(unit, F.lit(1).alias("held_out"))
+    """Marks the first share of the distinct units in the order of a seeded hash. Counts by
+    the hash's first four digits give each bucket's place, so no task orders all units."""
+    ranked = units.select(unit).distinct().withColumn("h", F.md5(F.concat(F.col(unit).cast("string"), F.lit(seed)))).withColumn("head", F.substring("h", 1, 4))
+    everything = W.partitionBy(F.lit(0))
+    places = ranked.groupBy("head").agg(F.count("*").alias("here")).select(
+        "head", (F.sum("here").over(everything.orderBy("head")) - F.col("here")).alias("before"), F.floor(F.sum("here").over(everything) * F.lit(share)).alias("most")
+    )
+    place = F.col("before") + F.row_number().over(W.partitionBy("head").orderBy("h", unit))
+    cut = ranked.join(F.broadcast(places.where("before < most")), "head").withColumn("place", place).where("place <= most").select(unit, F.lit(1).alias("held_out"))
     return units.join(cut, unit, "left").withColumn("held_out", F.coalesce("held_out", F.lit(0)))
 
 
@@ -150,11 +155,17 @@ def monthly_mean(rides: DataFrame, keys: list[str], date: str, amount: str) -> D
     return daily.groupBy(*keys, F.trunc(date, "MM").alias("ym")).agg((F.sum("x") / F.count("*")).alias(f"mean_{amount}"), F.count("*").alias("n_days"))
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average-tie rank as a fraction of the non-null rows: counted over distinct values."""
+def average_rank(df: DataFrame, value: str, name: str, buckets: int = 256) -> DataFrame:
+    """Average-tie rank as a fraction of the non-null rows: rows collapse to distinct values,
+    counts run within value ranges and are offset by the ranges below."""
     values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
-    order = W.partitionBy(F.lit(0)).orderBy(value)
-    ranked = values.withColumn("below", F.sum("ties").over(order) - F.col("ties")).withColumn("n", F.sum("ties").over(W.partitionBy(F.lit(0))))
+    cuts = values.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)]).alias("cuts"))
+    placed = values.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    totals = placed.groupBy("range").agg(F.sum("ties").alias("here"))
+    everything = W.partitionBy(F.lit(0))
+    offsets = totals.select("range", (F.sum("here").over(everything.orderBy("range")) - F.col("here")).alias("lower"), F.sum("here").over(everything).alias("n"))
+    below = F.col("lower") + F.sum("ties").over(W.partitionBy("range").orderBy(value)) - F.col("ties")
+    ranked = placed.join(F.broadcast(offsets), "range").withColumn("below", below)
     rank = ranked.select(value, ((F.col("below") + 1 + (F.col("ties") - 1) / 2) / F.col("n")).alias(name))
     return df.join(rank, value, "left")
 

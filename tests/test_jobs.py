@@ -1,5 +1,6 @@
 """Jobs on small tables worked out by hand or by brute force."""
 
+import hashlib
 import random
 
 from crowdloom.operators import evaluation, impact, journeys, marts, network
@@ -10,6 +11,20 @@ def test_average_rank(spark):
     df = spark.createDataFrame([("a", 10), ("b", 20), ("c", 20), ("d", None)], "n string, v int")
     got = {r["n"]: r["r"] for r in marts.average_rank(df, "v", "r").collect()}
     assert got["a"] == 1 / 3 and got["b"] == got["c"] == 2.5 / 3 and got["d"] is None
+    assert marts.average_rank(df.where("v is null"), "v", "r").collect()[0]["r"] is None
+    random.seed(2)
+    values = [random.randrange(400) for _ in range(900)]
+    for r in marts.average_rank(spark.createDataFrame([(v,) for v in values], "v int"), "v", "r", buckets=7).collect():
+        lower, ties = sum(v < r["v"] for v in values), values.count(r["v"])
+        assert abs(r["r"] - (lower + 1 + (ties - 1) / 2) / 900) < 1e-12
+
+
+def test_hold_out_against_a_full_sort(spark):
+    units = spark.createDataFrame([(k % 500,) for k in range(700)], "u int")
+    order = sorted(range(500), key=lambda u: (hashlib.md5(f"{u}s".encode()).hexdigest(), u))
+    got = marts.hold_out(units, "u", 0.31, "s").collect()
+    assert len(got) == 700 and {r["u"] for r in got if r["held_out"]} == set(order[:155])
+    assert marts.hold_out(units.where("u < 0"), "u", 0.31, "s").count() == 0
 
 
 def test_look_back_months(spark):
