@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "media", "mixing", "neardup", "packing", "private", "quality", "repeats", "token_counts", "toxicity")
+MODULES = ("chat", "language", "media", "mixing", "neardup", "packing", "periodic", "private", "quality", "repeats", "token_counts", "toxicity", "whitening")
 
 
 def queries() -> dict:
