@@ -144,49 +144,6 @@ def reached(roots: DataFrame, edges: DataFrame, squarings: int = 3) -> DataFrame
     return known
 
 
-def k_paths(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
-    """The k cheapest loop-free paths of each request (request_id, origin, destination),
-    by (minutes, path). Partial paths stay while minutes so far + least minutes to go are
-    within the request's bound, a true lower bound, so nothing is lost. For requests with
-    fewer than k paths the bound is widened until it reaches the horizon; without a horizon
-    it moves by a quarter, or to the least minutes that it cut off, until it cuts off nothing."""
-    back = edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "minutes")
-    ends = requests.select(F.col("destination").alias("source"), F.col("destination").alias("node"), F.lit(0).alias("cost")).distinct()
-    to_go = written(distances(ends, back, horizon).select(F.col("source").alias("destination"), "node", F.col("cost").alias("to_go")))
-    step = small(edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), "minutes"))
-    held = (lambda bound: bound) if horizon is None else (lambda bound: F.least(bound, F.lit(horizon)))
-    open_requests = written(requests.join(to_go.withColumnRenamed("node", "origin"), ["destination", "origin"]).select("request_id", "origin", "destination", held(F.col("to_go") + slack).alias("bound")))
-    done = None
-    while not open_requests.isEmpty():
-        live = open_requests.select("request_id", "destination", "bound", F.col("origin").alias("node"), F.array("origin").alias("path"), F.lit(0).alias("minutes_so_far"))
-        found = cut = None
-        while not live.isEmpty():
-            arrived = live.where("node = destination").select("request_id", "path", F.col("minutes_so_far").alias("minutes"))
-            found = arrived if found is None else found.unionByName(arrived)
-            longer = live.where("node <> destination").join(step, "node").where(~F.array_contains("path", F.col("next")))
-            moved = longer.select("request_id", "destination", "bound", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("minutes_so_far") + F.col("minutes")).alias("minutes_so_far"))
-            if horizon is None:
-                total = F.col("minutes_so_far") + F.col("to_go")
-                over = F.when(total > F.col("bound"), total)
-                tried = written(moved.join(to_go, ["destination", "node"]).select("request_id", "destination", "bound", "node", F.when(over.isNull(), F.col("path")).alias("path"), "minutes_so_far", over.alias("over")))
-                least = tried.where("over is not null").groupBy("request_id").agg(F.min("over").alias("over"))
-                cut, live = least if cut is None else cut.unionByName(least), tried.where("over is null").select(*moved.columns)
-            else:
-                live = written(moved.join(to_go, ["destination", "node"]).where("minutes_so_far + to_go <= bound").select(*moved.columns))
-        ranked = written(found.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("minutes", F.array_join("path", ">")))).where(F.col("rank") <= k))
-        counts = ranked.groupBy("request_id").agg(F.count("*").alias("n"))
-        state = open_requests.join(counts, "request_id", "left")
-        if horizon is None:
-            state = state.join(cut.groupBy("request_id").agg(F.min("over").alias("wider")), "request_id", "left").withColumn("last", F.col("wider").isNull())
-        else:
-            state = state.withColumn("wider", held(F.col("bound") * 2)).withColumn("last", F.col("bound") >= horizon)
-        state = written(state.withColumn("enough", (F.coalesce("n", F.lit(0)) >= k) | F.col("last")))
-        ready = ranked.join(state.where("enough").select("request_id"), "request_id", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        open_requests = written(state.where("not enough").select("request_id", "origin", "destination", (F.col("wider") if horizon is not None else F.greatest("wider", F.ceil(F.col("bound") * 1.25).cast("int"))).alias("bound")))
-    return done if done is not None else requests.limit(0).select("request_id", F.array("origin").alias("path"), F.lit(0).alias("minutes"), F.lit(0).alias("rank"))
-
-
 def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
     """distances with one least path each: its nodes, stops and transfers (neighbours of one
     station name). Of equal minutes the path of the least text counts, so results repeat."""
@@ -206,17 +163,6 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> D
     return out.withColumn("path", F.array_join("path", ">")).select("source", "node", "cost", "path", "stops", "transfers")
 
 
-def candidates(requests: DataFrame, edges: DataFrame, k: int, horizon: int | None, slack: int) -> DataFrame:
-    """Routes of each request: the k quickest by minutes, then those of the k least by
-    perceived cost that are not among them. request_id, path, minutes, rank (in that order)."""
-    quick = written(k_paths(requests, edges.select("from_node", "to_node", "minutes"), k, horizon, slack).withColumn("list", F.lit(0)))
-    cost = edges.select("from_node", "to_node", F.col("cost_m").alias("minutes"))
-    calm = k_paths(requests, cost, k, None if horizon is None else 1000 * horizon, 1000 * slack).withColumn("list", F.lit(1))
-    more = calm.join(quick.select("request_id", "path"), ["request_id", "path"], "left_anti")
-    both = quick.select("request_id", "path", "list", "rank").unionByName(more.select("request_id", "path", "list", "rank"))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("list", "rank"))).select("request_id", "path", "rank")
-
-
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Paths exploded to their edges in order, with the edges' attributes."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("from_node"), F.element_at("path", i + 1).alias("to_node")))

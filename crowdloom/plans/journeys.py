@@ -10,10 +10,11 @@ from ..functions import scalars as S
 from ..operators import marts
 from ..operators import journeys as J
 from ..operators import network as N
+from ..operators import routes as R
 from ..sources import files
 from .marts import D8, edge_lookup
-from .network import ALL, NAMES, PATHS, SEG, STEPS, all_edges, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations
-from ..sources.scratch import written
+from .network import ALL, NAMES, PATHS, SEG, STEPS, all_edges, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
+from ..sources.scratch import temporary, written
 from .registry import query
 from .views import sequence, stations, table
 
@@ -126,9 +127,9 @@ def _(spark: Spark, d: str) -> DataFrame:
 
 
 @query("R12_transfer_wait", f"{SEG_SQL}, sg as (select request_id, rank, segment, line, lag(line) over (partition by request_id, rank order by segment) as prev from (select distinct request_id, rank, segment, line from g)), w as (select p_brand as line, round(15.0 / count(*), 6) as wait from part group by 1) select request_id, rank, round(coalesce(sum(coalesce(wait, 0)) filter (line <> 'walk' and prev is not null), 0), 6) as wait from sg left join w using (line) group by 1, 2")
-def waits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def waits(spark: Spark, d: str) -> DataFrame:
     by_line = table(spark, d, "part").groupBy(F.col("p_brand").alias("line")).agg(F.round(15.0 / F.count("*"), 6).alias("wait"))
-    return J.transfer_waits(N.segment_sums(parts(spark, d, whole)[0]), by_line).withColumn("wait", F.round("wait", 6))
+    return J.transfer_waits(N.segment_sums(parts(spark, d)[0]), by_line).withColumn("wait", F.round("wait", 6))
 
 
 R13 = f"""{SEG_SQL}, mj as (select request_id, rank, segment, arg_min(direction, k) as direction from (select request_id, rank, segment, direction, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by direction) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
@@ -139,8 +140,8 @@ select request_id, rank, segment, line, {NAMES.format('a')} as from_station, {NA
 
 
 @query("R13_structured_segments", R13)
-def structured(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return J.described(parts(spark, d, whole)[0])
+def structured(spark: Spark, d: str) -> DataFrame:
+    return J.described(parts(spark, d)[0])
 
 
 R20 = f"""with recursive {STEPS}, b as (select request_id, rank, bin, max(k.rate) as worst from full_steps s join lookup k on k.line_id = s.line_id and k.from_station = {NAMES.format('s.from_node')} and k.direction = s.direction where kind = 'ride' and k.rate is not null group by 1, 2, 3),
@@ -148,8 +149,8 @@ o as (select request_id, rank, arg_min(bin, worst * 100 + bin) as bin, min(worst
 
 
 @query("R20_departure_alternative", R20)
-def departures(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    rides = steps(spark, d, whole)[0].where("kind = 'ride'").withColumn("from_station", S.node_station(F.col("from_node")))
+def departures(spark: Spark, d: str) -> DataFrame:
+    rides = steps(spark, d)[0].where("kind = 'ride'").withColumn("from_station", S.node_station(F.col("from_node")))
     return J.departure_alternatives(rides, lookup(directed(spark, d)), ["line_id", "from_station", "direction"], 0, 4, 10)
 
 
@@ -158,8 +159,8 @@ select request_id, rank, segment, pos, line_id, {NAMES.format('from_node')} as s
 
 
 @query("R21_route_profile", R21)
-def route_profile(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return J.profile_along(parts(spark, d, whole)[0], lookup(directed(spark, d)).where("bin = 0").drop("bin"))
+def route_profile(spark: Spark, d: str) -> DataFrame:
+    return J.profile_along(parts(spark, d)[0], lookup(directed(spark, d)).where("bin = 0").drop("bin"))
 
 
 @query("R22_running_order", "select p_brand as line_id, cast(p_partkey as varchar) as node, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as integer) as pos from part")
@@ -183,8 +184,8 @@ Q5 = f"""with recursive {STEPS} select request_id, rank, count(*) filter (kind i
 
 
 @query("Q5_path_violations", Q5)
-def route_violations(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return violations(steps(spark, d, whole)[0])
+def route_violations(spark: Spark, d: str) -> DataFrame:
+    return violations(steps(spark, d)[0])
 
 
 Q4 = f"""with {ALL}, pairs as (select a.minutes as there, b.minutes as back from ride a left join ride b on b.from_node = a.to_node and b.to_node = a.from_node where a.is_bidirectional = 1), nodes as (select from_node as node from ride union select to_node from ride),
@@ -218,20 +219,20 @@ def graph_structure(spark: Spark, d: str) -> DataFrame:
     return out
 
 
-R7 = f"""with recursive {ALL}, nodes as (select distinct from_station as station_name, from_node as node from ride), rq as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by pos) as d from ls) where seq % 20 = 0 and d is not null and d <> station_name),
-walk as (select request_id, d, node, [node] as path, 0 as minutes from rq join nodes on nodes.station_name = rq.o
- union all select w.request_id, w.d, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes from walk w join edge e on e.from_node = w.node where not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= 6),
-a as (select request_id, array_to_string(path, '>') as route, minutes, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as rank from walk where exists (select 1 from nodes where nodes.node = walk.node and nodes.station_name = walk.d)) select request_id, route, cast(minutes as integer) as minutes, rank from a where rank <= 2"""
+R7 = f"""with recursive {ALL}, nodes as (select distinct from_station as station_name, from_node as node from ride), asked as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by pos) as d from ls) where d is not null and d <> station_name),
+req as (select request_id, d as destination, node as origin from asked join nodes on nodes.station_name = asked.o), ends as (select distinct d as destination, node from asked join nodes on nodes.station_name = asked.d), {walks("s", "minutes", 1, 2, stop=False)}
+select request_id, array_to_string(path, '>') as route, cast(g as bigint) as minutes, cast(r as integer) as rank from found_s"""
 
 
 @query("R7_station_requests", R7, whole=True)
-def station_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def station_routes(spark: Spark, d: str) -> DataFrame:
     s = line_sequence(spark, d)
-    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("pos"))).where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
-    edges = written(all_edges(spark, d))
-    nodes = edges.where("kind = 'ride'").select(F.col("from_node").alias("node"), S.node_station(F.col("from_node")).alias("station_name")).distinct()
-    inner, more = J.station_requests(asked, nodes, edges)
-    found = N.k_paths(inner, written(more), 2, None if whole else 6, 1)
+    asked = s.withColumn("destination", F.lead("station_name", 2).over(W.partitionBy("line_id").orderBy("pos"))).where("destination is not null").select(F.col("seq").alias("request_id"), F.col("station_name").alias("origin"), "destination")
+    with temporary(spark) as keep:
+        edges = written(all_edges(spark, d))
+        nodes = edges.where("kind = 'ride'").select(F.col("from_node").alias("node"), S.node_station(F.col("from_node")).alias("station_name")).distinct()
+        inner, more = J.station_requests(asked, nodes, edges)
+        found = keep(R.k_paths(inner, more, 2))
     return found.select("request_id", F.array_join(F.slice("path", 2, F.size("path") - 2), ">").alias("route"), "minutes", "rank")
 
 
@@ -242,7 +243,7 @@ q as (select *, lag(x) over w as bx, lag(y) over w as b_y from pl window w as (p
 
 
 @query("R24_coordinates", R24)
-def route_points(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def route_points(spark: Spark, d: str) -> DataFrame:
     points = line_sequence(spark, d).where("seq % 3 <> 0").select(S.node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), "seq")
     placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
-    return J.coordinates(paths(spark, d, whole)[0], placed, S.node_station(F.col("node")))
+    return J.coordinates(paths(spark, d)[0], placed, S.node_station(F.col("node")))

@@ -6,6 +6,8 @@ parts' sizes and brands, so that every rule of the network meets some edges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +15,8 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from ..operators import journeys as J
 from ..operators import network as N
-from ..sources.scratch import exists, written
+from ..operators import routes as R
+from ..sources.scratch import delete, exists, temporary, version, written
 from .registry import query
 from .views import table
 
@@ -143,57 +146,93 @@ def connectivity(spark: Spark, d: str) -> DataFrame:
     return out
 
 
-HORIZON, REACH = 13, 8
-R5 = f"""with recursive {ALL}, nodes as (select from_node as node from ride union select to_node from ride), reach as (select node as source, node, 0 as cost from nodes union select r.source, e.to_node, r.cost + e.minutes from reach r join edge e on e.from_node = r.node where r.cost + e.minutes <= {REACH})
-select source, node, cast(min(cost) as integer) as cost from reach group by 1, 2"""
+KEEP = 3
+#: Slacks of the SQL's walks over the least cost, in minutes: a request walks with the next
+#: one only while it has fewer routes than asked.
+SLACKS = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 18, 22, 28, 36, 50, 80)
+REQ = "req as (select seq as request_id, origin, destination from (select seq, line_id || '_' || station_name as origin, line_id || '_' || lead(station_name, 3) over (partition by line_id order by pos) as destination from ls) where destination is not null), ends as (select distinct destination, destination as node from req)"
+
+
+def walks(tag: str, weight: str, unit: int, k: int, slacks: tuple[int, ...] = SLACKS, stop: bool = True) -> str:
+    """SQL: found_<tag> with all loop-free paths of each row of req up to the first slack that
+    gives k of them. ends: the nodes of each destination; stop: a path ends at the first."""
+    parts = [f"""go_{tag}(destination, node, h) using key (destination, node) as (select destination, node, 0 from ends
+ union select t.destination, e.from_node, min(t.h + e.{weight}) from go_{tag} t join edge e on e.to_node = t.node left join recurring.go_{tag} r on r.destination = t.destination and r.node = e.from_node where r.h is null or t.h + e.{weight} < r.h group by 1, 2),
+least_{tag} as (select request_id, min(h) as h from req join go_{tag} g on g.destination = req.destination and g.node = req.origin group by 1)"""]
+    for i, slack in enumerate(slacks):
+        enough = f"(select request_id from f_{tag}{i - 1} group by 1 having count(*) >= {k})"
+        asked = f"(select * from req where request_id not in {enough})" if i else "req"
+        parts.append(f"""w_{tag}{i} as (select q.request_id, q.destination, q.origin as node, [q.origin] as path, 0 as g, l.h + {slack * unit} as bound from {asked} q join least_{tag} l on l.request_id = q.request_id join go_{tag} t on t.destination = q.destination and t.node = q.origin where t.h <= l.h + {slack * unit}
+ union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.g + e.{weight}, w.bound from w_{tag}{i} w join edge e on e.from_node = w.node join go_{tag} t on t.destination = w.destination and t.node = e.to_node where {"w.node <> w.destination and " if stop else ""}not list_contains(w.path, e.to_node) and w.g + e.{weight} + t.h <= w.bound),
+f_{tag}{i} as materialized (select w.request_id, w.path, w.g from w_{tag}{i} w join ends on ends.destination = w.destination and ends.node = w.node{f" union all select * from f_{tag}{i - 1} where request_id in {enough}" if i else ""})""")
+    return ",\n".join(parts) + f",\nfound_{tag} as (select request_id, path, g, row_number() over (partition by request_id order by g, array_to_string(path, '>')) as r from f_{tag}{len(slacks) - 1} qualify r <= {k})"
+
+
+LEAST = f"""with recursive {ALL}, {REQ}, {walks("t", "minutes", 1, 1, (0,))}, {walks("c", "cost_m", 1000, 1, (0,))}, both_least as (select 'time' as weight, * from found_t union all select 'cost', * from found_c)"""
+
+
+def requests(spark: Spark, d: str) -> DataFrame:
+    """From every station to the third one after it on its line."""
+    s = line_sequence(spark, d).withColumn("origin", S.node_id(F.col("line_id"), F.col("station_name"))).withColumn("destination", F.lead("origin", 3).over(W.partitionBy("line_id").orderBy("pos")))
+    return s.where("destination is not null").select(F.col("seq").alias("request_id"), "origin", "destination")
+
+
+def least(spark: Spark, d: str) -> DataFrame:
+    found = R.least_by_both(requests(spark, d), all_edges(spark, d))
+    return found.withColumn("weight", F.when(F.col("net") == 0, "time").otherwise("cost")).drop("net")
 
 
-@query("R5_distances", R5)
+@query("R5_distances", LEAST + " select weight, request_id, cast(g as bigint) as cost from both_least")
 def bulk_distances(spark: Spark, d: str) -> DataFrame:
-    """Least minutes between all nodes, up to a horizon."""
-    edges = written(all_edges(spark, d))
-    nodes = edges.where("kind = 'ride'").select(F.explode(F.array("from_node", "to_node")).alias("source")).distinct()
-    return N.distances(nodes.select("source", F.col("source").alias("node"), F.lit(0).alias("cost")), edges, REACH)
+    """Least minutes and least perceived cost of all requests."""
+    return least(spark, d).select("weight", "request_id", "cost")
 
 
-@query("R5_shortest_paths")
+@query("R5_shortest_paths", LEAST + """, named as (select weight, request_id, g, path, list_transform(path, lambda x: regexp_replace(regexp_replace(x, '^[^_]*_', ''), '@[^@]*$', '')) as names from both_least)
+select weight, request_id, cast(g as bigint) as cost, array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as stops, cast(len(list_filter(generate_series(2, len(path)), lambda i: names[i] = names[i - 1])) as integer) as transfers from named""")
 def bulk_paths(spark: Spark, d: str) -> DataFrame:
-    """The same with a least path each, its stops and transfers (tested by enumeration)."""
-    edges = written(all_edges(spark, d))
-    nodes = edges.where("kind = 'ride'").select(F.explode(F.array("from_node", "to_node")).alias("source")).distinct()
-    return N.shortest_paths(nodes.select("source", F.col("source").alias("node"), F.lit(0).alias("cost")), edges, REACH)
-
-
-SLACK, KEEP = 2, 3
-REQ = "req as (select seq as request_id, origin, destination from (select seq, line_id || '_' || station_name as origin, line_id || '_' || lead(station_name, 3) over (partition by line_id order by pos) as destination from ls) where seq % 20 = 0 and destination is not null)"
-PATHS = f"""{ALL}, {REQ}, walk as (select request_id, destination, origin as node, [origin] as path, 0 as minutes, 0 as cost_m from req
- union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.minutes + e.minutes, w.cost_m + e.cost_m from walk w join edge e on e.from_node = w.node where w.node <> w.destination and not list_contains(w.path, e.to_node) and w.minutes + e.minutes <= {HORIZON}),
-quick as (select request_id, path, 0 as list, row_number() over (partition by request_id order by minutes, array_to_string(path, '>')) as r from walk where node = destination qualify r <= {KEEP}),
-calm as (select request_id, path, 1 as list, row_number() over (partition by request_id order by cost_m, array_to_string(path, '>')) as r from walk where node = destination and cost_m <= {1000 * HORIZON} qualify r <= {KEEP}),
+    """The same with the least path, its stops and its transfers (neighbours of one station)."""
+    found = least(spark, d).withColumn("names", F.transform("path", S.node_station))
+    return found.select("weight", "request_id", "cost", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("stops"), R.changes(F.col("names")).alias("transfers"))
+
+
+PATHS = f"""{ALL}, {REQ}, {walks("t", "minutes", 1, KEEP)}, {walks("c", "cost_m", 1000, KEEP)},
+quick as (select request_id, path, 0 as list, r from found_t), calm as (select request_id, path, 1 as list, r from found_c),
 paths as materialized (select request_id, path, cast(row_number() over (partition by request_id order by list, r) as integer) as rank from (select * from quick union all select calm.* from calm where not exists (select 1 from quick where quick.request_id = calm.request_id and quick.path = calm.path)))"""
 
+_searched: dict[tuple, dict[str, DataFrame]] = {}
 
-def requests(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    s = line_sequence(spark, d).withColumn("origin", S.node_id(F.col("line_id"), F.col("station_name"))).withColumn("destination", F.lead("origin", 3).over(W.partitionBy("line_id").orderBy("pos")))
-    return s.where(F.lit(True) if whole else F.expr("seq % 20 = 0")).where("destination is not null").select(F.col("seq").alias("request_id"), "origin", "destination")
+
+def kept(spark: Spark, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, written once and kept while the table that all routes come from (its
+    files, their sizes and times) and the written files are the same: all evaluations of
+    routes start from the same search. forget() deletes what is kept."""
+    key = (spark.sparkContext.applicationId, d, version(spark, f"{d}/part.parquet"))
+    of = _searched.setdefault(key, {})
+    if name not in of or not all(exists(spark, f) for f in of[name].inputFiles()):
+        with temporary(spark) as keep:
+            made = keep(make())
+        of[name] = made
+    return of[name]
 
 
-_searched: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+def forget(spark: Spark) -> None:
+    """Deletes all that is kept."""
+    for of in _searched.values():
+        for df in of.values():
+            delete(spark, df)
+    _searched.clear()
 
 
-def paths(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Candidate routes and the edges. A search is kept for the session while its files are
-    there, since every evaluation starts from it."""
-    key = (spark.sparkContext.applicationId, d, whole)
-    if key not in _searched or not all(exists(spark, f) for df in _searched[key] for f in df.inputFiles()[:1]):
-        edges = written(all_edges(spark, d))
-        _searched[key] = (written(N.candidates(requests(spark, d, whole), edges, KEEP, None if whole else HORIZON, SLACK)), edges)
-    return _searched[key]
+def paths(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate routes and the edges."""
+    edges = kept(spark, d, "edges", lambda: all_edges(spark, d))
+    return kept(spark, d, "routes", lambda: R.candidates(requests(spark, d), edges, KEEP)), edges
 
 
 @query("R6_k_paths", f"with recursive {PATHS} select request_id, array_to_string(path, '>') as route, rank from paths", whole=True)
-def k_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return paths(spark, d, whole)[0].select("request_id", F.array_join("path", ">").alias("route"), "rank")
+def k_routes(spark: Spark, d: str) -> DataFrame:
+    return paths(spark, d)[0].select("request_id", F.array_join("path", ">").alias("route"), "rank")
 
 
 NAMES = "regexp_replace(regexp_replace({0}, '^[^_]*_', ''), '@[^@]*$', '')"
@@ -212,32 +251,31 @@ def junctions(spark: Spark, d: str) -> DataFrame:
     return r.join(trunk, ["line_id", "from_pos"]).select(F.regexp_replace("own", "@b$", "").alias("node"), "own", "trunk")
 
 
-def steps(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def steps(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Steps of all candidate routes with their edges' attributes and through passes."""
-    p, edges = paths(spark, d, whole)
-    return J.through_pass(N.path_edges(p, edges), junctions(spark, d)), edges
+    p, edges = paths(spark, d)
+    return kept(spark, d, "steps", lambda: J.through_pass(N.path_edges(p, edges), junctions(spark, d))), edges
 
 
 def line_or_walk() -> F.Column:
     return F.when(F.col("kind") == "transfer", "walk").otherwise(S.node_line(F.col("from_node")))
 
 
-def parts(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s, edges = steps(spark, d, whole)
-    s = written(s)
+def parts(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, edges = steps(spark, d)
     return N.segments(s, line_or_walk()), s, edges
 
 
 @query("R10_through_pass", f"with recursive {STEPS} select request_id, rank, pos, is_through from full_steps")
-def through_passes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return steps(spark, d, whole)[0].select("request_id", "rank", "pos", "is_through")
+def through_passes(spark: Spark, d: str) -> DataFrame:
+    return steps(spark, d)[0].select("request_id", "rank", "pos", "is_through")
 
 
 @query("R8_station_revisit", f"with recursive {PATHS}, x as (select request_id, rank, {NAMES.format('unnest(path)')} as st, unnest(generate_series(1, len(path))) as i from paths), y as (select *, lag(st) over (partition by request_id, rank order by i) as b from x) select request_id, rank, count(*) > count(distinct st) as revisits from y where b is null or b <> st group by 1, 2")
-def revisits(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def revisits(spark: Spark, d: str) -> DataFrame:
     names = F.transform("path", S.node_station)
     kept = F.filter(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when((i == 1) | (F.element_at("names", i) != F.element_at("names", F.greatest(i - 1, F.lit(1)))), F.element_at("names", i))), lambda x: x.isNotNull())
-    return paths(spark, d, whole)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
+    return paths(spark, d)[0].withColumn("names", names).select("request_id", "rank", (F.size(kept) > F.size(F.array_distinct(kept))).alias("revisits"))
 
 
 SEG = f"""{STEPS}, l as (select *, case when kind = 'transfer' then 'walk' else split_part(from_node, '_', 1) end as line from full_steps where not is_through), n as (select *, case when lag(line) over w is null or lag(line) over w <> line then 1 else 0 end as is_new from l window w as (partition by request_id, rank order by pos)),
@@ -245,16 +283,16 @@ g as (select *, cast(sum(is_new) over (partition by request_id, rank order by po
 
 
 @query("E8_segments", f"with recursive {SEG} select request_id, rank, segment, line, count(*) as n_edges, cast(sum(minutes) as bigint) as minutes, case when line = 'walk' then 0 else count(*) - 1 end::bigint as dwell_stops from g group by 1, 2, 3, 4")
-def route_segments(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return N.segment_sums(parts(spark, d, whole)[0])
+def route_segments(spark: Spark, d: str) -> DataFrame:
+    return N.segment_sums(parts(spark, d)[0])
 
 
 SEATS = "ma as (select from_node as to_node, avg(cong) as m from edge where kind = 'ride' and cong is not null group by 1), seat as (select request_id, rank, avg(cong - m) / 10 as s from full_steps join ma using (to_node) where kind = 'ride' and cong is not null group by 1, 2)"
 
 
 @query("R11_seat_score", f"with recursive {STEPS}, {SEATS} select a.request_id, a.rank, round(coalesce(s, 0), 9) as seat_score from (select distinct request_id, rank from full_steps) a left join seat using (request_id, rank)")
-def seats(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return J.seat_scores(*steps(spark, d, whole)).withColumn("seat_score", F.round("seat_score", 9))
+def seats(spark: Spark, d: str) -> DataFrame:
+    return J.seat_scores(*steps(spark, d)).withColumn("seat_score", F.round("seat_score", 9))
 
 
 EVAL = f"""{SEG}, {SEATS}, hi as (select quantile_cont(rate, 0.95) as p95 from lookup where bin = 0), ne as (select request_id, rank, count(*) as n_edges from full_steps group by 1, 2),
@@ -264,16 +302,16 @@ ev as materialized (select request_id, rank, running, dwell_stops * 0.5::double
  from ev0 join ne using (request_id, rank) left join seat using (request_id, rank))"""
 
 
-def evaluated(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    p, s, edges = parts(spark, d, whole)
+def evaluated(spark: Spark, d: str) -> DataFrame:
+    p, s, edges = parts(spark, d)
     rides = edges.where("kind = 'ride'")
     high = lookup(directed(spark, d)).where("bin = 0").agg(F.percentile("rate", 0.95).alias("p95"))
     return J.evaluate(p, s.groupBy("request_id", "rank").agg(F.count("*").alias("n_edges")), J.seat_scores(s, rides), high)
 
 
 @query("R9_path_evaluation", f"with recursive {EVAL} select * from ev", whole=True)
-def evaluation(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return evaluated(spark, d, whole)
+def evaluation(spark: Spark, d: str) -> DataFrame:
+    return evaluated(spark, d)
 
 
 AXES = ["actual", "max_cong", "transfer_penalty"]
@@ -281,8 +319,8 @@ PARETO = f"{EVAL}, pf as (select a.*, not exists (select 1 from ev b where b.req
 
 
 @query("R14_pareto", f"with recursive {PARETO} select request_id, rank, actual, max_cong, transfer_penalty, is_pareto from pf")
-def pareto_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return N.pareto(evaluated(spark, d, whole), "request_id", "rank", AXES).select("request_id", "rank", *AXES, "is_pareto")
+def pareto_routes(spark: Spark, d: str) -> DataFrame:
+    return N.pareto(evaluated(spark, d), "request_id", "rank", AXES).select("request_id", "rank", *AXES, "is_pareto")
 
 
 #: What each mode weighs.
@@ -290,11 +328,11 @@ MODES = {"fast": (1.0, 0.0, 0.0, 0.3, 0.0), "calm": (0.0, 1.0, 0.05, 0.5, 0.0),
 RANKED = f"""{PARETO}, f as (select request_id, arg_min(struct_pack(t := actual, c := max_cong, a := avg_cong, p := perceived), actual * 1000 + rank) as f from ev group by 1),
 cmp as (select pf.*, round(actual / f.t, 9) as stretch, actual - f.t as time_loss, round(f.c - max_cong, 6) as cong_drop, round(f.a - avg_cong, 6) as avg_drop, round(f.p - perceived, 6) as perceived_gain from pf join f using (request_id)),
 md as (select * from (values {", ".join(f"('{m}', {', '.join(f'{x}::double' for x in w)})" for m, w in MODES.items())}) t(mode, wa, wp, wm, wt, ws)),
-rk as (select mode, cmp.*, round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 6) as score, row_number() over (partition by mode, request_id order by round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 6), rank) as route_rank from cmp cross join md)"""
+rk as (select mode, cmp.*, round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 9) as score, row_number() over (partition by mode, request_id order by round(wa * actual + wp * perceived + wm * coalesce(max_cong, 0) + wt * transfer_penalty - ws * seat_score, 9), rank) as route_rank from cmp cross join md)"""
 
 
-def compared(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    e = N.pareto(evaluated(spark, d, whole), "request_id", "rank", AXES)
+def compared(spark: Spark, d: str) -> DataFrame:
+    e = N.pareto(evaluated(spark, d), "request_id", "rank", AXES)
     fast = e.groupBy("request_id").agg(F.min_by(F.struct(F.col("actual").alias("t"), F.col("max_cong").alias("c"), F.col("avg_cong").alias("a"), F.col("perceived").alias("p")), F.struct("actual", "rank")).alias("f"))
     return e.join(fast, "request_id").select(
         *e.columns, F.round(F.col("actual") / F.col("f.t"), 9).alias("stretch"), (F.col("actual") - F.col("f.t")).alias("time_loss"), F.round(F.col("f.c") - F.col("max_cong"), 6).alias("cong_drop"),
@@ -302,30 +340,34 @@ def compared(spark: Spark, d: str, whole: bool = False) -> DataFrame:
     )
 
 
-def ranked(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def ranked(spark: Spark, d: str) -> DataFrame:
     """Every route in every mode with its score and rank in it."""
+    return kept(spark, d, "ranked", lambda: ranks(compared(spark, d)))
+
+
+def ranks(routes: DataFrame) -> DataFrame:
     weights = F.array(*[F.struct(F.lit(m).alias("mode"), *[F.lit(x).alias(n) for n, x in zip(("wa", "wp", "wm", "wt", "ws"), w, strict=True)]) for m, w in MODES.items()])
-    each = compared(spark, d, whole).withColumn("m", F.explode(weights))
-    score = F.round(F.col("m.wa") * F.col("actual") + F.col("m.wp") * F.col("perceived") + F.col("m.wm") * F.coalesce("max_cong", F.lit(0.0)) + F.col("m.wt") * F.col("transfer_penalty") - F.col("m.ws") * F.col("seat_score"), 6)
+    each = routes.withColumn("m", F.explode(weights))
+    score = F.round(F.col("m.wa") * F.col("actual") + F.col("m.wp") * F.col("perceived") + F.col("m.wm") * F.coalesce("max_cong", F.lit(0.0)) + F.col("m.wt") * F.col("transfer_penalty") - F.col("m.ws") * F.col("seat_score"), 9)
     return each.withColumn("mode", F.col("m.mode")).withColumn("score", score).drop("m").withColumn("route_rank", F.row_number().over(W.partitionBy("mode", "request_id").orderBy("score", "rank")))
 
 
 @query("E6_fastest_comparators", f"with recursive {RANKED} select request_id, rank, stretch, time_loss, cong_drop, avg_drop, perceived_gain from cmp")
-def comparators(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return compared(spark, d, whole).select("request_id", "rank", "stretch", "time_loss", "cong_drop", "avg_drop", "perceived_gain")
+def comparators(spark: Spark, d: str) -> DataFrame:
+    return compared(spark, d).select("request_id", "rank", "stretch", "time_loss", "cong_drop", "avg_drop", "perceived_gain")
 
 
 @query("E7_mode_rank", f"with recursive {RANKED} select mode, request_id, rank, score, cast(route_rank as integer) as route_rank from rk")
-def mode_ranks(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return ranked(spark, d, whole).select("mode", "request_id", "rank", "score", "route_rank")
+def mode_ranks(spark: Spark, d: str) -> DataFrame:
+    return ranked(spark, d).select("mode", "request_id", "rank", "score", "route_rank")
 
 
 EK = "ek as (select request_id, rank, list_transform(generate_series(1, len(path) - 1), lambda i: path[i] || '>' || path[i + 1]) as ks, path as ns from paths)"
 
 
-def with_keys(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    keys = paths(spark, d, whole)[0].select("request_id", "rank", N.edge_keys().alias("ks"), F.col("path").alias("ns"))
-    return ranked(spark, d, whole).join(keys, ["request_id", "rank"])
+def with_keys(spark: Spark, d: str) -> DataFrame:
+    keys = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"), F.col("path").alias("ns"))
+    return ranked(spark, d).join(keys, ["request_id", "rank"])
 
 
 JAC = "round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))), 9)"
@@ -334,8 +376,8 @@ JAC = "round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0},
 @query("R15_overlap", f"""with recursive {RANKED}, {EK}, x as (select mode, request_id, rank, route_rank, ks, ns from rk join ek using (request_id, rank)),
 t3 as (select a.mode, a.request_id, round(avg(len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks)))), 9) as mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and a.route_rank < b.route_rank and b.route_rank <= 3 group by 1, 2)
 select a.mode, a.request_id, a.rank, {JAC.format('a.ks', 'b.ks')} as to_first, {JAC.format('a.ns', 'b.ns')} as nodes_to_first, mean_top3 from x a join x b on a.mode = b.mode and a.request_id = b.request_id and b.route_rank = 1 left join t3 on t3.mode = a.mode and t3.request_id = a.request_id""")
-def overlaps(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    x = with_keys(spark, d, whole).select("mode", "request_id", "rank", "route_rank", "ks", "ns")
+def overlaps(spark: Spark, d: str) -> DataFrame:
+    x = with_keys(spark, d).select("mode", "request_id", "rank", "route_rank", "ks", "ns")
     first = x.where("route_rank = 1").select("mode", "request_id", F.col("ks").alias("ks1"), F.col("ns").alias("ns1"))
     top = x.where("route_rank <= 3").select("mode", "request_id", "route_rank", "ks")
     pairs = top.join(top.toDF("mode", "request_id", "other", "ks2"), ["mode", "request_id"]).where("route_rank < other").groupBy("mode", "request_id").agg(F.round(F.avg(N.jaccard("ks", "ks2")), 9).alias("mean_top3"))
@@ -355,20 +397,20 @@ SERVICE = f"{greedy('s', 'route_rank', NEAR + ' or len(w.kept) >= 4')}"
 NODES = f"{greedy('n', 'route_rank', NEAR.replace('> 0.65', '>= 0.65'), 'ns')}"
 
 
-def marked(spark: Spark, d: str, whole: bool = False, service: str | None = None) -> DataFrame:
+def marked(spark: Spark, d: str, service: str | None = None) -> DataFrame:
     """Near duplicates, Pareto routes first; service: by score, at most four ("edges"), or by
     shared nodes ("nodes")."""
-    rows = with_keys(spark, d, whole).withColumn("later", (~F.col("is_pareto")).cast("int"))
+    rows = with_keys(spark, d).withColumn("later", (~F.col("is_pareto")).cast("int"))
     order = ["later", "route_rank", "rank"] if service is None else ["route_rank", "rank"]
     return N.diverse(rows, ["mode", "request_id"], order, "ns" if service == "nodes" else "ks", 0.65, 4 if service == "edges" else None, service == "nodes").select("mode", "request_id", "rank", "is_near_duplicate")
 
 
 @query("R16_diverse", f"with recursive {DUP}, {SERVICE}, {NODES} select p.mode, p.request_id, p.rank, p.dup as is_near_duplicate, s.dup as left_by_service, n.dup as alike_in_nodes from w_p p join w_s s using (mode, request_id, rank) join w_n n using (mode, request_id, rank)")
-def diverse_routes(spark: Spark, d: str, whole: bool = False) -> DataFrame:
+def diverse_routes(spark: Spark, d: str) -> DataFrame:
     keys = ["mode", "request_id", "rank"]
-    out = marked(spark, d, whole)
+    out = marked(spark, d)
     for kind, name in (("edges", "left_by_service"), ("nodes", "alike_in_nodes")):
-        out = out.join(marked(spark, d, whole, kind).withColumnRenamed("is_near_duplicate", name), keys)
+        out = out.join(marked(spark, d, service=kind).withColumnRenamed("is_near_duplicate", name), keys)
     return out
 
 
@@ -388,15 +430,15 @@ def violations(s: DataFrame) -> DataFrame:
     )
 
 
-def with_policy(spark: Spark, d: str, whole: bool = False) -> tuple[DataFrame, dict[str, F.Column]]:
-    broken = violations(steps(spark, d, whole)[0]).select("request_id", "rank", (F.col("missing_edges") + F.col("out_of_scope")).alias("violations"))
-    rows = ranked(spark, d, whole).join(marked(spark, d, whole), ["mode", "request_id", "rank"]).join(broken, ["request_id", "rank"])
+def with_policy(spark: Spark, d: str) -> tuple[DataFrame, dict[str, F.Column]]:
+    broken = violations(steps(spark, d)[0]).select("request_id", "rank", (F.col("missing_edges") + F.col("out_of_scope")).alias("violations"))
+    rows = ranked(spark, d).join(marked(spark, d), ["mode", "request_id", "rank"]).join(broken, ["request_id", "rank"])
     return J.policies(rows, ["mode", "request_id"])
 
 
 @query("R17_alternatives", f"with recursive {POLICY} select mode, request_id, rank, is_alternative, has_alternative, policy from q4", whole=True)
-def alternatives(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return with_policy(spark, d, whole)[0].select("mode", "request_id", "rank", "is_alternative", "has_alternative", "policy")
+def alternatives(spark: Spark, d: str) -> DataFrame:
+    return with_policy(spark, d)[0].select("mode", "request_id", "rank", "is_alternative", "has_alternative", "policy")
 
 
 CONDS = {"not_near_dup": "not is_near_duplicate", "time_loss": "time_loss <= 15", "cong_drop": "coalesce(cong_drop >= 15, false)", "perceived": "perceived_gain >= -5"}
@@ -405,28 +447,32 @@ R18 = f"with recursive {POLICY}, b as ({R18}) select *, concat_ws(';', " + ", ".
 
 
 @query("R18_blockers", R18)
-def blocking(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    rows, conditions = with_policy(spark, d, whole)
+def blocking(spark: Spark, d: str) -> DataFrame:
+    rows, conditions = with_policy(spark, d)
     return J.blockers(rows, conditions, ["mode"])
 
 
-SUMMARY = f"""{POLICY}, sm as (select mode, request_id, count(*) as n_routes, count(*) filter (is_pareto) as n_pareto, min(stretch) filter (is_alternative) as best_stretch, max(cong_drop) as best_cong_drop, max(perceived_gain) as best_perceived_gain, count(*) filter (is_near_duplicate) as n_near_duplicates,
- bool_or(is_alternative) as has_alternative, max(rank) filter (route_rank = 1) as selected, count(*) filter (violations > 0) as n_violations from q4 group by 1, 2),
+SUMMARY = f"""{POLICY}, sm as (select md.mode, req.request_id, count(q4.rank) as n_routes, count(*) filter (is_pareto) as n_pareto, min(stretch) filter (is_alternative) as best_stretch, max(cong_drop) as best_cong_drop, max(perceived_gain) as best_perceived_gain, count(*) filter (is_near_duplicate) as n_near_duplicates,
+ coalesce(bool_or(is_alternative), false) as has_alternative, max(rank) filter (route_rank = 1) as selected, count(*) filter (violations > 0) as n_violations, case when count(q4.rank) = 0 then 'no_route' else 'routes' end as reason
+ from req cross join md left join q4 on q4.mode = md.mode and q4.request_id = req.request_id group by 1, 2),
 tp as (select a.mode, a.request_id, round(avg(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))), 9) as mean_top3 from (select o_p.*, route_rank from o_p join rk using (mode, request_id, rank)) a join (select o_p.*, route_rank from o_p join rk using (mode, request_id, rank)) b on a.mode = b.mode and a.request_id = b.request_id and a.route_rank < b.route_rank and b.route_rank <= 3 group by 1, 2)"""
 
 
-def summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    q, top = with_policy(spark, d, whole)[0], overlaps(spark, d, whole).select("mode", "request_id", "mean_top3").distinct()
+def summaries(spark: Spark, d: str) -> DataFrame:
+    """A row for each request in each mode, with 0 candidates where it has no route."""
+    q, top = with_policy(spark, d)[0], overlaps(spark, d).select("mode", "request_id", "mean_top3").distinct()
     s = q.groupBy("mode", "request_id").agg(
         F.count("*").alias("n_routes"), F.count(F.when(F.col("is_pareto"), 1)).alias("n_pareto"), F.min(F.when(F.col("is_alternative"), F.col("stretch"))).alias("best_stretch"), F.max("cong_drop").alias("best_cong_drop"), F.max("perceived_gain").alias("best_perceived_gain"),
         F.count(F.when(F.col("is_near_duplicate"), 1)).alias("n_near_duplicates"), F.bool_or("is_alternative").alias("has_alternative"), F.max(F.when(F.col("route_rank") == 1, F.col("rank"))).alias("selected"), F.count(F.when(F.col("violations") > 0, 1)).alias("n_violations"),
     )
-    return s.join(top, ["mode", "request_id"])
+    asked = requests(spark, d).select("request_id", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
+    out = asked.join(s, ["mode", "request_id"], "left").na.fill(0, ["n_routes", "n_pareto", "n_near_duplicates", "n_violations"]).na.fill(False, ["has_alternative"])
+    return out.withColumn("reason", F.when(F.col("n_routes") == 0, "no_route").otherwise("routes")).join(top, ["mode", "request_id"], "left")
 
 
 @query("R19_request_summary", f"with recursive {SUMMARY} select sm.*, mean_top3 from sm left join tp using (mode, request_id)")
-def request_summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    return summaries(spark, d, whole)
+def request_summaries(spark: Spark, d: str) -> DataFrame:
+    return summaries(spark, d)
 
 
 R19 = f"""with recursive {SUMMARY}, ch as (select request_id, count(distinct selected) > 1 as differs from sm group by 1)
@@ -435,8 +481,8 @@ select mode, count(*) as n_requests, count(*) filter (has_alternative) as n_with
 
 
 @query("R19_mode_summary", R19, whole=True)
-def mode_summaries(spark: Spark, d: str, whole: bool = False) -> DataFrame:
-    s = summaries(spark, d, whole)
+def mode_summaries(spark: Spark, d: str) -> DataFrame:
+    s = summaries(spark, d)
     choice = s.groupBy("request_id").agg((F.count_distinct("selected") > 1).alias("differs"))
     mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
     return s.join(choice, "request_id").groupBy("mode").agg(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,15 +12,14 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
-    """whole: the SQL answers a sample, so the job over everything is entered beside it as
-    name_whole, without SQL."""
+    """whole: the query, which was once a sample of a larger one, also keeps that one's name,
+    name_whole."""
 
     def enter(f: Query) -> Query:
-        QUERIES[name] = f
-        if whole:
-            QUERIES[f"{name}_whole"] = partial(f, whole=True)
-        if sql:
-            ORACLES[name] = sql
+        for n in (name, f"{name}_whole") if whole else (name,):
+            QUERIES[n] = f
+            if sql:
+                ORACLES[n] = sql
         return f
 
     return enter

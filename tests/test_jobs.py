@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from crowdloom.operators import evaluation, impact, journeys, marts, network
+from crowdloom.operators import evaluation, impact, journeys, marts, network, routes
 from pyspark.sql import functions as F
 
 
@@ -58,56 +58,95 @@ def test_average_precision_ties(spark):
     assert none["average_precision"] is None
 
 
-def test_k_paths_against_enumeration(spark):
-    random.seed(3)
-    nodes = list("abcdefg")
-    edges = {(x, y): random.randint(1, 4) for x in nodes for y in nodes if x != y and random.random() < 0.4}
-    table = spark.createDataFrame([(x, y, m) for (x, y), m in edges.items()], "from_node string, to_node string, minutes int")
-    asked = [(1, "a", "g"), (2, "b", "e"), (3, "c", "a")]
-    found = network.k_paths(spark.createDataFrame(asked, "request_id int, origin string, destination string"), table, 3, 30, 1)
-    got = {}
-    for r in found.collect():
-        got.setdefault(r["request_id"], []).append((r["minutes"], ">".join(r["path"])))
-    for q, o, d in asked:
-        best, todo = [], [([o], 0)]
-        while todo:
-            path, cost = todo.pop()
-            if path[-1] == d:
-                best.append((cost, ">".join(path)))
-                continue
-            todo += [([*path, y], cost + m) for (x, y), m in edges.items() if x == path[-1] and y not in path]
-        assert sorted(got.get(q, [])) == sorted(best)[:3]
-
-
-def test_k_paths_without_horizon(spark):
-    line = [(f"s{i:02d}", f"s{i + 1:02d}", 5) for i in range(12)] + [("s03", "x", 30), ("x", "s04", 30), ("s08", "y", 1), ("y", "s09", 7)]
-    both = line + [(b, a, m) for a, b, m in line] + [("one", "way", 3)]
-    table = spark.createDataFrame(both, "from_node string, to_node string, minutes int")
-    asked = [(1, "s00", "s12"), (2, "s04", "s00"), (3, "one", "way"), (4, "way", "one"), (5, "y", "s10")]
-    found = network.k_paths(spark.createDataFrame(asked, "request_id int, origin string, destination string"), table, 3, None, 2)
+def all_routes(edges, o, d):
+    out, todo = [], [([o], 0)]
+    while todo:
+        path, cost = todo.pop()
+        if path[-1] == d:
+            out.append((cost, ">".join(path)))
+            continue
+        todo += [([*path, y], cost + m) for (x, y), m in edges.items() if x == path[-1] and y not in path]
+    return sorted(out)
+
+
+def test_k_routes_against_enumeration(spark):
+    """Networks of all densities, with ties, names that begin others, ends that are not there."""
+    asked, table, want = [], [], {}
+    for net in range(24):
+        random.seed(net)
+        names = list(dict.fromkeys(random.choice(["n", "n x", "n@l", "m"]) + "y" * (i // 3) + random.choice(["", " ", "z"]) for i in range(random.randint(4, 9))))
+        edges = {(x, y): random.randint(1, random.choice([1, 4, 40])) for x in names for y in names if x != y and random.random() < random.choice([0.2, 0.5, 1.0])}
+        table += [(net, x, y, m) for (x, y), m in edges.items()] + [(net, x, y, m + 1) for (x, y), m in list(edges.items())[:2]]
+        there = {n for e in edges for n in e}
+        for q in range(5):
+            o, d = random.choice(names), random.choice([*names, "nowhere"])
+            asked.append((net, q, o, d))
+            want[(net, q)] = all_routes(edges, o, d)[:4] if {o, d} <= there else []
+    frame = spark.createDataFrame(asked, "net int, request_id long, origin string, destination string")
+    steps = spark.createDataFrame(table, "net int, node string, next string, weight long")
+    for k, widths in ((4, (0.5, None)), (1, (None,))):
+        got = {}
+        for r in routes.k_routes(frame, steps, k, widths).collect():
+            got.setdefault((r["net"], r["request_id"]), {})[r["rank"]] = (r["cost"], ">".join(r["path"]))
+        assert {x: [g[i + 1] for i in range(len(g))] for x, g in got.items()} == {x: w[:k] for x, w in want.items() if w}
+    assert {(r["net"], r["request_id"]): (r["cost"], ">".join(r["path"])) for r in routes.least_routes(frame, steps).collect()} == {x: w[0] for x, w in want.items() if w}
+
+
+def test_k_paths_in_a_dense_network_and_past_dead_ends(spark):
+    """Ten nodes all joined have 100,000 loop-free routes between two; a long dead end has to be
+    walked back from; one-way and unconnected requests have one route and none."""
+    nodes = [f"n{i}" for i in range(10)]
+    random.seed(8)
+    edges = {(x, y): random.randint(1, 9) for x in nodes for y in nodes if x != y}
+    tail = [f"s{i:02d}" for i in range(12)]
+    edges |= {e: 5 for a, b in zip(["n0", *tail], tail) for e in ((a, b), (b, a))} | {("one", "way"): 3, ("s03", "x"): 30, ("x", "s04"): 30}
+    table = spark.createDataFrame([(a, b, m) for (a, b), m in edges.items()], "from_node string, to_node string, minutes int")
+    asked = [(1, "n0", "n7"), (2, "s11", "n5"), (3, "one", "way"), (4, "way", "one"), (5, "s02", "s06"), (6, "n4", "n4")]
     got = {}
-    for r in found.collect():
+    for r in routes.k_paths(spark.createDataFrame(asked, "request_id int, origin string, destination string"), table, 5).collect():
         got.setdefault(r["request_id"], []).append((r["minutes"], ">".join(r["path"])))
     for q, o, d in asked:
-        best, todo = [], [([o], 0)]
-        while todo:
-            path, cost = todo.pop()
-            if path[-1] == d:
-                best.append((cost, ">".join(path)))
-                continue
-            todo += [([*path, y], cost + m) for x, y, m in both if x == path[-1] and y not in path]
-        assert sorted(got.get(q, [])) == sorted(best)[:3]
-    assert min(got[1])[0] == 60 and len(got[1]) == 3 and 4 not in got
-
-
-def test_whole_route_queries_ask_every_request(spark):
+        assert sorted(got.get(q, [])) == all_routes(edges, o, d)[:5]
+    assert len(got[5]) == 2 and 4 not in got
+
+
+def test_route_queries_ask_every_request(spark):
     from crowdloom.plans import network as plans
-    from crowdloom.plans.registry import ORACLES, QUERIES
+    from crowdloom.plans.registry import ORACLES
 
     seq = sorted((r["line_id"], r["seq"], r["station_name"]) for r in plans.line_sequence(spark, "/root/testdata/sf0.001").collect())
     want = {a[1] for a, b in zip(seq, seq[3:]) if a[0] == b[0] and a[2] != b[2]}
-    assert {r["request_id"] for r in plans.requests(spark, "/root/testdata/sf0.001", whole=True).collect()} == want and len(want) > 100
-    assert {"R6_k_paths_whole", "R7_station_requests_whole", "R9_path_evaluation_whole", "R17_alternatives_whole"} <= set(QUERIES) - set(ORACLES)
+    assert {r["request_id"] for r in plans.requests(spark, "/root/testdata/sf0.001").collect()} == want and len(want) > 100
+    assert {"R6_k_paths_whole", "R7_station_requests_whole", "R9_path_evaluation_whole", "R17_alternatives_whole", "R19_mode_summary_whole"} <= set(ORACLES)
+
+
+def test_kept_searches_follow_the_data(spark, tmp_path):
+    """A table rewritten under the same path is searched anew; forget deletes what was kept."""
+    from crowdloom.plans import network as plans
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    d = str(tmp_path)
+    part.where("p_brand in ('Brand#11', 'Brand#12')").write.parquet(f"{d}/part.parquet")
+    first = plans.kept(spark, d, "edges", lambda: plans.all_edges(spark, d))
+    n, files = first.count(), first.inputFiles()
+    assert plans.kept(spark, d, "edges", lambda: 1 / 0).inputFiles() == files
+    part.where("p_brand = 'Brand#11'").write.mode("overwrite").parquet(f"{d}/part.parquet")
+    second = plans.kept(spark, d, "edges", lambda: plans.all_edges(spark, d))
+    assert 0 < second.count() < n and second.inputFiles() != files
+    plans.forget(spark)
+    assert not any(plans.exists(spark, f) for f in files + second.inputFiles())
+
+
+def test_temporary_rounds_are_deleted(spark):
+    from crowdloom.sources import scratch
+
+    with scratch.temporary(spark) as keep:
+        gone = scratch.written(spark.range(3))
+        with scratch.temporary(spark) as inner:
+            also, stays = scratch.written(spark.range(4)), inner(spark.range(5))
+        assert not scratch.exists(spark, also.inputFiles()[0]) and stays.count() == 5
+        result = keep(gone.unionByName(stays))
+    assert result.count() == 8 and not any(scratch.exists(spark, df.inputFiles()[0]) for df in (gone, stays))
 
 
 def test_whole_active_events_and_distances(spark):
