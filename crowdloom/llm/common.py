@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a maximal run of characters other than ASCII space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,6 +80,12 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(df: DataFrame) -> StructType:
+    """df's schema with its columns named c0, c1, ...: whatever their names and types hold,
+    also names inside structs that no schema text could spell."""
+    return StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema)])
+
+
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about limit; a longer single item stands alone."""
     start, held = 0, 0

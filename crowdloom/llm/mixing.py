@@ -14,7 +14,8 @@ does is found by radix descent: three small histograms of key digits narrow it t
 gathered whole, so a source with a third of all rows costs no more than its share.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source, the
-last; null ids are kept; rows alike in id, source and text are taken together; a source
+last; null ids are kept; rows alike in id, source and text share a key, and as many of them
+are taken as come nearest to the budget; a source
 without words has target 0; an empty table gives no rows; extra columns of any name are
 carried untouched (a row travels as one struct, all working columns begin with __mix_).
 The document at the budget's edge is taken if that brings the sum nearer to it.
@@ -108,17 +109,38 @@ def draw_limits(sized: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
             .select(*keys, "x.__mix_left", "x.__mix_prefix")
         )
     edge = _with_sources(sized, at, small).where(F.col("__mix_code") == F.col("__mix_prefix"))
-    order = by_source.orderBy("__mix_key", "doc_id")
-    nearer = edge.withColumn("__mix_upto", F.sum("__mix_size").over(order)).where(F.col("__mix_upto") - F.col("__mix_left") <= F.col("__mix_left") - F.col("__mix_upto") + F.col("__mix_size"))
-    last = nearer.groupBy(*keys).agg(F.max(F.struct("__mix_key", "doc_id")).alias("__mix_last"))
+    # Alike rows count as one group; of the group that the budget cuts the nearest number goes.
+    groups = edge.groupBy(*keys, "__mix_left", "__mix_key", "doc_id").agg(F.sum("__mix_size").alias("__mix_words"), F.max("__mix_size").alias("__mix_size"), F.count("*").alias("__mix_tie_rows"))
+    groups = groups.withColumn("__mix_upto", F.sum("__mix_words").over(by_source.orderBy("__mix_key", "doc_id"))).withColumn("__mix_room", F.col("__mix_left") - F.col("__mix_upto") + F.col("__mix_words"))
+    part = F.floor(F.try_divide("__mix_room", "__mix_size") + 0.5)
+    groups = groups.withColumn("__mix_tie_take", F.when(F.col("__mix_upto") <= F.col("__mix_left"), F.col("__mix_tie_rows")).otherwise(F.least(F.greatest(part, F.lit(0)), "__mix_tie_rows")))
+    last = groups.where("__mix_room >= 0 and __mix_tie_take > 0").groupBy(*keys).agg(F.max(F.struct("__mix_key", "doc_id", "__mix_tie_rows", "__mix_tie_take")).alias("x"))
+    last = last.select(*keys, F.struct("x.__mix_key", "x.doc_id").alias("__mix_last"), "x.__mix_tie_rows", "x.__mix_tie_take")
     return targets.join(at.select(*keys, "__mix_prefix"), keys, "left").join(last, keys, "left")
 
 
+def _ordinals(rows: DataFrame) -> DataFrame:
+    """rows with __mix_ordinal from 1 within each source; no task gets more of a source's rows
+    than one task of the written rows has."""
+    keys, part = ["__mix_null", "__mix_source"], "__mix_part"
+    rows = settle(rows.withColumn(part, F.spark_partition_id()), "mix-ties")
+    before = rows.groupBy(*keys, part).count().withColumn("__mix_before", F.coalesce(F.sum("count").over(W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    within = F.row_number().over(W.partitionBy(*keys, part).orderBy(F.lit(0)))
+    return rows.withColumn("__mix_within", within).join(before, [*keys, part]).withColumn("__mix_ordinal", F.col("__mix_before") + F.col("__mix_within")).drop(part, "__mix_within", "__mix_before")
+
+
 def with_takes(keyed: DataFrame, limits: DataFrame, small: bool) -> DataFrame:
-    """Adds __mix_copies (times the mix takes the row whole) and its source's figures."""
+    """Adds __mix_copies (times the mix takes the row whole) and its source's figures. Where a
+    source's last key is of alike rows of which only some go, these are numbered."""
     here = F.struct("__mix_key", "doc_id")
-    drawn = (F.col("__mix_code") < F.col("__mix_prefix")) | ((F.col("__mix_code") == F.col("__mix_prefix")) & F.coalesce(here <= F.col("__mix_last"), F.lit(False)))
-    return _with_sources(keyed, limits, small).withColumn("__mix_copies", F.col("__mix_epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))
+    rows = _with_sources(keyed, limits, small)
+    inside = F.col("__mix_code") == F.col("__mix_prefix")
+    tie = F.coalesce(inside & here.eqNullSafe(F.col("__mix_last")) & (F.col("__mix_tie_take") < F.col("__mix_tie_rows")), F.lit(False))
+    drawn = F.coalesce((F.col("__mix_code") < F.col("__mix_prefix")) | (inside & (here <= F.col("__mix_last"))), F.lit(False))
+    if limits.where("__mix_tie_take < __mix_tie_rows").isEmpty():
+        return rows.withColumn("__mix_copies", F.col("__mix_epochs") + drawn.cast("long"))
+    cut = _ordinals(rows.where(tie)).withColumn("__mix_copies", F.col("__mix_epochs") + (F.col("__mix_ordinal") <= F.col("__mix_tie_take")).cast("long")).drop("__mix_ordinal")
+    return rows.where(~tie).withColumn("__mix_copies", F.col("__mix_epochs") + drawn.cast("long")).unionByName(cut)
 
 
 def plan_mix(keyed: DataFrame, **terms: object) -> tuple[DataFrame, DataFrame, bool]:

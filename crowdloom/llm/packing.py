@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .common import read_documents, settle
 from .tokens import public_path
@@ -100,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 2048, group_s
     half of sequence_id."""
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (capacity * group_sequences)))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
+    schema = StructType(pieces.schema.fields).add("sequence_id", LongType()).add("offset", LongType())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bins = None, None

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, read_documents, slices
+from .common import numbered, mixed, read_documents, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -501,8 +501,7 @@ def redact(docs: DataFrame, field: Field | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(names))])
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, schema).toDF(*names)
+    return plain.mapInArrow(run, numbered(docs)).toDF(*names)
 
 
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

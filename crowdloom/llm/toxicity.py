@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType
 
-from .common import read_documents
+from .common import numbered, read_documents
 
-SCORES = "expected_severity double, p_toxic double, grade int, rejected boolean"
+SCORES = {"expected_severity": DoubleType(), "p_toxic": DoubleType(), "grade": IntegerType(), "rejected": BooleanType()}
 WORDS = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 
@@ -62,7 +63,9 @@ class OrdinalModel:
 def fit(spark_docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, min_rows_with_word: int = 5, max_words: int = 2_000, steps: int = 600) -> OrdinalModel:
     """Fits on at most max_rows labelled documents, all that the driver ever holds."""
     some = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    rows = spark_docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(_word_lists, "toxic int, words array<string>").limit(max_rows).toArrow()
+    # Of rows that repeat an id one text counts, the same in every run, so no more than max_rows come.
+    one = spark_docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select("doc_id", "toxic", "text").mapInArrow(_word_lists, "doc_id long, toxic int, words array<string>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic = np.array(rows.column("toxic").to_pylist(), bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
@@ -73,7 +76,7 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             b = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array([sorted(words(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
 
 def fit_words(texts: Iterable[set[str]], toxic: np.ndarray, min_rows_with_word: int = 5, max_words: int = 2_000, steps: int = 600) -> OrdinalModel:
@@ -133,7 +136,9 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     reaches the threshold."""
     names = docs.columns
     text = names.index("text")
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", " + SCORES
+    schema = numbered(docs)
+    for name, kind in SCORES.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

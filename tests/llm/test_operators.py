@@ -90,6 +90,80 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_takes_part_of_alike_rows(spark):
+    """A hundred equal rows in each of four sources: as near the target as one row allows."""
+    docs = spark.createDataFrame([(7, "one two three four five", s) for s in "abcd" for _ in range(100)], "doc_id long, text string, source string").repartition(5)
+    sized, limits, small = mixing.plan_mix(mixing.with_keys(docs))
+    got = mixing.with_takes(sized, limits, small).collect()
+    took, target = collections.Counter(), {}
+    for r in got:
+        took[r["source"]] += r["__mix_size"] * r["__mix_copies"]
+        target[r["source"]] = r["__mix_target"]
+        assert r["__mix_copies"] <= 2
+    assert len(got) == 400 and sum(target.values()) == 3000 and all(abs(took[s] - target[s]) <= 2.5 for s in "abcd")
+    assert collections.Counter(r["source"] for r in mixing.mix(docs).collect()) == {s: n // 5 for s, n in took.items()}
+
+
+def test_columns_that_no_schema_text_can_spell(spark):
+    """A struct column with a name such as my-key is carried by every stage."""
+    docs = spark.createDataFrame([(k, f"write to me{k}@example.org or not at all", "en", "s", 9, (k,)) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long, `odd one` struct<`my-key`:int>")
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
+    passed = toxicity.reject_toxic(docs, labels)
+    redacted = private.redact(passed, None)
+    assert redacted.columns == docs.columns and sorted((r["odd one"]["my-key"], r["text"]) for r in redacted.collect()) == [(k, "write to [EMAIL] or not at all") for k in range(4)]
+    pieces = redacted.select("doc_id", F.lit(0).alias("piece"), F.lit(5).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"), "odd one")
+    assert {r["odd one"]["my-key"] for r in packing.pack(pieces).collect()} == {0, 1, 2, 3}
+
+
+def plain_loss(x, grade, weights, thresholds, ridge):
+    """Of the cumulative-link model, row by row."""
+    s = lambda z: 1 / (1 + np.exp(-z))
+    total = 0.0
+    for row, g in zip(x, grade, strict=True):
+        score = row @ weights
+        p = (s(thresholds[g] - score) if g < len(thresholds) else 1.0) - (s(thresholds[g - 1] - score) if g > 0 else 0.0)
+        total -= np.log(max(p, 1e-12))
+    return total / len(x) + ridge * (weights**2).sum()
+
+
+def test_severity_is_the_minimum_of_the_plain_likelihood():
+    """_descend ends where no small step of any weight or threshold lowers a loss written out."""
+    rng = np.random.default_rng(7)
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    grade = np.digitize(x @ [2, 1.5, 1, 0, 0, -1] + rng.logistic(size=300), [1, 2.2, 3.5])
+    row, col = np.nonzero(x)
+    weights, thresholds = toxicity._descend(row, col, grade, 6, 3000, ridge=1e-3, rate=0.02)
+    best = plain_loss(x, grade, weights, thresholds, 1e-3)
+    for k in range(6):
+        for step in (-0.02, 0.02):
+            assert plain_loss(x, grade, weights + step * (np.arange(6) == k), thresholds, 1e-3) > best - 1e-7
+    for k in range(3):
+        for step in (-0.02, 0.02):
+            assert plain_loss(x, grade, weights, thresholds + step * (np.arange(3) == k), 1e-3) > best - 1e-7
+    assert weights[0] > weights[1] > weights[2] > 0 > weights[5]
+
+
+def test_scores_follow_from_the_model(spark):
+    """Registered columns by hand: P(grade > k) from the summed weights, their sum, the grade."""
+    model = toxicity.OrdinalModel({"bad": 0, "worse": 1, "bad-": 2}, np.array([1.5, 2.0, 0.5]), np.array([1.0, 2.5, 4.0]))
+    texts = [None, "", "Bad day", "worse, BAD; worse", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in toxicity.score(docs, model).collect():
+        have = set(re.findall(r"\w+", (texts[r["c0"]] or "").lower()))
+        score = (1.5 + 0.5) * ("bad" in have) + 2.0 * ("worse" in have)  # a short word is its own beginning
+        exceed = [1 / (1 + np.exp(t - score)) for t in (1.0, 2.5, 4.0)]
+        assert abs(r["expected_severity"] - sum(exceed)) < 1e-12 and abs(r["p_toxic"] - exceed[0]) < 1e-12
+        assert r["grade"] == sum(e >= 0.5 for e in exceed) and r["rejected"] == (exceed[0] >= 0.5)
+
+
+def test_the_toxic_sample_is_the_same_whatever_repeats(spark):
+    rows = [(k, f"word{k % 7} " + ("grumbok snarv" if k % 4 == 0 else "plain talk")) for k in range(60)]
+    again = rows + [(k, t + " again") for k, t in rows[:20]]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)] * 2, "doc_id long, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, min_rows_with_word=2) for x, n in ((again, 3), (again[::-1], 5)))
+    assert a.vocabulary == b.vocabulary and len(a.vocabulary) > 0 and (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
 def test_mixing_draws_by_quality(spark):
     text = F.when(F.col("id") % 2 == 0, F.lit("plain words of a usual kind")).otherwise(F.lit("a# b$ 1% 22 | ++ 9"))
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a").alias("source"))
@@ -225,6 +299,13 @@ def test_media_recall(spark, docs, rows, empty):
     found = sum(got[a] == got[b] for a, b in true)
     assert found >= 0.9 * len(true), found
     assert len(set(got.values())) >= 60  # no two tunes joined
+    # Cut at any sample, so that no frames need fall together: by a quarter hop, by half a hop
+    # (the worst), by three quarters, and anywhere.
+    for shift in (16, 32, 48, None):
+        cuts = [64 * 20 + (shift if shift is not None else int(rng.integers(0, 64))) for _ in range(40)]
+        table = [t.tobytes() for t in tunes[:40]] + [t[c:].tobytes() for t, c in zip(tunes, cuts, strict=False)]
+        got = {r["doc_id"]: r["class_id"] for r in media.align(spark.createDataFrame([(u, u, bytearray(m)) for u, m in enumerate(table)], "uid long, doc_id long, media binary")).collect()}
+        assert sum(got[k] == got[40 + k] for k in range(40)) >= 37, shift
     out = media.align(media.texts_as_media(docs)).collect()
     assert len(out) == len(rows) and media.align(media.texts_as_media(empty)).count() == 0
 
