@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import written
+
 
 def group_mean(train: DataFrame, keys: list[str], target: str, name: str) -> DataFrame:
     return train.groupBy(*keys).agg(F.avg(target).alias(name))
@@ -62,3 +64,31 @@ def average_precision(rows: DataFrame, score: str, hit: str, buckets: int = 64)
     curve = placed.join(F.broadcast(offsets), "range").withColumn("tp", F.col("o_pos") + F.sum("pos").over(order)).withColumn("said", F.col("o_n") + F.sum("n").over(order))
     precision, gained = F.col("tp") / F.col("said"), F.try_divide("pos", "all_pos")
     return curve.agg(F.sum(gained * precision).alias("average_precision"), F.max(F.when(precision >= 0.5, F.try_divide("tp", "all_pos"))).alias("recall_at_half"))
+
+
+def trained_sets(rows: DataFrame, sets: dict[str, list[str]], texts: tuple[str, ...] | list[str] = (), trees: int = 5, depth: int = 3, seed: int = 7) -> DataFrame:
+    """Boosted trees for each named set of features: a row for each set and feature with its
+    importance and rank, and the set's errors and precision-recall figures on validation rows.
+    rows: split (train, valid), the features, label, high (whether the label counts as high).
+    Texts are indexed and all features put into one vector once; a set is a slice of it."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorSlicer
+    from pyspark.ml.regression import GBTRegressor
+
+    every = list(dict.fromkeys(f for features in sets.values() for f in features))
+    indexed = [f"{f}__ix" if f in texts else f for f in every]
+    stages = [StringIndexer(inputCol=f, outputCol=f"{f}__ix", handleInvalid="keep", stringOrderType="alphabetAsc") for f in every if f in texts]
+    prepared = Pipeline(stages=[*stages, VectorAssembler(inputCols=indexed, outputCol="__all")]).fit(rows.where("split = 'train'")).transform(rows)
+    prepared = written(prepared.select("split", "label", "high", "__all"))
+    train, valid = prepared.where("split = 'train'"), prepared.where("split = 'valid'")
+    out = None
+    for name, features in sets.items():
+        slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=[every.index(f) for f in features])
+        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed).fit(slicer.transform(train))
+        said = model.transform(slicer.transform(valid)).select("label", "high", "prediction")
+        figures = said.agg(*metrics(F.col("label"), F.col("prediction"))).join(F.broadcast(average_precision(said, "prediction", "high")), F.lit(True))
+        order = sorted(zip(features, (float(x) for x in model.featureImportances.toArray()), strict=True), key=lambda p: (-p[1], p[0]))
+        ranks = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(x).alias("importance"), F.lit(k).alias("importance_rank")) for k, (f, x) in enumerate(order, 1)])
+        one = figures.select(F.lit(name).alias("features"), F.explode(ranks).alias("r"), "mae", "rmse", "r2", "average_precision", "recall_at_half").select("features", "r.*", "mae", "rmse", "r2", "average_precision", "recall_at_half")
+        out = one if out is None else out.unionByName(one)
+    return out

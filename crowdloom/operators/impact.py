@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import strength
-from .network import small
+from ..sources.scratch import written
 
 
 def event_days(events: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -102,15 +102,29 @@ def calendar_problems(events: DataFrame, other: DataFrame) -> DataFrame:
     return wrong.unionByName(events.join(days, "start_date").select(F.lit("same day").alias("problem"), "event_id", "start_date", "others"))
 
 
-def controls(scale: DataFrame, treated: DataFrame, most: int = 5, gap: int = 3) -> DataFrame:
+def controls(scale: DataFrame, treated: DataFrame, most: int = 5, gap: int = 3, buckets: int = 64) -> DataFrame:
     """The units nearest in log scale to each treated one, not treated themselves and not
-    within `gap` codes on the same line. Both are dimensions of stations, whatever the facts;
-    treated is broadcast where its count is small."""
-    pool = scale.join(treated.select("station_code"), "station_code", "left_anti").select(F.col("station_code").alias("control"), F.col("line_id").alias("c_line"), F.col("scale").alias("c_scale"))
-    t = scale.join(treated, "station_code", "left_semi")
+    within `gap` codes on the same line. All units stand in one order of scale, numbered by
+    ranges; a treated one looks only at the places next to its own: on either side as many as
+    its line can exclude and `most` more, below twice as many, since there the least codes of
+    a scale come last. scale: line_id, station_code, scale; codes are whole
+    numbers, once on a line. Of one scale the least codes go first."""
+    reach = most + 2 * gap + 1
+    marked = scale.where("scale is not null").join(treated.select("station_code").distinct().withColumn("is_treated", F.lit(True)), "station_code", "left").withColumn("is_treated", F.coalesce("is_treated", F.lit(False))).withColumn("x", F.log1p("scale"))
+    # Of the controls of one scale only the first can be among anybody's nearest.
+    pool = marked.where("not is_treated").withColumn("n", F.row_number().over(W.partitionBy("x").orderBy("station_code", "line_id"))).where(F.col("n") <= reach).drop("n")
+    both = written(pool.unionByName(marked.where("is_treated")))
+    cuts = both.agg(F.percentile_approx("x", [k / buckets for k in range(1, buckets)]).alias("cuts"))
+    placed = both.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    per = placed.groupBy("range").agg(F.count(F.when(~F.col("is_treated"), 1)).alias("n"))
+    before = per.select("range", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    order = W.partitionBy("range").orderBy("x", F.desc("is_treated"), "station_code", "line_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = written(placed.join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.coalesce(F.sum((~F.col("is_treated")).cast("long")).over(order), F.lit(0))))
+    t = numbered.where("is_treated").select("line_id", "station_code", "x", F.explode(F.sequence(F.col("place") - 2 * reach + 1, F.col("place") + reach)).alias("place"))
+    c = numbered.where("not is_treated").select("place", F.col("station_code").alias("control"), F.col("line_id").alias("c_line"), F.col("x").alias("c_x"))
     far = ~((F.col("line_id") == F.col("c_line")) & (F.abs(F.col("station_code") - F.col("control")) <= gap))
-    d = F.round(F.abs(F.log1p("scale") - F.log1p("c_scale")), 12)
-    ranked = pool.join(small(t), far).withColumn("distance", d).withColumn("rank", F.row_number().over(W.partitionBy("station_code").orderBy("distance", "control")))
+    near = t.join(c, "place").where(far).withColumn("distance", F.round(F.abs(F.col("x") - F.col("c_x")), 12))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("station_code").orderBy("distance", "control")))
     return ranked.where(F.col("rank") <= most).select("station_code", "control", "rank", "distance")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import perceived_multiplier
+from .network import small
+from .quantiles import exact_quantiles
 
 
 def melt(wide: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
@@ -79,11 +81,11 @@ def split_by_date(date: Column, train_to: str, valid_to: str) -> Column:
 
 def with_group_quantile(rows: DataFrame, train: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
     """rows with the training quantile of their group, or of the whole table where the
-    group has none."""
+    group has none. The whole table's is found by passes of counts, so no task holds it."""
     known = train.where(F.col(value).isNotNull())
     per_group = known.groupBy(*group).agg(F.percentile(value, q).alias("p_group"))
-    overall = known.agg(F.percentile(value, q).alias("p_all"))
-    return rows.join(per_group, group, "left").join(F.broadcast(overall)).withColumn(name, F.coalesce("p_group", "p_all")).drop("p_group", "p_all")
+    overall = exact_quantiles(known, [], value, {"p_all": q})
+    return rows.join(per_group, group, "left").join(F.broadcast(overall), F.lit(True), "left").withColumn(name, F.coalesce("p_group", "p_all")).drop("p_group", "p_all")
 
 
 def cell_mart(cells: DataFrame, group: list[str], rate: str = "congestion_rate", q: float = 0.95, extreme: float = 100.0) -> DataFrame:
@@ -98,6 +100,13 @@ def cell_mart(cells: DataFrame, group: list[str], rate: str = "congestion_rate",
     )
 
 
+def imputed(cells: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """cells with value or, where there is none, its group's median, else that of all."""
+    groups = exact_quantiles(cells, group, value, {"gm": 0.5})
+    overall = exact_quantiles(cells, [], value, {"am": 0.5})
+    return cells.join(small(groups), group, "left").join(F.broadcast(overall), F.lit(True), "left").withColumn(name, F.coalesce(value, "gm", "am")).drop("gm", "am")
+
+
 def profile(cells: DataFrame, keys: list[str], bin_col: str, rate: str, am: list[int], pm: list[int], crowded: float = 80.0) -> DataFrame:
     """Group statistics and the peak bin (the bin of the highest mean, the earlier on a tie).
     The bin means are a small pre-aggregate with the same partitioning."""

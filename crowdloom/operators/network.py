@@ -144,6 +144,44 @@ def reached(roots: DataFrame, edges: DataFrame, squarings: int = 3) -> DataFrame
     return known
 
 
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, strong_component): the least node that is reached and reaches back. Nodes joined
+    by edges both ways are merged first, by labels that jump, so that long two-way lines take
+    few rounds. Then, over all that is left at once: nodes without a way in or out are alone
+    (trimming); every other gets the least label that reaches it, and of the nodes of a label
+    those that reach its node are its component (forward and backward); these leave."""
+    pairs = edges.select("from_node", "to_node").where("from_node <> to_node").distinct()
+    mutual = pairs.join(pairs.toDF("to_node", "from_node"), ["from_node", "to_node"], "left_semi")
+    merged = written(reachable(nodes, mutual).withColumnRenamed("component", "own"))
+    a, b = merged.toDF("from_node", "a"), merged.toDF("to_node", "b")
+    live = written(pairs.join(a, "from_node").join(b, "to_node").where("a <> b").select("a", "b").distinct())
+    # What no merged edge touches is a component as it is.
+    left = written(live.select(F.explode(F.array("a", "b")).alias("own")).distinct())
+    done = merged.select("own").distinct().join(left, "own", "left_anti").select("own", F.col("own").alias("strong"))
+    while not left.isEmpty():
+        alone = left.join(live.select(F.col("a").alias("own")), "own", "left_anti").union(left.join(live.select(F.col("b").alias("own")), "own", "left_anti")).distinct()
+        found = written(alone.select("own", F.col("own").alias("strong")))
+        if found.isEmpty():
+            label = written(left.select("own", F.col("own").alias("label")))
+            while True:
+                near = label.join(live, label["own"] == live["a"]).groupBy(F.col("b").alias("own")).agg(F.min("label").alias("near"))
+                new = written(label.join(near, "own", "left").select("own", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+                label = new.select("own", "label")
+                if new.where("label <> was").isEmpty():
+                    break
+            inside = live.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la = lb").select(F.col("b").alias("to_node"), F.col("a").alias("from_node"))
+            home = written(inside)
+            roots = label.where("own = label").select(F.col("own").alias("node"))
+            back = reached(roots, home.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node")), 0)
+            found = written(label.join(back.withColumnRenamed("node", "own"), "own", "left_semi").select("own", F.col("label").alias("strong")))
+        done = done.unionByName(found)
+        left = written(left.join(found, "own", "left_anti"))
+        live = written(live.join(left.toDF("a"), "a", "left_semi").join(left.toDF("b"), "b", "left_semi"))
+    parts = merged.join(done, "own")
+    least = parts.groupBy("strong").agg(F.min("node").alias("strong_component"))
+    return parts.join(least, "strong").select("node", "strong_component")
+
+
 def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
     """distances with one least path each: its nodes, stops and transfers (neighbours of one
     station name). Of equal minutes the path of the least text counts, so results repeat."""

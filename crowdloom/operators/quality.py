@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.scalars import node_id, node_line
 
 Rule = tuple[str, str, object]  # column, check, argument
 
@@ -79,3 +82,47 @@ def coverage(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     w = wanted.select(*keys).distinct()
     seen = found.select(*keys).distinct().withColumn("seen", F.lit(1))
     return w.join(seen, keys, "left").agg(F.count("*").alias("n"), F.count(F.when(F.col("seen").isNull(), 1)).alias("missing"))
+
+
+def wanted_branch_nodes(sequence: DataFrame, breaks: DataFrame, branch: Column) -> DataFrame:
+    """The nodes that branches leave the main line from, by the rules alone: where a station of
+    a branch comes after one of the main line. Columns as for ride_edges."""
+    rows = sequence.withColumn("branch", branch).withColumn("before", F.lag("station_name").over(W.partitionBy("line_id").orderBy("pos")))
+    rows = rows.join(breaks, ["line_id", "station_name"], "left").withColumn("before", F.coalesce("prev", "before")).where("branch <> 'main' and before <> station_name")
+    main = sequence.withColumn("branch", branch).where("branch = 'main'").select("line_id", F.col("station_name").alias("before"))
+    return rows.join(main, ["line_id", "before"]).select(node_id(F.col("line_id"), F.col("before"), F.col("branch")).alias("node")).distinct()
+
+
+def open_loops(loops: DataFrame, edges: DataFrame) -> DataFrame:
+    """Loops (line_id, entry, last, exit) whose end is not one way: no edge from the last
+    station to the loop's own node, or one back."""
+    rules = loops.where("entry is not null and last is not null").select("line_id", node_id(F.col("line_id"), F.col("entry"), F.lit("loop")).alias("end"), node_id(F.col("line_id"), F.col("last")).alias("last"))
+    to = edges.select(F.col("from_node").alias("last"), F.col("to_node").alias("end")).distinct().withColumn("there", F.lit(True))
+    back = edges.select(F.col("from_node").alias("end"), F.col("to_node").alias("last")).distinct().withColumn("back", F.lit(True))
+    return rules.join(to, ["end", "last"], "left").join(back, ["end", "last"], "left").where("there is null or back").select("line_id")
+
+
+def graph_checks(sequence: DataFrame, breaks: DataFrame, branch: Column, edges: DataFrame, walks: DataFrame, scope: Column, meet: int = 3) -> DataFrame:
+    """check, failures of a network against the rules that it was to be made by. phantom_edges:
+    steps from a line's first station to one neither next to it nor broken to it;
+    required_transfers: stations among the first `meet` of several lines without a transfer;
+    out_of_scope_nodes: nodes for whose line `scope` does not hold; asymmetric_times: two-way
+    edges whose way back is missing or takes another time; branch_nodes: wanted_branch_nodes
+    that no edge has."""
+    count = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
+    first = sequence.where("pos = 1").select("line_id", F.col("station_name").alias("from_station"))
+    broken = breaks.select("line_id", F.col("station_name").alias("to_station"))
+    phantom = edges.join(first, ["line_id", "from_station"], "left_semi").where("abs(from_pos - to_pos) > 1").join(broken, ["line_id", "to_station"], "left_anti")
+    need = sequence.where(F.col("pos") <= meet).select("station_name", "line_id")
+    several = need.groupBy("station_name").count().where("count > 1")
+    has = walks.select("station_name", node_line(F.col("from_node")).alias("line_id"))
+    lost = need.join(several, "station_name", "left_semi").join(has, ["station_name", "line_id"], "left_anti")
+    nodes = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    outside = nodes.withColumn("line_id", node_line(F.col("node"))).where(~scope)
+    back = edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("minutes").alias("back"))
+    uneven = edges.where("is_bidirectional = 1").join(back, ["from_node", "to_node"], "left").where("back is null or back <> minutes")
+    missing = wanted_branch_nodes(sequence, breaks, branch).join(nodes, "node", "left_anti")
+    out = count(phantom, "phantom_edges")
+    for df, name in ((lost, "required_transfers"), (outside, "out_of_scope_nodes"), (uneven, "asymmetric_times"), (missing, "branch_nodes")):
+        out = out.unionByName(count(df, name))
+    return out

@@ -10,7 +10,7 @@ from ..operators import quality as Q
 from ..sources.scratch import written
 from .impact import SPIKE, spike
 from .marts import SPLIT, WIDE, split_cells, wide
-from .network import LINES, TRANSFERS, raw_rides, transfers
+from .network import BRANCH, LINES, TRANSFERS, breaks, line_sequence, loops, raw_rides, transfers
 from .registry import query
 from .views import CONG, RIDES, congestion, events, rides, table
 
@@ -158,12 +158,10 @@ def cross_checks(spark: Spark, d: str) -> DataFrame:
     edges = t["route_edge"]
     nodes = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
     names = table(spark, d, "part").where("p_size = 1").select(F.col("p_name").alias("station_name"))
-    branches = edges.where("from_node like '%@b' or to_node like '%@b'").select(F.when(F.contains("from_node", F.lit("@b")), F.col("from_node")).otherwise(F.col("to_node")).alias("node"))
-    ends = nodes.where("node like '%@loop'").select(F.col("node").alias("e"))
-    arrive = edges.join(ends, F.col("to_node") == F.col("e"), "left_semi").select(F.col("to_node").alias("e"), F.col("from_node").alias("l"))
-    leave = edges.join(ends, F.col("from_node") == F.col("e"), "left_semi").select(F.col("from_node").alias("e"), F.col("to_node").alias("l"))
+    lines = line_sequence(spark, d)
+    branches = Q.wanted_branch_nodes(lines, breaks(lines), BRANCH)
     count = lambda df: df.agg(F.count("*").alias("n"))
-    closed = count(arrive.join(leave, ["e", "l"], "left_semi").unionByName(ends.join(arrive, "e", "left_anti").withColumn("l", F.lit(None).cast("string"))))
+    closed = count(Q.open_loops(loops(lines), edges))
     n, missing = F.col("n"), F.col("missing")
     high = cells.where("is_operating = 1").agg((~F.avg("label_high").between(0.04, 0.07)).cast("long").alias("n"))
     return Q.verdicts([

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evaluation as V
 from ..operators import marts
+from ..operators.quantiles import exact_quantiles
+from ..sources.scratch import written
 from .marts import SPLIT, split_cells
 from .registry import query
 from .views import CONG
@@ -103,25 +105,12 @@ def _(spark: Spark, d: str) -> DataFrame:
 
 
 def _trained(spark: Spark, d: str, sets: dict[str, list[str]]) -> DataFrame:
-    """Boosted trees for each feature set, with their validation errors and importances."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+    """High: over the training labels' 95th percentile."""
     cells = split_cells(spark, d).where("congestion_rate is not null")
-    rows = cells.groupBy("split", "snapshot_date", "line_id", *LEVELS["l2"]).agg(F.avg("congestion_rate").alias("label")).withColumn("quarter", F.quarter("snapshot_date"))
-    train, valid = rows.where("split = 'train'"), rows.where("split = 'valid'")
-    out = None
-    for name, features in sets.items():
-        texts = [c for c in features if c in ("direction", "day_type")]
-        stages = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc") for c in texts]
-        used = [f"{c}_ix" if c in texts else c for c in features]
-        model = Pipeline(stages=[*stages, VectorAssembler(inputCols=used, outputCol="features"), GBTRegressor(maxIter=5, maxDepth=3, seed=7)]).fit(train)
-        weights = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-        top = max(zip(weights, used, strict=True))[1]
-        one = model.transform(valid).agg(*V.metrics(F.col("label"), F.col("prediction"))).select(F.lit(name).alias("features"), F.lit(top).alias("most_important"), "mae", "rmse", "r2")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = written(cells.groupBy("split", "snapshot_date", "line_id", *LEVELS["l2"]).agg(F.avg("congestion_rate").alias("label")).withColumn("quarter", F.quarter("snapshot_date")))
+    high = exact_quantiles(rows.where("split = 'train'"), [], "label", {"high_from": 0.95})
+    marked = rows.join(F.broadcast(high), F.lit(True)).withColumn("high", F.col("label") > F.col("high_from"))
+    return V.trained_sets(marked, sets, ["direction", "day_type"])
 
 
 @query("M8_boosted_trees")

@@ -10,10 +10,11 @@ from ..functions import scalars as S
 from ..operators import marts
 from ..operators import journeys as J
 from ..operators import network as N
+from ..operators import quality as Q
 from ..operators import routes as R
 from ..sources import files
 from .marts import D8, edge_lookup
-from .network import ALL, NAMES, PATHS, SEG, STEPS, all_edges, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
+from .network import ALL, BRANCH, NAMES, PATHS, SEG, STEPS, all_edges, breaks, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
 from ..sources.scratch import temporary, written
 from .registry import query
 from .views import sequence, stations, table
@@ -198,25 +199,9 @@ union all select 'branch_nodes', (select count(*) from (select distinct line_id
 
 @query("Q4_graph_structure", Q4)
 def graph_structure(spark: Spark, d: str) -> DataFrame:
-    """Phantom edges, transfers that must be there, nodes out of scope, times that differ
-    between the two ways, and branch nodes that are missing."""
+    """The network's edges and transfers against the sequences and rules."""
     s, r = line_sequence(spark, d), written(raw_rides(spark, d))
-    count = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
-    broken = s.where("size = 13").select("line_id", F.col("station_name").alias("to_station"))
-    first = s.where("pos = 1").select("line_id", F.col("station_name").alias("from_station"))
-    phantom = r.join(first, ["line_id", "from_station"], "left_semi").where("abs(from_pos - to_pos) > 1").join(broken, ["line_id", "to_station"], "left_anti")
-    need = s.where("pos <= 3").select("station_name", "line_id")
-    several = need.groupBy("station_name").count().where("count > 1")
-    has = transfers(spark, d, r).select("station_name", S.node_line(F.col("from_node")).alias("line_id"))
-    lost = need.join(several, "station_name", "left_semi").join(has, ["station_name", "line_id"], "left_anti")
-    nodes = r.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    back = r.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("minutes").alias("back"))
-    uneven = r.where("is_bidirectional = 1").join(back, ["from_node", "to_node"], "left").where("back is null or back <> minutes")
-    wanted = r.where("branch <> 'main' and from_node like '%@b'").select(F.col("from_node").alias("node")).distinct().join(nodes, "node", "left_anti")
-    out = count(phantom, "phantom_edges")
-    for df, name in ((lost, "required_transfers"), (nodes.where("node like 'Brand#7%'"), "out_of_scope_nodes"), (uneven, "asymmetric_times"), (wanted, "branch_nodes")):
-        out = out.unionByName(count(df, name))
-    return out
+    return Q.graph_checks(s, breaks(s), BRANCH, r, transfers(spark, d, r), ~F.col("line_id").startswith("Brand#7"))
 
 
 R7 = f"""with recursive {ALL}, nodes as (select distinct from_station as station_name, from_node as node from ride), asked as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by pos) as d from ls) where d is not null and d <> station_name),

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import marts
+from ..operators.quantiles import exact_quantiles
 from ..sources import files
 from .registry import query
 from .views import CONG, RIDES, congestion, rides, stations, table
@@ -217,7 +218,8 @@ def _(spark: Spark, d: str) -> DataFrame:
 
 @query("D6_exact_quantiles", f"with {CONG} select line_id, direction, median(congestion_rate) as med, round(quantile_cont(congestion_rate, 0.9), 9) as p90, round(quantile_cont(congestion_rate, 0.95), 9) as p95 from cong group by 1, 2")
 def _(spark: Spark, d: str) -> DataFrame:
-    return congestion(spark, d).groupBy("line_id", "direction").agg(F.median("congestion_rate").alias("med"), F.round(F.percentile("congestion_rate", 0.9), 9).alias("p90"), F.round(F.percentile("congestion_rate", 0.95), 9).alias("p95"))
+    out = exact_quantiles(congestion(spark, d), ["line_id", "direction"], "congestion_rate", {"med": 0.5, "p90": 0.9, "p95": 0.95})
+    return out.withColumn("p90", F.round("p90", 9)).withColumn("p95", F.round("p95", 9))
 
 
 K = "line_id, station_code, direction, day_type"
@@ -308,10 +310,7 @@ select line_id, direction, snapshot_date, round(sum(coalesce(congestion_rate, gm
 
 @query("E4_median_imputation", E4)
 def _(spark: Spark, d: str) -> DataFrame:
-    c = congestion(spark, d)
-    groups = c.groupBy("line_id", "direction").agg(F.median("congestion_rate").alias("gm"))
-    overall = c.agg(F.median("congestion_rate").alias("am"))
-    filled = c.join(F.broadcast(groups), ["line_id", "direction"]).join(F.broadcast(overall)).withColumn("x", F.coalesce("congestion_rate", "gm", "am"))
+    filled = marts.imputed(congestion(spark, d), ["line_id", "direction"], "congestion_rate", "x")
     return filled.groupBy("line_id", "direction", "snapshot_date").agg(F.round(F.sum("x"), 6).alias("filled"), F.count("*").alias("n"))
 
 

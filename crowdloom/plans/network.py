@@ -58,13 +58,23 @@ ride as (select *, cast(round(minutes * (1000 + 5 * greatest(cong - 80, 0.0))) a
 edge as materialized (select from_node, to_node, 'ride' as kind, line_id, minutes, cost_m, event_m, cong, direction, branch from ride union all select from_node, to_node, 'transfer', null, minutes, cast(round(penalty * 1000) as integer), 0, null, null, null from tr)"""
 
 
-def raw_rides(spark: Spark, d: str) -> DataFrame:
-    s = line_sequence(spark, d)
+BRANCH = F.when(F.col("size") % 10 == 9, "b").otherwise("main")
+
+
+def breaks(s: DataFrame) -> DataFrame:
+    """Stations that follow the line's first one instead of the one before them."""
     first = s.where("pos = 1").select("line_id", F.col("station_name").alias("prev"))
-    breaks = s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
-    edges = N.ride_edges(s, breaks, F.when(F.col("size") % 10 == 9, "b").otherwise("main"), F.col("size") == 17)
+    return s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
+
+
+def loops(s: DataFrame) -> DataFrame:
     at = lambda k, name: F.max(F.when(F.col("pos") == k, F.col("station_name"))).alias(name)
-    return N.split_loop_end(edges, s.where(F.col("line_id").isin(*LOOPS)).groupBy("line_id").agg(at(5, "entry"), at(6, "last"), at(4, "exit")))
+    return s.where(F.col("line_id").isin(*LOOPS)).groupBy("line_id").agg(at(5, "entry"), at(6, "last"), at(4, "exit"))
+
+
+def raw_rides(spark: Spark, d: str) -> DataFrame:
+    s = line_sequence(spark, d)
+    return N.split_loop_end(N.ride_edges(s, breaks(s), BRANCH, F.col("size") == 17), loops(s))
 
 
 def directed(spark: Spark, d: str) -> DataFrame:
@@ -100,9 +110,7 @@ def all_edges(spark: Spark, d: str) -> DataFrame:
 def consecutive(spark: Spark, d: str) -> DataFrame:
     """Steps of the sequences with breaks, before loops are split."""
     s = line_sequence(spark, d)
-    first = s.where("pos = 1").select("line_id", F.col("station_name").alias("prev"))
-    breaks = s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
-    return N.ride_edges(s, breaks, F.when(F.col("size") % 10 == 9, "b").otherwise("main"), F.col("size") == 17).select("line_id", "from_station", "to_station", "minutes", "is_bidirectional")
+    return N.ride_edges(s, breaks(s), BRANCH, F.col("size") == 17).select("line_id", "from_station", "to_station", "minutes", "is_bidirectional")
 
 
 @query("R1_ride_edges", f"with {LINES} select from_node, to_node, line_id, minutes, branch, is_bidirectional from ride0")
@@ -123,19 +131,20 @@ def directions(spark: Spark, d: str) -> DataFrame:
 R4 = f"""with recursive {ALL}, nodes as (select from_node as node from ride union select to_node from ride),
 fw as (select node as source, node from nodes where node in (select min(node) from nodes group by split_part(node, '_', 1)) union select fw.source, ride.to_node from fw join ride on ride.from_node = fw.node),
 bw as (select node as source, node from nodes where node in (select min(node) from nodes group by split_part(node, '_', 1)) union select bw.source, ride.from_node from bw join ride on ride.to_node = bw.node),
+pr as (select node as a, node as b from nodes union select pr.a, ride.to_node from pr join ride on ride.from_node = pr.b), sc as (select x.a as node, min(x.b) as strong_component from pr x join pr y on y.a = x.b and y.b = x.a group by 1),
 wk as (select node, node as seen from nodes union select wk.node, e.b from wk join (select from_node as a, to_node as b from ride union select to_node, from_node from ride) e on e.a = wk.seen)
-select n.node, c.component, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, fw.node is not null as is_reached, bw.node is not null as reaches_root from nodes n join (select node, min(seen) as component from wk group by 1) c using (node)
+select n.node, c.component, sc.strong_component, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, fw.node is not null as is_reached, bw.node is not null as reaches_root from nodes n join sc using (node) join (select node, min(seen) as component from wk group by 1) c using (node)
  left join (select from_node as node, count(*) as n from ride group by 1) o using (node) left join (select to_node as node, count(*) as n from ride group by 1) i using (node) left join fw using (node) left join bw using (node)"""
 
 
 @query("R4_connectivity", R4)
 def connectivity(spark: Spark, d: str) -> DataFrame:
-    """Components, degrees, and what each line's least node reaches or is reached from
-    (both: strongly connected with it; neither way: isolated)."""
+    """Components, strongly connected ones, degrees, and what each line's least node reaches or
+    is reached from (neither way: isolated)."""
     r = written(raw_rides(spark, d))
     nodes = written(r.select(F.col("from_node").alias("node")).union(r.select("to_node")).distinct())
     roots = nodes.groupBy(S.node_line(F.col("node"))).agg(F.min("node").alias("node")).select("node")
-    out = N.reachable(nodes, r)
+    out = N.reachable(nodes, r).join(N.strong_components(nodes, r), "node")
     degree = lambda c, name: r.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(name))
     for frame in (degree("from_node", "out_degree"), degree("to_node", "in_degree")):
         out = out.join(frame, "node", "left")
