@@ -18,11 +18,21 @@ def melt(wide: DataFrame, ids: list[str], values: list[str], name: str, value: s
 
 def by_range(facts: DataFrame, ranges: DataFrame, code: str, flag: str) -> DataFrame:
     """Facts with the line that a table of code ranges (lo, hi, line) gives, and whether
-    that corrects theirs; ranges is a rule table and is broadcast."""
-    joined = facts.join(F.broadcast(ranges.withColumnRenamed("line", "range_line")), F.col(code).between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
+    that corrects theirs; ranges is a rule table, broadcast where its count is small."""
+    joined = facts.join(small(ranges.withColumnRenamed("line", "range_line")), F.col(code).between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
     return joined.withColumn(flag, F.col("range_line").isNotNull().cast("int"))
 
 
+def absent(seen: DataFrame, wanted: DataFrame, keys: list[str], period: str, periods: DataFrame | None = None) -> DataFrame:
+    """keys of wanted and each period in which seen (keys, period) does not have them. Periods
+    are few: one list of them goes to every row, so nothing is crossed but what comes out."""
+    every = (seen.select(period) if periods is None else periods.select(period)).distinct().agg(F.collect_set(period).alias("__every"))
+    own = seen.groupBy(*keys).agg(F.collect_set(period).alias("__own"))
+    rows = wanted.select(*keys).distinct().join(own, keys, "left").join(F.broadcast(every), F.lit(True))
+    left = F.filter("__every", lambda p: ~F.array_contains(F.coalesce("__own", F.array().cast(own.schema["__own"].dataType)), p))
+    return rows.select(*keys, F.explode(left).alias(period))
+
+
 def station_master(rides: DataFrame, keys: list[str], name: str, period: str, amount: str) -> DataFrame:
     """One pass over the fact: all names, the latest, first and last period, periods, total."""
     monthly = rides.groupBy(*keys, name, period).agg(F.sum(amount).alias("x"))

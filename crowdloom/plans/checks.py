@@ -10,7 +10,7 @@ from ..operators import quality as Q
 from ..sources.scratch import written
 from .impact import SPIKE, spike
 from .marts import SPLIT, WIDE, split_cells, wide
-from .network import BRANCH, LINES, TRANSFERS, breaks, line_sequence, loops, raw_rides, transfers
+from .network import LINES, TRANSFERS, branch, breaks, line_sequence, loops, raw_rides, transfers
 from .registry import query
 from .views import CONG, RIDES, congestion, events, rides, table
 
@@ -60,7 +60,7 @@ def day_coverage(spark: Spark, d: str) -> DataFrame:
 def _(spark: Spark, d: str) -> DataFrame:
     m = rides(spark, d).select(F.trunc("date", "MM").alias("ym"), "station_code").distinct()
     months = m.agg(F.min("ym").alias("a"), F.max("ym").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("ym"))
-    return m.select("station_code").distinct().crossJoin(F.broadcast(months)).join(m, ["ym", "station_code"], "left_anti").select("ym", "station_code")
+    return marts.absent(m, m, ["station_code"], "ym", months).select("ym", "station_code")
 
 
 #: Seven tables and their column rules: (column, check, argument), as SQL for the oracle.
@@ -159,7 +159,7 @@ def cross_checks(spark: Spark, d: str) -> DataFrame:
     nodes = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
     names = table(spark, d, "part").where("p_size = 1").select(F.col("p_name").alias("station_name"))
     lines = line_sequence(spark, d)
-    branches = Q.wanted_branch_nodes(lines, breaks(lines), BRANCH)
+    branches = Q.wanted_branch_nodes(lines, breaks(lines), branch())
     count = lambda df: df.agg(F.count("*").alias("n"))
     closed = count(Q.open_loops(loops(lines), edges))
     n, missing = F.col("n"), F.col("missing")

@@ -14,7 +14,7 @@ from ..operators import quality as Q
 from ..operators import routes as R
 from ..sources import files
 from .marts import D8, edge_lookup
-from .network import ALL, BRANCH, NAMES, PATHS, SEG, STEPS, all_edges, breaks, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
+from .network import ALL, NAMES, NUMBERS, PATHS, SEG, STEPS, all_edges, branch, breaks, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
 from ..sources.scratch import temporary, written
 from .registry import query
 from .views import sequence, stations, table
@@ -201,11 +201,11 @@ union all select 'branch_nodes', (select count(*) from (select distinct line_id
 def graph_structure(spark: Spark, d: str) -> DataFrame:
     """The network's edges and transfers against the sequences and rules."""
     s, r = line_sequence(spark, d), written(raw_rides(spark, d))
-    return Q.graph_checks(s, breaks(s), BRANCH, r, transfers(spark, d, r), ~F.col("line_id").startswith("Brand#7"))
+    return Q.graph_checks(s, breaks(s), branch(), r, transfers(spark, d, r), ~F.col("line_id").startswith("Brand#7"))
 
 
 R7 = f"""with recursive {ALL}, nodes as (select distinct from_station as station_name, from_node as node from ride), asked as (select seq as request_id, station_name as o, d from (select *, lead(station_name, 2) over (partition by line_id order by pos) as d from ls) where d is not null and d <> station_name),
-req as (select request_id, d as destination, node as origin from asked join nodes on nodes.station_name = asked.o), ends as (select distinct d as destination, node from asked join nodes on nodes.station_name = asked.d), {walks("s", "minutes", 1, 2, stop=False)}
+req as (select request_id, d as destination, node as origin from asked join nodes on nodes.station_name = asked.o), ends as (select distinct d as destination, node from asked join nodes on nodes.station_name = asked.d), {NUMBERS}, {walks("s", "minutes", 1, 2, stop=False)}
 select request_id, array_to_string(path, '>') as route, cast(g as bigint) as minutes, cast(r as integer) as rank from found_s"""
 
 

@@ -41,7 +41,7 @@ def written_mart(spark: Spark, d: str) -> DataFrame:
 
 @query("A5_provenance", "select count(*) as n, 'lineitem.parquet' as source_file, 'v1' as schema_version, year(l_shipdate) as period from lineitem group by year(l_shipdate)")
 def _(spark: Spark, d: str) -> DataFrame:
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"(lineitem\.parquet)", 1)
+    name = F.col("_metadata.file_name")
     return table(spark, d, "lineitem").select(F.year("l_shipdate").alias("period"), name.alias("source_file")).withColumn("schema_version", F.lit("v1")).groupBy("period", "source_file", "schema_version").agg(F.count("*").alias("n"))
 
 
@@ -340,7 +340,7 @@ def _(spark: Spark, d: str) -> DataFrame:
     s = congestion(spark, d).select("snapshot_date", *key).distinct()
     latest = s.agg(F.max("snapshot_date").alias("snapshot_date"))
     base = s.join(F.broadcast(latest), "snapshot_date", "left_semi").select(*key)
-    missing = s.select("snapshot_date").distinct().crossJoin(F.broadcast(base)).join(s, ["snapshot_date", *key], "left_anti").withColumn("kind", F.lit("missing"))
+    missing = marts.absent(s, base, key, "snapshot_date").withColumn("kind", F.lit("missing")).select("snapshot_date", *key, "kind")
     return missing.unionByName(s.join(base, key, "left_anti").withColumn("kind", F.lit("extra")))
 
 

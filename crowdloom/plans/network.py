@@ -58,7 +58,8 @@ ride as (select *, cast(round(minutes * (1000 + 5 * greatest(cong - 80, 0.0))) a
 edge as materialized (select from_node, to_node, 'ride' as kind, line_id, minutes, cost_m, event_m, cong, direction, branch from ride union all select from_node, to_node, 'transfer', null, minutes, cast(round(penalty * 1000) as integer), 0, null, null, null from tr)"""
 
 
-BRANCH = F.when(F.col("size") % 10 == 9, "b").otherwise("main")
+def branch() -> F.Column:
+    return F.when(F.col("size") % 10 == 9, "b").otherwise("main")
 
 
 def breaks(s: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def loops(s: DataFrame) -> DataFrame:
 
 def raw_rides(spark: Spark, d: str) -> DataFrame:
     s = line_sequence(spark, d)
-    return N.split_loop_end(N.ride_edges(s, breaks(s), BRANCH, F.col("size") == 17), loops(s))
+    return N.split_loop_end(N.ride_edges(s, breaks(s), branch(), F.col("size") == 17), loops(s))
 
 
 def directed(spark: Spark, d: str) -> DataFrame:
@@ -110,7 +111,7 @@ def all_edges(spark: Spark, d: str) -> DataFrame:
 def consecutive(spark: Spark, d: str) -> DataFrame:
     """Steps of the sequences with breaks, before loops are split."""
     s = line_sequence(spark, d)
-    return N.ride_edges(s, breaks(s), BRANCH, F.col("size") == 17).select("line_id", "from_station", "to_station", "minutes", "is_bidirectional")
+    return N.ride_edges(s, breaks(s), branch(), F.col("size") == 17).select("line_id", "from_station", "to_station", "minutes", "is_bidirectional")
 
 
 @query("R1_ride_edges", f"with {LINES} select from_node, to_node, line_id, minutes, branch, is_bidirectional from ride0")
@@ -159,25 +160,32 @@ KEEP = 3
 #: Slacks of the SQL's walks over the least cost, in minutes: a request walks with the next
 #: one only while it has fewer routes than asked.
 SLACKS = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 18, 22, 28, 36, 50, 80)
-REQ = "req as (select seq as request_id, origin, destination from (select seq, line_id || '_' || station_name as origin, line_id || '_' || lead(station_name, 3) over (partition by line_id order by pos) as destination from ls) where destination is not null), ends as (select distinct destination, destination as node from req)"
+REQ = "req as materialized (select seq as request_id, origin, destination from (select seq, line_id || '_' || station_name as origin, line_id || '_' || lead(station_name, 3) over (partition by line_id order by pos) as destination from ls) where destination is not null), ends as (select distinct destination, destination as node from req)"
+
+
+#: SQL: nodes and edges by number, and req's rows with numbered ends (k: a destination).
+NUMBERS = """nid as materialized (select node, cast(row_number() over (order by node) as integer) as id from (select from_node as node from edge union select to_node from edge)), called as materialized (select list(node order by id) as names from nid),
+ei as materialized (select a.id as f, b.id as t, min(minutes) as minutes, min(cost_m) as cost_m from edge join nid a on a.node = from_node join nid b on b.node = to_node group by 1, 2), dk as materialized (select destination, cast(row_number() over (order by destination) as integer) as k from (select distinct destination from ends)),
+rq as materialized (select request_id, k, nid.id as origin from req join dk using (destination) join nid on nid.node = req.origin), dest as materialized (select k, nid.id as node from ends join dk using (destination) join nid using (node))"""
 
 
 def walks(tag: str, weight: str, unit: int, k: int, slacks: tuple[int, ...] = SLACKS, stop: bool = True) -> str:
-    """SQL: found_<tag> with all loop-free paths of each row of req up to the first slack that
-    gives k of them. ends: the nodes of each destination; stop: a path ends at the first."""
-    parts = [f"""go_{tag}(destination, node, h) using key (destination, node) as (select destination, node, 0 from ends
- union select t.destination, e.from_node, min(t.h + e.{weight}) from go_{tag} t join edge e on e.to_node = t.node left join recurring.go_{tag} r on r.destination = t.destination and r.node = e.from_node where r.h is null or t.h + e.{weight} < r.h group by 1, 2),
-least_{tag} as (select request_id, min(h) as h from req join go_{tag} g on g.destination = req.destination and g.node = req.origin group by 1)"""]
+    """SQL after NUMBERS: found_<tag> with the k least of all loop-free paths of each row of req
+    up to the first slack that gives k of them; stop: a path ends at its destination's node."""
+    parts = [f"""go_{tag}(k, node, h) using key (k, node) as (select k, node, 0 from dest
+ union select t.k, e.f, min(t.h + e.{weight}) from go_{tag} t join ei e on e.t = t.node left join recurring.go_{tag} r on r.k = t.k and r.node = e.f where r.h is null or t.h + e.{weight} < r.h group by 1, 2),
+to_{tag} as materialized (select * from go_{tag}), least_{tag} as materialized (select request_id, min(h) as h from rq join to_{tag} g on g.k = rq.k and g.node = rq.origin group by 1)"""]
     for i, slack in enumerate(slacks):
         enough = f"(select request_id from f_{tag}{i - 1} group by 1 having count(*) >= {k})"
-        asked = f"(select * from req where request_id not in {enough})" if i else "req"
-        parts.append(f"""w_{tag}{i} as (select q.request_id, q.destination, q.origin as node, [q.origin] as path, 0 as g, l.h + {slack * unit} as bound from {asked} q join least_{tag} l on l.request_id = q.request_id join go_{tag} t on t.destination = q.destination and t.node = q.origin where t.h <= l.h + {slack * unit}
- union all select w.request_id, w.destination, e.to_node, list_append(w.path, e.to_node), w.g + e.{weight}, w.bound from w_{tag}{i} w join edge e on e.from_node = w.node join go_{tag} t on t.destination = w.destination and t.node = e.to_node where {"w.node <> w.destination and " if stop else ""}not list_contains(w.path, e.to_node) and w.g + e.{weight} + t.h <= w.bound),
-f_{tag}{i} as materialized (select w.request_id, w.path, w.g from w_{tag}{i} w join ends on ends.destination = w.destination and ends.node = w.node{f" union all select * from f_{tag}{i - 1} where request_id in {enough}" if i else ""})""")
-    return ",\n".join(parts) + f",\nfound_{tag} as (select request_id, path, g, row_number() over (partition by request_id order by g, array_to_string(path, '>')) as r from f_{tag}{len(slacks) - 1} qualify r <= {k})"
+        asked = f"(select * from rq where request_id not in {enough})" if i else "rq"
+        parts.append(f"""w_{tag}{i} as (select q.request_id, q.k, q.origin as node, [q.origin] as path, 0 as g, l.h + {slack * unit} as bound from {asked} q join least_{tag} l on l.request_id = q.request_id join to_{tag} t on t.k = q.k and t.node = q.origin where t.h <= l.h + {slack * unit}
+ union all select w.request_id, w.k, e.t, list_append(w.path, e.t), w.g + e.{weight}, w.bound from w_{tag}{i} w join ei e on e.f = w.node join to_{tag} t on t.k = w.k and t.node = e.t where {f"not exists (select 1 from dest where dest.k = w.k and dest.node = w.node) and " if stop else ""}not list_contains(w.path, e.t) and w.g + e.{weight} + t.h <= w.bound),
+f_{tag}{i} as materialized (select w.request_id, w.path, w.g from w_{tag}{i} w join dest on dest.k = w.k and dest.node = w.node{f" union all select * from f_{tag}{i - 1} where request_id in {enough}" if i else ""})""")
+    last = f"(select request_id, list_transform(path, lambda i: names[i]) as path, g from f_{tag}{len(slacks) - 1} cross join called)"
+    return ",\n".join(parts) + f",\nfound_{tag} as (select request_id, path, g, row_number() over (partition by request_id order by g, array_to_string(path, '>')) as r from {last} qualify r <= {k})"
 
 
-LEAST = f"""with recursive {ALL}, {REQ}, {walks("t", "minutes", 1, 1, (0,))}, {walks("c", "cost_m", 1000, 1, (0,))}, both_least as (select 'time' as weight, * from found_t union all select 'cost', * from found_c)"""
+LEAST = f"""with recursive {ALL}, {REQ}, {NUMBERS}, {walks("t", "minutes", 1, 1, (0,))}, {walks("c", "cost_m", 1000, 1, (0,))}, both_least as (select 'time' as weight, * from found_t union all select 'cost', * from found_c)"""
 
 
 def requests(spark: Spark, d: str) -> DataFrame:
@@ -205,7 +213,7 @@ def bulk_paths(spark: Spark, d: str) -> DataFrame:
     return found.select("weight", "request_id", "cost", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("stops"), R.changes(F.col("names")).alias("transfers"))
 
 
-PATHS = f"""{ALL}, {REQ}, {walks("t", "minutes", 1, KEEP)}, {walks("c", "cost_m", 1000, KEEP)},
+PATHS = f"""{ALL}, {REQ}, {NUMBERS}, {walks("t", "minutes", 1, KEEP)}, {walks("c", "cost_m", 1000, KEEP)},
 quick as (select request_id, path, 0 as list, r from found_t), calm as (select request_id, path, 1 as list, r from found_c),
 paths as materialized (select request_id, path, cast(row_number() over (partition by request_id order by list, r) as integer) as rank from (select * from quick union all select calm.* from calm where not exists (select 1 from quick where quick.request_id = calm.request_id and quick.path = calm.path)))"""
 

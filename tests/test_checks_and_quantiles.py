@@ -147,3 +147,11 @@ def test_importances_and_curves_of_nested_sets(spark):
         said = [sum(low) / len(low) if r[names[best]] <= at else sum(high) / len(high) for r in valid]
         assert math.isclose(mine[best]["mae"], sum(abs(p - r[4]) for p, r in zip(said, valid, strict=True)) / len(valid), rel_tol=1e-6)
         assert 0 <= mine[best]["average_precision"] <= 1
+
+
+def test_absent_periods(spark):
+    seen = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("x", 3)], "k string, p int")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "k string")
+    assert sorted(map(tuple, marts.absent(seen, wanted, ["k"], "p").collect())) == [("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 2), ("c", 3)]
+    more = spark.createDataFrame([(2,), (9,)], "p int")
+    assert sorted(map(tuple, marts.absent(seen, wanted.where("k = 'a'"), ["k"], "p", more).collect())) == [("a", 9)]
