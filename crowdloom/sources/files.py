@@ -50,14 +50,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_mart(df: DataFrame, path: str, partitions: list[str]) -> None:
-    """Parquet by partition columns; rows of a partition are brought together first."""
-    df.repartition(*partitions).write.partitionBy(*partitions).parquet(path)
-
-
-def read_mart(spark: SparkSession, path: str, columns: list[str], allowed: dict[str, list]) -> DataFrame:
-    """Chosen columns and values: partition columns prune folders, others are pushed down."""
-    df = spark.read.parquet(path)
+def write_mart(df: DataFrame, path: str, partitions: list[str], kind: str = "parquet") -> None:
+    """A mart by partition columns, as Parquet or as csv (gzip, with headers). Rows of a
+    partition are brought together first, a large one in several files. Written again, the
+    partitions that df has are replaced and all others stay as they are."""
+    writer = df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
+    if kind == "csv":
+        writer.option("header", True).option("compression", "gzip").csv(path)
+    else:
+        writer.parquet(path)
+
+
+def read_mart(spark: SparkSession, path: str, columns: list[str], allowed: dict[str, list], csv_schema: str | None = None) -> DataFrame:
+    """Chosen columns and values: partition columns prune folders, others are pushed down.
+    csv_schema: the columns of a csv mart, partition columns last."""
+    df = spark.read.schema(csv_schema).option("header", True).csv(path) if csv_schema else spark.read.parquet(path)
     for column, values in allowed.items():
         df = df.where(F.col(column).isin(*values))
     return df.select(*columns)

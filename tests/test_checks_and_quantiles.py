@@ -155,3 +155,19 @@ def test_absent_periods(spark):
     assert sorted(map(tuple, marts.absent(seen, wanted, ["k"], "p").collect())) == [("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 2), ("c", 3)]
     more = spark.createDataFrame([(2,), (9,)], "p int")
     assert sorted(map(tuple, marts.absent(seen, wanted.where("k = 'a'"), ["k"], "p", more).collect())) == [("a", 9)]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_a_mart_written_again_keeps_its_other_partitions(spark, tmp_path, kind):
+    from crowdloom.sources import files
+
+    path = f"{tmp_path}/mart"
+    df = spark.createDataFrame([(k, f"s{k}", 202400 + k % 3) for k in range(30)], "v int, s string, ym int")
+    files.write_mart(df, path, ["ym"], kind)
+    held = lambda ym: {f.name: f.read_bytes() for f in (tmp_path / "mart" / f"ym={ym}").iterdir()}
+    before = {ym: held(ym) for ym in (202400, 202401, 202402)}
+    files.write_mart(df.where("ym = 202401").withColumn("v", F.col("v") + 100), path, ["ym"], kind)
+    assert held(202400) == before[202400] and held(202402) == before[202402] and held(202401) != before[202401]
+    back = files.read_mart(spark, path, ["v", "ym"], {"ym": [202401, 202402], "s": [f"s{k}" for k in range(9)]}, "v int, s string, ym int" if kind == "csv" else None)
+    assert sorted(map(tuple, back.collect())) == [(2, 202402), (5, 202402), (8, 202402), (101, 202401), (104, 202401), (107, 202401)]
+    assert all(f.endswith(".csv.gz" if kind == "csv" else ".parquet") for f in map(str, (tmp_path / "mart").glob("ym=*/part-*")))
