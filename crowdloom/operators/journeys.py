@@ -67,6 +67,19 @@ def transfer_waits(parts: DataFrame, waits: DataFrame) -> DataFrame:
     return parts.select(*ROUTE).distinct().join(sums, ROUTE, "left").withColumn("wait", F.coalesce("wait", F.lit(0.0)))
 
 
+def chained_waits(segments: DataFrame, levels: list[tuple[DataFrame, list[str]]], most: float = 12.0) -> DataFrame:
+    """For each route the boardings after a walk between lines (the first boarding is none),
+    the waits of those whose segment has one at any of the levels, nearest first, each held
+    to most and at one place, and how many have none. segments: described ones with the
+    columns that the levels ask for; a level's table has a column wait, null where nothing
+    runs."""
+    order = W.partitionBy(*ROUTE).orderBy("segment")
+    boarded = segments.withColumn("previous", F.lag("line").over(order)).where("line <> 'walk' and previous = 'walk'")
+    sums = chained(boarded, levels, "wait", most).groupBy(*ROUTE).agg(F.count("*").alias("boardings"), F.sum("wait").alias("wait"), F.count(F.when(F.col("wait").isNull(), 1)).alias("unknown"))
+    out = segments.select(*ROUTE).distinct().join(sums, ROUTE, "left").na.fill(0, ["boardings", "unknown"])
+    return out.select(*ROUTE, "boardings", F.round(F.coalesce("wait", F.lit(0.0)), 1).alias("wait"), "unknown")
+
+
 def seat_scores(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """How far crowding falls along a route: a ride's rate less the mean of the rides that
     leave its end, averaged over the rides with both, / 10; 0 where there is none."""
@@ -147,20 +160,70 @@ def profile_along(parts: DataFrame, lookup: DataFrame) -> DataFrame:
     return leaving.unionByName(arriving)
 
 
-def running_order(starts: DataFrame, follows: DataFrame) -> DataFrame:
-    """(line_id, node, pos): each line walked from its start along follows (line_id,
-    from_node, to_node, one successor each), a node once; by doubling jumps, so a line of
-    n stations takes log2(n) rounds."""
-    jumps = written(follows.select("line_id", "from_node", "to_node"))
-    placed = written(starts.select("line_id", "node", F.lit(0).alias("pos")))
+def _walk(at: DataFrame, follows: DataFrame) -> DataFrame:
+    """(line_id, node, pos) after each line's node and pos in at: from a step (a, b) on to the
+    first of b's followers but a, and no further from an end, until a step comes again. A
+    step's next one hangs on that step alone, so jumps are doubled: log2(n) rounds."""
+    order = W.partitionBy("line_id", "from_node").orderBy("is_end", "rank", "to_node")
+    two = follows.withColumn("n", F.row_number().over(order)).where("n <= 2")
+    pick = lambda k: F.max(F.when(F.col("n") == k, F.col("to_node"))).alias(f"next{k}")
+    best = written(two.groupBy("line_id", F.col("from_node").alias("b")).agg(pick(1), pick(2)))
+    steps = follows.where("not is_end").select("line_id", F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct()
+    onward = F.when(F.col("next1") != F.col("a"), F.col("next1")).otherwise(F.col("next2"))
+    jumps = written(steps.join(best, ["line_id", "b"]).select("line_id", "a", "b", F.col("b").alias("x"), onward.alias("y")).where("y is not null"))
+    placed = written(at.withColumnRenamed("node", "b").join(best, ["line_id", "b"]).select("line_id", F.col("b").alias("a"), F.col("next1").alias("b"), (F.col("pos") + 1).alias("pos")))
     hop = 1
     while True:
-        ahead = placed.join(jumps.withColumnRenamed("from_node", "node"), ["line_id", "node"]).select("line_id", F.col("to_node").alias("node"), (F.col("pos") + hop).alias("pos"))
-        both = written(placed.union(ahead).groupBy("line_id", "node").agg(F.min("pos").alias("pos")))
+        ahead = placed.join(jumps, ["line_id", "a", "b"]).select("line_id", F.col("x").alias("a"), F.col("y").alias("b"), (F.col("pos") + hop).alias("pos"))
+        both = written(placed.union(ahead).groupBy("line_id", "a", "b").agg(F.min("pos").alias("pos")))
         if both.count() == placed.count():
-            return both
+            return both.select("line_id", F.col("b").alias("node"), "pos")
         placed, hop = both, 2 * hop
-        jumps = written(jumps.alias("a").join(jumps.alias("b"), (F.col("a.line_id") == F.col("b.line_id")) & (F.col("a.to_node") == F.col("b.from_node"))).select("a.line_id", "a.from_node", "b.to_node"))
+        then = jumps.select("line_id", F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        jumps = written(jumps.join(then, ["line_id", "x", "y"]).select("line_id", "a", "b", F.col("x2").alias("x"), F.col("y2").alias("y")))
+
+
+def running_order(starts: DataFrame, follows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(line_id, node, pos): each line, or pattern of one, walked from its start node. From a
+    node it goes to the first by rank, then name, of the followers (line_id, from_node,
+    to_node and, if there is more than one, rank) where it has not been; to one of ends
+    (line_id, node) only if no other is left, and stops there, or where nothing follows.
+
+    A walk that meets itself is cut there and goes on from its last node, all nodes that it
+    passed taken out, so a line of n nodes takes log2(n) rounds for each such meeting."""
+    left = follows.select("line_id", "from_node", "to_node", F.col("rank") if "rank" in follows.columns else F.lit(0).alias("rank"))
+    if ends is None:
+        left = left.withColumn("is_end", F.lit(False))
+    else:
+        marks = ends.select("line_id", F.col("node").alias("to_node"), F.lit(True).alias("is_end")).distinct()
+        left = left.join(marks, ["line_id", "to_node"], "left").withColumn("is_end", F.coalesce("is_end", F.lit(False)))
+    left = written(left)
+    at = done = written(starts.select("line_id", "node", F.lit(0).alias("pos")))
+    while True:
+        walk = _walk(at, left)
+        again = walk.union(at).withColumn("n", F.row_number().over(W.partitionBy("line_id", "node").orderBy("pos"))).where("n > 1")
+        cuts = written(again.groupBy("line_id").agg(F.min("pos").alias("cut")))
+        fresh = walk.join(cuts, "line_id", "left").where("cut is null or pos < cut")
+        done = written(done.unionByName(fresh.select("line_id", "node", "pos")))
+        if cuts.isEmpty():
+            return done
+        cut = done.join(cuts, "line_id", "left_semi")
+        at = written(cut.groupBy("line_id").agg(F.max_by("node", "pos").alias("node"), F.max("pos").alias("pos")))
+        passed = done.select("line_id", F.col("node").alias("to_node"))
+        left = written(left.join(cuts, "line_id", "left_semi").join(passed, ["line_id", "to_node"], "left_anti"))
+
+
+def line_patterns(patterns: DataFrame, follows: DataFrame) -> DataFrame:
+    """Running order of patterns (pattern, start, end: stations) over the followers in each
+    one's scope (pattern, from_node, to_node, from_station, to_station, rank): from the least
+    node of the start to any of the end. A pattern whose start or end has no node in its
+    scope has no rows."""
+    ends = ("from", "to")
+    nodes = written(follows.select("pattern", F.explode(F.array(*[F.struct(F.col(f"{x}_node").alias("node"), F.col(f"{x}_station").alias("station")) for x in ends])).alias("n")).select("pattern", "n.*").distinct())
+    of = lambda end: nodes.join(patterns.select("pattern", F.col(end).alias("station")), ["pattern", "station"]).select(F.col("pattern").alias("line_id"), "node")
+    stops = written(of("end"))
+    starts = of("start").groupBy("line_id").agg(F.min("node").alias("node")).join(stops, "line_id", "left_semi")
+    return running_order(starts, follows.withColumnRenamed("pattern", "line_id"), stops).withColumnRenamed("line_id", "pattern")
 
 
 def tips(requests: DataFrame, rows: DataFrame) -> DataFrame:
@@ -195,3 +258,23 @@ def coordinates(paths: DataFrame, points: DataFrame, station: Column) -> DataFra
     placed = long.join(own, "node", "left").join(any_of, "station", "left").withColumn("p", F.coalesce("own", "fallback")).where("p is not null")
     order = W.partitionBy(*ROUTE).orderBy("pos")
     return placed.withColumn("before", F.lag("p").over(order)).where("before is null or before <> p").select(*ROUTE, "pos", "p.x", "p.y")
+
+
+def edge_geometry(order: DataFrame, points: DataFrame, rings: DataFrame, returns: DataFrame, connectors: DataFrame) -> DataFrame:
+    """Lines to draw between the points (node, x, y) of neighbours in order (line_id, branch,
+    path_order, node): a ring (line_id, branch) also closes, and where two neighbours are a
+    return's (line_id, after_node, next_node, node) the line passes node between them. Lines
+    need both points; connectors (from_node, to_node) stay without."""
+    w = W.partitionBy("line_id", "branch").orderBy("path_order")
+    keys = ["line_id", "branch"]
+    near = order.select(*keys, F.col("node").alias("from_node"), F.lead("node").over(w).alias("to_node"), "path_order")
+    ends = near.groupBy(*keys).agg(F.max_by("from_node", "path_order").alias("from_node"), F.min_by("from_node", "path_order").alias("to_node"))
+    closing = ends.join(rings.select(*keys).distinct(), keys, "left_semi")
+    by = returns.select("line_id", F.col("after_node").alias("from_node"), F.col("next_node").alias("to_node"), F.col("node").alias("via"))
+    pairs = near.where("to_node is not null").join(by, ["line_id", "from_node", "to_node"], "left")
+    ways = F.when(F.col("via").isNull(), F.array(F.struct("from_node", "to_node"))).otherwise(F.array(F.struct(F.col("from_node"), F.col("via").alias("to_node")), F.struct(F.col("via").alias("from_node"), F.col("to_node"))))
+    lines = pairs.select(*keys, F.explode(ways).alias("e")).select(*keys, "e.*").unionByName(closing)
+    both = lines.withColumn("kind", F.lit("line")).unionByName(connectors.select("from_node", "to_node", F.lit("connector").alias("kind")), allowMissingColumns=True)
+    at = lambda end, k: points.select(F.col("node").alias(f"{end}_node"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    out = both.join(at("from", 0), "from_node", "left").join(at("to", 1), "to_node", "left")
+    return out.where("kind = 'connector' or (x0 is not null and x1 is not null)").select("kind", *keys, "from_node", "to_node", "x0", "y0", "x1", "y1")

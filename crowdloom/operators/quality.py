@@ -126,3 +126,24 @@ def graph_checks(sequence: DataFrame, breaks: DataFrame, branch: Column, edges:
     for df, name in ((lost, "required_transfers"), (outside, "out_of_scope_nodes"), (uneven, "asymmetric_times"), (missing, "branch_nodes")):
         out = out.unionByName(count(df, name))
     return out
+
+
+def alias_candidates(cells: DataFrame, keys: list[str], name: str, date: str) -> DataFrame:
+    """Stations (keys) that go by more than one raw name: each name with the first and last
+    date it is seen and its rows."""
+    names = cells.groupBy(*keys, name).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"), F.count("*").alias("n_rows"))
+    return names.withColumn("n_names", F.count(name).over(W.partitionBy(*keys))).where(F.col("n_names") > 1)
+
+
+def scope_check(cells: DataFrame, line: str, station: str, direction: str) -> DataFrame:
+    """What each line of the scope covers: stations, least and greatest code, directions."""
+    seen = cells.select(line, station, direction).distinct()
+    return seen.groupBy(line).agg(F.count_distinct(station).alias("n_stations"), F.min(station).alias("min_code"), F.max(station).alias("max_code"), F.array_join(F.sort_array(F.collect_set(direction)), "|").alias("directions"))
+
+
+def single_direction(cells: DataFrame, keys: list[str], direction: str, date: str) -> DataFrame:
+    """Stations that the latest snapshot knows in one direction only, with that direction:
+    their edges are one-way."""
+    last = cells.agg(F.max(date).alias(date))
+    ways = cells.join(F.broadcast(last), date).groupBy(*keys).agg(F.min(direction).alias("only_direction"), F.max(direction).alias("other"))
+    return ways.where("only_direction = other").drop("other")

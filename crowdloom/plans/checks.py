@@ -35,6 +35,31 @@ def _(spark: Spark, d: str) -> DataFrame:
     return out.where("n_names > 1")
 
 
+NAMED = f"{CONG}, named as (select *, station_name || case when station_code % 4 = 0 and snapshot_date >= date '1997-01-01' then '역' else '' end as station_name_raw from cong where station_code between 0 and 19 and not (station_code % 7 = 3 and direction = 'down'))"
+
+
+def named_cells(spark: Spark, d: str) -> DataFrame:
+    """The crowding of the lines in scope, some stations renamed in 1997, some without down trains."""
+    late = (F.col("station_code") % 4 == 0) & (F.col("snapshot_date") >= F.lit("1997-01-01").cast("date"))
+    raw = F.concat("station_name", F.when(late, "역").otherwise(""))
+    return congestion(spark, d).where("station_code between 0 and 19 and not (station_code % 7 = 3 and direction = 'down')").withColumn("station_name_raw", raw)
+
+
+@query("D14_alias_report", f"with {NAMED} select line_id, station_code, station_name_raw, min(snapshot_date) as first_seen, max(snapshot_date) as last_seen, count(*) as n_rows, count(*) over (partition by line_id, station_code) as n_names from named group by 1, 2, 3 qualify count(*) over (partition by line_id, station_code) > 1")
+def alias_report(spark: Spark, d: str) -> DataFrame:
+    return Q.alias_candidates(named_cells(spark, d), ["line_id", "station_code"], "station_name_raw", "snapshot_date")
+
+
+@query("D14_scope_check", f"with {NAMED} select line_id, count(distinct station_code) as n_stations, min(station_code) as min_code, max(station_code) as max_code, string_agg(distinct direction, '|' order by direction) as directions from named group by 1")
+def scope_report(spark: Spark, d: str) -> DataFrame:
+    return Q.scope_check(named_cells(spark, d), "line_id", "station_code", "direction")
+
+
+@query("D14_single_direction", f"with {NAMED} select line_id, station_code, station_name_raw, min(direction) as only_direction from named where snapshot_date = (select max(snapshot_date) from named) group by 1, 2, 3 having count(distinct direction) = 1")
+def single_directions(spark: Spark, d: str) -> DataFrame:
+    return Q.single_direction(named_cells(spark, d), ["line_id", "station_code", "station_name_raw"], "direction", "snapshot_date")
+
+
 SOME = "r as (select l_suppkey, " + ", ".join(f"case when l_suppkey % 13 = {k} then -h{k} else h{k} end as h{k}" for k in range(1, 8)) + " from wide union all select * from wide where l_suppkey % 10 = 0)"
 D18 = f"""with {WIDE}, {SOME}, t as (select l_suppkey, sum(l_quantity) as total from lineitem group by 1)
 select count(*) as n_rows, count(*) filter (abs({" + ".join(f"coalesce(h{k}, 0)" for k in range(1, 8))} - total) > 0.5) as mismatch, cast(sum({" + ".join(f"cast(h{k} is null as integer)" for k in range(1, 8))}) as bigint) as null_cells,

@@ -14,7 +14,7 @@ from ..operators import quality as Q
 from ..operators import routes as R
 from ..sources import files
 from .marts import D8, edge_lookup
-from .network import ALL, NAMES, NUMBERS, PATHS, SEG, STEPS, all_edges, branch, breaks, directed, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
+from .network import ALL, DIRECTIONS, EVAL, LINES, LOOPS, NAMES, NUMBERS, PATHS, SEG, STEPS, TRANSFERS, all_edges, branch, breaks, directed, evaluated, line_sequence, lookup, parts, paths, raw_rides, steps, transfers, violations, walks
 from ..sources.scratch import temporary, written
 from .registry import query
 from .views import sequence, stations, table
@@ -133,6 +133,42 @@ def waits(spark: Spark, d: str) -> DataFrame:
     return J.transfer_waits(N.segment_sums(parts(spark, d)[0]), by_line).withColumn("wait", F.round("wait", 6))
 
 
+#: Departures by line, station, direction, day type and bin; some stations have none.
+WAITS = """hs as (select distinct r.line_id, r.from_station, r.direction, day_type, bin, case when (r.from_pos + day_type) % 4 <> 1 then (2 + (r.from_pos * 7 + length(r.direction) * 5 + day_type * 11 + bin * 3) % 30) / 2.0::double end as wait from ride1 r cross join (select unnest([0, 1, 2]) as day_type) cross join (select unnest([0, 1, 2, 3]) as bin)),
+hl as (select line_id, direction, day_type, bin, round(avg(wait), 6) as wait from hs where line_id not like 'Brand#3%' group by 1, 2, 3, 4)"""
+
+
+def headways(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Expected waits of stations, null where nothing runs, and their means by line, which
+    some lines lack."""
+    h = directed(spark, d).withColumn("day_type", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("bin", F.explode(F.array(*map(F.lit, (0, 1, 2, 3)))))
+    headway = 2 + (F.col("from_pos") * 7 + F.length("direction") * 5 + F.col("day_type") * 11 + F.col("bin") * 3) % 30
+    stations_ = h.select("line_id", "from_station", "direction", "day_type", "bin", F.when((F.col("from_pos") + F.col("day_type")) % 4 != 1, headway / 2.0).alias("wait")).distinct()
+    lines = stations_.where("line_id not like 'Brand#3%'").groupBy("line_id", "direction", "day_type", "bin").agg(F.round(F.avg("wait"), 6).alias("wait"))
+    return stations_.withColumnRenamed("line_id", "line"), lines.withColumnRenamed("line_id", "line")
+
+
+CHAIN = f"""with recursive {EVAL}, {WAITS},
+mj as (select request_id, rank, segment, arg_min(direction, k) as direction from (select request_id, rank, segment, direction, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by direction) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
+sg as (select *, lag(line) over (partition by request_id, rank order by segment) as prev from (select request_id, rank, segment, line, {NAMES.format('arg_min(from_node, pos)')} as from_station from g group by 1, 2, 3, 4)),
+bd as (select sg.request_id, sg.rank, case when coalesce(hs.wait, hl.wait) is not null then round(least(coalesce(hs.wait, hl.wait), 12), 1) end as wait from sg join mj using (request_id, rank, segment) left join hs on hs.line_id = sg.line and hs.from_station = sg.from_station and hs.direction = mj.direction and hs.day_type = sg.request_id % 3 and hs.bin = sg.request_id % 4
+ left join hl on hl.line_id = sg.line and hl.direction = mj.direction and hl.day_type = sg.request_id % 3 and hl.bin = sg.request_id % 4 where sg.line <> 'walk' and sg.prev = 'walk'),
+sm as (select request_id, rank, count(*) as boardings, sum(wait) as wait, count(*) filter (wait is null) as unknown from bd group by 1, 2)
+select request_id, rank, coalesce(boardings, 0) as boardings, round(coalesce(wait, 0), 1) as wait, coalesce(unknown, 0) as unknown, round(actual + round(coalesce(wait, 0), 1), 3) as actual, round(perceived + round(coalesce(wait, 0), 1), 3) as perceived from ev left join sm using (request_id, rank)"""
+
+
+@query("R12_wait_chain", CHAIN)
+def chain_of_waits(spark: Spark, d: str) -> DataFrame:
+    """Waits after transfers by station, else line, at the request's day type and bin, and
+    the routes' minutes with them."""
+    by_station, by_line = headways(spark, d)
+    segments = J.described(parts(spark, d)[0]).withColumn("day_type", F.col("request_id") % 3).withColumn("bin", F.col("request_id") % 4)
+    at = ["direction", "day_type", "bin"]
+    w = J.chained_waits(segments, [(by_station, ["line", "from_station", *at]), (by_line, ["line", *at])])
+    timed = evaluated(spark, d).select("request_id", "rank", "actual", "perceived").join(w, ["request_id", "rank"])
+    return timed.select("request_id", "rank", "boardings", "wait", "unknown", *[F.round(F.col(c) + F.col("wait"), 3).alias(c) for c in ("actual", "perceived")])
+
+
 R13 = f"""{SEG_SQL}, mj as (select request_id, rank, segment, arg_min(direction, k) as direction from (select request_id, rank, segment, direction, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by direction) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
 mb as (select request_id, rank, segment, arg_min(branch, k) as branch from (select request_id, rank, segment, branch, -count(*) * 1000000 + row_number() over (partition by request_id, rank, segment order by branch) as k from g where kind = 'ride' group by 1, 2, 3, 4) group by 1, 2, 3),
 b as (select request_id, rank, segment, line, arg_min(from_node, pos) as a, arg_max(to_node, pos) as z, arg_min(to_node, pos) as n1, count(*) as stops, sum(minutes) as m, max(cong) as max_cong from g group by 1, 2, 3, 4)
@@ -173,6 +209,38 @@ def order_of_lines(spark: Spark, d: str) -> DataFrame:
     return J.running_order(starts, follows)
 
 
+R22 = f"""with recursive {LINES}, {DIRECTIONS}, {TRANSFERS}, fo as (select line_id, from_node, to_node, from_station, to_station, to_pos as rank from ride0 union all select split_part(from_node, '_', 1), from_node, to_node, station_name, station_name, 1000000 from tr where is_branch_transfer = 1),
+en as (select line_id, arg_min(station_name, pos) as a, arg_max(station_name, pos) as z from ls group by 1),
+pt as (select line_id, scope, line_id || '/' || scope || '/' || way as pattern, case way when 'up' then a else z end as s, case way when 'up' then z else a end as e from en cross join (select unnest(['main', 'all']) as scope) cross join (select unnest(['up', 'down']) as way)),
+side as (select line_id, station_name from ls where size % 10 = 9),
+pf as (select pattern, s, e, fo.* from pt join fo using (line_id) where scope = 'all' or (not contains(from_node || to_node, '@') and (line_id, from_station) not in (select (line_id, station_name) from side) and (line_id, to_station) not in (select (line_id, station_name) from side))),
+sn as (select pattern, s, e, unnest([from_node, to_node]) as node, unnest([from_station, to_station]) as station from pf), go as (select pattern, min(node) filter (station = s) as node from sn group by 1 having count(*) filter (station = e) > 0 and count(*) filter (station = s) > 0),
+wk as (select pattern, node, [node] as path, false as over from go union all select wk.pattern, to_node, list_append(path, to_node), to_station = e from wk join pf on pf.pattern = wk.pattern and from_node = wk.node where not over and not list_contains(path, to_node) qualify row_number() over (partition by wk.pattern order by to_station = e, rank, to_node) = 1)
+select pattern, node, cast(len(path) - 1 as integer) as pos from wk"""
+
+
+@query("R22_line_patterns", R22)
+def patterns_of_lines(spark: Spark, d: str) -> DataFrame:
+    """Each line from its first station to its last and back, on its main part and with
+    branches and loops; transfers within the line come after its rides."""
+    s = line_sequence(spark, d)
+    r = written(raw_rides(spark, d))
+    columns = ["line_id", "from_node", "to_node", "from_station", "to_station"]
+    inner = transfers(spark, d, r).where("is_branch_transfer = 1").withColumn("line_id", S.node_line(F.col("from_node"))).withColumn("from_station", F.col("station_name")).withColumn("to_station", F.col("station_name"))
+    every = written(r.select(*columns, F.col("to_pos").alias("rank")).union(inner.select(*columns, F.lit(1000000).alias("rank"))))
+    side = s.where(branch() == "b").select("line_id", "station_name").distinct()
+    main = every.where("not contains(from_node, '@') and not contains(to_node, '@')")
+    for end in ("from_station", "to_station"):
+        main = main.join(side.withColumnRenamed("station_name", end), ["line_id", end], "left_anti")
+    follows = main.withColumn("scope", F.lit("main")).unionByName(every.withColumn("scope", F.lit("all")))
+    ends = s.groupBy("line_id").agg(F.min_by("station_name", "pos").alias("a"), F.max_by("station_name", "pos").alias("z"))
+    name = lambda way: F.concat_ws("/", "line_id", "scope", F.lit(way)).alias("pattern")
+    asked = ends.withColumn("scope", F.explode(F.array(F.lit("main"), F.lit("all"))))
+    both = asked.select(name("up"), F.col("a").alias("start"), F.col("z").alias("end")).union(asked.select(name("down"), "z", "a"))
+    rows = follows.withColumn("pattern", F.explode(F.array(name("up"), name("down")))).drop("line_id", "scope")
+    return J.line_patterns(written(both), written(rows))
+
+
 @query("R23_cross_section", "with o as (select p_brand as line_id, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) - 1 as pos from part) select line_id, arg_max(pos, p_size * 100000 - pos) as worst_pos, max(p_size) as worst, round(avg(p_size), 9) as mean from o group by 1")
 def _(spark: Spark, d: str) -> DataFrame:
     rates = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("node"), "p_size")
@@ -232,3 +300,22 @@ def route_points(spark: Spark, d: str) -> DataFrame:
     points = line_sequence(spark, d).where("seq % 3 <> 0").select(S.node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), "seq")
     placed = points.select("node", "station", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
     return J.coordinates(paths(spark, d)[0], placed, S.node_station(F.col("node")))
+
+
+R24G = f"""with {LINES}, {DIRECTIONS}, {TRANSFERS}, pt as (select line_id || '_' || station_name as node, seq % 100 as x, seq // 100 as y from ls where seq % 3 <> 0),
+od as (select line_id, case when size % 10 = 9 then 'b' else 'main' end as branch, seq, line_id || '_' || station_name as node from ls), rt as (select line_id, max(line_id || '_' || station_name) filter (pos = 5) as via, max(line_id || '_' || station_name) filter (pos = 6) as a, max(line_id || '_' || station_name) filter (pos = 7) as b from ls where line_id in ('Brand#11', 'Brand#21', 'Brand#31') group by 1),
+nx as (select line_id, branch, node as f, lead(node) over (partition by line_id, branch order by seq) as t from od), pr as (select nx.*, rt.via from nx left join rt on rt.line_id = nx.line_id and rt.a = f and rt.b = t where t is not null),
+sg as (select line_id, branch, f, t from pr where via is null union all select line_id, branch, f, via from pr where via is not null union all select line_id, branch, via, t from pr where via is not null union all select line_id, branch, arg_max(node, seq), arg_min(node, seq) from od where branch = 'main' and line_id like 'Brand#2%' group by 1, 2),
+al as (select 'line' as kind, * from sg union all select 'connector', null, null, from_node, to_node from tr where is_branch_transfer = 0)
+select kind, line_id, branch, f as from_node, t as to_node, p.x as x0, p.y as y0, q.x as x1, q.y as y1 from al left join pt p on p.node = f left join pt q on q.node = t where kind = 'connector' or (p.x is not null and q.x is not null)"""
+
+
+@query("R24_edge_geometry", R24G)
+def lines_to_draw(spark: Spark, d: str) -> DataFrame:
+    s = line_sequence(spark, d).withColumn("node", S.node_id(F.col("line_id"), F.col("station_name"))).withColumn("branch", branch())
+    points = s.where("seq % 3 <> 0").select("node", (F.col("seq") % 100).alias("x"), F.expr("seq div 100").alias("y"))
+    at = lambda k, name: F.max(F.when(F.col("pos") == k, F.col("node"))).alias(name)
+    returns = s.where(F.col("line_id").isin(*LOOPS)).groupBy("line_id").agg(at(5, "node"), at(6, "after_node"), at(7, "next_node"))
+    rings = s.where("branch = 'main' and line_id like 'Brand#2%'")
+    between = transfers(spark, d, written(raw_rides(spark, d))).where("is_branch_transfer = 0")
+    return J.edge_geometry(s.withColumnRenamed("seq", "path_order"), points, rings, returns, between)
