@@ -251,8 +251,8 @@ def aligned_classes(prints, least_errors=0.15):
     return [low[root(v)] for v in range(len(prints))]
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_media_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block, block_codes", [(3, 1 << 20), (1024, 1 << 20), (1024, 100)])
+def test_media_against_all_pairs(spark, block, block_codes):
     random.seed(11)
     noise = random.randbytes
     shared, table = noise(2800), []
@@ -262,7 +262,7 @@ def test_media_against_all_pairs(spark, block):
         table.append(table[u][640:] + noise(256))  # true partners, later than the passage's least holder
     table += [table[20], table[20], b"", b"abc", b"abc", b"abd", noise(1500), noise(1300)]
     rows = [(u, u, bytearray(m)) for u, m in enumerate(table)] + [(90, 90, None)]
-    got = {r["doc_id"]: r for r in media.align(spark.createDataFrame(rows, "uid long, doc_id long, media binary").repartition(3), block=block).collect()}
+    got = {r["doc_id"]: r for r in media.align(spark.createDataFrame(rows, "uid long, doc_id long, media binary").repartition(3), block=block, block_codes=block_codes).collect()}
     prints = [media.codes(media.chroma(np.frombuffer(m, np.uint8))) for m in table]
     want = aligned_classes(prints)
     want[36] = 35  # equal clips too short for keys
