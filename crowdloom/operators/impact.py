@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import strength
-from ..sources.scratch import written
+from ..sources.scratch import tidy, written
 
 
 def event_days(events: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -102,6 +102,7 @@ def calendar_problems(events: DataFrame, other: DataFrame) -> DataFrame:
     return wrong.unionByName(events.join(days, "start_date").select(F.lit("same day").alias("problem"), "event_id", "start_date", "others"))
 
 
+@tidy
 def controls(scale: DataFrame, treated: DataFrame, most: int = 5, gap: int = 3, buckets: int = 64) -> DataFrame:
     """The units nearest in log scale to each treated one, not treated themselves and not
     within `gap` codes on the same line. All units stand in one order of scale, numbered by

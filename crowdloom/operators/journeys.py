@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import node_station
-from ..sources.scratch import written
+from ..sources.scratch import tidy, written
 from .network import small
 
 ROUTE = ["request_id", "rank"]
@@ -183,6 +183,7 @@ def _walk(at: DataFrame, follows: DataFrame) -> DataFrame:
         jumps = written(jumps.join(then, ["line_id", "x", "y"]).select("line_id", "a", "b", F.col("x2").alias("x"), F.col("y2").alias("y")))
 
 
+@tidy
 def running_order(starts: DataFrame, follows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(line_id, node, pos): each line, or pattern of one, walked from its start node. From a
     node it goes to the first by rank, then name, of the followers (line_id, from_node,
@@ -213,6 +214,7 @@ def running_order(starts: DataFrame, follows: DataFrame, ends: DataFrame | None
         left = written(left.join(cuts, "line_id", "left_semi").join(passed, ["line_id", "to_node"], "left_anti"))
 
 
+@tidy
 def line_patterns(patterns: DataFrame, follows: DataFrame) -> DataFrame:
     """Running order of patterns (pattern, start, end: stations) over the followers in each
     one's scope (pattern, from_node, to_node, from_station, to_station, rank): from the least

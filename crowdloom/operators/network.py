@@ -7,12 +7,12 @@ round is written out, so that plans stay short and lost executors cost one round
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import node_id, node_station
-from ..sources.scratch import written
+from ..sources.scratch import tidy, written
 
 SMALL_EDGES = 200_000
 
@@ -97,6 +97,7 @@ def crowded(rides: DataFrame, lookup: DataFrame, events: DataFrame, kappa: float
     return out.withColumn("cost_m", felt(F.col("cong"))).withColumn("event_m", F.col("cost_m") - felt(F.col("usual"))).drop("m1", "m2", "mult", "usual")
 
 
+@tidy
 def distances(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
     """Least minutes from each source to each node within the horizon, or to all nodes that
     can be reached where it is None. seeds: source, node, cost. Only nodes improved in a round are extended in the next."""
@@ -112,21 +113,26 @@ def distances(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFr
             return known.select("source", "node", "cost")
 
 
+@tidy
 def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that is connected, ignoring direction; labels
-    move along edges and then jump to their label's label, so rounds are few."""
-    both = edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")).distinct()
+    """(node, component): the least node that is connected, ignoring direction. In a round a
+    node takes the least label of its neighbours' labels, offers it to the node that it is
+    labelled by as well, and jumps to its label's label. So whole trees of labels are joined
+    at once, and rounds grow with the logarithm of the longest way, whatever the names."""
+    both = written(edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")).where("from_node <> to_node").distinct())
     label = written(nodes.select("node", F.col("node").alias("component")))
     while True:
-        near = both.join(label.toDF("from_node", "near"), "from_node").groupBy(F.col("to_node").alias("node")).agg(F.min("near").alias("near"))
-        moved = label.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = label.toDF("component", "jump")
-        new = written(moved.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "was"))
-        label = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
+        grand = label.join(label.toDF("component", "grand"), "component")
+        near = both.join(grand.select(F.col("node").alias("from_node"), "grand"), "from_node").groupBy(F.col("to_node").alias("node")).agg(F.min("grand").alias("near"))
+        nearer = grand.join(near, "node", "left").select("node", "component", F.least("component", "grand", "near").alias("least"))
+        offers = nearer.select("node", "least", F.col("component").alias("was")).unionByName(nearer.select(F.col("component").alias("node"), "least"), allowMissingColumns=True)
+        new, seen = offers.groupBy("node").agg(F.min("least").alias("component"), F.max("was").alias("was")), Observation()
+        label = written(new.observe(seen, F.count(F.when(F.col("component") != F.col("was"), 1)).alias("moved")).select("node", "component"))
+        if not seen.get.get("moved"):
             return label
 
 
+@tidy
 def reached(roots: DataFrame, edges: DataFrame, squarings: int = 3) -> DataFrame:
     """The nodes that some root (column node) reaches along the edges, roots included. Edges
     are first joined with themselves a few times, so that a round takes 2**squarings steps;
@@ -144,6 +150,7 @@ def reached(roots: DataFrame, edges: DataFrame, squarings: int = 3) -> DataFrame
     return known
 
 
+@tidy
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, strong_component): the least node that is reached and reaches back. Nodes joined
     by edges both ways are merged first, by labels that jump, so that long two-way lines take
@@ -182,6 +189,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.join(least, "strong").select("node", "strong_component")
 
 
+@tidy
 def shortest_paths(seeds: DataFrame, edges: DataFrame, horizon: int | None) -> DataFrame:
     """distances with one least path each: its nodes, stops and transfers (neighbours of one
     station name). Of equal minutes the path of the least text counts, so results repeat."""

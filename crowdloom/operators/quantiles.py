@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.scratch import written
+from ..sources.scratch import tidy, written
 from .network import small
 
 CELLS, FEW = 4096, 4096
 
 
+@tidy
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], cells: int = CELLS, few: int = FEW) -> DataFrame:
     """keys and a column for each of wanted: the quantile between the two nearest values, as
     percentile has it. Nulls and NaN do not count; a group without values has no row."""

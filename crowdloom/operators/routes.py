@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.scratch import written
+from ..sources.scratch import tidy, written
 
 MOST_EDGES = 5_000_000
 #: Requests relaxed together; numbers in one block of work.
@@ -249,12 +249,14 @@ def _two_nets(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return requests.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("net"), "request_id", "origin", "destination"), table
 
 
+@tidy
 def least_by_both(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """The least route of each request by minutes (net 0) and by cost (net 1)."""
     asked, table = _two_nets(requests, edges)
     return least_routes(written(asked), written(table))
 
 
+@tidy
 def candidates(requests: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Routes of each request: the k quickest by minutes, then those of the k least by
     perceived cost (cost_m) that are not among them. request_id, path, rank (in that order)."""
@@ -264,6 +266,7 @@ def candidates(requests: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy("o.net", "o.rank"))).select("request_id", "path", "rank")
 
 
+@tidy
 def k_paths(requests: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """k_routes of one network: requests (request_id, origin, destination), edges (from_node,
     to_node, minutes); request_id, path, minutes, rank."""

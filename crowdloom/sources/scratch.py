@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,17 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
             _open[-1].extend(kept)
 
 
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """job, whose result is written and whose rounds are deleted when it returns."""
+
+    @wraps(job)
+    def run(rows: DataFrame, *args, **terms) -> DataFrame:
+        with temporary(rows.sparkSession) as keep:
+            return keep(job(rows, *args, **terms))
+
+    return run
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crowdloom.operators import evaluation, impact, marts, network, quality
 from crowdloom.operators.quantiles import exact_quantiles
+from crowdloom.sources import scratch
 
 ROWS = [("5", k, s, 2, "side" if s == "e" else "main") for k, s in enumerate("abcde", 1)] + [("6", 1, "a", 3, "main"), ("6", 2, "x", 3, "main"), ("6", 3, "y", 3, "main")]
 
@@ -171,3 +173,20 @@ def test_a_mart_written_again_keeps_its_other_partitions(spark, tmp_path, kind):
     back = files.read_mart(spark, path, ["v", "ym"], {"ym": [202401, 202402], "s": [f"s{k}" for k in range(9)]}, "v int, s string, ym int" if kind == "csv" else None)
     assert sorted(map(tuple, back.collect())) == [(2, 202402), (5, 202402), (8, 202402), (101, 202401), (104, 202401), (107, 202401)]
     assert all(f.endswith(".csv.gz" if kind == "csv" else ".parquet") for f in map(str, (tmp_path / "mart").glob("ym=*/part-*")))
+
+
+def test_components_of_long_lines_in_few_rounds(spark, tmp_path, monkeypatch):
+    """A shuffled line of 300 nodes, a ring, a lone node and an empty table; rounds go at the end."""
+    names = [f"n{k:03d}" for k in range(300)]
+    random.Random(5).shuffle(names)
+    edges = list(pairwise(names)) + [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x1", "x1")]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "x1", "x2", "x3", "z"]], "node string")
+    steps, rounds, write = spark.createDataFrame(edges, "from_node string, to_node string"), [], scratch.written
+    monkeypatch.setattr(network, "written", lambda df, name="round": rounds.append(1) or write(df, name))
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    found = network.reachable(nodes, steps)
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert got == {**dict.fromkeys(names, "n000"), **dict.fromkeys(("x1", "x2", "x3"), "x1"), "z": "z"}
+    assert len(rounds) <= 14 and len(list(tmp_path.iterdir())) == 1
+    assert network.reachable(nodes.limit(0), steps.limit(0)).count() == 0
+    assert network.reachable(nodes, steps.limit(0)).where("node = component").count() == 304
