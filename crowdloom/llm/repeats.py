@@ -14,7 +14,8 @@ anchor form a run, a string of its own.
    common extension, found by binary search over prefix polynomial hashes; neighbours that
    share `length` bytes, verified byte by byte, repeat. Groups are sorted inside tasks,
    many at a time. Anchors with more than `group_limit` contexts are not sorted in one
-   task: their windows are counted by a 128-bit hash, which spreads them.
+   task: their windows are counted by a 128-bit hash, which spreads them; windows of other
+   bytes with an equal hash are looked for among those found and taken out.
 4. The windows found are joined to the texts and their bytes removed.
 
 No step gathers an anchor's occurrences; counts are pre-aggregated before each shuffle, and
@@ -210,19 +211,35 @@ def _sort_groups(contexts: DataFrame, length: int, block: int = 1 << 19) -> Data
     return grouped.mapInArrow(run, f"{RUN_TYPES}, windows array<int>")
 
 
-def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same by counting each window's 128-bit hash: for anchors with very many contexts."""
+def _count_windows(contexts: DataFrame, length: int, bits: int = 64) -> DataFrame:
+    """The same for anchors with very many contexts, by counting: windows whose two hashes
+    stand twice are found, then those of different bytes with equal hashes told apart. bits:
+    of each hash, fewer only where a test wants collisions."""
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *key, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf, at = np.frombuffer(context, np.uint8), np.arange(n)
-                keys = [pa.array(mixed(PrefixHash(buf, t).hash(at, at + length)).view(np.int64)) for t in (None, SECOND)]
+                keys = [pa.array((mixed(PrefixHash(buf, t).hash(at, at + length)) & mask).view(np.int64)) for t in (None, SECOND)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([k] * n, pa.int64()) for k in key), pa.array(at.astype(np.int32)), *keys], [*RUN, "window", "x", "y"])
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of the windows found, once for each batch."""
+        for batch in batches:
+            seen = {(w["x"], w["y"], context[w["window"] : w["window"] + length]) for context, some in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in some}
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in seen], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["x", "y", "piece"])
+
     windows = contexts.select(*RUN, "n", "context").mapInArrow(run, f"{RUN_TYPES}, window int, x long, y long")
     twice = windows.groupBy("x", "y").count().where("count > 1").drop("count")
-    return windows.join(twice, ["x", "y"]).groupBy(*RUN).agg(F.sort_array(F.collect_list("window")).alias("windows"))
+    found = settle(windows.join(twice, ["x", "y"]).groupBy(*RUN).agg(F.collect_list(F.struct("window", "x", "y")).alias("found")), "counted-windows")
+    with_bytes = found.join(contexts.select(*RUN, "context"), RUN)
+    clashes = settle(with_bytes.select("context", "found").mapInArrow(pieces, "x long, y long, piece binary").distinct().groupBy("x", "y").count().where("count > 1").drop("count"), "hash-clashes")
+    if clashes.isEmpty():
+        return found.select(*RUN, F.sort_array("found.window").alias("windows"))
+    each = with_bytes.select(*RUN, "context", F.explode("found").alias("w")).select(*RUN, "w.*", F.expr(f"substring(context, w.window + 1, {length})").alias("piece"))
+    alone = each.join(clashes, ["x", "y"], "left_semi").groupBy("piece").agg(F.count("*").alias("times"), F.min(F.struct(*RUN, "window")).alias("o")).where("times = 1").select("o.*")
+    return each.join(alone, [*RUN, "window"], "left_anti").groupBy(*RUN).agg(F.sort_array(F.collect_list("window")).alias("windows"))
 
 
 #: Rows of one anchor that a task may get, unless a millionth of all rows is more.
@@ -260,8 +277,9 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, group_limit: int
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [*RUN, "times", "kinds", "n", "context"])
 
     asks = asked.groupBy("uid").agg(F.collect_list("ask").alias("asks"))
-    found_in = docs.join(asks, "uid").select("text", "asks").mapInArrow(cut, f"{RUN_TYPES}, times long, kinds long, n int, context binary")
-    contexts = settle(found_in.dropDuplicates(RUN), "contexts")
+    once = docs.groupBy("uid").agg(F.first("text").alias("text"))  # copies of a text meet first where they are read
+    found_in = once.join(asks, "uid").select("text", "asks").mapInArrow(cut, f"{RUN_TYPES}, times long, kinds long, n int, context binary")
+    contexts = settle(found_in, "contexts")  # each run kind is cut from one text
     found = _sort_groups(contexts.where(F.col("kinds") <= group_limit), length).union(_count_windows(contexts.where(F.col("kinds") > group_limit), length))
     alone = settle(found.join(kinds.where("times = 1"), RUN).select(F.col("one.uid").alias("uid"), F.col("one.start").alias("start"), "windows"), "found-windows")
     # Neighbouring windows become one span before they are shuffled.

@@ -353,6 +353,17 @@ def test_repeats(docs, rows, empty, limit, anchor_rows, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 64])
+def test_counted_windows_are_told_by_their_bytes(spark, bits):
+    random.seed(3)
+    kept = [bytes(random.choice(b"ab") for _ in range(random.randint(12, 30))) for _ in range(80)]
+    frame = spark.createDataFrame([(k % 3, k, 7, len(c) - 9, c) for k, c in enumerate(kept)], "anchor long, whole long, second long, n int, context binary")
+    times = collections.Counter(c[i : i + 10] for c in kept for i in range(len(c) - 9))
+    want = {k: hit for k, c in enumerate(kept) if (hit := [i for i in range(len(c) - 9) if times[c[i : i + 10]] > 1])}
+    assert {r["whole"]: r["windows"] for r in repeats._count_windows(frame, 10, bits).collect() if r["windows"]} == want
+    assert repeats._count_windows(frame.limit(0), 10, bits).count() == 0
+
+
 def test_suffix_order():
     random.seed(6)
     buf = np.frombuffer("".join(random.choice("ab") for _ in range(3000)).encode(), np.uint8)
