@@ -14,12 +14,13 @@ from pyspark.sql import Window as W
 from ..functions.scalars import node_id, node_station
 from ..sources.scratch import tidy, written
 
-SMALL_EDGES = 200_000
+SMALL_EDGES = 20_000
 
 
 def small(edges: DataFrame) -> DataFrame:
-    """A broadcast hint for edge tables whose size is counted and small."""
-    return F.broadcast(edges) if edges.count() <= SMALL_EDGES else edges
+    """A broadcast hint for edge tables whose size is counted and small; larger ones are
+    shuffled, also where their files are small: in memory they take some 30 times as much."""
+    return F.broadcast(edges) if edges.count() <= SMALL_EDGES else edges.hint("merge")
 
 
 def ride_edges(sequence: DataFrame, breaks: DataFrame, branch: Column, one_way: Column) -> DataFrame:

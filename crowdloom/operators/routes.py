@@ -101,27 +101,48 @@ CORRIDOR = "net int, request_id long, node string, to_go long, tail array<string
 
 def corridors(requests: DataFrame, edges: DataFrame, slack_of: dict[int, int | None], origin_only: bool = False) -> DataFrame:
     """Corridor rows of each request. requests: net, request_id, origin, destination; edges:
-    net, node, next, weight; slack_of: the slack of each net, None for no limit."""
+    net, node, next, weight; slack_of: the slack of each net, None for no limit. The edges are
+    dealt to every task in front of its requests, by the shuffle: none pass the driver."""
     if edges.count() > MOST_EDGES:
         raise ValueError(f"more than {MOST_EDGES} edges: not a network to be held by every task")
-    table = edges.toPandas()
-    nets = {int(k): Network(g["node"].tolist(), g["next"].tolist(), g["weight"].tolist()) for k, g in table.groupby("net")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, table, net, some = None, [], None, []
+
+        def found(rows: list[dict]) -> pa.RecordBatch:
+            known = [r for r in rows if r["origin"] in net.index and r["destination"] in net.index]
+            return pa.RecordBatch.from_pylist(list(_corridor_rows(net, known, slack_of[key[1]], origin_only)) if known else [], SCHEMA)
+
         for batch in batches:
-            rows = [r for r in batch.to_pylist() if r["net"] in nets and r["origin"] in nets[r["net"]].index and r["destination"] in nets[r["net"]].index]
-            rows.sort(key=lambda r: (r["net"], r["destination"]))
-            for first in range(0, len(rows), TOGETHER):
-                for k in sorted({r["net"] for r in rows[first : first + TOGETHER]}):
-                    some = [r for r in rows[first : first + TOGETHER] if r["net"] == k]
-                    made = [x for x in _corridor_rows(nets[k], some, slack_of[k], origin_only)]
-                    yield pa.RecordBatch.from_pylist(made, SCHEMA)
+            at = np.stack([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "net", "asks"))])
+            starts = np.flatnonzero(np.concatenate([[batch.num_rows > 0], (at[:, 1:] != at[:, :-1]).any(axis=0)]))
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = (int(at[0, lo]), int(at[1, lo]))
+                if here != key:
+                    if some:
+                        yield found(some)
+                    key, table, net, some = here, [], None, []
+                rows = batch.slice(lo, hi - lo)
+                if not at[2, lo]:
+                    table.append(rows)
+                elif table or net:
+                    if net is None:
+                        net, table = Network(*(pa.Table.from_batches(table).column(c).to_pylist() for c in ("origin", "destination", "weight"))), []
+                    some += rows.to_pylist()
+                    while len(some) >= TOGETHER:
+                        yield found(some[:TOGETHER])
+                        some = some[TOGETHER:]
+        if some:
+            yield found(some)
 
     asked = requests.select("net", F.col("request_id").cast("long").alias("request_id"), "origin", "destination")
     # A number of its own: joined ones would put a small table's work into one task.
     n = asked.count()
-    parts = max(1, min(-(-n // TOGETHER), max(4 * asked.sparkSession.sparkContext.defaultParallelism, n // 10_000)))
-    return asked.repartition(parts, "net", "destination").mapInArrow(run, CORRIDOR)
+    parts = max(1, min(-(-n // 8), max(2 * asked.sparkSession.sparkContext.defaultParallelism, n // 10_000)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("net", "destination"), F.lit(parts)).cast("int")).withColumn("weight", F.lit(None).cast("long")).withColumn("asks", F.lit(1))
+    copies = edges.select("net", F.lit(None).cast("long").alias("request_id"), F.col("node").alias("origin"), F.col("next").alias("destination"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("weight").cast("long").alias("weight"), F.lit(0).alias("asks"))
+    rows = asked.unionByName(copies).repartitionById(parts, "part")
+    return rows.sortWithinPartitions("part", "net", "asks", "destination").mapInArrow(run, CORRIDOR)
 
 
 SCHEMA = pa.schema([("net", pa.int32()), ("request_id", pa.int64()), ("node", pa.string()), ("to_go", pa.int64()), ("tail", pa.list_(pa.string())), ("tail_at", pa.list_(pa.int64())), ("bound", pa.int64()), ("whole", pa.bool_()), ("is_origin", pa.bool_())])
@@ -148,6 +169,12 @@ def _corridor_rows(net: Network, some: list[dict], slack: int | None, origin_onl
             yield {"net": r["net"], "request_id": r["request_id"], "node": net.nodes[x], "to_go": int(to_go[x]), "tail": [net.nodes[y] for y in tail], "tail_at": [int(to_go[x] - to_go[y]) for y in tail], "bound": limit, "whole": whole, "is_origin": x == a}
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, which joins may not broadcast: corridors and routes take some 30 times their files'
+    size in memory, so by that size Spark would send them through the driver in every round."""
+    return df.hint("merge")
+
+
 def text(path: str = "path") -> F.Column:
     return F.array_join(path, ">")
 
@@ -169,11 +196,11 @@ def _completed(spurs: DataFrame, inside: DataFrame, steps: DataFrame, known: Dat
     among the request's `wanted` least, with the costs of known, may be left out. A round
     writes the nodes newly come to, those whose least completion meets their beginning go on."""
     one = [*KEY, "spur"]
-    starts = spurs.withColumn("node", F.element_at("path", -1)).join(F.broadcast(steps), ["net", "node"]).where(~F.array_contains("banned", F.col("next")))
+    starts = spurs.withColumn("node", F.element_at("path", -1)).join(shuffled(steps), ["net", "node"]).where(~F.array_contains("banned", F.col("next")))
     rounds: list[DataFrame] = []
     while True:
         grown = starts.where(~F.array_contains("path", F.col("next"))).select(*one, F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("at", F.array(F.element_at("at", -1) + F.col("weight"))).alias("at"))
-        seen = grown.join(inside, [*KEY, "node"]).withColumn("cost", F.element_at("at", -1) + F.col("to_go")).where("cost <= bound")
+        seen = grown.join(shuffled(inside), [*KEY, "node"]).withColumn("cost", F.element_at("at", -1) + F.col("to_go")).where("cost <= bound")
         seen = seen.select(*one, "node", "path", "at", "cost", "tail", "tail_at", F.arrays_overlap("path", "tail").alias("meets"), F.lit(len(rounds)).alias("round"))
         rounds.append(written(seen))
         every = rounds[0]
@@ -190,8 +217,8 @@ def _completed(spurs: DataFrame, inside: DataFrame, steps: DataFrame, known: Dat
         least = stuck.groupBy(*one, "node").agg(F.min(F.struct("o", "round", "path", "at", "cost")).alias("b")).select(*one, "node", "b.round", "b.path", "b.at", "b.cost").where(F.col("round") == len(rounds) - 1)
         costs = arrived.select(*KEY, "cost").unionByName(known.select(*KEY, "cost"))
         limit = costs.withColumn("n", F.row_number().over(W.partitionBy(*KEY).orderBy("cost"))).where(F.col("n") == wanted).select(*KEY, F.col("cost").alias("upper"))
-        fresh = least.join(arrived.select(*one, F.col("cost").alias("own")), one, "left").join(limit, KEY, "left").where("cost <= coalesce(own, cost) and cost <= coalesce(upper, cost)")
-        starts = fresh.select(*one, "node", "path", "at").join(F.broadcast(steps), ["net", "node"])
+        fresh = least.join(shuffled(arrived.select(*one, F.col("cost").alias("own"))), one, "left").join(shuffled(limit), KEY, "left").where("cost <= coalesce(own, cost) and cost <= coalesce(upper, cost)")
+        starts = fresh.select(*one, "node", "path", "at").join(shuffled(steps), ["net", "node"])
 
 
 def _deviations(inside: DataFrame, steps: DataFrame, k: int) -> DataFrame:
@@ -203,7 +230,7 @@ def _deviations(inside: DataFrame, steps: DataFrame, k: int) -> DataFrame:
         spurs = last.where(F.size("path") > 1).select(*KEY, "path", "at", F.explode(F.sequence(F.col("dev"), F.size("path") - 1)).alias("spur"))
         spurs = spurs.select(*KEY, "spur", F.slice("path", 1, F.col("spur")).alias("path"), F.slice("at", 1, F.col("spur")).alias("at"))
         others = taken.select(*KEY, F.col("path").alias("other"))
-        shared = spurs.join(others, KEY).where((F.size("other") > F.col("spur")) & (F.slice("other", 1, F.col("spur")) == F.col("path")))
+        shared = spurs.join(shuffled(others), KEY).where((F.size("other") > F.col("spur")) & (F.slice("other", 1, F.col("spur")) == F.col("path")))
         banned = shared.groupBy(*KEY, "spur").agg(F.collect_set(F.element_at("other", F.col("spur") + 1)).alias("banned"), F.first("path").alias("path"), F.first("at").alias("at"))
         found = _completed(banned, inside, steps, waiting, k - rank).withColumnRenamed("spur", "dev")
         pool = waiting.unionByName(found).withColumn("n", F.row_number().over(W.partitionBy(*KEY).orderBy("cost", text()))).where(F.col("n") <= k - rank)
@@ -225,13 +252,13 @@ def k_routes(requests: DataFrame, edges: DataFrame, k: int, widths: tuple[float
         slacks = {n: None if width is None else max(1, round(width * m)) for n, m in mean.items()}
         inside = written(corridors(left, edges, slacks))
         found = written(_deviations(inside, steps, k))
-        full = found.groupBy(*KEY).agg(F.count("*").alias("n")).join(inside.where("is_origin").select(*KEY, "whole"), KEY).where((F.col("n") >= k) | F.col("whole"))
-        ready = found.join(full.select(*KEY), KEY, "left_semi")
+        full = found.groupBy(*KEY).agg(F.count("*").alias("n")).join(shuffled(inside.where("is_origin").select(*KEY, "whole")), KEY).where((F.col("n") >= k) | F.col("whole"))
+        ready = found.join(shuffled(full.select(*KEY)), KEY, "left_semi")
         done = ready if done is None else done.unionByName(ready)
         if width is None:
             return done
         # Unconnected requests have no corridor: they are not asked again.
-        left = written(left.join(inside.where("is_origin").select(*KEY), KEY, "left_semi").join(full.select(*KEY), KEY, "left_anti"))
+        left = written(left.join(shuffled(inside.where("is_origin").select(*KEY)), KEY, "left_semi").join(shuffled(full.select(*KEY)), KEY, "left_anti"))
         if left.isEmpty():
             return done
     raise ValueError("the last width has to be None")

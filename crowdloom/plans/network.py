@@ -25,7 +25,12 @@ TRANSFER, AGAIN, LOOPS = 4, 3, ("Brand#11", "Brand#21", "Brand#31")
 
 
 def line_sequence(spark: Spark, d: str) -> DataFrame:
-    """Each line's stations once, in the order of their first part."""
+    """Each line's stations once, in the order of their first part: what the parts are read
+    for once, since all rules of the network ask for it several times."""
+    return kept(spark, d, "sequence", lambda: first_parts(spark, d))
+
+
+def first_parts(spark: Spark, d: str) -> DataFrame:
     first = table(spark, d, "part").groupBy(F.col("p_brand").alias("line_id"), F.col("p_name").alias("station_name")).agg(F.min(F.struct("p_partkey", "p_size")).alias("p"))
     s = first.select("line_id", "station_name", F.col("p.p_partkey").alias("seq"), F.col("p.p_size").alias("size"), (1 + F.col("p.p_size") % 5).cast("int").alias("minutes"))
     return s.withColumn("pos", F.row_number().over(W.partitionBy("line_id").orderBy("seq")))
@@ -243,6 +248,7 @@ def forget(spark: Spark) -> None:
 
 def paths(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Candidate routes and the edges."""
+    line_sequence(spark, d)  # before the blocks whose rounds are deleted
     edges = kept(spark, d, "edges", lambda: all_edges(spark, d))
     return kept(spark, d, "routes", lambda: R.candidates(requests(spark, d), edges, KEEP)), edges
 

@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import pytest
 from crowdloom.operators import evaluation, impact, journeys, marts, network, routes
+from crowdloom.sources.scratch import written
 from pyspark.sql import functions as F
 
 
@@ -110,6 +112,23 @@ def test_k_paths_in_a_dense_network_and_past_dead_ends(spark):
     assert len(got[5]) == 2 and 4 not in got
 
 
+def test_route_searches_send_nothing_to_the_driver(spark, monkeypatch):
+    """Neither edges nor corridors nor routes are collected or broadcast, however small."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(routes, "written", seen)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda df: pytest.fail("collected"))
+    edges = spark.createDataFrame([(0, f"n{a}", f"n{b}", 1 + (a + b) % 3) for a in range(8) for b in range(8) if a != b], "net int, node string, next string, weight long")
+    asked = spark.createDataFrame([(0, k, f"n{k}", f"n{(k + 3) % 8}") for k in range(8)] + [(0, 9, "n1", "nowhere")], "net int, request_id long, origin string, destination string")
+    got = routes.k_routes(asked, edges, 3).collect()
+    assert sorted((r["request_id"], r["rank"]) for r in got) == [(k, n) for k in range(8) for n in (1, 2, 3)]
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_route_queries_ask_every_request(spark):
     from crowdloom.plans import network as plans
     from crowdloom.plans.registry import ORACLES
