@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import perceived_multiplier
+from ..sources.scratch import written
 from .network import small
 from .quantiles import exact_quantiles
 
@@ -93,7 +94,8 @@ def with_group_quantile(rows: DataFrame, train: DataFrame, group: list[str], val
     """rows with the training quantile of their group, or of the whole table where the
     group has none. The whole table's is found by passes of counts, so no task holds it."""
     known = train.where(F.col(value).isNotNull())
-    per_group = known.groupBy(*group).agg(F.percentile(value, q).alias("p_group"))
+    # Written, so that its size is known and the rows are not shuffled to meet it.
+    per_group = written(known.groupBy(*group).agg(F.percentile(value, q).alias("p_group")))
     overall = exact_quantiles(known, [], value, {"p_all": q})
     return rows.join(per_group, group, "left").join(F.broadcast(overall), F.lit(True), "left").withColumn(name, F.coalesce("p_group", "p_all")).drop("p_group", "p_all")
 

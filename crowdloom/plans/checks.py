@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import impact, marts
 from ..operators import quality as Q
 from ..sources.scratch import written
-from .impact import SPIKE, spike
+from .impact import SPIKE, daily, spike
 from .marts import SPLIT, WIDE, split_cells, wide
 from .network import LINES, TRANSFERS, branch, breaks, line_sequence, loops, raw_rides, transfers
 from .registry import query
@@ -132,11 +132,13 @@ Q1 = f"with {TABLES} " + " union all ".join(_rules_sql(n) for n in RULES)
 
 
 def ruled_tables(spark: Spark, d: str) -> dict[str, DataFrame]:
-    """The seven tables that rules and cross-checks are about."""
-    r, cells = rides(spark, d), written(marts.cell_mart(split_cells(spark, d), ["line_id", "station_code", "direction"]))
+    """The seven tables that rules and cross-checks are about. Both facts are written first, so
+    that shipments are joined to their stations once for each, not for every table and pass."""
+    r, raw = written(rides(spark, d)), written(split_cells(spark, d))
+    cells = written(marts.cell_mart(raw, ["line_id", "station_code", "direction"]))
     master = r.select("line_id", "station_code", "station_name").distinct().withColumn("station_uid", F.concat_ws("_", "line_id", "station_code")).withColumn("in_project_scope", (F.col("station_code") < 20).cast("int"))
     side = lambda x: F.sum(F.when(F.col("direction") == x, F.col("passenger_count")))
-    flow = r.where("station_code % 7 <> 0").groupBy("line_id", "station_code").agg(side("boarding").alias("b"), side("alighting").alias("a"), F.sum("passenger_count").alias("n"))
+    flow = written(r.where("station_code % 7 <> 0").groupBy("line_id", "station_code").agg(side("boarding").alias("b"), side("alighting").alias("a"), F.sum("passenger_count").alias("n")))
     lines = flow.groupBy("line_id").agg(F.sum("n").alias("line_n"))
     share = lambda x: F.try_divide(x, F.nullif("n", F.lit(0)))
     b, a = F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))
@@ -145,9 +147,10 @@ def ruled_tables(spark: Spark, d: str) -> dict[str, DataFrame]:
         F.try_divide("n", "line_n").alias("line_share"), F.col("n").isNotNull().cast("int").alias("has_ridership"),
     )
     edges = written(raw_rides(spark, d))
-    marked = impact.confounding(impact.event_days(events(spark, d))).select("event_id", "station_code", "date", F.col("confounders").isNotNull().cast("int").alias("is_confounded"))
-    spikes = spike(spark, d).join(marked, ["event_id", "station_code", "date"]).select("event_id", "ratio", "base", F.col("x").alias("actual"), "is_confounded")
-    return {"station_master": master, "stg_congestion": congestion(spark, d), "congestion_mart": cells, "training_mart": training, "route_edge": edges, "transfer_edge": transfers(spark, d, edges), "event_spike": spikes}
+    days, roll = written(impact.event_days(events(spark, d))), written(daily(spark, d, r))
+    marked = impact.confounding(days).select("event_id", "station_code", "date", F.col("confounders").isNotNull().cast("int").alias("is_confounded"))
+    spikes = spike(spark, d, (days, roll)).join(marked, ["event_id", "station_code", "date"]).select("event_id", "ratio", "base", F.col("x").alias("actual"), "is_confounded")
+    return {"station_master": master, "stg_congestion": raw.drop("split"), "congestion_mart": cells, "training_mart": training, "route_edge": edges, "transfer_edge": transfers(spark, d, edges), "event_spike": spikes}
 
 
 @query("Q1_column_rules", Q1)

@@ -23,12 +23,13 @@ OWN = "targets as (select distinct d.station_code, d.direction, d.date from dail
 LEAST = 2
 
 
-def daily(spark: Spark, d: str) -> DataFrame:
-    return rides(spark, d).groupBy("station_code", "direction", "date").agg(F.sum("passenger_count").alias("x"))
+def daily(spark: Spark, d: str, of: DataFrame | None = None) -> DataFrame:
+    return (rides(spark, d) if of is None else of).groupBy("station_code", "direction", "date").agg(F.sum("passenger_count").alias("x"))
 
 
-def parts(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    days, roll = impact.event_days(events(spark, d)), daily(spark, d)
+def parts(spark: Spark, d: str, made: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Event days, the daily roll-up (made: both, where they are written already), baselines."""
+    days, roll = made or (impact.event_days(events(spark, d)), daily(spark, d))
     own = roll.join(days.select("station_code", "date").distinct(), ["station_code", "date"], "left_semi")
     return days, roll, impact.baselines(own, roll, days, KEYS, "x", least=LEAST)
 
@@ -66,8 +67,8 @@ SPIKE = f"""with {BASE}, {OWN}, {STATS.format(least=LEAST)},
 spike as (select days.event_id, days.event_type, days.station_code, days.date, d.direction, x, base, n_samples, x / nullif(base, 0) as ratio, (x - base) / (1.4826 * nullif(mad, 0)) as robust_z from days join daily d using (station_code, date) join base b on b.station_code = d.station_code and b.direction = d.direction and b.date = d.date)"""
 
 
-def spike(spark: Spark, d: str) -> DataFrame:
-    days, roll, base = parts(spark, d)
+def spike(spark: Spark, d: str, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    days, roll, base = parts(spark, d, made)
     return impact.spikes(days, roll, base, KEYS, "x")
 
 

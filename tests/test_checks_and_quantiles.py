@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crowdloom.operators import evaluation, impact, marts, network, quality
 from crowdloom.operators.quantiles import exact_quantiles
+from crowdloom.plans import checks, views
 from crowdloom.sources import scratch
 
 ROWS = [("5", k, s, 2, "side" if s == "e" else "main") for k, s in enumerate("abcde", 1)] + [("6", 1, "a", 3, "main"), ("6", 2, "x", 3, "main"), ("6", 3, "y", 3, "main")]
@@ -190,3 +191,14 @@ def test_components_of_long_lines_in_few_rounds(spark, tmp_path, monkeypatch):
     assert len(rounds) <= 14 and len(list(tmp_path.iterdir())) == 1
     assert network.reachable(nodes.limit(0), steps.limit(0)).count() == 0
     assert network.reachable(nodes, steps.limit(0)).where("node = component").count() == 304
+
+
+def test_ruled_tables_join_shipments_to_stations_twice(spark, monkeypatch):
+    """Once for each fact, not for every table, rule and pass."""
+    made = []
+    stations = views.stations
+    monkeypatch.setattr(views, "stations", lambda *args: made.append(args) or stations(*args))
+    tables = checks.ruled_tables(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2
+    plans = [tables[n]._jdf.queryExecution().optimizedPlan().toString() for n in ("station_master", "stg_congestion", "congestion_mart", "training_mart", "event_spike")]
+    assert not [p for p in plans if "l_suppkey" in p or "o_orderkey" in p]
