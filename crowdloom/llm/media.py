@@ -7,8 +7,10 @@ each: a packed 32-bit code for every frame position.
 Two recordings align at an offset if they overlap in at least SPAN + 1 codes there and at
 most `most_errors` of the overlap's bits differ. Candidates share a key, which is made of
 two codes SPAN frames apart (so they have no frame in common, and chance rarely brings
-both); one key in `one_in` is picked by its own hash, the same picks wherever it stands, from
-the recording as it is and from PHASES samples on, so that a copy cut at any sample is met.
+both), taken from the recording as it is and from PHASES samples on, so that a copy cut at
+any sample is met. Keys count at their first place. One key in `one_in` is picked by its own
+hash, the same picks wherever it stands; that loses what shares only other keys, so the
+query picks all (one_in=1). Recordings without an equal key are not linked, whatever their bits.
 
 1. Recordings with equal fingerprints are one class; its least member stands for it.
 2. Every key's holders vote for the offset to its least holder, the key's pivot: a
@@ -279,9 +281,11 @@ def align(media: DataFrame, one_in: int = 4, most_errors: float = 0.15, block: i
     classes = prints.where("alike is not null").groupBy("alike").agg(F.min("uid").alias("rep"), F.max("uid").alias("last"), F.count("*").alias("n_rows"), F.max("n_codes").alias("n_codes"))
     classes = settle(classes, "alike")
     reps = classes.where(F.col("n_codes") >= LEAST).select(F.col("rep").alias("uid"))
-    reps = settle(prints.where(F.col("n_codes") >= LEAST).select("uid", "n_codes", "codes", "keys", "places").join(reps, "uid", "left_semi").dropDuplicates(["uid"]), "kept-prints")
+    # Keys are most of what is kept: they are written once, with the fingerprints, and read twice.
+    picks = prints.where(F.col("n_codes") >= LEAST).select("uid", "keys", "places").join(reps, "uid", "left_semi")
+    picks = picks.select("uid", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("uid", F.col("k.keys").alias("key"), F.col("k.places").alias("at"))
+    reps = settle(prints.where(F.col("n_codes") >= LEAST).select("uid", "n_codes", "codes").join(reps, "uid", "left_semi").dropDuplicates(["uid"]), "kept-prints")
 
-    picks = settle(reps.select("uid", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("uid", F.col("k.keys").alias("key"), F.col("k.places").alias("at")), "picks")
     pivots = settle(picks.groupBy("key").agg(F.min(F.struct("uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.uid").alias("pivot"), F.col("first.at").alias("pivot_at"), "n"), "pivots")
     bins = join_counted(picks, pivots, "key", "n").where("uid <> pivot").select("uid", "pivot", (F.col("pivot_at") - F.col("at")).alias("offset")).distinct()
     bins = settle(bins, "bins")
@@ -316,7 +320,7 @@ def texts_as_media(docs: DataFrame) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align(texts_as_media(read_documents(spark, sf_dir)))
+    return align(texts_as_media(read_documents(spark, sf_dir)), one_in=1)
 
 
 QUERIES = {"op2_chroma_fingerprints": op2_chroma_fingerprints}

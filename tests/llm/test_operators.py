@@ -278,6 +278,27 @@ def test_media_against_all_pairs(spark, block, block_codes):
     assert not any(got[u]["aligned"] for u in (0, 5, 34, 37, 38, 39))
 
 
+def test_media_query_tries_every_shared_key(spark, tmp_path):
+    """Texts that align and share keys, but none of those that one in four picks."""
+    table = []
+    keys = lambda m, one_in: set(media.picked_keys([media.codes(media.chroma(np.frombuffer(m[p:], np.uint8))) for p in (0, *media.PHASES)], one_in)[0].tolist())
+    prints = lambda m: media.codes(media.chroma(np.frombuffer(m, np.uint8)))
+    for seed in range(4000):
+        random.seed(seed)
+        a = bytes(random.choices(range(32, 127), k=2600))
+        b = a[:2400] + bytes(random.choices(range(32, 127), k=200))
+        n, _, bits = media.overlap(prints(a), prints(b), 0)
+        if bits <= 0.15 * 32 * n and keys(a, 1) & keys(b, 1) and not keys(a, 4) & keys(b, 4):
+            table += [a, b]
+        if len(table) == 6:
+            break
+    assert len(table) == 6
+    rows = [(u, m.decode(), "s", "en") for u, m in enumerate(table)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in media.op2_chroma_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_media_recall(spark, docs, rows, empty):
     """Default terms on shifted, cut and noisy copies of tunes: at least 0.9 found."""
     rng = np.random.default_rng(3)
