@@ -42,8 +42,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import join_counted, mixed, read_documents, settle, slices
+from .common import BROADCAST_KEYS, HOT, join_counted, mixed, read_documents, settle, slices
 from .components import connected_components
 
 RATE, FRAME, HOP, SPAN = 8000, 256, 64, 16
@@ -127,9 +128,9 @@ def picked_keys(found: list[np.ndarray], one_in: int) -> tuple[np.ndarray, np.nd
     return every[first].view(np.int64), at[first]
 
 
-def fingerprints(media: DataFrame, one_in: int = 4) -> DataFrame:
+def fingerprints(media: DataFrame) -> DataFrame:
     """(uid, doc_id, media) -> uid, doc_id, n_frames, n_codes, codes_crc32, alike (the
-    identity of the fingerprint; null where there is none), codes, picked keys and their places."""
+    identity of the fingerprint; null where there is none), codes, and those of each phase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,16 +143,51 @@ def fingerprints(media: DataFrame, one_in: int = 4) -> DataFrame:
                     c = codes(classes)
                     raw = c.astype("<u4").tobytes()
                     whole = raw if len(c) >= LEAST else classes.tobytes() + len(samples).to_bytes(8, "little")
-                    others = [codes(chroma(samples[p:])) for p in PHASES if len(samples) >= p + FRAME] if len(c) >= LEAST else []
-                    keys, places = picked_keys([c, *others], one_in)
-                    rows.append((len(classes), len(c), crc32(raw), hashlib.blake2b(whole, digest_size=16).hexdigest() if len(c) else None, c.view(np.int32), keys, places))
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    later = [codes(chroma(samples[p:])).view(np.int32) for p in PHASES if len(samples) >= p + FRAME] if len(c) >= LEAST else []
+                    rows.append((len(classes), len(c), crc32(raw), hashlib.blake2b(whole, digest_size=16).hexdigest() if len(c) else None, c.view(np.int32), later))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], PRINTS)
 
-    return media.select("uid", "doc_id", "media").mapInArrow(run, "uid long, doc_id long, n_frames long, n_codes long, codes_crc32 long, alike string, codes array<int>, keys array<long>, places array<int>")
+    return media.select("uid", "doc_id", "media").mapInArrow(run, "uid long, doc_id long, n_frames long, n_codes long, codes_crc32 long, alike string, codes array<int>, later array<array<int>>")
 
 
-PRINTS = ["uid", "doc_id", "n_frames", "n_codes", "codes_crc32", "alike", "codes", "keys", "places"]
+PRINTS = ["uid", "doc_id", "n_frames", "n_codes", "codes_crc32", "alike", "codes", "later"]
+
+
+def picked(prints: DataFrame, one_in: int, most: int = 1 << 18) -> DataFrame:
+    """(uid, codes, later) -> uid, key, at: the picked keys of each recording."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids = batch.column(0).to_numpy()
+            found, n = [], 0
+            for r, (own, later) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                keys, places = picked_keys([_words(own.values), *(_words(c.values) for c in later)], one_in)
+                found.append((np.full(len(keys), uids[r]), keys, places))
+                n += len(keys)
+                if n >= most or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["uid", "key", "at"])
+                    found, n = [], 0
+
+    return prints.select("uid", "codes", "later").mapInArrow(run, "uid long, key long, at int")
+
+
+def shared(picks: DataFrame, hot: int = HOT, sample: int = 64) -> DataFrame:
+    """The holders of keys that have several: uid, pivot (the key's least holder) and offset.
+    Nearly all keys have one holder, so rows are shuffled once, by key. Keys with more than
+    about hot holders, as one recording in `sample` shows, don't meet in a task: they are
+    broadcast and their pivots found by partial minima. The sample decides only the way."""
+    some = picks.where(F.pmod(F.xxhash64(F.lit("sample"), "uid"), F.lit(sample)) == 0)
+    often = settle(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * sample > hot).select("key"), "hot-picks")
+    n_hot, first = often.count(), F.struct("uid", "at")
+    rest = picks.join(F.broadcast(often), "key", "left_anti") if 0 < n_hot <= BROADCAST_KEYS else picks
+    by = W.partitionBy("key")
+    found = rest.withColumn("n", F.count("*").over(by)).withColumn("first", F.min(first).over(by)).where("n > 1").select("uid", "at", "first")
+    if 0 < n_hot <= BROADCAST_KEYS:
+        held = picks.join(F.broadcast(often), "key")
+        pivots = settle(held.groupBy("key").agg(F.min(first).alias("first")), "hot-pivots")
+        found = found.unionByName(held.join(F.broadcast(pivots), "key").select("uid", "at", "first"))
+    return found.select("uid", F.col("first.uid").alias("pivot"), (F.col("first.at") - F.col("at")).alias("offset")).where("uid <> pivot").distinct()
 
 
 def overlap(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int, int]:
@@ -277,18 +313,16 @@ def align(media: DataFrame, one_in: int = 4, most_errors: float = 0.15, block: i
     """A row for each recording: doc_id, n_frames, n_codes, codes_crc32, class_id, its best
     direct link (partner, offset of its start in the partner's frames, votes: equal codes at
     that offset, bit_errors: share over the overlap) and whether it has one (aligned)."""
-    prints = settle(fingerprints(media, one_in), "fingerprints")
+    prints = settle(fingerprints(media), "fingerprints")
     classes = prints.where("alike is not null").groupBy("alike").agg(F.min("uid").alias("rep"), F.max("uid").alias("last"), F.count("*").alias("n_rows"), F.max("n_codes").alias("n_codes"))
     classes = settle(classes, "alike")
     reps = classes.where(F.col("n_codes") >= LEAST).select(F.col("rep").alias("uid"))
-    # Keys are most of what is kept: they are written once, with the fingerprints, and read twice.
-    picks = prints.where(F.col("n_codes") >= LEAST).select("uid", "keys", "places").join(reps, "uid", "left_semi")
-    picks = picks.select("uid", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("uid", F.col("k.keys").alias("key"), F.col("k.places").alias("at"))
-    reps = settle(prints.where(F.col("n_codes") >= LEAST).select("uid", "n_codes", "codes").join(reps, "uid", "left_semi").dropDuplicates(["uid"]), "kept-prints")
-
-    pivots = settle(picks.groupBy("key").agg(F.min(F.struct("uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.uid").alias("pivot"), F.col("first.at").alias("pivot_at"), "n"), "pivots")
-    bins = join_counted(picks, pivots, "key", "n").where("uid <> pivot").select("uid", "pivot", (F.col("pivot_at") - F.col("at")).alias("offset")).distinct()
-    bins = settle(bins, "bins")
+    reps = prints.where(F.col("n_codes") >= LEAST).select("uid", "n_codes", "codes", "later").join(reps, "uid", "left_semi").dropDuplicates(["uid"])
+    # Keys take several times the room of the codes they are made of: they are never written.
+    kept = settle(reps, "kept-prints")
+    reps = kept.drop("later")
+
+    bins = settle(shared(picked(kept, one_in)), "bins")
     links = settle(_tried(bins, reps, most_errors), "links")
     roots = connected_components(links, "a", "b")
     links = settle(links.unionByName(_across_parts(bins, reps, roots, most_errors, block, block_codes)), "all-links")
@@ -304,7 +338,7 @@ def align(media: DataFrame, one_in: int = 4, most_errors: float = 0.15, block: i
     told = told.join(names.toDF("last", "of_rep"), "last").join(names.toDF("rep", "of_others"), "rep").withColumn("copies", F.col("n_rows") > 1)
     told = settle(told.join(told.groupBy("root").agg(F.min("id").alias("class_id")), "root"), "told").drop("n_codes")
     linked = F.col("b").isNotNull() | F.col("copies")
-    one = join_counted(prints.where("alike is not null").drop("codes", "keys", "places"), told, "alike", "n_rows")
+    one = join_counted(prints.where("alike is not null").drop("codes", "later"), told, "alike", "n_rows")
     pick = lambda copy, link: F.when(F.col("copies"), copy).otherwise(link)
     found = one.select(
         "doc_id", "n_frames", "n_codes", "codes_crc32", "class_id", pick(F.when(F.col("uid") == F.col("rep"), F.col("of_rep")).otherwise(F.col("of_others")), F.col("of_link")).alias("partner"),

@@ -299,6 +299,28 @@ def test_media_query_tries_every_shared_key(spark, tmp_path):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_media_writes_no_keys(spark, docs, monkeypatch):
+    """Keys of all recordings take several times the room of their codes: none are kept, and
+    only those with several holders come out of their one shuffle, hot or not."""
+    wide, settle = [], media.settle
+
+    def seen(df, name):
+        wide.extend(name for c in df.columns if c in ("keys", "places"))
+        return settle(df, name)
+
+    monkeypatch.setattr(media, "settle", seen)
+    assert media.align(media.texts_as_media(docs), one_in=1).count() == docs.count() and not wide
+    random.seed(6)
+    rows = {(u, random.randrange(40) if u % 3 else 1000 + u): u % 7 for u in range(300)}
+    picks = spark.createDataFrame([(u, k, at) for (u, k), at in rows.items()], "uid long, key long, at int")
+    least = {}
+    for (u, k), at in sorted(rows.items()):
+        least.setdefault(k, (u, at))
+    want = sorted({(u, least[k][0], least[k][1] - at) for (u, k), at in rows.items() if u != least[k][0]})
+    for hot in (4, 6, 20_000):  # all keys with several holders, some and none by the broadcast
+        assert sorted(tuple(r) for r in media.shared(picks, hot=hot, sample=1).collect()) == want
+
+
 def test_media_recall(spark, docs, rows, empty):
     """Default terms on shifted, cut and noisy copies of tunes: at least 0.9 found."""
     rng = np.random.default_rng(3)
