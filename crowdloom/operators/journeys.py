@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import node_station
 from ..sources.scratch import tidy, written
 from .network import small
+from .routes import shuffled
 
 ROUTE = ["request_id", "rank"]
 
@@ -33,7 +34,7 @@ def through_pass(steps: DataFrame, junctions: DataFrame) -> DataFrame:
     whose node before or after is the trunk: the train itself goes on, nobody changes."""
     out = steps.withColumn("before_node", along("from_node", "before")).withColumn("after_node", along("to_node", "after"))
     both = junctions.select(F.least("node", "own").alias("x"), F.greatest("node", "own").alias("y"), "trunk")
-    marked = out.withColumn("x", F.least("from_node", "to_node")).withColumn("y", F.greatest("from_node", "to_node")).join(small(both), ["x", "y"], "left")
+    marked = out.withColumn("x", F.least("from_node", "to_node")).withColumn("y", F.greatest("from_node", "to_node")).join(shuffled(both), ["x", "y"], "left")
     meets = F.coalesce(F.col("before_node") == F.col("trunk"), F.lit(False)) | F.coalesce(F.col("after_node") == F.col("trunk"), F.lit(False))
     return marked.withColumn("is_through", F.coalesce(F.col("kind") == "transfer", F.lit(False)) & meets).drop("x", "y", "trunk", "before_node", "after_node")
 

@@ -1,7 +1,7 @@
 """Network and route jobs, for many requests at once.
 
-Edges are a table of hundreds to thousands of rows, whatever the requests; it is broadcast
-only below a counted limit. Searches are rounds of joins over all requests together; each
+Edges are a table of hundreds to thousands of rows, whatever the requests; rounds broadcast it
+only below a counted limit, all that routes are made from and judged by is shuffled. Searches are rounds of joins over all requests together; each
 round is written out, so that plans stay short and lost executors cost one round.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import node_id, node_station
 from ..sources.scratch import tidy, written
+from .routes import shuffled
 
 SMALL_EDGES = 20_000
 
@@ -30,10 +31,10 @@ def ride_edges(sequence: DataFrame, breaks: DataFrame, branch: Column, one_way:
     station at which a branch leaves the main line is a node of its own there (@branch)."""
     order = W.partitionBy("line_id").orderBy("pos")
     rows = sequence.withColumn("branch", branch).withColumn("one_way", one_way).withColumn("before", F.lag("station_name").over(order))
-    rows = rows.join(small(breaks), ["line_id", "station_name"], "left").withColumn("before", F.coalesce("prev", "before"))
+    rows = rows.join(shuffled(breaks), ["line_id", "station_name"], "left").withColumn("before", F.coalesce("prev", "before"))
     steps = rows.where("before is not null and before <> station_name").dropDuplicates(["line_id", "before", "station_name"])
     own = sequence.select("line_id", F.col("station_name").alias("before"), F.col("pos").alias("before_pos"), branch.alias("before_branch"))
-    steps = steps.join(own, ["line_id", "before"])
+    steps = steps.join(shuffled(own), ["line_id", "before"])
     split = F.when((F.col("branch") != "main") & (F.col("before_branch") == "main"), F.col("branch"))
     a = F.struct(node_id(F.col("line_id"), F.col("before"), split).alias("node"), F.col("before").alias("station"), F.col("before_pos").alias("pos"))
     b = F.struct(node_id(F.col("line_id"), F.col("station_name")).alias("node"), F.col("station_name").alias("station"), F.col("pos").alias("pos"))
@@ -47,7 +48,7 @@ def split_loop_end(edges: DataFrame, loops: DataFrame) -> DataFrame:
     arrives at a node of its own (@loop) and leaves from there only to the loop's exit, so
     nobody rides on into the loop again. loops: line_id, entry, last, exit (station names)."""
     rule = loops.select("line_id", "entry", "last", "exit")
-    out = edges.join(small(rule), "line_id", "left")
+    out = edges.join(shuffled(rule), "line_id", "left")
     arrives = (F.col("from_station") == F.col("last")) & (F.col("to_station") == F.col("entry"))
     leaves = (F.col("from_station") == F.col("entry")) & (F.col("to_station") == F.col("exit"))
     end = node_id(F.col("line_id"), F.col("entry"), F.lit("loop"))
@@ -62,12 +63,12 @@ def transfer_edges(rides: DataFrame, volumes: DataFrame, minutes: int, again: in
     nodes = rides.select("line_id", F.col("from_station").alias("station_name"), F.col("from_node").alias("node")).distinct()
     kinds = nodes.withColumn("suffix", F.try_element_at(F.split("node", "@"), F.lit(2)))
     main, other = kinds.where("suffix is null").drop("suffix"), kinds.where("suffix is not null").withColumnRenamed("node", "own")
-    lines = main.join(main.toDF("to_line", "station_name", "to_node"), "station_name").where("line_id <> to_line").select("station_name", F.col("node").alias("from_node"), "to_node", F.lit(minutes).alias("minutes"), F.lit(0).alias("is_branch_transfer"), F.lit(1).alias("is_bidirectional"))
-    same = other.join(main, ["line_id", "station_name"])
+    lines = main.join(shuffled(main.toDF("to_line", "station_name", "to_node")), "station_name").where("line_id <> to_line").select("station_name", F.col("node").alias("from_node"), "to_node", F.lit(minutes).alias("minutes"), F.lit(0).alias("is_branch_transfer"), F.lit(1).alias("is_bidirectional"))
+    same = other.join(shuffled(main), ["line_id", "station_name"])
     way = lambda a, b, both: same.where(F.lit(True) if both is None else both).select("station_name", F.col(a).alias("from_node"), F.col(b).alias("to_node"), F.lit(again).alias("minutes"), F.lit(1).alias("is_branch_transfer"), (F.col("suffix") != "loop").cast("int").alias("is_bidirectional"))
     out = lines.unionByName(way("own", "node", None)).unionByName(way("node", "own", F.col("suffix") != "loop"))
     crowd = F.round(F.least(F.lit(most), F.coalesce("volume", F.lit(0.0)) / rate), 3)
-    return out.join(volumes, "station_name", "left").withColumn("volume_penalty", crowd).drop("volume").withColumn("penalty", F.round(F.col("minutes") + F.col("volume_penalty"), 3))
+    return out.join(shuffled(volumes), "station_name", "left").withColumn("volume_penalty", crowd).drop("volume").withColumn("penalty", F.round(F.col("minutes") + F.col("volume_penalty"), 3))
 
 
 def edge_direction(ring: Column, fold: int = 10) -> Column:
@@ -89,9 +90,9 @@ def crowded(rides: DataFrame, lookup: DataFrame, events: DataFrame, kappa: float
     """Rides with the crowding of trains leaving from_station in their direction (their line
     and direction's median where unknown, else all rides'), the station's event multiplier,
     and perceived minutes in thousandths (cost_m) with the events' part of it (event_m)."""
-    out = rides.join(small(lookup), ["line_id", "from_station", "direction"], "left")
+    out = rides.join(shuffled(lookup), ["line_id", "from_station", "direction"], "left")
     groups = out.groupBy("line_id", "direction").agg(F.median("rate").alias("m1"))
-    out = out.join(small(groups), ["line_id", "direction"], "left").join(F.broadcast(out.agg(F.median("rate").alias("m2")))).join(small(events.withColumnRenamed("station_name", "from_station")), "from_station", "left")
+    out = out.join(shuffled(groups), ["line_id", "direction"], "left").join(F.broadcast(out.agg(F.median("rate").alias("m2")))).join(shuffled(events.withColumnRenamed("station_name", "from_station")), "from_station", "left")
     usual = F.coalesce("rate", "m1", "m2")
     felt = lambda c: F.round(F.col("minutes") * (1000 + 10 * kappa * F.greatest(c - floor, F.lit(0.0)))).cast("int")
     out = out.withColumn("usual", usual).withColumn("cong", F.col("usual") * F.coalesce("mult", F.lit(1.0)))
@@ -214,7 +215,7 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Paths exploded to their edges in order, with the edges' attributes."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("from_node"), F.element_at("path", i + 1).alias("to_node")))
     long = paths.where(F.size("path") > 1).select("request_id", "rank", F.posexplode(pairs).alias("pos", "e")).select("request_id", "rank", "pos", "e.*")
-    return long.join(small(edges), ["from_node", "to_node"], "left")
+    return long.join(shuffled(edges), ["from_node", "to_node"], "left")
 
 
 def segments(steps: DataFrame, line: Column) -> DataFrame:

@@ -70,7 +70,7 @@ def branch() -> F.Column:
 def breaks(s: DataFrame) -> DataFrame:
     """Stations that follow the line's first one instead of the one before them."""
     first = s.where("pos = 1").select("line_id", F.col("station_name").alias("prev"))
-    return s.where("size = 13 and pos > 2").select("line_id", "station_name").join(first, "line_id")
+    return s.where("size = 13 and pos > 2").select("line_id", "station_name").join(R.shuffled(first), "line_id")
 
 
 def loops(s: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def junctions(spark: Spark, d: str) -> DataFrame:
     s = line_sequence(spark, d).where("line_id like 'Brand#_1'")
     trunk = s.select("line_id", (F.col("pos") + 1).alias("from_pos"), S.node_id(F.col("line_id"), F.col("station_name")).alias("trunk"))
     r = raw_rides(spark, d).where("from_node like '%@b'").select("line_id", "from_pos", F.col("from_node").alias("own")).distinct()
-    return r.join(trunk, ["line_id", "from_pos"]).select(F.regexp_replace("own", "@b$", "").alias("node"), "own", "trunk")
+    return r.join(R.shuffled(trunk), ["line_id", "from_pos"]).select(F.regexp_replace("own", "@b$", "").alias("node"), "own", "trunk")
 
 
 def steps(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
