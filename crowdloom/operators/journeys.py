@@ -86,8 +86,8 @@ def seat_scores(steps: DataFrame, edges: DataFrame) -> DataFrame:
     leave its end, averaged over the rides with both, / 10; 0 where there is none."""
     known = "kind = 'ride' and cong is not null"
     after = edges.where(known).groupBy(F.col("from_node").alias("to_node")).agg(F.avg("cong").alias("mean_after"))
-    drops = steps.where(known).join(small(after), "to_node").groupBy(*ROUTE).agg((F.avg(F.col("cong") - F.col("mean_after")) / 10).alias("s"))
-    return steps.select(*ROUTE).distinct().join(drops, ROUTE, "left").select(*ROUTE, F.coalesce("s", F.lit(0.0)).alias("seat_score"))
+    drops = steps.where(known).join(shuffled(after), "to_node").groupBy(*ROUTE).agg((F.avg(F.col("cong") - F.col("mean_after")) / 10).alias("s"))
+    return steps.select(*ROUTE).distinct().join(shuffled(drops), ROUTE, "left").select(*ROUTE, F.coalesce("s", F.lit(0.0)).alias("seat_score"))
 
 
 def described(parts: DataFrame, dwell: float = 0.5) -> DataFrame:
