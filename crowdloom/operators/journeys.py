@@ -52,7 +52,7 @@ def evaluate(parts: DataFrame, n_edges: DataFrame, seats: DataFrame, high: DataF
         F.sum(F.coalesce("event_m", F.lit(0))).alias("event"),
     )
     minutes = lambda x: F.round(x / 1000.0, 3)
-    out = per.join(n_edges, ROUTE).join(seats, ROUTE, "left")
+    out = per.join(shuffled(n_edges), ROUTE).join(shuffled(seats), ROUTE, "left")
     return out.select(
         *ROUTE, "running", (F.col("dwell_stops") * dwell).alias("dwell"), "walking", (F.col("running") + F.col("walking") + F.col("dwell_stops") * dwell).alias("actual"), (minutes(F.col("felt")) + F.col("dwell_stops") * dwell).alias("perceived"),
         "dwell_stops", F.round("avg_cong", 6).alias("avg_cong"), F.round("max_cong", 6).alias("max_cong"), "exposures", "transfers", minutes(F.col("penalty")).alias("transfer_penalty"), minutes(F.col("event")).alias("event_risk"),
