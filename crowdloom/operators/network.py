@@ -240,8 +240,8 @@ def pareto(routes: DataFrame, request: str, route: str, costs: list[str]) -> Dat
     all_le, any_lt = F.lit(True), F.lit(False)
     for c in costs:
         all_le, any_lt = all_le & (F.col(f"b_{c}") <= F.col(c)), any_lt | (F.col(f"b_{c}") < F.col(c))
-    beaten = a.join(b, request).where(all_le & any_lt).select(request, route).distinct().withColumn("beaten", F.lit(True))
-    return routes.join(beaten, [request, route], "left").withColumn("is_pareto", F.col("beaten").isNull()).drop("beaten")
+    beaten = a.join(shuffled(b), request).where(all_le & any_lt).select(request, route).distinct().withColumn("beaten", F.lit(True))
+    return routes.join(shuffled(beaten), [request, route], "left").withColumn("is_pareto", F.col("beaten").isNull()).drop("beaten")
 
 
 def edge_keys(path: str = "path") -> Column:
