@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import node_station
 from ..sources.scratch import tidy, written
-from .network import small
 from .routes import shuffled
 
 ROUTE = ["request_id", "rank"]
@@ -64,8 +63,8 @@ def transfer_waits(parts: DataFrame, waits: DataFrame) -> DataFrame:
     """Wait added before each ride segment that follows another segment."""
     order = W.partitionBy(*ROUTE).orderBy("segment")
     after = parts.withColumn("previous", F.lag("line").over(order)).where((F.col("line") != "walk") & F.col("previous").isNotNull())
-    sums = after.join(waits, "line", "left").groupBy(*ROUTE).agg(F.sum(F.coalesce("wait", F.lit(0.0))).alias("wait"))
-    return parts.select(*ROUTE).distinct().join(sums, ROUTE, "left").withColumn("wait", F.coalesce("wait", F.lit(0.0)))
+    sums = after.join(shuffled(waits), "line", "left").groupBy(*ROUTE).agg(F.sum(F.coalesce("wait", F.lit(0.0))).alias("wait"))
+    return parts.select(*ROUTE).distinct().join(shuffled(sums), ROUTE, "left").withColumn("wait", F.coalesce("wait", F.lit(0.0)))
 
 
 def chained_waits(segments: DataFrame, levels: list[tuple[DataFrame, list[str]]], most: float = 12.0) -> DataFrame:
@@ -76,8 +75,8 @@ def chained_waits(segments: DataFrame, levels: list[tuple[DataFrame, list[str]]]
     runs."""
     order = W.partitionBy(*ROUTE).orderBy("segment")
     boarded = segments.withColumn("previous", F.lag("line").over(order)).where("line <> 'walk' and previous = 'walk'")
-    sums = chained(boarded, levels, "wait", most).groupBy(*ROUTE).agg(F.count("*").alias("boardings"), F.sum("wait").alias("wait"), F.count(F.when(F.col("wait").isNull(), 1)).alias("unknown"))
-    out = segments.select(*ROUTE).distinct().join(sums, ROUTE, "left").na.fill(0, ["boardings", "unknown"])
+    sums = chained(boarded, [(shuffled(t), keys) for t, keys in levels], "wait", most).groupBy(*ROUTE).agg(F.count("*").alias("boardings"), F.sum("wait").alias("wait"), F.count(F.when(F.col("wait").isNull(), 1)).alias("unknown"))
+    out = segments.select(*ROUTE).distinct().join(shuffled(sums), ROUTE, "left").na.fill(0, ["boardings", "unknown"])
     return out.select(*ROUTE, "boardings", F.round(F.coalesce("wait", F.lit(0.0)), 1).alias("wait"), "unknown")
 
 
@@ -105,7 +104,7 @@ def described(parts: DataFrame, dwell: float = 0.5) -> DataFrame:
         F.min_by("from_node", "pos").alias("a"), F.max_by("to_node", "pos").alias("b"), F.min_by("to_node", "pos").alias("first_to"), F.count("*").alias("stops"), F.sum("minutes").alias("running"), F.max("cong").alias("max_cong"),
     )
     ride = F.col("line") != "walk"
-    out = base.join(majority("direction"), keys, "left").join(majority("branch"), keys, "left")
+    out = base.join(shuffled(majority("direction")), keys, "left").join(shuffled(majority("branch")), keys, "left")
     name = lambda c: node_station(F.col(c))
     more = F.when(ride, (F.col("stops") - 1) * dwell).otherwise(0.0)
     return out.select(
@@ -144,7 +143,7 @@ def departure_alternatives(rides: DataFrame, lookup: DataFrame, keys: list[str],
     """The bin within reach whose worst crowding along the route's rides is least (the
     earliest on a tie), where it is at least gain below the current bin's."""
     near = lookup.where((F.abs(F.col("bin") - current) <= reach) & F.col("rate").isNotNull())
-    bins = rides.select(*ROUTE, *keys).join(near, keys).groupBy(*ROUTE, "bin").agg(F.max("rate").alias("worst"))
+    bins = rides.select(*ROUTE, *keys).join(shuffled(near), keys).groupBy(*ROUTE, "bin").agg(F.max("rate").alias("worst"))
     out = bins.groupBy(*ROUTE).agg(F.min_by(F.struct("bin", "worst"), F.struct("worst", "bin")).alias("best"), F.max(F.when(F.col("bin") == current, F.col("worst"))).alias("now"))
     return out.select(*ROUTE, F.col("best.bin").alias("bin"), F.col("best.worst").alias("worst"), "now").where(F.col("now") - F.col("worst") >= gain)
 
@@ -153,7 +152,7 @@ def profile_along(parts: DataFrame, lookup: DataFrame) -> DataFrame:
     """Crowding at each station of a route's rides: the value of the train leaving it, and at
     a ride's last station of the train that arrived. lookup: line_id, from_station, direction,
     rate at the bin asked for."""
-    rides = parts.where("kind = 'ride'").withColumn("from_station", node_station(F.col("from_node"))).join(small(lookup), ["line_id", "from_station", "direction"], "left")
+    rides = parts.where("kind = 'ride'").withColumn("from_station", node_station(F.col("from_node"))).join(shuffled(lookup), ["line_id", "from_station", "direction"], "left")
     order = W.partitionBy(*ROUTE, "segment").orderBy("pos")
     ends = rides.withColumn("is_last", F.lead("pos").over(order).isNull())
     leaving = ends.select(*ROUTE, "segment", "pos", "line_id", F.col("from_station").alias("station"), "rate")

@@ -165,7 +165,7 @@ def chain_of_waits(spark: Spark, d: str) -> DataFrame:
     segments = J.described(parts(spark, d)[0]).withColumn("day_type", F.col("request_id") % 3).withColumn("bin", F.col("request_id") % 4)
     at = ["direction", "day_type", "bin"]
     w = J.chained_waits(segments, [(by_station, ["line", "from_station", *at]), (by_line, ["line", *at])])
-    timed = evaluated(spark, d).select("request_id", "rank", "actual", "perceived").join(w, ["request_id", "rank"])
+    timed = evaluated(spark, d).select("request_id", "rank", "actual", "perceived").join(R.shuffled(w), ["request_id", "rank"])
     return timed.select("request_id", "rank", "boardings", "wait", "unknown", *[F.round(F.col(c) + F.col("wait"), 3).alias(c) for c in ("actual", "perceived")])
 
 

@@ -357,7 +357,7 @@ rk as (select mode, cmp.*, round(wa * actual + wp * perceived + wm * coalesce(ma
 def compared(spark: Spark, d: str) -> DataFrame:
     e = N.pareto(evaluated(spark, d), "request_id", "rank", AXES)
     fast = e.groupBy("request_id").agg(F.min_by(F.struct(F.col("actual").alias("t"), F.col("max_cong").alias("c"), F.col("avg_cong").alias("a"), F.col("perceived").alias("p")), F.struct("actual", "rank")).alias("f"))
-    return e.join(fast, "request_id").select(
+    return e.join(R.shuffled(fast), "request_id").select(
         *e.columns, F.round(F.col("actual") / F.col("f.t"), 9).alias("stretch"), (F.col("actual") - F.col("f.t")).alias("time_loss"), F.round(F.col("f.c") - F.col("max_cong"), 6).alias("cong_drop"),
         F.round(F.col("f.a") - F.col("avg_cong"), 6).alias("avg_drop"), F.round(F.col("f.p") - F.col("perceived"), 6).alias("perceived_gain"),
     )
@@ -390,7 +390,7 @@ EK = "ek as (select request_id, rank, list_transform(generate_series(1, len(path
 
 def with_keys(spark: Spark, d: str) -> DataFrame:
     keys = paths(spark, d)[0].select("request_id", "rank", N.edge_keys().alias("ks"), F.col("path").alias("ns"))
-    return ranked(spark, d).join(keys, ["request_id", "rank"])
+    return ranked(spark, d).join(R.shuffled(keys), ["request_id", "rank"])
 
 
 JAC = "round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))), 9)"
@@ -403,8 +403,8 @@ def overlaps(spark: Spark, d: str) -> DataFrame:
     x = with_keys(spark, d).select("mode", "request_id", "rank", "route_rank", "ks", "ns")
     first = x.where("route_rank = 1").select("mode", "request_id", F.col("ks").alias("ks1"), F.col("ns").alias("ns1"))
     top = x.where("route_rank <= 3").select("mode", "request_id", "route_rank", "ks")
-    pairs = top.join(top.toDF("mode", "request_id", "other", "ks2"), ["mode", "request_id"]).where("route_rank < other").groupBy("mode", "request_id").agg(F.round(F.avg(N.jaccard("ks", "ks2")), 9).alias("mean_top3"))
-    return x.join(first, ["mode", "request_id"]).join(pairs, ["mode", "request_id"], "left").select("mode", "request_id", "rank", F.round(N.jaccard("ks", "ks1"), 9).alias("to_first"), F.round(N.jaccard("ns", "ns1"), 9).alias("nodes_to_first"), "mean_top3")
+    pairs = top.join(R.shuffled(top.toDF("mode", "request_id", "other", "ks2")), ["mode", "request_id"]).where("route_rank < other").groupBy("mode", "request_id").agg(F.round(F.avg(N.jaccard("ks", "ks2")), 9).alias("mean_top3"))
+    return x.join(R.shuffled(first), ["mode", "request_id"]).join(R.shuffled(pairs), ["mode", "request_id"], "left").select("mode", "request_id", "rank", F.round(N.jaccard("ks", "ks1"), 9).alias("to_first"), F.round(N.jaccard("ns", "ns1"), 9).alias("nodes_to_first"), "mean_top3")
 
 
 def greedy(name: str, order: str, over: str, keys: str = "ks") -> str:
@@ -433,7 +433,7 @@ def diverse_routes(spark: Spark, d: str) -> DataFrame:
     keys = ["mode", "request_id", "rank"]
     out = marked(spark, d)
     for kind, name in (("edges", "left_by_service"), ("nodes", "alike_in_nodes")):
-        out = out.join(marked(spark, d, service=kind).withColumnRenamed("is_near_duplicate", name), keys)
+        out = out.join(R.shuffled(marked(spark, d, service=kind).withColumnRenamed("is_near_duplicate", name)), keys)
     return out
 
 
@@ -455,7 +455,7 @@ def violations(s: DataFrame) -> DataFrame:
 
 def with_policy(spark: Spark, d: str) -> tuple[DataFrame, dict[str, F.Column]]:
     broken = violations(steps(spark, d)[0]).select("request_id", "rank", (F.col("missing_edges") + F.col("out_of_scope")).alias("violations"))
-    rows = ranked(spark, d).join(marked(spark, d), ["mode", "request_id", "rank"]).join(broken, ["request_id", "rank"])
+    rows = ranked(spark, d).join(R.shuffled(marked(spark, d)), ["mode", "request_id", "rank"]).join(R.shuffled(broken), ["request_id", "rank"])
     return J.policies(rows, ["mode", "request_id"])
 
 
@@ -489,8 +489,8 @@ def summaries(spark: Spark, d: str) -> DataFrame:
         F.count(F.when(F.col("is_near_duplicate"), 1)).alias("n_near_duplicates"), F.bool_or("is_alternative").alias("has_alternative"), F.max(F.when(F.col("route_rank") == 1, F.col("rank"))).alias("selected"), F.count(F.when(F.col("violations") > 0, 1)).alias("n_violations"),
     )
     asked = requests(spark, d).select("request_id", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
-    out = asked.join(s, ["mode", "request_id"], "left").na.fill(0, ["n_routes", "n_pareto", "n_near_duplicates", "n_violations"]).na.fill(False, ["has_alternative"])
-    return out.withColumn("reason", F.when(F.col("n_routes") == 0, "no_route").otherwise("routes")).join(top, ["mode", "request_id"], "left")
+    out = asked.join(R.shuffled(s), ["mode", "request_id"], "left").na.fill(0, ["n_routes", "n_pareto", "n_near_duplicates", "n_violations"]).na.fill(False, ["has_alternative"])
+    return out.withColumn("reason", F.when(F.col("n_routes") == 0, "no_route").otherwise("routes")).join(R.shuffled(top), ["mode", "request_id"], "left")
 
 
 @query("R19_request_summary", f"with recursive {SUMMARY} select sm.*, mean_top3 from sm left join tp using (mode, request_id)")
@@ -508,7 +508,7 @@ def mode_summaries(spark: Spark, d: str) -> DataFrame:
     s = summaries(spark, d)
     choice = s.groupBy("request_id").agg((F.count_distinct("selected") > 1).alias("differs"))
     mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
-    return s.join(choice, "request_id").groupBy("mode").agg(
+    return s.join(R.shuffled(choice), "request_id").groupBy("mode").agg(
         F.count("*").alias("n_requests"), F.count(F.when(F.col("has_alternative"), 1)).alias("n_with_alternative"), mean("n_routes", "mean_routes"), mean("n_pareto", "mean_pareto"), mean("mean_top3", "mean_top3"),
         F.sum("n_near_duplicates").alias("n_near_duplicates"), F.count(F.when(F.col("differs"), 1)).alias("n_choice_differs"),
     )

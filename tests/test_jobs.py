@@ -129,6 +129,22 @@ def test_route_searches_send_nothing_to_the_driver(spark, monkeypatch):
     assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_route_queries_broadcast_one_row_at_most(spark, tmp_path):
+    """From the parts to the last join: of each run the plan as it was carried out."""
+    from crowdloom.plans import network as plans
+    from crowdloom.plans.registry import QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_brand in ('Brand#11', 'Brand#12')").write.parquet(f"{tmp_path}/part.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: [r.apply(k) for r in [store.executionsList()] for k in range(r.size())]
+    known = max((r.executionId() for r in runs()), default=-1)
+    for name in ("R10_through_pass", "R11_seat_score", "R9_path_evaluation", "R14_pareto", "R16_diverse", "R15_overlap"):
+        assert QUERIES[name](spark, str(tmp_path)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    said = [r.physicalPlanDescription() for r in runs() if r.executionId() > known]
+    assert len(said) > 20 and not [p for p in said if "BroadcastHashJoin" in p]
+
+
 def test_route_queries_ask_every_request(spark):
     from crowdloom.plans import network as plans
     from crowdloom.plans.registry import ORACLES
